@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .audio import op1_audio_features
 from .langid import op6_language_id
+from .neardup import op5_minhash_neardup
 from .packing import op4_best_fit_packing
+from .sharding import op2_minimax_sharding
+from .topk import OP3_SQL, op3_maxscore_topk
 from .toxicity import op7_toxicity
 
 
@@ -17,7 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_audio_features,
+            op2_minimax_sharding,
+            op3_maxscore_topk,
             op4_best_fit_packing,
+            op5_minhash_neardup,
             op6_language_id,
             op7_toxicity,
         )
@@ -25,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_maxscore_topk": OP3_SQL}
