@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .audio import op1_audio_features
 from .langid import op6_language_id
+from .linedup import op8_line_dedup
+from .lmscore import op10_lm_scoring
 from .neardup import op5_minhash_neardup
 from .packing import op4_best_fit_packing
 from .sharding import op2_minimax_sharding
@@ -26,6 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_minhash_neardup,
             op6_language_id,
             op7_toxicity,
+            op8_line_dedup,
+            op10_lm_scoring,
         )
     }
 
