@@ -12,6 +12,7 @@ from .linedup import op8_line_dedup
 from .lmscore import op10_lm_scoring
 from .neardup import op5_minhash_neardup
 from .packing import op4_best_fit_packing
+from .pieces import op9_sentencepiece
 from .sharding import op2_minimax_sharding
 from .topk import OP3_SQL, op3_maxscore_topk
 from .toxicity import op7_toxicity
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op6_language_id,
             op7_toxicity,
             op8_line_dedup,
+            op9_sentencepiece,
             op10_lm_scoring,
         )
     }
