@@ -76,37 +76,45 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     Vectors and softmax are learned together by Adam. A text's window for a step is drawn to the model's present
     view: all windows weigh alike at first, then the most toxic one counts alone.
     """
-    column = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    word_of, bucket_of, counts, base = [], [], [np.zeros(1, np.int64)], 0
-    for _, data, off in slices(iter([column]), "text"):
+    rng = np.random.default_rng(seed)
+    # Equal words add up the same values in the same order, so the sum names the word.
+    value_of = rng.random(BUCKETS)
+    texts_with, with_toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    names, own_names, sizes, grams_of, counts, row, base = [], [], [], [], [np.zeros(1, np.int64)], 0, 0
+    for part, data, off in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), "text", 1 << 20):
         parts, count = subwords(data, off)
-        word_of += [w + base for w, _ in parts]
-        bucket_of += [h for _, h in parts]
+        word, bucket = np.concatenate([w for w, _ in parts]), np.concatenate([h for _, h in parts])
+        name = np.bincount(word, value_of[bucket], count[-1])
+        text_of = np.repeat(np.arange(part.num_rows), np.diff(count))
+        pairs = np.unique(text_of[word] * BUCKETS + bucket.astype(np.int64))
+        texts_with += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+        with_toxic += np.bincount(pairs % BUCKETS, labels[row + pairs // BUCKETS], BUCKETS)
+        own, one = np.unique(name, return_index=True)
+        stands = np.full(len(name), -1, np.int64)
+        stands[one] = np.arange(len(one))
+        stays = stands[word] >= 0
+        word, bucket = stands[word[stays]], bucket[stays]
+        grams_of.append(bucket[np.argsort(word, kind="stable")])
+        sizes.append(np.bincount(word, minlength=len(one)))
+        names.append(name)
+        own_names.append(own)
         counts.append(count[1:] + base)
-        base += count[-1]
-    word, bucket, count = np.concatenate(word_of), np.concatenate(bucket_of), np.concatenate(counts)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(count))
-    pairs = np.unique(text_of[word] * BUCKETS + bucket.astype(np.int64))
-    texts_with = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-    with_toxic = np.bincount(pairs % BUCKETS, labels[pairs // BUCKETS], BUCKETS)
-    del pairs
+        base, row = base + int(count[-1]), row + part.num_rows
+    count, every_own = np.concatenate(counts), np.concatenate(own_names)
+    listed, one = np.unique(every_own, return_index=True)
+    same = np.searchsorted(listed, np.concatenate(names))
+    size = np.concatenate(sizes)
+    bucket = np.concatenate(grams_of)[ranges((np.cumsum(size) - size)[one], size[one])]
+    per_word = np.maximum(size[one], 1).astype(np.float32)
+    word = np.repeat(np.arange(len(one)), size[one])
+    del names, own_names, grams_of
     kept = np.flatnonzero(texts_with >= max(3, MIN_SHARE * len(texts)))
     new = np.full(BUCKETS, -1, np.int64)
     new[kept] = np.arange(len(kept))
     with_toxic = with_toxic[kept]
-    per_word = np.maximum(np.bincount(word, minlength=base), 1).astype(np.float32)
     good = new[bucket] >= 0
-    word, bucket = word[good], new[bucket[good]]
-    # Equal words add up the same random values in the same order; the subwords of one of them stand for all.
-    rng = np.random.default_rng(seed)
-    _, one, same = np.unique(np.bincount(word, rng.random(len(kept))[bucket], base), return_index=True, return_inverse=True)
-    first_of = np.zeros(base, bool)
-    first_of[one] = True
-    stays = first_of[word]
-    word, bucket = same[word[stays]], bucket[stays]
-    order = np.argsort(word, kind="stable")
-    word, bucket = word[order].astype(np.int32), bucket[order].astype(np.int32)
-    distinct, per_word = len(one), per_word[one]
+    word, bucket = word[good].astype(np.int32), new[bucket[good]].astype(np.int32)
+    distinct = len(one)
     bound = np.searchsorted(word, np.arange(distinct + 1))
     first, end, at = windows(count)
     V = rng.normal(0, 0.1, (len(kept) + 1, DIM)).astype(np.float32)
