@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import cut_lineage, hashes, ranges, slices
 
-CAPACITY, SHARD, FULL, END_ID, CACHE_WORDS = 4096, 16_384, 0.995, 1, 400_000
+CAPACITY, SHARD, FULL, END_ID, CACHE_WORDS = 4096, 16_384, 0.995, 1, 1_000_000
 
 
 class WordEncoder:
@@ -46,12 +46,31 @@ class WordEncoder:
         cut[off] = True
         starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
         ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
-        return starts, ends, np.searchsorted(starts, off)
+        of = np.searchsorted(starts, off)
+        # The tokenizer parts a letter from a full stop or comma in any case, so the sign can be a word of its own here.
+        tail = (ends - starts >= 2) & ((data[ends - 1] == 46) | (data[ends - 1] == 44))
+        before = data[ends[tail] - 2] | 32
+        tail[tail] = (before >= 97) & (before <= 122)
+        many = 1 + tail
+        last = np.cumsum(many) - 1
+        starts, ends = np.repeat(starts, many), np.repeat(ends, many)
+        starts[last[tail]] = ends[last[tail]] - 1
+        ends[last[tail] - 1] -= 1
+        return starts, ends, np.concatenate(([0], last + 1))[of]
+
+    def _keys(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes that are equal for words of equal ids: case does not count, but in words that may hold special tokens."""
+        keys = hashes(data, starts, ends, lower=True)
+        bars = np.concatenate(([0], np.cumsum(data == 124)))
+        special = np.flatnonzero(bars[ends] > bars[starts])
+        if len(special):
+            keys[special] = hashes(data, starts[special], ends[special]) ^ np.uint64(1)
+        return keys
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the texts' offsets in them."""
         starts, ends, of = self._spans(data, off)
-        keys, first, which = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys, first, which = np.unique(self._keys(data, starts, ends), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
@@ -88,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
-        for part, data, off in slices(batches, "text"):
+        for part, data, off in slices(batches, "text", 3 << 20):
             ids, at = encoder.encode(data, off)
             out: list[list] = [[], [], [], [], [], []]
             for row in range(part.num_rows):
