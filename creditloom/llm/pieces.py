@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -289,13 +290,19 @@ class Encoder:
         return [spelled[a + 1 : b] if b > a else b"" for a, b in zip(run[:-1].tolist(), run[1:].tolist(), strict=True)]
 
 
+@lru_cache(1)
+def shared_encoder(model: str) -> Encoder:
+    """One encoder for a Python worker, so that its words serve the tasks to come."""
+    return Encoder(model)
+
+
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Rows (id, n_pieces, ids_crc32, decoded_crc32, round_trip, ids); with keep_ids off, ids is null."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = shared_encoder(model)
         plain = (b.set_column(1, "text", pc.replace_substring(b.column(1), "▁", " ")) for b in batches)
         for part, data, off in slices(plain, "text"):
             ids, at = encoder.encode(data, off)
@@ -315,7 +322,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     kind = encoded.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = shared_encoder(model)
         for batch in batches:
             ids = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type))
             texts = encoder.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)))))
