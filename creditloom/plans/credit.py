@@ -577,10 +577,10 @@ def fit_comparison(x: L.Lens) -> DataFrame:
 
 
 @query(f"""with {L.ALL}, s as (select score_band as g, months_on_book::double as v, sum(upb_bom)::double as w from panel where upb_bom > 0 group by all),
-o as (select g, v, (sum(w) over (partition by g order by v) - w / 2) / sum(w) over (partition by g) as at from s),
-n as (select *, lead(v) over (partition by g order by v) as v1, lead(at) over (partition by g order by v) as at1, lag(at) over (partition by g order by v) is null as first_ from o),
+o as (select g, v, (sum(w) over (partition by g order by v) - w / 2) / sum(w) over (partition by g) as pos from s),
+n as (select *, lead(v) over (partition by g order by v) as v1, lead(pos) over (partition by g order by v) as pos1, lag(pos) over (partition by g order by v) is null as first_ from o),
 a as (select *, unnest([0.1::double, 0.5::double, 0.9::double]) as q from n)
-select g as score_band, q, round(case when at1 is null or (first_ and q < at) then v else v + (v1 - v) * (q - at) / (at1 - at) end, 6) as value from a where (q >= at and q < coalesce(at1, 2)) or (first_ and q < at)""")
+select g as score_band, q, round(case when pos1 is null or (first_ and q < pos) then v else v + (v1 - v) * (q - pos) / (pos1 - pos) end, 6) as value from a where (q >= pos and q < coalesce(pos1, 2)) or (first_ and q < pos)""")
 def weighted_quantiles(x: L.Lens) -> DataFrame:
     return _round(monitoring.weighted_quantiles(x.panel(), "score_band", "months_on_book", "upb_bom", [0.1, 0.5, 0.9]))
 
