@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -100,13 +101,19 @@ class WordEncoder:
         self.begin = np.cumsum(self.size) - self.size
 
 
+@lru_cache(1)
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for a Python worker, so that its words serve the tasks to come."""
+    return WordEncoder(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32, ids): the documents' ids and an end id, cut only where they exceed capacity."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         for part, data, off in slices(batches, "text", 3 << 20):
             ids, at = encoder.encode(data, off)
             out: list[list] = [[], [], [], [], [], []]
