@@ -1,14 +1,16 @@
-"""Transition probabilities that depend on age, score and the economy: one weighted logistic model an origin state."""
+"""Transition probabilities that depend on age, score and the economy: one weighted logistic model an origin state.
+
+All origins and all candidate lags are fitted together. A Newton step is one pass over the transition counts, in which
+each task adds up every model's gradient and curvature; the driver gets these sums, whose size is that of the models.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,25 +49,31 @@ def candidates(s: Settings) -> dict[int, list[str]]:
     return {0: list(M.VALUES)} | {n: [f"{c}_lag_{n}" for c in M.VALUES] for n in s.macro_lags}
 
 
-def design(rows: DataFrame, macros: list[str], s: Settings) -> tuple[DataFrame, list[str]]:
-    """rows with the model's columns, and their names. Unemployment counts above the hinge only."""
+def _macro_columns(macros: list[str], s: Settings) -> dict[str, Column]:
+    """A candidate's columns. Unemployment counts above the hinge only."""
+    out = {}
+    for m in macros:
+        if m.startswith("unemployment_rate"):
+            out[f"{m}_excess"] = F.greatest(F.col(m) - s.unemployment_hinge, F.lit(0.0))
+        else:
+            out[m] = F.col(m)
+    return out
+
+
+def with_basis(rows: DataFrame, s: Settings) -> tuple[DataFrame, list[str]]:
+    """rows with the age spline and the score's risk, and their names."""
     names, table = spline.month_table(s.mob_edges, s.maturity_mob)
     basis = rows.sparkSession.createDataFrame(table, ", ".join(f"{n} {'int' if i == 0 else 'double'}" for i, n in enumerate(names)))
     capped = rows.withColumn("_mob", F.least(F.greatest("months_on_book", F.lit(0)), F.lit(s.maturity_mob)).cast("int"))
     out = capped.join(F.broadcast(basis.withColumnRenamed("months_on_book", "_mob")), "_mob").drop("_mob")  # a row a month of age
-    out = out.withColumn("score_risk", score_risk("score_band")).withColumn("score_risk_positive", F.greatest("score_risk", F.lit(0.0)))
-    features = [*names[1:], "score_risk", "score_risk_positive"]
-    for m in macros:
-        if m.startswith("unemployment_rate"):
-            out = out.withColumn(f"{m}_excess", F.greatest(F.col(m) - s.unemployment_hinge, F.lit(0.0)))
-            features.append(f"{m}_excess")
-        else:
-            features.append(m)
-    return out, features
+    out = out.withColumn("score_risk", score_risk("score_band"))
+    return out.withColumn("score_risk_positive", F.greatest("score_risk", F.lit(0.0))), [*names[1:], "score_risk", "score_risk_positive"]
 
 
 @dataclass(frozen=True)
 class OriginModel:
+    """labels are the classes seen; weights has a row a class, or one row, of the second, where two were seen."""
+
     origin: str
     targets: list[str]
     prior: dict[str, float]
@@ -74,64 +82,129 @@ class OriginModel:
     macros: list[str] = field(default_factory=list)
     features: list[str] = field(default_factory=list)
     labels: list[str] = field(default_factory=list)
-    model: PipelineModel | None = None
+    weights: tuple[tuple[float, ...], ...] = ()
 
     def predict(self, rows: DataFrame, s: Settings) -> DataFrame:
         """rows with a map column p of the targets' probabilities: the prior where there is no model."""
-        if self.model is None:
+        if not self.weights:
             return rows.withColumn("p", F.create_map(*[F.lit(x) for pair in self.prior.items() for x in pair]))
-        ready, _ = design(rows, self.macros, s)
-        scored = self.model.transform(ready).withColumn("_p", vector_to_array("probability"))
-        return scored.select(*rows.columns, F.create_map(*[x for i, label in enumerate(self.labels) for x in (F.lit(label), F.get("_p", F.lit(i)))]).alias("p"))
+        ready, _ = with_basis(rows, s)
+        macros = _macro_columns(self.macros, s)
+        columns = [macros.get(f, F.col(f)) for f in self.features]
+        logits = [sum((c * float(w) for c, w in zip(columns, row[1:], strict=True)), F.lit(float(row[0]))) for row in self.weights]
+        logits = logits if len(logits) > 1 else [F.lit(0.0), logits[0]]
+        ready = ready.withColumn("_z", F.array(*logits))
+        top = F.array_max("_z")
+        ready = ready.withColumn("_e", F.transform("_z", lambda z: F.exp(z - top)))
+        total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
+        return ready.select(*rows.columns, F.create_map(*[x for i, label in enumerate(self.labels) for x in (F.lit(label), F.get("_e", F.lit(i)) / total)]).alias("p"))
 
     def coefficients(self) -> list[tuple[str, str, str, float]]:
-        """(origin, destination, feature, value); a model of two classes has one row of values, for its second class."""
-        if self.model is None:
-            return []
-        lr = self.model.stages[-1]
-        matrix, intercept = lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()
-        labels = self.labels if len(matrix) == len(self.labels) else self.labels[1:]
-        return [(self.origin, label, name, float(v)) for label, row, b in zip(labels, matrix, intercept, strict=True) for name, v in [("intercept", b), *zip(self.features, row, strict=True)]]
-
-
-def fit_origin(counts: DataFrame, origin: str, s: Settings) -> tuple[OriginModel, list[tuple]]:
-    """The candidate of least BIC, and (origin, lag, log_likelihood, parameters, bic) of all."""
-    targets = destinations(origin, s)
-    rows = counts.where((F.col("delinquency_state") == origin) & F.col("next_delinquency_state").isin(targets))
-    sums = {r[0]: float(r[1]) for r in rows.groupBy("next_delinquency_state").agg(F.sum("transition_count")).collect()}  # three states
-    total = sum(sums.values())
-    prior = {t: sums.get(t, 0.0) / total if total else float(t == origin) for t in targets}
-    if len(sums) < 2:
-        return OriginModel(origin, targets, prior), []
-    sets = candidates(s)
-    rows = rows.dropna(subset=sorted({c for cols in sets.values() for c in cols})).withColumn("w", F.col("transition_count").cast("double"))
-    best, tried = OriginModel(origin, targets, prior), []
-    for lag, macros in sets.items():
-        ready, features = design(rows, macros, s)
-        ready = ready.persist()
-        weight = ready.agg(F.sum("w")).first()[0]
-        if not weight:
-            ready.unpersist()
-            continue
-        c = s.c_dpd150 if origin == moving(s)[-1] else s.c
-        kinds = ready.select("next_delinquency_state").distinct().count()
-        steps = [
-            StringIndexer(inputCol="next_delinquency_state", outputCol="label", stringOrderType="alphabetAsc"),
-            VectorAssembler(inputCols=features, outputCol="features"),
-            LogisticRegression(family="multinomial" if kinds > 2 else "binomial", weightCol="w", standardization=False, regParam=1 / (c * weight), elasticNetParam=0.0, maxIter=1000, tol=1e-10),
-        ]
-        model = Pipeline(stages=steps).fit(ready)
-        p = F.greatest(F.get(vector_to_array("probability"), F.col("label").cast("int")), F.lit(1e-15))
-        likelihood = model.transform(ready).agg(F.sum(F.col("w") * F.ln(p))).first()[0]
-        ready.unpersist()
-        lr = model.stages[-1]
-        parameters = lr.coefficientMatrix.toArray().size + lr.interceptVector.toArray().size
-        bic = -2 * likelihood + parameters * float(np.log(weight))
-        tried.append((origin, lag, float(likelihood), parameters, float(bic)))
-        if bic < best.bic:
-            inference = PipelineModel(model.stages[1:])
-            best = OriginModel(origin, targets, prior, lag, float(bic), macros, features, list(model.stages[0].labels), inference)
-    return best, tried
+        """(origin, destination, feature, value)."""
+        labels = self.labels if len(self.weights) == len(self.labels) else self.labels[1:]
+        return [(self.origin, label, name, float(v)) for label, row in zip(labels, self.weights, strict=False) for name, v in zip(["intercept", *self.features], row, strict=True)]
+
+
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray, classes: int) -> np.ndarray:
+    """Log-loss, gradient and curvature of rows x (first column 1), flat. beta: a row a class, or one row of two classes."""
+    z = x @ beta.T
+    z = z if classes > 2 else np.column_stack([np.zeros(len(x)), z])
+    z -= z.max(1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(1, keepdims=True)
+    loss = -(w * np.log(np.maximum(p[np.arange(len(x)), y], 1e-15))).sum()
+    rows = range(classes) if classes > 2 else [1]
+    gradient = np.stack([(w * (p[:, r] - (y == r))) @ x for r in rows])
+    curve = np.stack([np.stack([(x * (w * p[:, r] * ((r == q) - p[:, q]))[:, None]).T @ x for q in rows], 1) for r in rows])  # r, i, q, j
+    return np.concatenate(([loss], gradient.ravel(), curve.ravel()))
+
+
+def newton(rows: DataFrame, models: list[dict], steps: int = 30, tolerance: float = 1e-7) -> None:
+    """Minimises |W|^2 / 2 + C times the weighted log-loss of each model, intercepts free. Sets beta and loss in models.
+
+    rows: origin, y (index of the class), w and the feature columns. A model: origin, classes, features, c.
+    """
+    columns = sorted({f for m in models for f in m["features"]})
+    data = rows.select("origin", "y", "w", *columns).persist()
+    for m in models:
+        m |= {"beta": np.zeros((m["classes"] if m["classes"] > 2 else 1, len(m["features"]) + 1)), "best": np.inf, "open": True}
+    for _ in range(steps):
+        at = [(k, m["origin"], m["classes"], [columns.index(f) for f in m["features"]], m["beta"]) for k, m in enumerate(models) if m["open"]]
+        if not at:
+            break
+
+        def add(batches: Iterator[pa.RecordBatch], at: list = at) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                origin, y, w = np.array(batch.column(0).to_pylist()), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                x = np.column_stack([np.ones(len(y)), *(c.to_numpy() for c in batch.columns[3:])])
+                for k, name, classes, places, beta in at:
+                    own = origin == name
+                    if own.any():
+                        totals[k] = totals.get(k, 0) + _sums(x[own][:, [0, *(i + 1 for i in places)]], y[own], w[own], beta, classes)
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["k", "sums"])
+
+        def merge(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x) for x in table.column("sums").to_pylist())
+            return pa.table({"k": table.column("k").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        found = data.mapInArrow(add, "k int, sums binary").groupBy("k").applyInArrow(merge, "k int, sums binary").collect()  # a row a model
+        for k, raw in found:
+            m, t = models[k], np.frombuffer(raw)
+            beta, free = m["beta"], np.ones_like(m["beta"])
+            free[:, 0] = 0
+            n = beta.size
+            value = m["c"] * t[0] + (free * beta**2).sum() / 2
+            if value > m["best"] * (1 + 1e-12) + 1e-9 and "step" in m:
+                m["step"] /= 2
+                m["beta"] = m["from"] + m["step"]
+                m["open"] = np.abs(m["step"]).max() > tolerance
+                continue
+            m |= {"best": value, "loss": t[0], "from": beta}
+            gradient = m["c"] * t[1 : n + 1] + (free * beta).ravel()
+            curve = m["c"] * t[n + 1 :].reshape(n, n) + np.diag(free.ravel())
+            m["step"] = -np.linalg.lstsq(curve, gradient, rcond=1e-12)[0].reshape(beta.shape)
+            if np.abs(m["step"]).max() <= tolerance:
+                m["open"] = False
+            else:
+                m["beta"] = beta + m["step"]
+    for m in models:
+        m["beta"] = m.get("from", m["beta"])
+    data.unpersist()
+
+
+def fit_origins(training: DataFrame, s: Settings) -> tuple[dict[str, OriginModel], list[tuple]]:
+    """For each moving state, the candidate of least BIC; and (origin, lag, log_likelihood, parameters, bic) of all."""
+    sets, states = candidates(s), moving(s)
+    allowed = C.all_of([(F.col("delinquency_state") != o) | F.col("next_delinquency_state").isin(destinations(o, s)) for o in states])
+    rows = training.where(F.col("delinquency_state").isin(states) & allowed)
+    whole = F.greatest(*[F.col(c).isNull() for c in sorted({c for cols in sets.values() for c in cols})])
+    sums = rows.groupBy("delinquency_state", "next_delinquency_state").agg(F.sum("transition_count").alias("n"), C.sum_if(~whole, "transition_count").alias("m")).collect()  # states by states
+    ready, basis = with_basis(rows.where(~whole), s)
+    ready = ready.withColumns({k: c for macros in sets.values() for k, c in _macro_columns(macros, s).items()})
+    origins, models, code = {}, [], F.lit(None).cast("int")
+    for o in states:
+        own = {r.next_delinquency_state: float(r.n) for r in sums if r.delinquency_state == o}
+        total = sum(own.values())
+        targets = destinations(o, s)
+        prior = {t: own.get(t, 0.0) / total if total else float(t == o) for t in targets}
+        labels = sorted(r.next_delinquency_state for r in sums if r.delinquency_state == o and r.m)
+        origins[o] = OriginModel(o, targets, prior, labels=labels)
+        if len(labels) > 1:
+            weight = float(sum(r.m for r in sums if r.delinquency_state == o))
+            models += [{"origin": o, "lag": lag, "macros": macros, "features": [*basis, *_macro_columns(macros, s)], "classes": len(labels), "labels": labels, "weight": weight, "c": s.c_dpd150 if o == states[-1] else s.c} for lag, macros in sets.items()]
+            for i, label in enumerate(labels):
+                code = F.when((F.col("delinquency_state") == o) & (F.col("next_delinquency_state") == label), i).otherwise(code)
+    if models:
+        newton(ready.select(F.col("delinquency_state").alias("origin"), code.alias("y"), F.col("transition_count").cast("double").alias("w"), *sorted({f for m in models for f in m["features"]})).where("y is not null"), models)
+    tried = []
+    for m in models:
+        bic = 2 * m["loss"] + m["beta"].size * float(np.log(m["weight"]))
+        tried.append((m["origin"], m["lag"], -float(m["loss"]), int(m["beta"].size), float(bic)))
+        old = origins[m["origin"]]
+        if bic < old.bic:
+            origins[m["origin"]] = OriginModel(old.origin, old.targets, old.prior, m["lag"], float(bic), m["macros"], m["features"], m["labels"], tuple(map(tuple, m["beta"].tolist())))
+    return origins, tried
 
 
 @dataclass(frozen=True)
@@ -196,10 +269,7 @@ def fit(counts: DataFrame, macro: DataFrame, s: Settings) -> ConditionalModel:
     if macro.count() != macro.select("as_of_month").distinct().count():
         raise ConditionalError("the macro series repeats a month")
     training = counts.join(F.broadcast(macro), "as_of_month", "left").persist()
-    origins, tried = {}, []
-    for origin in moving(s):
-        origins[origin], more = fit_origin(training, origin, s)
-        tried += more
+    origins, tried = fit_origins(training, s)
     training.unpersist()
     h = X.hazards(counts, s).first()
     names = [*M.VALUES, *M.lag_columns(s.macro_lags)]
