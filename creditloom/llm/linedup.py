@@ -13,7 +13,7 @@ looked up: a run of m lines by the two ranks, of the largest round w <= m, at it
 Lines end at newlines, which go with a deleted line. White space around a line counts. Null texts stay null and texts
 without a deleted line stay as they are, empty ones too; a text whose every line is deleted becomes empty. Documents
 come in the order of their ids (nulls first), repeated ids in the order of the text's hash; equal rows share their
-deletions. All columns are returned.
+deletions. All columns are returned; an input's own columns lines and dropped_lines give way to the result's.
 """
 
 from __future__ import annotations
@@ -103,6 +103,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """docs without the lines of later copies, and columns lines and dropped_lines (their numbers)."""
     # A row is named by its id, or, where ids are null or repeat, also by its text; equal rows share their deletions.
     name = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+    docs = docs.drop("lines", "dropped_lines", "__row", "__gone")
     rows = docs.select(name.alias("row"), F.col(text_col).cast("string").alias("text"))
     gone = later_copies(line_table(rows), min_words).groupBy("row").agg(F.collect_set("line").alias("__gone"))
     source = docs.withColumn("__row", name)

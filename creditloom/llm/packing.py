@@ -2,9 +2,11 @@
 
 Documents become token ids in Arrow batches; only those longer than a sequence are cut. Pieces are dealt at random to
 shards of about SHARD pieces, and each shard is packed alone, from the longest piece to the shortest: a piece goes
-where the sum of the squared counts of open sequences per residual gap becomes smallest. Sequences left under FULL are
-dissolved and their pieces packed once more together, by the same rule, in fewer shards. A null text is empty: it has
-only the end id. Empty tables give no pieces; repeated rows are packed as rows of their own.
+where the sum of the squared counts of open sequences per residual gap becomes smallest, a new sequence being opened
+only where none has room (opening one whenever that makes the sum smaller took 1 % more sequences). Sequences left
+under FULL are dissolved and their pieces packed once more together, by the same rule, in fewer shards.
+
+A null text is empty: it has only the end id. Empty tables give no pieces; repeated rows are packed as rows of their own.
 """
 
 from __future__ import annotations
@@ -138,11 +140,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     bins, offsets, fill = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), []
     for i in np.argsort(-lengths, kind="stable"):
         s = int(lengths[i])
-        # Placing in gap g takes one from n[g] and adds one to n[g - s]: the sum of squares changes by
-        # 2 (n[g - s] - n[g]) + 2, a full bin not counting.
+        # Placing in gap g takes one from n[g] and adds one to n[g - s]: the sum of squares falls by
+        # 2 (n[g] - n[g - s]) - 2, and by 2 n[s] - 1 where the bin becomes full, since full bins do not count.
         gaps = n_open[s:]
-        gain = gaps - n_open[: len(gaps)] - 1
-        gain[0] = gaps[0] - 1 + (gaps[0] > 0)
+        gain = 2 * (gaps - n_open[: len(gaps)]) - 2
+        gain[0] = 2 * gaps[0] - 1
         gain[gaps == 0] = -(1 << 60)
         g = s + int(gain.argmax())
         if n_open[g]:
