@@ -5,9 +5,11 @@ half-key of the first and one of the second: m * m tables of four minhashes from
 two documents at the threshold share no table with a probability of MISS at most.
 
 Documents of equal sets form a class, represented by its smallest id, before anything is paired. Inside a table key,
-classes are first paired with one leader; whole sets confirm the pairs, and connected classes get one component. Only
-pairs of classes that share a key and are still in different components are then confirmed as well, so nothing of a
-group that the leaders have joined is ever paired out, and no pair of different components goes unchecked.
+classes are first paired with one leader; whole sets confirm the pairs, and connected classes get one component. What
+is left are classes that share a key with one of another component. Those are matched by the rarest shingles of each:
+two sets over the threshold have a common shingle among them, at places that leave room for the overlap needed. Pairs
+that pass are confirmed as well, so nothing of a group that the leaders have joined is paired out, and no link between
+components is lost.
 
 Words are lower-cased for A-Z. Documents without words, and null texts, have an empty set and are linked with nothing.
 Rows of a null id are returned with a null component, and kept. Rows that share an id are one document. Shingles are
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bytesops import U64, cut_lineage, hashes, mix, slices, words
 
@@ -145,15 +148,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # Keys that hold classes of several components.
     placed = members.select("key", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where(F.col("c1") != F.col("c2")).select("key")
-    open_ = cut_lineage(placed.join(mixed, "key", "left_semi"))
-    a, b = (open_.select("key", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    second = a.join(b, (a["key"] == b["key"]) & (a["a"] > b["b"]) & (a["ca"] != b["cb"]) & close(a["na"], b["nb"])).select("a", "b").distinct()
+    open_ = cut_lineage(placed.join(mixed, "key", "left_semi").select(F.col("rep").alias("id"), "n", "component").distinct())
+    second = across(open_, sets, percent)
     more = cut_lineage(confirm(second.join(first, ["a", "b"], "left_anti"), sets, percent))
     if not more.isEmpty():
         found = components(edges.union(more))
     return _assign(rows, classes, found)
 
 
+def across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of the rows (id, n, component) that may be linked and lie in different components.
+
+    Shingles are ordered by how many of the rows hold them. The first common shingle of two sets, at places pa and pb of
+    na and nb, leaves an overlap of at most min(na - pa, nb - pb), so places beyond what the threshold allows are left
+    out, and so are pairs without that room. Shingles of one row alone come first and match nothing; they only count.
+    The most frequent component of a shingle's rows never meets itself.
+    """
+    held = open_.join(sets, "id").select("id", "n", "component", F.explode("set").alias("s"))
+    often = held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    shared = held.join(often, "s")
+    row, order = Window.partitionBy("id"), Window.partitionBy("id").orderBy("df", "s")
+    placed = shared.withColumn("p", F.col("n") - F.count("*").over(row) + F.row_number().over(order) - 1)
+    room = lambda n, p, other: (n - p) * (100 + percent) >= percent * (n + other)
+    # The smallest set that may be linked to one of n has percent * n / 100 shingles.
+    least = 100 * (F.col("n") - F.col("p")) * (100 + percent) >= percent * F.col("n") * (100 + percent)
+    lists = cut_lineage(placed.where(least).select("s", "id", "n", "component", "p"))
+    most = lists.groupBy("s", "component").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
+    here = lists.join(most, "s")
+    a = here.where("component <> main").select("s", *(F.col(c).alias(f"{c}1") for c in ("id", "n", "component", "p")))
+    b = here.select("s", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "p")))
+    fits = (F.col("component1") != F.col("component2")) & room(F.col("n1"), F.col("p1"), F.col("n2")) & room(F.col("n2"), F.col("p2"), F.col("n1"))
+    return a.join(b, (a["s"] == b["s"]) & fits).select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct()
+
+
 def _assign(rows: DataFrame, classes: DataFrame, found: DataFrame, salts: int = 16) -> DataFrame:
     """Each row's component by way of its class; classes of several documents or with links are few, and are salted."""
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").where(F.col("component").isNotNull() | (F.col("copies") > 1))
