@@ -74,7 +74,9 @@ def era(year: Column | str) -> Column:
 
 
 def clip(x: Column | str, low: float, high: float) -> Column:
-    return F.least(F.greatest(either(x), F.lit(low)), F.lit(high))
+    """x within [low, high]; null stays null."""
+    x = either(x)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
