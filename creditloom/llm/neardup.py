@@ -193,3 +193,22 @@ def _assign(rows: DataFrame, classes: DataFrame, found: DataFrame, salts: int =
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, k=3, percent=85).withColumnRenamed("id", "doc_id")
+
+
+OP5_SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+  from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select a.doc_id as x, b.doc_id as y
+  from s a join s b on a.s = b.s and a.doc_id <> b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+r(id, c) as (select doc_id, doc_id from documents union select l.y, r.c from r join links l on l.x = r.id),
+m as (select id, min(c) as c from r group by id)
+select doc_id, coalesce(n, 0) as n_shingles, c as component_id, doc_id = c as kept
+from documents left join n using (doc_id) join m on m.id = doc_id
+"""

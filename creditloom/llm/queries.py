@@ -10,7 +10,7 @@ from .audio import op1_audio_features
 from .langid import op6_language_id
 from .linedup import op8_line_dedup
 from .lmscore import op10_lm_scoring
-from .neardup import op5_minhash_neardup
+from .neardup import OP5_SQL, op5_minhash_neardup
 from .packing import op4_best_fit_packing
 from .pieces import op9_sentencepiece
 from .sharding import op2_minimax_sharding
@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_maxscore_topk": OP3_SQL}
+    return {"op3_maxscore_topk": OP3_SQL, "op5_minhash_neardup": OP5_SQL}
