@@ -32,13 +32,6 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * _GOLD)
 _BYTE_LOWER = _BYTE[LOWER]
-_cache: dict[str, np.ndarray] = {"p": np.ones(1, U64), "i": np.ones(1, U64)}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_cache["p"]) < n:
-        _cache["p"], _cache["i"] = _powers(_R, n + n // 4), _powers(_R_INV, n + n // 4)
-    return _cache["p"], _cache["i"]
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +45,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches whose texts have about max_bytes at most (a longer text stands alone), with flat() of the texts."""
     for batch in batches:
         data, off = flat(batch.column(batch.schema.get_field_index(text)))
@@ -77,10 +70,9 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each span: a polynomial over random byte values from prefix sums, then mixed with the length."""
-    up, down = _power_tables(len(data) + 1)
     prefix = np.zeros(len(data) + 1, U64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64) * _GOLD)
+    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _powers(_R, len(data)), out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * _powers(_R_INV, len(data) + 1)[starts] + (ends - starts).astype(U64) * _GOLD)
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import cut_lineage, hashes, ranges, slices
 
-CAPACITY, SHARD, FULL, END_ID, CACHE_WORDS = 4096, 16_384, 0.995, 1, 1_000_000
+CAPACITY, SHARD, FULL, END_ID, CACHE_WORDS = 4096, 16_384, 0.995, 1, 500_000
 
 
 class WordEncoder:
@@ -116,7 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer)
-        for part, data, off in slices(batches, "text", 3 << 20):
+        for part, data, off in slices(batches, "text", 2 << 20):
             ids, at = encoder.encode(data, off)
             out: list[list] = [[], [], [], [], [], []]
             for row in range(part.num_rows):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import U64, hashes, ranges, slices
 
-LONGEST, CACHE_WORDS, INDEX_BYTES, LONG_WORD = 16, 1_000_000, 400_000, 2_000
+LONGEST, CACHE_WORDS, INDEX_BYTES, LONG_WORD = 16, 500_000, 400_000, 2_000
 
 
 def _eights(data: np.ndarray) -> np.ndarray:

@@ -3,7 +3,8 @@
 A word's subwords are its byte n-grams of 3 to 5, hashed, with a boundary byte on each side, so a misspelling never
 seen shares most vectors with the word it stands for. A text's score is that of its most toxic window of WINDOW words;
 texts with fewer words have one window. Training takes at most MAX_TRAIN labelled texts, drawn by a hash of the id;
-scoring covers every whole text. Texts without words score as the model's bias alone. Null texts are empty.
+scoring covers every whole text. Texts without words score as the model's bias alone;
+labels of one kind only, or none, give a model all the same. Null texts are empty.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import LOWER, id_mod, ranges, slices
 
-BUCKETS, ORDERS, WINDOW, DIM, MAX_TRAIN, EPOCHS, MIN_SHARE, DECAY, TOXIC_WEIGHT = 1 << 20, (3, 4, 5), 6, 8, 6_000, 60, 0.001, 3e-6, 3.0
+BUCKETS, ORDERS, WINDOW, DIM, MAX_TRAIN, EPOCHS, MIN_SHARE, DECAY, TOXIC_WEIGHT = 1 << 20, (3, 4, 5), 6, 8, 5_000, 60, 0.001, 3e-6, 6.0
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
@@ -80,8 +81,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     # Equal words add up the same values in the same order, so the sum names the word.
     value_of = rng.random(BUCKETS)
     texts_with, with_toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    known = np.zeros(0)
     names, own_names, sizes, grams_of, counts, row, base = [], [], [], [], [np.zeros(1, np.int64)], 0, 0
-    for part, data, off in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), "text", 1 << 20):
+    for part, data, off in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), "text", 1 << 19):
         parts, count = subwords(data, off)
         word, bucket = np.concatenate([w for w, _ in parts]), np.concatenate([h for _, h in parts])
         name = np.bincount(word, value_of[bucket], count[-1])
@@ -90,6 +92,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         texts_with += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
         with_toxic += np.bincount(pairs % BUCKETS, labels[row + pairs // BUCKETS], BUCKETS)
         own, one = np.unique(name, return_index=True)
+        fresh = ~np.isin(own, known)
+        own, one = own[fresh], one[fresh]
+        known = np.union1d(known, own)
         stands = np.full(len(name), -1, np.int64)
         stands[one] = np.arange(len(one))
         stays = stands[word] >= 0
@@ -102,35 +107,44 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         base, row = base + int(count[-1]), row + part.num_rows
     count, every_own = np.concatenate(counts), np.concatenate(own_names)
     listed, one = np.unique(every_own, return_index=True)
-    same = np.searchsorted(listed, np.concatenate(names))
+    same = np.concatenate([np.searchsorted(listed, x).astype(np.int32) for x in names])
     size = np.concatenate(sizes)
     bucket = np.concatenate(grams_of)[ranges((np.cumsum(size) - size)[one], size[one])]
     per_word = np.maximum(size[one], 1).astype(np.float32)
-    word = np.repeat(np.arange(len(one)), size[one])
+    word = np.repeat(np.arange(len(one), dtype=np.int32), size[one])
     del names, own_names, grams_of
     kept = np.flatnonzero(texts_with >= max(3, MIN_SHARE * len(texts)))
-    new = np.full(BUCKETS, -1, np.int64)
+    new = np.full(BUCKETS, -1, np.int32)
     new[kept] = np.arange(len(kept))
     with_toxic = with_toxic[kept]
     good = new[bucket] >= 0
-    word, bucket = word[good].astype(np.int32), new[bucket[good]].astype(np.int32)
+    word, bucket = word[good], new[bucket[good]]
     distinct = len(one)
     bound = np.searchsorted(word, np.arange(distinct + 1))
     first, end, at = windows(count)
+    first, end = first.astype(np.int32), end.astype(np.int32)
     V = rng.normal(0, 0.1, (len(kept) + 1, DIM)).astype(np.float32)
     u, b = rng.normal(0, 0.5, DIM).astype(np.float32), np.float32(-2)
     y = labels.astype(np.float32)
     # First windows: those whose subwords are the most overrepresented in toxic texts.
     pos, every = with_toxic, np.maximum(texts_with[kept], 1)
-    rate = y.mean()
-    value = np.log((pos + 2 * rate) / (every + 2) / max(rate, 1e-6))
+    rate = (y.sum() + 0.5) / (len(y) + 1)
+    value = np.log((pos + 2 * rate) / (every + 2) / rate)
     m1, m2, mu, su = np.zeros_like(V), np.zeros_like(V), np.zeros(DIM + 1, np.float32), np.zeros(DIM + 1, np.float32)
     for step in range(1, epochs + 1):
         if step > 5:
             value = V[:-1] @ u
-        per = (np.bincount(word, value[bucket], distinct) / per_word)[same]
+        own = np.empty(distinct)
+        for k in range(0, distinct, 1 << 16):  # in parts, which keeps the worker small
+            a, b_ = bound[k], bound[min(k + (1 << 16), distinct)]
+            own[k : k + (1 << 16)] = np.bincount(word[a:b_] - k, value[bucket[a:b_]], min(1 << 16, distinct - k))
+        per = (own / per_word)[same]
         run = np.concatenate(([0.0], np.cumsum(per)))
-        mean = (run[end] - run[first]) / np.maximum(end - first, 1)
+        mean = np.empty(len(first), np.float32)
+        for k in range(0, len(first), 1 << 18):
+            a, b_ = first[k : k + (1 << 18)], end[k : k + (1 << 18)]
+            mean[k : k + len(a)] = (run[b_] - run[a]) / np.maximum(b_ - a, 1)
+        del per, run
         top = np.maximum.reduceat(mean, at[:-1])
         is_top = np.flatnonzero(mean == np.repeat(top, np.diff(at)))
         pick = is_top[np.searchsorted(is_top, at[:-1])]
@@ -188,7 +202,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = shared.value
-        for part, data, off in slices(batches, "__text", 1 << 20):
+        for part, data, off in slices(batches, "__text", 1 << 19):
             total, many, count = word_scores(data, off, table)
             run = np.concatenate(([0.0], np.cumsum(total / np.maximum(many, 1))))
             first, end, at = windows(count)
