@@ -66,3 +66,14 @@ def transition_backtest(realised: DataFrame, expected: DataFrame) -> DataFrame:
     sums = sums.withColumn("period", F.coalesce(F.col("period").cast("string"), F.lit("Total")))
     w = Window.partitionBy("period", "origin")
     return sums.select(*keys, "realised", "expected", C.ratio("realised", F.sum("realised").over(w)).alias("realised_share"), C.ratio("expected", F.sum("expected").over(w)).alias("expected_share"))
+
+
+def distribution(rows: DataFrame, group: str, value: str, weight: str, quantiles: tuple[int, ...] = (10, 50, 90)) -> DataFrame:
+    """(group, weight, mean, deviation, low, high, p10, ...): weighted moments and percentiles of each group."""
+    v, w = F.col(value).cast("double"), F.col(weight).cast("double")
+    used = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0))
+    mean = F.sum(v * w) / F.sum(w)
+    moments = used.groupBy(group).agg(F.sum(w).alias("weight"), mean.alias("mean"), F.sqrt(F.greatest(F.sum(v * v * w) / F.sum(w) - mean * mean, F.lit(0.0))).alias("deviation"), F.min(v).alias("low"), F.max(v).alias("high"))
+    points = weighted_quantiles(rows, group, value, weight, [q / 100 for q in quantiles])
+    wide = points.groupBy(group).agg(*[F.max(F.when(F.col("q") == q / 100, F.col("value"))).alias(f"p{q}") for q in quantiles])
+    return moments.join(wide, group)

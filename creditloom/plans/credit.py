@@ -585,6 +585,18 @@ def weighted_quantiles(x: L.Lens) -> DataFrame:
     return _round(monitoring.weighted_quantiles(x.panel(), "score_band", "months_on_book", "upb_bom", [0.1, 0.5, 0.9]))
 
 
+@query(f"""with {L.ALL}, x as (select score_band as g, unemployment_rate as v, upb_bom::double as w from panel where upb_bom > 0),
+s as (select g, v, sum(w) as w from x group by all), o as (select g, v, (sum(w) over (partition by g order by v) - w / 2) / sum(w) over (partition by g) as pos from s),
+n as (select *, lead(v) over (partition by g order by v) as v1, lead(pos) over (partition by g order by v) as pos1, lag(pos) over (partition by g order by v) is null as first_ from o),
+a as (select *, unnest([0.1::double, 0.5::double, 0.9::double]) as q from n),
+p as (select g, q, case when pos1 is null or (first_ and q < pos) then v else v + (v1 - v) * (q - pos) / (pos1 - pos) end as value from a where (q >= pos and q < coalesce(pos1, 2)) or (first_ and q < pos))
+select x.g as score_band, round(sum(w), 2) as weight, round(sum(v * w) / sum(w), 5) as mean, round(sqrt(greatest(sum(v * v * w) / sum(w) - (sum(v * w) / sum(w)) * (sum(v * w) / sum(w)), 0)), 5) as deviation, min(v) as low, max(v) as high,
+  round(any_value(p10), 5) as p10, round(any_value(p50), 5) as p50, round(any_value(p90), 5) as p90
+from x join (select g, max(case when q = 0.1 then value end) as p10, max(case when q = 0.5 then value end) as p50, max(case when q = 0.9 then value end) as p90 from p group by g) p on x.g = p.g group by x.g""")
+def macro_distribution(x: L.Lens) -> DataFrame:
+    return _round(monitoring.distribution(x.panel(), "score_band", "unemployment_rate", "upb_bom"), 5, weight=2)
+
+
 @query(f"""with {L.ALL}, e as (select score_band, count(*) / sum(count(*)) over ()::double as s from panel where vintage_year < 1998 group by 1), a as (select score_band, count(*) / sum(count(*)) over ()::double as s from panel where vintage_year >= 1998 group by 1),
 j as (select score_band, greatest(coalesce(e.s, 0), 1e-6) as e, greatest(coalesce(a.s, 0), 1e-6) as a from e full join a using (score_band))
 select score_band, round(e, 6) as expected_share, round(a, 6) as actual_share, round((a - e) * ln(a / e), 6) as psi from j""")
