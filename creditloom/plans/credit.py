@@ -208,7 +208,7 @@ def _shares(name: str, where: str) -> str:
 j as (select origin, destination, coalesce(a.p, 0) as p0, coalesce(b.p, 0) as p1, max(b.n) over (partition by origin) as n1 from a full join b using (origin, destination))
 select origin, destination, round(p0, 6) as p0, round(p1, 6) as p1, round((p1 - p0) * 10000, 4) as change_bps, case when p0 > 0 and p0 < 1 then round((p1 - p0) / sqrt(p0 * (1 - p0) / n1), 4) end as residual from j""")
 def transition_stability(x: L.Lens) -> DataFrame:
-    counts = transitions.cube(x.panel())
+    counts = transitions.cube(x.shared_panel())
     split = F.lit("1998-01-01").cast("date")
     return _round(monitoring.transition_stability(counts.where(F.col("as_of_month") < split), counts.where(F.col("as_of_month") >= split)), change_bps=4, residual=4)
 
@@ -220,7 +220,7 @@ j as (select period, origin, destination, coalesce(r.n, 0) as realised, coalesce
 g as (select coalesce(cast(period as varchar), 'Total') as period, origin, destination, sum(realised) as realised, sum(expected) as expected from j group by grouping sets ((period, origin, destination), (origin, destination)))
 select period, origin, destination, cast(realised as bigint) as realised, round(expected, 6) as expected, round(cast(realised as double) / sum(realised) over (partition by period, origin), 6) as realised_share, round(expected / sum(expected) over (partition by period, origin), 6) as expected_share from g""")
 def transition_backtest(x: L.Lens) -> DataFrame:
-    counts = transitions.cube(x.panel())
+    counts = transitions.cube(x.shared_panel())
     realised = counts.groupBy(F.year("as_of_month").alias("period"), F.col("delinquency_state").alias("origin"), F.col("next_delinquency_state").alias("destination")).agg(F.sum("transition_count").alias("n"))
     at_origin = realised.groupBy("period", "origin").agg(F.sum("n").alias("k"))
     table = F.broadcast(transitions.matrix(counts, x.settings).select("origin", "destination", "probability"))  # states by states
@@ -273,7 +273,7 @@ ult as (
 
 
 def _curves(x: L.Lens, cutoff: str | None = L.CUTOFF) -> DataFrame:
-    return vintage.curves(vintage.triangle(x.panel(), x.acquisition(), "quarterly", cutoff), L.MATURITY)
+    return vintage.curves(vintage.triangle(x.shared_panel(), x.acquisition(), "quarterly", cutoff), L.MATURITY).persist()
 
 
 def _ultimates(x: L.Lens, cutoff: str | None = L.CUTOFF) -> DataFrame:
@@ -327,7 +327,7 @@ select coalesce(era, 'overall') as era, count(*) as vintages, round(avg(e), 6) a
 def vintage_backtest_metrics(x: L.Lens) -> DataFrame:
     """Ultimates as projected half a year earlier, against what came."""
     early = _ultimates(x, _EARLY)
-    tri = vintage.triangle(x.panel(), x.acquisition(), "quarterly")
+    tri = vintage.triangle(x.shared_panel(), x.acquisition(), "quarterly")
     actual = tri.groupBy("vintage").agg(C.ratio(F.sum(F.when(F.col("months_on_book") <= L.MATURITY, F.col("net_chargeoff_dollars"))), F.max("original_balance")).alias("actual"))
     pairs = early.join(actual, "vintage").select(F.substring("vintage", 1, 4).alias("era"), F.col("chain_ladder_ultimate").alias("projected"), "actual")
     return _round(vintage.backtest(pairs))
@@ -356,7 +356,7 @@ def lgd_wls_coefficients(x: L.Lens) -> DataFrame:
   round(sum((1 - y) * w) / sum(w), 5) as actual_lgd, round(sum(coalesce(1 - least(greatest(intercept + slope * hpi_change_yoy, 0), 1), 0.45) * w) / sum(w), 5) as predicted_lgd
 from (select o.*, c.intercept, c.slope from obs o left join coefs c using (score_band)) group by 1""")
 def lgd_validation(x: L.Lens) -> DataFrame:
-    rows = lgd.observations(x.panel())
+    rows = lgd.observations(x.shared_panel())
     return _round(lgd.validation(rows, lgd.fit(rows), x.settings), 5)
 
 
@@ -390,7 +390,7 @@ FORECAST = f"with recursive {L.ALL}, {CUBE}, {MATRIX}, {SEGS}, {PATH}"
 
 
 def _segments(x: L.Lens, rows: DataFrame) -> DataFrame:
-    return ecl.segments(ecl.active_at(rows, L.CUTOFF, x.settings), x.acquisition())
+    return ecl.segments(ecl.active_at(rows, L.CUTOFF, x.settings), x.acquisition()).persist()
 
 
 def _matrices(x: L.Lens, rows: DataFrame, segs: DataFrame) -> DataFrame:
@@ -400,7 +400,7 @@ def _matrices(x: L.Lens, rows: DataFrame, segs: DataFrame) -> DataFrame:
 
 
 def _detail(x: L.Lens) -> tuple[DataFrame, DataFrame]:
-    rows = x.panel()
+    rows = x.shared_panel()
     segs = _segments(x, rows)
     path = forecast.forecast(segs, _matrices(x, rows, segs), x.settings.states, HORIZON)
     return ecl.lifetime(segs, forecast.marginal_default(path, segs), segs.select("segment_id", F.lit(SEGMENT_LGD).alias("lgd")), HORIZON, 0.05), segs
@@ -420,14 +420,14 @@ def amortization_schedule(x: L.Lens) -> DataFrame:
 
 @query(f"{FORECAST} select segment_id, month, state, round(p, 6) as p from path")
 def markov_forecast(x: L.Lens) -> DataFrame:
-    rows = x.panel()
+    rows = x.shared_panel()
     segs = _segments(x, rows)
     return _round(forecast.forecast(segs, _matrices(x, rows, segs), x.settings.states, HORIZON))
 
 
 @query(f"{FORECAST} select p.month, p.state, round(sum(p.p * s.balance) / sum(s.balance), 6) as p, round(sum(s.balance), 2) as balance from path p join segs s using (segment_id) group by p.month, p.state")
 def portfolio_forecast(x: L.Lens) -> DataFrame:
-    rows = x.panel()
+    rows = x.shared_panel()
     segs = _segments(x, rows)
     return _round(forecast.portfolio(forecast.forecast(segs, _matrices(x, rows, segs), x.settings.states, HORIZON), segs), balance=2)
 
@@ -510,7 +510,7 @@ def _flow_sql(name: str, table: str) -> str:
 select origin, destination, round(coalesce(fa.dollars, 0) - coalesce(fb.dollars, 0), 0) as dollars from fa full join fb using (origin, destination) where origin <> destination order by 3 desc, 1, 2 limit 3""")
 def flow_attribution(x: L.Lens) -> DataFrame:
     """The three largest differences of flows when a tenth more of the current loans falls behind each month."""
-    rows = x.panel()
+    rows = x.shared_panel()
     segs = _segments(x, rows)
     one = _matrices(x, rows, segs)
     base = one.drop("step").select("*", F.explode(F.sequence(F.lit(1), F.lit(HORIZON))).alias("step"))
@@ -544,7 +544,7 @@ x as (select *, coalesce(rb / nullif(b, 0), 0) as p0, coalesce(re / nullif(rb, 0
 @query(f"""{FORECAST}, {_SHAPLEY} select year, round(l, 0) as projected_loss, round(rl, 0) as realised_loss, round(l - rl, 0) as error, round(b * (p1 - p0) * (2 * e0 * l0 + e0 * l1 + e1 * l0 + 2 * e1 * l1) / 6, 0) as pd_error,
   round(b * (e1 - e0) * (2 * p0 * l0 + p0 * l1 + p1 * l0 + 2 * p1 * l1) / 6, 0) as ead_error, round(b * (l1 - l0) * (2 * p0 * e0 + p0 * e1 + p1 * e0 + 2 * p1 * e1) / 6, 0) as lgd_error from x""")
 def shapley_validation(x: L.Lens) -> DataFrame:
-    rows = x.panel()
+    rows = x.shared_panel()
     detail, segs = _detail(x)
     year = F.year(F.add_months(F.lit(L.CUTOFF).cast("date"), F.col("month")))
     projected = detail.groupBy(year.alias("year")).agg(*[F.sum(c).alias(c) for c in ("marginal_pd_dollars", "expected_default_exposure", "undiscounted_loss")])
@@ -556,7 +556,7 @@ def shapley_validation(x: L.Lens) -> DataFrame:
 @query(f"""{FORECAST}, {_SHAPLEY}, lv as (select 1 as "order", 'realised' as step, rl as level from g where year = 'Total' union all select 2, 'projected exposure', e from g where year = 'Total' union all select 3, 'projected loss', l from g where year = 'Total' union all select 4, 'discounted', (select sum(ecl) from detail))
 select "order", step, round(level - coalesce(lag(level) over (order by "order"), 0), 0) as amount, round(level, 0) as level from lv""")
 def reconciliation_bridge(x: L.Lens) -> DataFrame:
-    rows = x.panel()
+    rows = x.shared_panel()
     detail, _ = _detail(x)
     sums = detail.agg(F.sum("expected_default_exposure").alias("e"), F.sum("undiscounted_loss").alias("l"), F.sum("ecl").alias("d"))
     real = attribution.realised(rows, ecl.active_at(rows, L.CUTOFF, x.settings)).agg(F.coalesce(F.sum("realised_loss"), F.lit(0.0)).alias("r"))
@@ -594,14 +594,14 @@ select x.g as score_band, round(sum(w), 2) as weight, round(sum(v * w) / sum(w),
   round(any_value(p10), 5) as p10, round(any_value(p50), 5) as p50, round(any_value(p90), 5) as p90
 from x join (select g, max(case when q = 0.1 then value end) as p10, max(case when q = 0.5 then value end) as p50, max(case when q = 0.9 then value end) as p90 from p group by g) p on x.g = p.g group by x.g""")
 def macro_distribution(x: L.Lens) -> DataFrame:
-    return _round(monitoring.distribution(x.panel(), "score_band", "unemployment_rate", "upb_bom"), 5, weight=2)
+    return _round(monitoring.distribution(x.shared_panel(), "score_band", "unemployment_rate", "upb_bom"), 5, weight=2)
 
 
 @query(f"""with {L.ALL}, e as (select score_band, count(*) / sum(count(*)) over ()::double as s from panel where vintage_year < 1998 group by 1), a as (select score_band, count(*) / sum(count(*)) over ()::double as s from panel where vintage_year >= 1998 group by 1),
 j as (select score_band, greatest(coalesce(e.s, 0), 1e-6) as e, greatest(coalesce(a.s, 0), 1e-6) as a from e full join a using (score_band))
 select score_band, round(e, 6) as expected_share, round(a, 6) as actual_share, round((a - e) * ln(a / e), 6) as psi from j""")
 def population_stability(x: L.Lens) -> DataFrame:
-    rows = x.panel()
+    rows = x.shared_panel()
     return _round(monitoring.stability(rows.where("vintage_year < 1998"), rows.where("vintage_year >= 1998"), "score_band"))
 
 

@@ -25,7 +25,7 @@ def _cents(column: str):
 
 class Lens:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self.settings = spark, sf_dir, SETTINGS
+        self.spark, self.dir, self.settings, self._shared = spark, sf_dir, SETTINGS, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -76,6 +76,12 @@ class Lens:
     def panel(self) -> DataFrame:
         return P.public(self.checked_panel())
 
+    def shared_panel(self) -> DataFrame:
+        """The panel, kept for queries that read it several times."""
+        if self._shared is None:
+            self._shared = self.panel().persist()
+        return self._shared
+
 
 def _band_sql(x: str, edges: tuple[int, ...], prefix: str) -> str:
     return "case " + " ".join(f"when {x} >= {a} and {x} < {b} then '{prefix}{a:03d}-{b - 1:03d}'" for a, b in zip(edges[:-1], edges[1:], strict=True)) + " end"
