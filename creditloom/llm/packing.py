@@ -40,6 +40,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keys, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.used = np.zeros(0, np.int32)  # batches that held the word, halved at each clearing
 
     def _spans(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(data)
@@ -81,8 +82,7 @@ class WordEncoder:
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
             lists = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in spans], add_special_tokens=False)]
             if len(self.keys) > CACHE_WORDS:
-                old = np.setdiff1d(np.arange(len(keys)), new, assume_unique=True)
-                self._keep(at[old])
+                self._keep(at[np.setdiff1d(np.arange(len(keys)), new, assume_unique=True)])
             size = np.fromiter(map(len, lists), np.int64, len(lists))
             ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
             begin = len(self.ids) + np.cumsum(size) - size
@@ -90,14 +90,21 @@ class WordEncoder:
             merged = np.concatenate((self.keys, keys[new]))
             order = np.argsort(merged, kind="stable")
             self.keys, self.begin, self.size = merged[order], np.concatenate((self.begin, begin))[order], np.concatenate((self.size, size))[order]
+            self.used = np.concatenate((self.used, np.zeros(len(new), np.int32)))[order]
             at = np.searchsorted(self.keys, keys)
+        self.used[at] += 1
         word = at[which]
         count = self.size[word]
         run = np.concatenate(([0], np.cumsum(count)))
         return self.ids[ranges(self.begin[word], count)], run[of]
 
-    def _keep(self, rows: np.ndarray) -> None:
-        rows = np.sort(rows)
+    def _keep(self, needed: np.ndarray) -> None:
+        """Keeps the words needed now and those met in several batches, half of CACHE_WORDS of them at most."""
+        often = np.flatnonzero(self.used >= 2)
+        if len(often) > CACHE_WORDS // 2:
+            often = often[np.argsort(-self.used[often], kind="stable")[: CACHE_WORDS // 2]]
+        rows = np.union1d(needed, often)
+        self.used = self.used[rows] // 2
         self.ids = self.ids[ranges(self.begin[rows], self.size[rows])]
         self.keys, self.size = self.keys[rows], self.size[rows]
         self.begin = np.cumsum(self.size) - self.size
