@@ -60,6 +60,12 @@ def _unpack(x: bytes, kind: str, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd"), kind)
 
 
+def _pack_counts(x: np.ndarray) -> dict:
+    """Counts at 4 bytes each where all fit, else at 8."""
+    wide = bool(len(x)) and int(x.max()) >= 1 << 32
+    return {"n": len(x), "wide": wide, "counts": _pack(x.astype("<u8" if wide else "<u4"))}
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys: the first, then steps of 4 bytes where all fit."""
     step = np.diff(keys)
@@ -80,8 +86,8 @@ def _cuts(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
 
 _ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("main", pa.binary()), ("deleted", pa.binary())])
 _ASK_SQL = "part int, chunk bigint, kind int, n bigint, keys binary, main binary, deleted binary"
-_ANSWER = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("counts", pa.binary()), ("total", pa.int64()), ("main_total", pa.int64()), ("types", pa.int64()), ("main_types", pa.int64())])
-_ANSWER_SQL = "chunk bigint, part int, kind int, n bigint, counts binary, total bigint, main_total bigint, types bigint, main_types bigint"
+_ANSWER = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("wide", pa.bool_()), ("counts", pa.binary()), ("total", pa.int64()), ("main_total", pa.int64()), ("types", pa.int64()), ("main_types", pa.int64())])
+_ANSWER_SQL = "chunk bigint, part int, kind int, n bigint, wide boolean, counts binary, total bigint, main_total bigint, types bigint, main_types bigint"
 
 
 def corpus_counts(chunked: DataFrame, parts: int) -> DataFrame:
@@ -119,8 +125,8 @@ def corpus_counts(chunked: DataFrame, parts: int) -> DataFrame:
             at = np.concatenate(([0], np.cumsum(sizes)))
             for r, a, b in zip(rows, at[:-1], at[1:], strict=True):
                 held = which[a:b][deleted[a:b] > 0]
-                out.append({"chunk": r["chunk"], "part": part, "kind": kind, "n": b - a, "counts": _pack(train[which[a:b]].astype("<u4"))})
-                out.append({"chunk": r["chunk"], "part": part, "kind": kind + 2, "n": len(held), "counts": _pack(main[held].astype("<u4"))})
+                out.append({"chunk": r["chunk"], "part": part, "kind": kind} | _pack_counts(train[which[a:b]]))
+                out.append({"chunk": r["chunk"], "part": part, "kind": kind + 2} | _pack_counts(main[held]))
             if kind == UNI:
                 out.append({"part": part, "kind": -1, "total": int(train.sum()), "main_total": int(main.sum()), "types": int((train > 0).sum()), "main_types": int((main > 0).sum())})
         return pa.Table.from_pylist(out, schema=_ANSWER)
@@ -133,7 +139,7 @@ def _counts(answers: pa.Table, kinds: tuple[int, int], word: np.ndarray, pair: n
     rows = sorted((r for r in answers.to_pylist() if r["kind"] in kinds), key=lambda r: (r["kind"], r["part"]))
     out = []
     for kind, every in zip(kinds, (word, pair), strict=True):
-        counts = [_unpack(r["counts"], "<u4", r["n"]) for r in rows if r["kind"] == kind and r["n"]]
+        counts = [_unpack(r["counts"], "<u8" if r["wide"] else "<u4", r["n"]) for r in rows if r["kind"] == kind and r["n"]]
         out.append(np.concatenate(counts)[np.unique(every, return_inverse=True)[1]].astype(np.int64))
     return out[0], out[1]
 
@@ -197,7 +203,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         cells, many = np.unique(_bucket(context) << 20 | level(c2 / np.maximum(context, 1)) << 10 | level(c1 / max(n_main, 1)), return_counts=True)
         return pa.table({"cell": cells, "n": many})
 
-    deleted = chunked.where(F.col("fold") == DELETED).groupBy("chunk").cogroup(answers.where("kind in (2, 3)").select("chunk", "part", "kind", "n", "counts").groupBy("chunk"))
+    deleted = chunked.where(F.col("fold") == DELETED).groupBy("chunk").cogroup(answers.where("kind in (2, 3)").select("chunk", "part", "kind", "n", "wide", "counts").groupBy("chunk"))
     cells = deleted.applyInArrow(held, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights([tuple(r) for r in cells], 1 / (v_main + 1))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -214,7 +220,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             "train_tokens": np.full(len(at) - 1, n), "base_score": np.add.reduceat(base, at[:-1]), "score": np.add.reduceat(np.log10(p), at[:-1]),
         })
 
-    both = chunked.groupBy("chunk").cogroup(answers.where("kind in (0, 1)").select("chunk", "part", "kind", "n", "counts").groupBy("chunk"))
+    both = chunked.groupBy("chunk").cogroup(answers.where("kind in (0, 1)").select("chunk", "part", "kind", "n", "wide", "counts").groupBy("chunk"))
     return both.applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 

@@ -77,3 +77,9 @@ def test_keys_survive_packing():
     for n, top in ((1, 1 << 40), (2, 1 << 62), (1000, 1 << 41), (1000, 1 << 63)):
         keys = np.unique(rng.integers(0, top, n, dtype=np.uint64))
         assert np.array_equal(lmscore.unpack_keys(lmscore.pack_keys(keys), len(keys)), keys)
+
+
+def test_counts_beyond_32_bits_survive_packing():
+    for counts in ([], [3, 0], [7, (1 << 32) - 1], [1, 1 << 32, 5 << 40]):
+        row = lmscore._pack_counts(np.array(counts, np.int64))
+        assert lmscore._unpack(row["counts"], "<u8" if row["wide"] else "<u4", row["n"]).tolist() == counts
