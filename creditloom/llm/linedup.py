@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .bytesops import cut_lineage
 
-MIN_WORDS = 50
+MIN_WORDS, SALTS = 50, 16
 
 
 def line_table(rows: DataFrame) -> DataFrame:
@@ -95,7 +95,10 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = cut_lineage(found)
     key = ["k", "m", "r1", "r2"]
     first = found.groupBy(*key).agg(F.min(F.struct("row", "line")).alias("src"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(first, key).where(F.struct("row", "line") != F.col("src"))
+    # A run may start in a third of all rows, so its copies are salted.
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("row", "line"), F.lit(SALTS)).cast("int"))
+    every = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    later = salted.join(every, [*key, "salt"]).where(F.struct("row", "line") != F.col("src"))
     return later.select("row", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("m") - 1)).alias("line")).distinct()
 
 
