@@ -14,17 +14,31 @@ Lines end at newlines, which go with a deleted line. White space around a line c
 without a deleted line stay as they are, empty ones too; a text whose every line is deleted becomes empty. Documents
 come in the order of their ids (nulls first), repeated ids in the order of the text's hash; equal rows share their
 deletions. All columns are returned; an input's own columns lines and dropped_lines give way to the result's.
+
+Passages inside lines are found by words (inline_words). Any run of that many words is a union of windows of exactly so
+many, so a word goes when it lies in a window that also starts earlier, whatever white space parts the words. Each
+window is represented by the run of a quarter of its words with the smallest hash, its anchor. Equal windows have equal
+anchors, so only windows whose anchor occurs again are compared, by two 64-bit hashes. Later copies of whole texts go as
+lines and take no part: each of their windows is in the first copy. Of a line, only its deleted words go; a
+line whose every word goes counts as a dropped line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bytesops import cut_lineage
+from .bytesops import _GOLD, _R, _R_INV, U64, _powers, cut_lineage, hashes, mix, slices, words
 
-MIN_WORDS, SALTS = 50, 16
+MIN_WORDS, SALTS, HOT = 50, 16, 256
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def line_table(rows: DataFrame) -> DataFrame:
@@ -102,25 +116,131 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.select("row", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("m") - 1)).alias("line")).distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without the lines of later copies, and columns lines and dropped_lines (their numbers)."""
+def _windows(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Of each window of n words inside one text: its text, its first word in the text, its anchor's word and hash, and two hashes."""
+    starts, ends, at = words(data, off)
+    if len(starts) < n:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64, np.int64))
+    h = hashes(data, starts, ends)
+    up, down = _powers(_R, len(h)), _powers(_R_INV, len(h))
+
+    def runs(values: np.ndarray, k: int) -> np.ndarray:
+        sums = np.concatenate((np.zeros(1, U64), np.cumsum(values * up, dtype=U64)))
+        return mix((sums[k:] - sums[:-k]) * down[: len(h) - k + 1])
+
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(at))
+    first = np.flatnonzero(np.arange(n, len(h) + 1) <= at[owner[: len(h) - n + 1] + 1])
+    k = max(1, n // 4)
+    part = runs(h, k)
+    anchor = first + sliding_window_view(part, n - k + 1)[first].argmin(1)
+    two = [runs(v, n)[first].view(np.int64) for v in (h, mix(h + _GOLD))]
+    text = owner[first]
+    return text, (first - at[text]).astype(np.int32), (anchor - at[text]).astype(np.int32), part[anchor].view(np.int64), *two
+
+
+def later_windows(rows: DataFrame, n: int, copies: bool = True) -> DataFrame:
+    """Rows (row, starts): the first words of a text's windows of n words that also start at an earlier position, of rows (row, text).
+
+    row: a struct (id, text's hash). Without copies, later copies of whole texts are left out.
+    """
+    if n < 2:
+        raise ValueError("a window has 2 words or more")
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in slices(batches, "text"):
+            text, _, at, a, *_ = _windows(data, off, n)
+            # A window's anchor is often the next one's.
+            one = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (at[1:] != at[:-1])))[: len(text)])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[one])), pa.array(at[one]), pa.array(a[one])], ["row", "at", "a"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in slices(batches, "text"):
+            text, first, at, _, a, b = _windows(data, off, n)
+            code, at = (text << 32) + at, {}
+            for c in (2, 3):
+                at[c] = (np.repeat(np.arange(part.num_rows), part.column(c).value_lengths().to_numpy()) << 32) + part.column(c).flatten().to_numpy()
+            one = np.flatnonzero(np.isin(code, at[2]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[one])), *(pa.array(x[one]) for x in (first, a, b)), pa.array(np.isin(code[one], at[3]))], ["row", "at", "a", "b", "hot"])
+
+    seen = rows.select("row", "text").mapInArrow(anchors, f"row {kind}, at int, a bigint")
+    text = F.col("row.text")
+    counts = seen.groupBy("a").agg(F.count("*").alias("n"), F.min(text).alias("t0"), F.max(text).alias("t1"), F.min("at").alias("at0"), F.max("at").alias("at1"))
+    counts = cut_lineage(counts.where("n > 1" if copies else "t0 <> t1 or at0 <> at1").select("a", (F.col("n") > HOT).alias("hot")))
+    # Hot anchors, at most a HOT-th of all, are found by broadcast, and their windows are salted.
+    seen = seen.join(F.broadcast(counts.where("hot")), "a", "left")
+    spread = seen.withColumn("a", F.when(F.col("hot"), F.xxhash64("row", "at")).otherwise(F.col("a")))
+    hits = spread.join(counts.where("not hot").select("a", F.lit(True).alias("cold")), "a", "left").where("hot or cold")
+    hits = hits.groupBy("row").agg(F.collect_set("at").alias("hits"), F.collect_set(F.when(F.col("hot"), F.col("at"))).alias("hots"))
+    if not copies:
+        hits = hits.join(rows.groupBy(text.alias("text")).agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    # Equal rows have equal windows.
+    texts = rows.join(cut_lineage(hits), "row").select("row", "text", "hits", "hots")
+    found = texts.mapInArrow(windows, f"row {kind}, at int, a bigint, b bigint, hot boolean")
+    place, key = F.struct("row", "at"), ["a", "b"]
+    cold = found.where("not hot").withColumn("src", F.first(place).over(Window.partitionBy(*key).orderBy("row", "at")))
+    hot = cut_lineage(found.where("hot"))
+    first = hot.groupBy(*key).agg(F.min(place).alias("src")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hot = hot.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(first, [*key, "salt"])
+    later = cold.select("row", "at", "src").unionByName(hot.select("row", "at", "src")).where(place != F.col("src"))
+    return later.groupBy("row").agg(F.collect_set("at").alias("starts"))
+
+
+def without(text: str, gone: list[int] | None, starts: list[int], n: int) -> tuple[str, int]:
+    """The text without the lines gone and the windows of n words from starts, and how many whole lines went."""
+    lost, left, dropped, word = {k for a in starts for k in range(a, a + n)}, [], 0, 0
+    gone = set(gone or ())
+    for k, line in enumerate(text.split("\n")):
+        spans = [m.span() for m in _WORD.finditer(line)]
+        kept = [i for i in range(len(spans)) if word + i not in lost]
+        word += len(spans)
+        if k in gone or (spans and not kept):
+            dropped += 1
+            continue
+        if len(kept) < len(spans):
+            # A deleted word takes the white space after it along, or, at the line's end, that before it.
+            parts = [line[spans[i][0] : spans[i + 1][0]] for i in kept if i + 1 < len(spans) and i != kept[-1]]
+            end = spans[kept[-1]][1]
+            line = line[: spans[0][0]] + "".join(parts) + line[spans[kept[-1]][0] : end] + line[spans[-1][1] :]
+        left.append(line)
+    return "\n".join(left), dropped
+
+
+def _without(text: Column, n: int) -> Column:
+    """without() of the rows that have windows to delete, else null."""
+    cut = F.udf(lambda t, g, w: None if w is None else without(t, g, w, n), "text string, dropped int", useArrow=True)
+    return cut(F.when(F.col("__starts").isNotNull(), text.cast("string")), F.col("__gone"), F.col("__starts"))
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, inline_words: int | None = None) -> DataFrame:
+    """docs without the lines of later copies, and columns lines and dropped_lines (their numbers).
+
+    With inline_words, passages of so many words or more go also where they are not whole lines.
+    """
     # A row is named by its id, or, where ids are null or repeat, also by its text; equal rows share their deletions.
     name = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
-    docs = docs.drop("lines", "dropped_lines", "__row", "__gone")
+    docs = docs.drop("lines", "dropped_lines", "__row", "__gone", "__starts", "__cut")
     rows = docs.select(name.alias("row"), F.col(text_col).cast("string").alias("text"))
     gone = later_copies(line_table(rows), min_words).groupBy("row").agg(F.collect_set("line").alias("__gone"))
     source = docs.withColumn("__row", name)
+    if inline_words is not None:
+        gone = gone.join(later_windows(rows.where(F.col("text").isNotNull()), inline_words, copies=inline_words < min_words).withColumnRenamed("starts", "__starts"), "row", "full")
     joined = source.join(gone, source["__row"].eqNullSafe(gone["row"]), "left")
     parts = F.split(F.col(text_col), "\n")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    changed, dropped = F.col("__gone").isNotNull(), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
+    if inline_words is not None:
+        joined = joined.withColumn("__cut", _without(F.col(text_col), inline_words))
+        changed, cut = changed | F.col("__starts").isNotNull(), F.col("__starts").isNotNull()
+        left, dropped = F.when(cut, F.col("__cut.text")).otherwise(left), F.when(cut, F.col("__cut.dropped")).otherwise(dropped)
     return joined.select(
-        *[F.when(F.col("__gone").isNull(), source[c]).otherwise(left).alias(c) if c == text_col else source[c] for c in docs.columns],
+        *[F.when(changed, left).otherwise(source[c]).alias(c) if c == text_col else source[c] for c in docs.columns],
         F.coalesce(F.size(parts), F.lit(0)).alias("lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("dropped_lines"),
+        dropped.alias("dropped_lines"),
     )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = drop_repeated_lines(docs)
+    found = drop_repeated_lines(docs, inline_words=MIN_WORDS)
     return found.select("doc_id", "lines", "dropped_lines", F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))

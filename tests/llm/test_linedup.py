@@ -59,3 +59,37 @@ def test_ranks_are_places_in_the_suffix_array(spark):
         order = sorted(again, key=lambda i: prefix[i])
         assert [got[i] for i in order] == sorted(got.values())
         assert all((got[i] == got[j]) == (prefix[i] == prefix[j]) for i in again for j in again)
+
+
+def brute_words(rows, n):
+    """Numbers of the words that lie in a window of n words that also starts earlier, for texts in order."""
+    seen, out = set(), []
+    for text in rows:
+        words, gone = text.split(), set()
+        for a in range(len(words) - n + 1):
+            window = tuple(words[a : a + n])
+            if window in seen:
+                gone.update(range(a, a + n))
+            seen.add(window)
+        out.append([w for k, w in enumerate(words) if k not in gone])
+    return out
+
+
+def test_passages_inside_lines_go(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(55))
+    first, second = f"before it | {passage} and after\nnext line", f"Quite another text {passage} goes on. \n{passage}\n last"
+    df = spark.createDataFrame([(0, first), (1, second), (2, None), (None, "alone"), (1, second)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.text, r.dropped_lines) for r in linedup.drop_repeated_lines(df, inline_words=50).collect()}
+    assert got == {(0, first, 0), (1, "Quite another text goes on. \n last", 1), (2, None, 0), (None, "alone", 0)}
+
+    texts = ["".join(f"w{rng.randrange(3)}{rng.choice([' ', '  ', chr(10)])}" for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    for n, hot in ((5, 3), (8, 256)):
+        monkeypatch.setattr(linedup, "HOT", hot)
+        got = {r.doc_id: r.text.split() for r in linedup.drop_repeated_lines(df, min_words=10_000, inline_words=n).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_words(texts, n)
+    texts += [texts[5], texts[20], f"{texts[5]} more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.text.split() for r in linedup.drop_repeated_lines(df, min_words=5, inline_words=5).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_words(texts, 5)
