@@ -1,7 +1,7 @@
 """Audio columns: 8-bit WAV media, polyphase resampling, log-mel frames, hysteresis segments.
 
 Features are Arrow fixed-shape tensors of BLOCK frames by MELS bands, each with its time span, kept in one binary
-column per row as an Arrow stream. A null text is an empty one: its payload is 576 bytes of 255. Empty tables give
+column per row as an Arrow stream, which also holds the segments. Digests are of what was read back from the stream. A null text is an empty one: its payload is 576 bytes of 255. Empty tables give
 empty results; repeated rows give repeated results; other columns of the input are not carried.
 """
 
@@ -129,9 +129,11 @@ def features(media: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tensor, spans, segments
 
 
-def tensor_stream(tensor: np.ndarray, spans: np.ndarray) -> bytes:
-    """An Arrow stream with the columns tensor (fixed shape), start_s and end_s."""
+def tensor_stream(tensor: np.ndarray, spans: np.ndarray, segments: np.ndarray | None = None) -> bytes:
+    """An Arrow stream with the columns tensor (fixed shape), start_s and end_s; the segments' starts and ends go with its schema."""
     table = pa.table({"tensor": pa.FixedShapeTensorArray.from_numpy_ndarray(tensor), "start_s": spans[:, 0], "end_s": spans[:, 1]})
+    if segments is not None:
+        table = table.replace_schema_metadata({"segments": segments.astype("<f8").tobytes()})
     with io.BytesIO() as out:
         with pa.ipc.new_stream(out, table.schema) as writer:
             writer.write_table(table)
@@ -142,6 +144,18 @@ def read_tensor_stream(stream: bytes) -> pa.Table:
     return pa.ipc.open_stream(stream).read_all()
 
 
+def stored(stream: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tensors, spans and segments of a stream, as features() returns them."""
+    table = read_tensor_stream(stream)
+    tensor = np.concatenate([x.to_numpy_ndarray() for x in table.column("tensor").chunks])
+    spans = np.stack([table.column(c).to_numpy() for c in ("start_s", "end_s")], 1)
+    return tensor, spans, np.frombuffer((table.schema.metadata or {}).get(b"segments", b""), "<f8").reshape(-1, 2)
+
+
+def _sha256(x: np.ndarray) -> str:
+    return hashlib.sha256(np.ascontiguousarray(x).tobytes()).hexdigest()
+
+
 def _rows(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
 
@@ -169,7 +183,7 @@ def audio_features(media: DataFrame, keep_tensors: bool = True) -> DataFrame:
     """Rows (id, n_bytes, samples' digests, tensors as an Arrow stream, segments) of media rows (id, n_bytes, media).
 
     The samples are read back from the media column. A null media value gives null features. With keep_tensors off
-    the stream is left out and only its digest stays.
+    the stream is left out after it was read back, and its length and the digests stay.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,28 +194,28 @@ def audio_features(media: DataFrame, keep_tensors: bool = True) -> DataFrame:
                     out.append({"id": i, "n_bytes": n})
                     continue
                 samples = read_wav(m)[1]
-                tensor, spans, segments = features(m)
-                stream = tensor_stream(tensor, spans) if keep_tensors else None
+                stream = tensor_stream(*features(m))
+                tensor, spans, segments = stored(stream)
                 out.append({
                     "id": i, "n_bytes": n, "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-32:]),
-                    "media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest(), "blocks": len(tensor), "tensors": stream,
-                    "tensor_sha256": hashlib.sha256(np.round(tensor, 2).tobytes()).hexdigest(), "level": float(np.round(tensor.mean(), 3)),
+                    "media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest(), "blocks": len(tensor), "tensors": stream if keep_tensors else None,
+                    "stream_bytes": len(stream), "tensor_sha256": _sha256(tensor), "spans_sha256": _sha256(spans), "segments_sha256": _sha256(segments), "level": float(np.round(tensor.mean(), 3)),
                     "segments": [{"start_s": float(a), "end_s": float(b)} for a, b in segments],
                 })
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     kind = media.schema["id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-    arrow = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("blocks", pa.int32()), ("tensors", pa.binary()), ("tensor_sha256", pa.string()), ("level", pa.float64()), ("segments", span)])
+    arrow = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("blocks", pa.int32()), ("tensors", pa.binary()), ("stream_bytes", pa.int64()), ("tensor_sha256", pa.string()), ("spans_sha256", pa.string()), ("segments_sha256", pa.string()), ("level", pa.float64()), ("segments", span)])
     return media.select("id", "n_bytes", "media").mapInArrow(
         decode,
         f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, "
-        "blocks int, tensors binary, tensor_sha256 string, level double, segments array<struct<start_s:double,end_s:double>>",
+        "blocks int, tensors binary, stream_bytes bigint, tensor_sha256 string, spans_sha256 string, segments_sha256 string, level double, segments array<struct<start_s:double,end_s:double>>",
     )
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = audio_features(as_media(docs), keep_tensors=False)
-    feature = F.to_json(F.struct("blocks", "level", F.size("segments").alias("segments"), F.round(F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["end_s"] - s["start_s"]), 3).alias("active_s"), "tensor_sha256"))
+    feature = F.to_json(F.struct("blocks", "level", F.size("segments").alias("segments"), F.round(F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["end_s"] - s["start_s"]), 3).alias("active_s"), "stream_bytes", "tensor_sha256", "spans_sha256", "segments_sha256"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -44,3 +45,17 @@ def test_log_mel_by_definition_and_segments():
     assert np.allclose(mel[2], want, atol=1e-3)
     assert audio.hysteresis(np.array([0, 2, 3, 2, 0, 2, 2, 0, 5.0]), 2, 3).tolist() == [[1, 4], [8, 9]]
     assert audio.hysteresis(np.zeros(3), 1, 2).tolist() == []
+
+
+def test_the_query_digests_what_its_stream_holds(spark, tmp_path):
+    text = "a tone of no length " * 900
+    spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: json.loads(r.feature) for r in audio.op1_audio_features(spark, str(tmp_path)).collect()}
+    for i, x in ((1, text), (2, "")):
+        tensor, spans, segments = audio.features(audio.wav(audio.payload(x.encode())))
+        stream = audio.tensor_stream(tensor, spans, segments)
+        assert all(np.array_equal(a, b) for a, b in zip(audio.stored(stream), (tensor, spans, segments), strict=True))
+        assert got[i]["stream_bytes"] == len(stream) and got[i]["blocks"] == len(tensor) and got[i]["segments"] == len(segments)
+        for name, part in (("tensor_sha256", tensor), ("spans_sha256", spans), ("segments_sha256", segments)):
+            assert got[i][name] == hashlib.sha256(part.tobytes()).hexdigest()
+    assert got[1]["spans_sha256"] != got[2]["spans_sha256"]
