@@ -1,8 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed byte n-grams of 1 to 4.
 
-The model is a matrix of log-probabilities, BUCKETS by languages, whose size does not grow with the data. It is fitted
-on a sample of at most MAX_TRAIN documents, drawn by a hash of the id; scoring covers every whole text. A null text,
-or one without a letter, is "und" with score 0. Without training rows every text is "und". Repeated rows score alike.
+The model is a matrix of log-probabilities, BUCKETS by languages (half a megabyte a language), whose size does not grow
+with the data; all languages are alike likely before the text is read. It is fitted on a sample of about MAX_TRAIN
+documents of each language at most, drawn by a hash of id and text, so a rare language keeps all its rows. The scan's
+own tasks draw the sample, TRAIN_TASKS tasks count it, and the cluster adds the counts up; the driver gets one row a language.
+
+Scoring covers every whole text, of any length, in slices of about a megabyte; a longer text is a slice of its own.
+A null text, or one without a letter, is "und" with score 0. Without training rows every text is "und". Ties go to the
+language that comes first in alphabetical order. Repeated rows score alike, null ids score like others, and empty tables
+give no rows. Columns carried along keep their names, whatever these are, but lang_pred, score and fit, which are the result's.
+
+fit, in predict()'s rows, is the mean log-probability of the text's n-grams in the language named (0 for "und"). Below
+UNFIT, that of drawing buckets blindly, the text is in no language that the model knows.
 """
 
 from __future__ import annotations
@@ -16,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .bytesops import LOWER, id_mod, slices
 
-BUCKETS, ORDERS, MAX_TRAIN, MAX_LANGS = 1 << 17, (1, 2, 3, 4), 20_000, 200
-SMOOTH = 0.5
+BUCKETS, ORDERS, MAX_TRAIN, TRAIN_TASKS = 1 << 17, (1, 2, 3, 4), 10_000, 32
+SMOOTH, TEMPER = 0.5, 40.0
+UNFIT = -float(np.log(BUCKETS))
 
 
 def grams(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,50 +51,55 @@ def grams(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np
     return h[keep], np.concatenate(([0], np.cumsum(counts)))
 
 
-def train_counts(rows: DataFrame) -> DataFrame:
-    """Rows (lang, counts): n-gram counts of rows (text, lang) as a little-endian int64 array, one row per language and task."""
+def training_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str, max_train: int = MAX_TRAIN) -> DataFrame:
+    """Rows (lang, text): the labelled rows, of a language with more than max_train of them about so many."""
+    lang = F.col(lang_col).cast("string").alias("lang")
+    many = rows.groupBy(lang).agg(F.count("*").alias("__n")).where("lang is not null")  # a row a language
+    labelled = rows.select(lang, F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)).alias("__h"))
+    return labelled.where("text is not null").join(F.broadcast(many), "lang").where(F.col("__h").cast("double") * F.col("__n") < float(max_train) * (1 << 30)).select("lang", "text")
+
+
+def train_counts(sample: DataFrame, tasks: int = TRAIN_TASKS) -> DataFrame:
+    """Rows (lang, counts): the n-gram counts of each language's rows as a little-endian int64 array, added up on the cluster."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        now, sums = None, np.zeros(BUCKETS, np.int64)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([pa.compress(sums.astype("<i8").tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["lang", "counts"])
         for part, data, off in slices(batches, "text"):
-            langs = part.column(part.schema.get_field_index("lang")).to_pylist()
-            names = sorted(set(langs))
-            which = np.array([names.index(x) for x in langs])
-            for order in ORDERS:
-                h, at = grams(data, off, order)
-                owner = np.repeat(which, np.diff(at))
-                table = np.bincount(owner * BUCKETS + h, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-                for k, name in enumerate(names):
-                    sums[name] = sums.get(name, 0) + table[k]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], ["lang", "counts"])
-
-    return rows.select("text", "lang").mapInArrow(count, "lang string, counts binary")
+            langs = np.array(part.column(0).to_pylist(), object)
+            edges = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), len(langs)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):  # rows come language by language
+                if langs[a] != now:
+                    if now is not None:
+                        yield row()
+                    now, sums = langs[a], np.zeros(BUCKETS, np.int64)
+                for order in ORDERS:
+                    sums += np.bincount(grams(data[off[a] : off[b]], off[a : b + 1] - off[a], order)[0], minlength=BUCKETS)
+        if now is not None:
+            yield row()
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(pa.decompress(x, 8 * BUCKETS, codec="zstd"), "<i8") for x in table.column("counts").to_pylist())
+        return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    dealt = sample.repartition(tasks, "lang", F.pmod(F.xxhash64("text"), F.lit(tasks))).sortWithinPartitions("lang")
+    return dealt.select("lang", "text").mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary")
 
 
 def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities (BUCKETS, languages) from at most about max_train labelled rows."""
-    labelled = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = labelled.count()
-    if n > max_train:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < (max_train << 20) // n)
-    sample = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    names = sorted(r[0] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang").collect())
-    sums = np.zeros((BUCKETS, len(names)))
-    for name, counts in train_counts(sample.where(F.col("lang").isin(names)).coalesce(4)).toLocalIterator():
-        sums[:, names.index(name)] += np.frombuffer(counts, "<i8")
-    p = sums + SMOOTH
-    return names, np.log(p / p.sum(0)).astype(np.float32)
+    """Languages and their log-probabilities (BUCKETS, languages), from about max_train labelled rows of each language at most."""
+    found = sorted(((r.lang, np.log((x := np.frombuffer(r.counts, "<i8") + SMOOTH) / x.sum()).astype(np.float32)) for r in train_counts(training_sample(rows, id_col, text_col, lang_col, max_train)).collect()), key=lambda x: x[0])  # a row a language
+    return [name for name, _ in found], np.stack([x for _, x in found], 1) if found else np.zeros((BUCKETS, 0), np.float32)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """Rows (id, more..., lang_pred, score): the likeliest language, and its share when log-likelihoods are averaged over TEMPER n-grams."""
+    """Rows (id, more..., lang_pred, score, fit): the likeliest language, and its share when log-likelihoods are averaged over TEMPER n-grams."""
     spark = docs.sparkSession
     names, table = model
     shared = spark.sparkContext.broadcast((names, table))
     rows = docs.select(F.col(id_col).alias(id_col), *more, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("string")).alias("__text"))
     kept = rows.drop("__text").schema
     columns = kept.names
-    temper = 40.0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = shared.value
@@ -97,19 +112,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                     total[full] += np.add.reduceat(table[h], at[full], axis=0, dtype=np.float64)
                     seen += np.diff(at)
             best = total.argmax(1)
-            mean = (total - total.max(1, keepdims=True)) / np.maximum(seen, 1)[:, None] * np.minimum(seen, temper)[:, None]
+            mean = (total - total.max(1, keepdims=True)) / np.maximum(seen, 1)[:, None] * np.minimum(seen, TEMPER)[:, None]
             share = 1 / np.exp(mean).sum(1)
             known = (np.diff(off) > 0) & bool(names)
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(k) for k in range(part.num_columns - 1)), pa.array([names[b] if k else "und" for b, k in zip(best, known, strict=True)], pa.string()), pa.array(np.where(known, share, 0.0))],
-                [*columns, "lang_pred", "score"],
+                [*(part.column(k) for k in range(part.num_columns - 1)), pa.array([names[b] if k else "und" for b, k in zip(best, known, strict=True)], pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, total.max(1) / np.maximum(seen, 1), 0.0))],
+                [*columns, "lang_pred", "score", "fit"],
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(score, f"{schema}, lang_pred string, score double, fit double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.coalesce(F.expr(id_mod("doc_id", 4)) == 2, F.lit(False))
-    return predict(docs, fit(docs.where(~held), "doc_id", "text", "lang"), "doc_id", "text", held.alias("held_out"))
+    return predict(docs, fit(docs.where(~held), "doc_id", "text", "lang"), "doc_id", "text", held.alias("held_out")).select("doc_id", "held_out", "lang_pred", "score", "fit")

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,67 @@ def test_language_of_odd_rows(odd_docs, no_docs):
     assert {r.lang_pred for r in langid.predict(odd_docs, empty).collect()} == {"und"}
 
 
-def test_bayes_by_definition():
+def gram_buckets(text):
+    """All n-grams' buckets by the definition, in whole numbers."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    out = []
+    for order in (1, 2, 3, 4):
+        for i in range(len(data) - order + 1):
+            h = data[i]
+            for b in data[i + 1 : i + order]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+            out.append((h * (0x9E3779B1 + 2 * order) & 0xFFFFFFFF) >> 15)
+    return out
+
+
+def test_bayes_by_definition(spark):
+    rng = random.Random(4)
+    rows = [(i, text(rng, lang, rng.randint(1, 40)), lang) for i in range(150) for lang in [rng.choice(list(PARTS))]] + [(150, "Été 你好 ABC", None), (151, None, "en"), (152, "x", "de")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    counts = {}
+    for _, t, lang in rows:
+        if t and lang:
+            counts.setdefault(lang, Counter()).update(gram_buckets(t))
+    names, table = model = langid.fit(df, "doc_id", "text", "lang")
+    assert names == sorted(counts)
+    logs = {x: (c, math.log(c.total() + langid.SMOOTH * langid.BUCKETS)) for x, c in counts.items()}
+    of = lambda x, b: math.log(logs[x][0][b] + langid.SMOOTH) - logs[x][1]
+    for r in langid.predict(df, model).collect():
+        t = rows[r.doc_id][1]
+        if t is None:
+            assert (r.lang_pred, r.score, r.fit) == ("und", 0.0, 0.0)
+            continue
+        grams = gram_buckets(t)
+        sums = {x: sum(of(x, b) for b in grams) for x in names}
+        best = max(sums.values())
+        share = 1 / sum(math.exp((v - best) / len(grams) * min(len(grams), langid.TEMPER)) for v in sums.values())
+        assert r.lang_pred == max(sorted(sums), key=sums.get) and abs(r.score - share) < 1e-4 and abs(r.fit - best / len(grams)) < 1e-4
+
+
+def test_training_runs_in_the_scans_own_tasks_and_keeps_rare_languages(spark):
+    rng = random.Random(9)
+    rows = [(i, text(rng, "en", 20), "en") for i in range(3000)] + [(i, text(rng, "de", 20), "de") for i in range(3000, 3004)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7)
+    sample = langid.training_sample(df, "doc_id", "text", "lang", max_train=500)
+    assert sample.rdd.getNumPartitions() >= 7
+    by = Counter(r.lang for r in sample.collect())
+    assert by["de"] == 4 and 400 < by["en"] < 600
+    assert langid.fit(df, "doc_id", "text", "lang", max_train=500)[0] == ["de", "en"]
+    many = spark.createDataFrame([(i, f"words of {i}", f"l{i:03d}") for i in range(230)], "doc_id bigint, text string, lang string")
+    assert len(langid.fit(many, "doc_id", "text", "lang")[0]) == 230
+
+
+def test_text_in_no_known_language_does_not_fit(spark):
+    rng = random.Random(2)
+    rows = [(i, text(rng, lang, 40), lang) for i in range(300) for lang in [rng.choice(list(PARTS))]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df, "doc_id", "text", "lang")
+    junk = [(0, "你好世界" * 20), (1, "".join(rng.choice("qxzjkvw0123456789") for _ in range(200))), (2, text(rng, "fr", 30)), (3, text(rng, "de", 2))]
+    fits = {r.doc_id: r.fit > langid.UNFIT for r in langid.predict(spark.createDataFrame(junk, "doc_id bigint, text string"), model).collect()}
+    assert fits == {0: False, 1: False, 2: True, 3: True}
+
+
+def test_grams_stay_inside_their_texts():
     data, off = bytesops.flat(pa.array(["Abc", "", "zz"]))
     for order in (1, 2, 3, 4):
         h, at = langid.grams(data, off, order)
