@@ -69,6 +69,12 @@ class Settings:
     last_vintage: int = 2018
     max_months: int = 120
     data_root: str = "data"
+    crisis_gate: bool = True
+    sign_gate: bool = True
+
+    def section(self, name: str) -> dict:
+        """The settings of one section of the files."""
+        return {key: getattr(self, key) for key in SECTIONS[name]}
 
     def validate(self) -> Settings:
         """Raises ConfigError for settings that no run could use."""
@@ -78,12 +84,40 @@ class Settings:
             raise ConfigError("first_vintage comes after last_vintage")
         if self.cohort_grain not in ("monthly", "quarterly", "annual"):
             raise ConfigError(f"unknown cohort grain {self.cohort_grain!r}")
+        if self.denominator not in ("original_balance", "average_outstanding"):
+            raise ConfigError(f"unknown denominator {self.denominator!r}")
+        if self.discount_rate < 0 or not 0 <= self.fallback_lgd <= 1:
+            raise ConfigError("discount_rate must be 0 or more and fallback_lgd between 0 and 1")
         unknown = {*self.codes.values(), *self.absorbing, *self.dpd_floors} - {*self.states}
         if unknown:
             raise ConfigError(f"states that are not listed: {sorted(unknown)}")
         return self
 
 
+#: Files may group settings by these sections, and must put each under its own.
+SECTIONS = {
+    "project": ("env", "seed", "data_root"),
+    "states": ("states", "absorbing", "dpd_floors", "codes"),
+    "ingest": ("delimiter", "header", "date_format", "parse_mode", "hash_buckets", "sample_fraction", "max_records_per_file", "fatal_reasons", "max_rate_per_reason", "max_rate_overall"),
+    "model": ("mob_edges", "score_edges", "macro_lags", "discount_rate", "fallback_lgd", "cutoff", "maturity_mob", "cohort_grain", "denominator", "c", "c_dpd150", "fit_end", "backtest_fit_end", "crisis_gate", "sign_gate"),
+    "scenarios": ("unemployment_hinge", "scenario_vintage", "horizon_quarters", "half_life_quarters", "long_run_unemployment", "long_run_hpi", "support_before_cutoff", "support_full_history"),
+    "synthetic": ("loans", "first_vintage", "last_vintage", "max_months"),
+}
+
+
+def flatten(values: dict) -> dict:
+    """Settings out of their sections; one under another section's name is an error."""
+    out = {}
+    for key, value in values.items():
+        if key in SECTIONS and isinstance(value, dict):
+            if wrong := sorted(set(value) - set(SECTIONS[key])):
+                raise ConfigError(f"section {key} has no {wrong}")
+            out |= value
+        else:
+            out[key] = value
+    return out
+
+
 def merge(base: dict, over: dict) -> dict:
     """base with over's values; mappings are merged at any depth."""
     out = dict(base)
@@ -116,7 +150,7 @@ def load_settings(env: str = "local", config_dir: str | Path | None = None, **ov
         for name in ("base.yaml", f"{env}.yaml"):
             path = Path(config_dir) / name
             if path.exists():
-                values = merge(values, yaml.safe_load(path.read_text()) or {})
+                values = merge(values, flatten(yaml.safe_load(path.read_text()) or {}))
             elif name != "base.yaml":
                 raise ConfigError(f"no settings for environment {env!r} in {config_dir}")
     values = expand(merge(values, over))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from creditloom.functions import columns as C
+from creditloom.operators.ecl import exposure
 
 
 class AttributionError(RuntimeError):
@@ -18,12 +20,25 @@ def shapley(balance: Column, p0: Column, e0: Column, l0: Column, p1: Column, e1:
     return share(p1 - p0, e0, l0, e1, l1), share(e1 - e0, p0, l0, p1, l1), share(l1 - l0, p0, e0, p1, e1)
 
 
-def realised(panel: DataFrame, cutoff_rows: DataFrame) -> DataFrame:
-    """(year, realised sums) of later charge-offs of the loans active at the cutoff; each loan's loss is floored at 0."""
-    start = cutoff_rows.select("loan_id", F.greatest(F.coalesce("upb_eom", "upb_bom").cast("double"), F.lit(0.0)).alias("start_balance"), F.col("as_of_month").alias("start_month"))
-    bad = panel.where("exit_reason = 'ChargeOff'").join(start, "loan_id").where(F.col("as_of_month") > F.col("start_month"))
+def realised(panel: DataFrame, active: DataFrame, cutoff: str, until: str | None = None) -> DataFrame:
+    """(year, realised_defaults and sums) of the active loans' charge-offs after the cutoff, up to the month until.
+
+    Each loan's loss is floored at 0. A default of a loan without exposure at the cutoff fails the job, as no forecast held it.
+    """
+    start = active.select("loan_id", exposure().alias("start_balance"))
+    bad = panel.where((F.col("exit_reason") == "ChargeOff") & (F.col("as_of_month") > F.lit(cutoff).cast("date")))
+    if until is not None:
+        bad = bad.where(F.col("as_of_month") <= F.lit(until).cast("date"))
+    bad = bad.select("loan_id", "as_of_month", "upb_bom", "net_sales_proceeds", "foreclosure_costs").join(start, "loan_id")
+    held = F.when(F.col("start_balance") > 0, F.col("start_balance")).otherwise(F.raise_error(F.lit("a realised default is absent from the snapshot")).cast("double"))
     loss = F.greatest((F.col("upb_bom") - F.coalesce("net_sales_proceeds", F.lit(0)) + F.coalesce("foreclosure_costs", F.lit(0))).cast("double"), F.lit(0.0))
-    return bad.groupBy(F.year("as_of_month").alias("year")).agg(F.sum("start_balance").alias("realised_default_balance"), F.sum(F.col("upb_bom").cast("double")).alias("realised_exposure"), F.sum(loss).alias("realised_loss"))
+    return bad.groupBy(F.year("as_of_month").alias("year")).agg(F.count("*").alias("realised_defaults"), F.sum(held).alias("realised_default_balance"), F.sum(F.col("upb_bom").cast("double")).alias("realised_exposure"), F.sum(loss).alias("realised_loss"))
+
+
+def by_year(detail: DataFrame, cutoff: str) -> DataFrame:
+    """ecl.lifetime() rows added up by the calendar year of their months: validate()'s projected side."""
+    year = F.year(F.add_months(F.lit(cutoff).cast("date"), F.col("month")))
+    return detail.groupBy(year.alias("year")).agg(*[F.sum(c).alias(c) for c in ("marginal_pd_dollars", "expected_default_exposure", "undiscounted_loss")])
 
 
 def validate(projected: DataFrame, found: DataFrame, balance: float) -> DataFrame:
@@ -54,13 +69,32 @@ def enforce(table: DataFrame, tolerance: float = 1e-6) -> None:
 
 
 def bridge(steps: DataFrame) -> DataFrame:
-    """(step, amount) rows in order, from one total to another: amounts are differences of the levels (order, step, level), the last row the end."""
-    from pyspark.sql.window import Window
-
+    """(order, step, amount, level) from one total to another: amounts are differences of the levels (order, step, level), the last row the end."""
     w = Window.orderBy("order")  # a handful of report lines
     return steps.select("order", "step", (F.col("level") - F.coalesce(F.lag("level").over(w), F.lit(0.0))).alias("amount"), "level")
 
 
+BRIDGE = ("chain-ladder ultimate", "less losses realised before the cutoff", "restriction to surviving exposure", "roll-rate model against the ladder's remainder", "discounting")
+
+
+def reconciliation(ultimates: DataFrame, detail: DataFrame, balance: float) -> DataFrame:
+    """From the chain ladder's ultimate loss to the lifetime expected loss: (order, step, amount, level, loss_rate).
+
+    ultimates: vintage.ultimates(); detail: ecl.lifetime(); balance: the segments'. What is left of the ultimate after the
+    realised losses is the ladder's future loss; loans that have left have none, so survival takes no step of its own.
+    """
+    money = lambda c: F.coalesce(F.sum(F.col(c) * F.col("original_balance").cast("double")), F.lit(0.0))
+    ladder = ultimates.agg(money("chain_ladder_ultimate").alias("u"), money("observed_rate").alias("o"), F.sum(F.col("original_balance").cast("double")).alias("b"))
+    model = detail.agg(F.sum("undiscounted_loss").alias("l"), F.sum("ecl").alias("e"))
+    one = ladder.crossJoin(F.broadcast(model))  # one row by one row
+    future, null = F.col("u") - F.col("o"), F.lit(None).cast("double")
+    levels = (F.col("u"), future, future, F.col("l"), F.col("e"))
+    rates = (C.ratio("u", "b"), null, null, null, C.ratio("e", F.lit(float(balance))))
+    lines = [F.struct(F.lit(k).alias("order"), F.lit(name).alias("step"), level.alias("level"), rate.alias("loss_rate")) for k, (name, level, rate) in enumerate(zip(BRIDGE, levels, rates, strict=True), 1)]
+    steps = one.select(F.explode(F.array(*lines)).alias("x")).select("x.*")
+    return bridge(steps.drop("loss_rate")).join(steps.select("order", "loss_rate"), "order")
+
+
 def compare(fits: DataFrame) -> DataFrame:
     """(fit, projected, realised) with the error, its percentage, and each fit's gap to the absolute error of 'production'."""
     error = F.col("projected") - F.col("realised")

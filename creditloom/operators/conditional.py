@@ -84,20 +84,20 @@ class OriginModel:
     labels: list[str] = field(default_factory=list)
     weights: tuple[tuple[float, ...], ...] = ()
 
-    def predict(self, rows: DataFrame, s: Settings) -> DataFrame:
-        """rows with a map column p of the targets' probabilities: the prior where there is no model."""
+    def probabilities(self, s: Settings, z: str) -> dict[str, Column]:
+        """The targets' probabilities on rows that hold this model's logits in the array column z: the prior where there is no model."""
         if not self.weights:
-            return rows.withColumn("p", F.create_map(*[F.lit(x) for pair in self.prior.items() for x in pair]))
-        ready, _ = with_basis(rows, s)
+            return {t: F.lit(p) for t, p in self.prior.items()}
+        e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+        return {label: F.get(e, F.lit(i)) / total for i, label in enumerate(self.labels)}
+
+    def logits(self, s: Settings) -> Column:
+        """An array of the labels' logits, on rows of with_basis()."""
         macros = _macro_columns(self.macros, s)
         columns = [macros.get(f, F.col(f)) for f in self.features]
-        logits = [sum((c * float(w) for c, w in zip(columns, row[1:], strict=True)), F.lit(float(row[0]))) for row in self.weights]
-        logits = logits if len(logits) > 1 else [F.lit(0.0), logits[0]]
-        ready = ready.withColumn("_z", F.array(*logits))
-        top = F.array_max("_z")
-        ready = ready.withColumn("_e", F.transform("_z", lambda z: F.exp(z - top)))
-        total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
-        return ready.select(*rows.columns, F.create_map(*[x for i, label in enumerate(self.labels) for x in (F.lit(label), F.get("_e", F.lit(i)) / total)]).alias("p"))
+        out = [sum((c * float(w) for c, w in zip(columns, row[1:], strict=True)), F.lit(float(row[0]))) for row in self.weights]
+        return F.array(*(out if len(out) > 1 else [F.lit(0.0), *out]))
 
     def coefficients(self) -> list[tuple[str, str, str, float]]:
         """(origin, destination, feature, value)."""
@@ -122,24 +122,27 @@ def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray, classes
 def newton(rows: DataFrame, models: list[dict], steps: int = 30, tolerance: float = 1e-7) -> None:
     """Minimises |W|^2 / 2 + C times the weighted log-loss of each model, intercepts free. Sets beta and loss in models.
 
-    rows: origin, y (index of the class), w and the feature columns. A model: origin, classes, features, c.
+    rows: origin, y (index of the class), w and the feature columns. A model: origin, classes, features, c. Origins go to
+    the workers as numbers.
     """
     columns = sorted({f for m in models for f in m["features"]})
-    data = rows.select("origin", "y", "w", *columns).persist()
+    codes = {o: k for k, o in enumerate(dict.fromkeys(m["origin"] for m in models))}
+    number = F.try_element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), F.col("origin"))
+    data = rows.select(F.coalesce(number, F.lit(-1)).alias("origin"), "y", "w", *columns).persist()
     for m in models:
         m |= {"beta": np.zeros((m["classes"] if m["classes"] > 2 else 1, len(m["features"]) + 1)), "best": np.inf, "open": True}
     for _ in range(steps):
-        at = [(k, m["origin"], m["classes"], [columns.index(f) for f in m["features"]], m["beta"]) for k, m in enumerate(models) if m["open"]]
+        at = [(k, codes[m["origin"]], m["classes"], [columns.index(f) for f in m["features"]], m["beta"]) for k, m in enumerate(models) if m["open"]]
         if not at:
             break
 
         def add(batches: Iterator[pa.RecordBatch], at: list = at) -> Iterator[pa.RecordBatch]:
             totals: dict[int, np.ndarray] = {}
             for batch in batches:
-                origin, y, w = np.array(batch.column(0).to_pylist()), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                origin, y, w = (batch.column(k).to_numpy() for k in range(3))
                 x = np.column_stack([np.ones(len(y)), *(c.to_numpy() for c in batch.columns[3:])])
-                for k, name, classes, places, beta in at:
-                    own = origin == name
+                for k, code, classes, places, beta in at:
+                    own = origin == code
                     if own.any():
                         totals[k] = totals.get(k, 0) + _sums(x[own][:, [0, *(i + 1 for i in places)]], y[own], w[own], beta, classes)
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["k", "sums"])
@@ -234,22 +237,20 @@ class ConditionalModel:
         s = self.settings
         names = [c for c in grid.columns if c not in self.defaults]
         full = grid.select(*names, *[(F.coalesce(F.col(c), F.lit(v)) if c in grid.columns else F.lit(v)).alias(c) for c, v in self.defaults.items()])
-        out = None
+        fitted = [o for o, m in self.origins.items() if m.weights]
+        ready = with_basis(full, s)[0].select(*names, *[self.origins[o].logits(s).alias(f"_z{k}") for k, o in enumerate(fitted)]) if fitted else full.select(*names)
+        cells = []
         for origin, model in self.origins.items():
             late = origin != moving(s)[0]
             prepay = self.delinquent_prepay if late else 0.0
-            cells = model.predict(full, s).select(*names, F.explode("p").alias("destination", "q"))
-            cells = cells.select(*names, "destination", (F.col("q") * (1 - self.repurchase - prepay)).alias("q"))
-            exits = [("Repurchased", self.repurchase), *([("Prepaid", prepay)] if late else [])]
-            pooled = full.select(*names, F.explode(F.create_map(*[F.lit(x) for e in exits for x in e])).alias("destination", "q"))
-            part = cells.unionByName(pooled).groupBy(*names, "destination").agg(F.sum("q").alias("q")).withColumn("origin", F.lit(origin))
-            out = part if out is None else out.unionByName(part)
-        from pyspark.sql.window import Window
-
-        mass = F.sum("q").over(Window.partitionBy(*names, "origin"))
-        moving_rows = out.select(*names, "origin", "destination", (F.col("q") / mass).alias("p"))
-        stay = full.select(*names, F.explode(F.array(*[F.lit(x) for x in s.absorbing])).alias("origin")).select(*names, "origin", F.col("origin").alias("destination"), F.lit(1.0).alias("p"))
-        return moving_rows.unionByName(stay)
+            z = f"_z{fitted.index(origin)}" if model.weights else ""
+            parts = {t: q * (1 - self.repurchase - prepay) for t, q in model.probabilities(s, z).items()}
+            for target, share in (("Repurchased", self.repurchase), *([("Prepaid", prepay)] if late else [])):
+                parts[target] = parts[target] + share if target in parts else F.lit(share)
+            mass = sum(parts.values(), F.lit(0.0))
+            cells += [F.struct(F.lit(origin).alias("origin"), F.lit(t).alias("destination"), (q / mass).alias("p")) for t, q in parts.items()]
+        cells += [F.struct(F.lit(o).alias("origin"), F.lit(o).alias("destination"), F.lit(1.0).alias("p")) for o in s.absorbing]
+        return ready.select(*names, F.inline(F.array(*cells)))
 
     def matrices(self, segments: DataFrame, macro: DataFrame, horizon: int, timing: str = "reference") -> DataFrame:
         """(segment_id, step, origin, destination, p). macro: (step, macro columns). Each distinct (age, band, step) is scored once.
@@ -306,20 +307,55 @@ def stress(spark: SparkSession, model: ConditionalModel, band: str, mob: int = 3
     return sensitivity(spark, model, [band], mob, STRESS)
 
 
-def sign_recovery(spark: SparkSession, model: ConditionalModel, truth: list[tuple[str, str, str, int]], band: str, mob: int = 36) -> DataFrame:
-    """(driver, origin, destination, expected_sign, change_bps, agrees): each driver moved alone, against the known signs."""
-    unit = {"unemployment_rate": 1.0, "unemployment_change_3m": 0.5, "hpi_change_yoy": 0.05}
-    drivers = sorted({t[0] for t in truth})
-    grid = _shocked(spark, model, {"base": {}} | {d: {d: unit[d]} for d in drivers}, mob, [band])
-    scored = model.score(grid)
-    base = scored.where("shock = 'base'").select("origin", "destination", F.col("p").alias("p0"))
-    moved = scored.where("shock <> 'base'").join(base, ["origin", "destination"])
-    known = spark.createDataFrame(truth, "driver string, origin string, destination string, expected_sign int")
-    change = (F.col("p") - F.col("p0")) * 10000
-    return moved.withColumnRenamed("shock", "driver").join(known, ["driver", "origin", "destination"]).select("driver", "origin", "destination", "expected_sign", change.alias("change_bps"), (F.signum(change) == F.col("expected_sign")).alias("agrees"))
+def bands(s: Settings) -> list[str]:
+    return [f"FICO_{low:03d}-{high - 1:03d}" for low, high in zip(s.score_edges[:-1], s.score_edges[1:], strict=True)]
+
+
+# Known effects, in basis points, of a point of unemployment, of a unit of score risk, and of seasoning.
+UNEMPLOYMENT_BPS = {"behind": 20.0, "cure": -240.0, "roll": 260.0}
+SCORE_BPS = {"behind": 100.0, "cure": -800.0, "roll": 700.0}
+SEASONING_BPS, SEASONED_AT, SEASONING_WIDTH, AGES = 40.0, 28.0, 22.0, (28, 100)
 
 
-def enforce_signs(table: DataFrame) -> None:
-    wrong = table.where("not agrees").collect()  # a row a known sign
+def known_effects(s: Settings, low: str, middle: str) -> list[tuple[str, str, str, float]]:
+    """(driver, origin, destination, bps): each moving state's known responses, 23 for the six states of the published model."""
+    risk = lambda b: float(np.clip((700 - sum(map(int, b.rsplit("_", 1)[1].split("-"))) / 2) / 100, -0.8, 1.8))
+    gap = risk(low) - risk(middle)
+    out = []
+    for driver, size, scale in (("unemployment", UNEMPLOYMENT_BPS, 1.0), ("lower_score", SCORE_BPS, gap)):
+        for k, origin in enumerate(moving(s)):
+            targets = destinations(origin, s)
+            if k == 0:
+                out.append((driver, origin, targets[1], size["behind"] * (scale if driver == "unemployment" else max(scale, 0.0))))
+            else:
+                out += [(driver, origin, targets[0], size["cure"] * scale), (driver, origin, targets[2], size["roll"] * scale)]
+    at = [np.exp(-(((age - SEASONED_AT) / SEASONING_WIDTH) ** 2)) for age in AGES]
+    return [*out, ("seasoning", moving(s)[0], moving(s)[1], float(SEASONING_BPS * (at[0] - at[1])))]
+
+
+def recovery(spark: SparkSession, model: ConditionalModel, mob: int = 36) -> DataFrame:
+    """(driver, origin, destination, known_bps, fitted_bps, expected_sign, agrees) for all known_effects()."""
+    every = bands(model.settings)
+    low, middle = every[0], every[len(every) // 2]
+    names = list(model.defaults)
+    point = lambda move: [model.defaults[c] + (move if c.startswith("unemployment_rate") else 0.0) for c in names]
+    grid = [("base", mob, middle, *point(0.0)), ("unemployment", mob, middle, *point(1.0)), ("lower_score", mob, low, *point(0.0)), ("young", AGES[0], middle, *point(0.0)), ("seasoned", AGES[1], middle, *point(0.0))]
+    scored = model.score(spark.createDataFrame(grid, "shock string, months_on_book int, score_band string, " + ", ".join(f"{c} double" for c in names))).select("shock", "origin", "destination", "p")
+    pairs = [("unemployment", "unemployment", "base"), ("lower_score", "lower_score", "base"), ("seasoning", "young", "seasoned")]
+    known = spark.createDataFrame([(d, shock, against, o, t, bps) for d, o, t, bps in known_effects(model.settings, low, middle) for n, shock, against in pairs if n == d], "driver string, shock string, against string, origin string, destination string, known_bps double")
+    moved = known.join(scored, ["shock", "origin", "destination"], "left").join(scored.select(F.col("shock").alias("against"), "origin", "destination", F.col("p").alias("p0")), ["against", "origin", "destination"], "left")
+    fitted = (F.coalesce("p", F.lit(0.0)) - F.coalesce("p0", F.lit(0.0))) * 10000
+    up = F.col("known_bps") > 0
+    return moved.select("driver", "origin", "destination", "known_bps", fitted.alias("fitted_bps"), F.when(up, "positive").otherwise("negative").alias("expected_sign"), F.when(up, fitted > 0).otherwise(fitted < 0).alias("agrees"))
+
+
+def enforce_recovery(table: DataFrame) -> None:
+    """Raises ConditionalError where a fitted effect has not the known sign."""
+    wrong = table.where("not agrees").collect()  # a row a known effect
     if wrong:
         raise ConditionalError(f"wrong signs: {[(r.driver, r.origin, r.destination) for r in wrong]}")
+
+
+def material(table: DataFrame, least_bps: float = 1.0) -> DataFrame:
+    """The rows of sensitivity() that a point of unemployment moves by a basis point or more."""
+    return table.where(F.abs("change_bps") >= least_bps)

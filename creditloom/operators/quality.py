@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from creditloom.config import Settings
+from creditloom.functions import columns as C
 
 REASONS = "_quality_reasons"
 DPD_VALUES = (0, 30, 60, 90, 120, 150, 180)
@@ -22,14 +23,22 @@ def tag(df: DataFrame, rules: dict[str, Column], also: str | None = None) -> Dat
     return df.withColumn(REASONS, F.concat(F.col(also), names) if also else names)
 
 
-def _repeated(*keys: str) -> Column:
-    return F.count("*").over(Window.partitionBy(*keys)) > 1
+def _with_repeats(df: DataFrame, key: str, *more: str) -> DataFrame:
+    """df with the column _again: whether the keys are in several rows. Null keys repeat each other.
+
+    Rows without the first key, however many, meet in no window: they are counted in part by each task.
+    """
+    here = df.where(F.col(key).isNotNull()).withColumn("_again", F.count("*").over(Window.partitionBy(key, *more)) > 1)
+    absent = df.where(F.col(key).isNull())
+    counts = absent.groupBy(*[F.col(c).alias(f"_{c}") for c in more]).agg((F.count("*") > 1).alias("_again"))  # a row, or a row a month
+    same = C.all_of([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in more])
+    return here.unionByName(absent.join(F.broadcast(counts), same).drop(*[f"_{c}" for c in more]))
 
 
 def tag_acquisition(df: DataFrame) -> DataFrame:
     """Missing id or month, balance or term not above 0, score outside 300 to 850, repeated id. Null ids repeat each other."""
     missing = F.col("loan_id").isNull() | (F.trim(F.col("loan_id").cast("string")) == "")
-    return tag(df.withColumn("_again", _repeated("loan_id")), {
+    return tag(_with_repeats(df, "loan_id"), {
         "acquisition_missing_loan_id": missing,
         "acquisition_missing_origination_month": F.col("origination_month").isNull(),
         "acquisition_nonpositive_original_upb": F.coalesce(F.col("original_upb") <= 0, F.lit(True)),
@@ -42,7 +51,7 @@ def tag_acquisition(df: DataFrame) -> DataFrame:
 def tag_performance(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Missing id or month, negative balance or age, unknown days past due, repeated (id, month); and ids not in known."""
     missing = F.col("loan_id").isNull() | (F.trim(F.col("loan_id").cast("string")) == "")
-    tagged = tag(df.withColumn("_again", _repeated("loan_id", "as_of_month")), {
+    tagged = tag(_with_repeats(df, "loan_id", "as_of_month"), {
         "performance_missing_loan_id": missing,
         "performance_missing_as_of_month": F.col("as_of_month").isNull(),
         "performance_negative_current_upb": F.coalesce(F.col("current_upb") < 0, F.lit(True)),

@@ -81,6 +81,12 @@ def summary(losses: DataFrame, baseline: str = "baseline") -> DataFrame:
     return losses.crossJoin(F.broadcast(base)).select("scenario", "balance", "ecl", C.ratio("ecl", "balance").alias("ecl_rate"), (F.col("ecl") - F.col("base")).alias("ecl_over_baseline"), C.ratio("ecl", "base").alias("ecl_multiple"))
 
 
+def monthly(details: DataFrame) -> DataFrame:
+    """(scenario, month, undiscounted_loss, ecl, cumulative_ecl) of ecl.lifetime() rows with a scenario."""
+    sums = details.groupBy("scenario", "month").agg(F.sum("undiscounted_loss").alias("undiscounted_loss"), F.sum("ecl").alias("ecl"))
+    return sums.withColumn("cumulative_ecl", F.sum("ecl").over(Window.partitionBy("scenario").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def flows(path: DataFrame, matrices: DataFrame, segs: DataFrame) -> DataFrame:
     """(origin, destination, dollars): balance times the vector before each month times that month's matrix, summed."""
     start = segs.select("segment_id", F.explode("initial_state").alias("origin", "p")).withColumn("step", F.lit(1))

@@ -27,13 +27,12 @@ def triangle(panel: DataFrame, acquisition: DataFrame, grain: str, cutoff: str |
     """(vintage, months_on_book, measures, original balance and accounts, max_observed_mob).
 
     Net charge-offs are floored at 0 here, at the grain of vintage and month. A cohort is observed up to the least of
-    its constituent months' last ages.
+    its constituent months' last ages. The panel is read once: what is added up by month of origination and age also
+    tells each month's last age.
     """
-    rows = as_of(panel, cutoff).withColumn("month", F.to_date(F.concat("vintage", F.lit("-01"))))
-    rows = rows.withColumn("cohort", C.cohort("month", grain))
     off = F.col("exit_reason") == "ChargeOff"
     recovery = F.coalesce("net_sales_proceeds", F.lit(0)) - F.coalesce("foreclosure_costs", F.lit(0))
-    sums = rows.groupBy("cohort", "months_on_book").agg(
+    cells = as_of(panel, cutoff).groupBy("vintage", "months_on_book").agg(
         F.count("*").alias("accounts_active"),
         F.count_if(off).alias("chargeoff_accounts"),
         F.sum("upb_bom").alias("balance_active"),
@@ -42,11 +41,16 @@ def triangle(panel: DataFrame, acquisition: DataFrame, grain: str, cutoff: str |
         C.sum_if(F.col("exit_reason") == "Prepaid", "upb_bom").alias("prepay_dollars"),
         C.sum_if(F.col("exit_reason") == "Repurchased", "upb_bom").alias("repurchase_dollars"),
     )
+    # From here on a row a month of origination and age.
+    cohort = C.cohort(F.to_date(F.concat("vintage", F.lit("-01"))), grain)
+    cells = cells.withColumn("cohort", cohort).withColumn("last", F.max("months_on_book").over(Window.partitionBy("vintage")))
+    cells = cells.withColumn("max_observed_mob", F.min("last").over(Window.partitionBy("cohort")))
+    added = [m for m in MEASURES if m != "net_chargeoff_dollars"]
+    sums = cells.groupBy("cohort", "months_on_book", "max_observed_mob").agg(*[F.sum(m).cast(cells.schema[m].dataType).alias(m) for m in added])
     net = F.greatest(F.col("gross_chargeoff_dollars") - F.col("recovery_dollars"), F.lit(0))
-    seen = rows.groupBy("cohort", "month").agg(F.max("months_on_book").alias("m")).groupBy("cohort").agg(F.min("m").alias("max_observed_mob"))
-    loans = acquisition.withColumn("cohort", C.cohort("origination_month", grain))
+    loans = acquisition.select(C.cohort("origination_month", grain).alias("cohort"), "original_upb")
     start = loans.groupBy("cohort").agg(F.sum("original_upb").alias("original_balance"), F.count("*").alias("original_accounts"))
-    out = sums.withColumn("net_chargeoff_dollars", net).join(start, "cohort").join(seen, "cohort")
+    out = sums.withColumn("net_chargeoff_dollars", net).join(start, "cohort")
     return out.select(F.col("cohort").alias("vintage"), "months_on_book", *MEASURES, "original_balance", "original_accounts", "max_observed_mob")
 
 
@@ -75,6 +79,12 @@ def enforce_no_gaps(table: DataFrame) -> None:
         raise VintageError(f"gaps inside the observed region: {[(r.vintage, r.months_on_book) for r in bad]}")
 
 
+def enforce_seasoned(table: DataFrame, maturity: int) -> None:
+    """Development needs a vintage that has been observed up to maturity."""
+    if table.where(F.col("max_observed_mob") >= maturity).isEmpty():
+        raise VintageError("no fully seasoned vintage to fit development on")
+
+
 def development(table: DataFrame, maturity: int) -> DataFrame:
     """Volume-weighted age-to-age factors of completed vintages, at least 1: (months_on_book, factor, vintages).
 
@@ -93,24 +103,29 @@ def average_curve(table: DataFrame, maturity: int) -> DataFrame:
 
 
 def project(table: DataFrame, maturity: int) -> DataFrame:
-    """curves() with chain_ladder_rate and scaled_average_rate at every age.
+    """curves() with average_rate, chain_ladder_rate and scaled_average_rate at every age.
 
-    Beyond the last observed age a: the rate at a times the running product of factors, and the average curve scaled
-    to the rate at a, never falling. Missing factors count as 1.
+    Beyond the last observed age a: the rate at a times the running product of development() factors, and the average
+    curve scaled to the rate at a, never falling. Missing factors count as 1. Factors and averages are windows over the
+    ages of completed vintages, so the table is read once.
     """
-    factors = development(table, maturity).select((F.col("months_on_book") + 1).alias("months_on_book"), F.coalesce("factor", F.lit(1.0)).alias("factor"))
-    average = average_curve(table, maturity)
-    # Both have a row an age.
-    full = table.join(F.broadcast(factors), "months_on_book", "left").join(F.broadcast(average), "months_on_book", "left")
-    whole = Window.partitionBy("vintage")
-    run = whole.orderBy("months_on_book").rowsBetween(Window.unboundedPreceding, 0)
+    done = F.col("max_observed_mob") >= maturity
+    whole, age = Window.partitionBy("vintage"), Window.partitionBy("months_on_book")
+    order = whole.orderBy("months_on_book")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    full = table.withColumn("_next", F.when(done, F.lead("cumulative_loss").over(order)))
+    of_pairs = lambda c: F.sum(F.when(F.col("_next").isNotNull(), F.col(c))).over(age)
+    full = full.withColumns({"_top": of_pairs("_next"), "_bottom": of_pairs("cumulative_loss"), "average_rate": F.avg(F.when(done, F.col("cumulative_loss_rate"))).over(age)})
+    # The factor from an age to the next stands at the next one.
+    factor = F.when(F.col("_bottom") > 0, F.greatest(C.ratio("_top", "_bottom"), F.lit(1.0))).otherwise(1.0)
+    full = full.withColumn("_factor", F.coalesce(F.lag(factor).over(order), F.lit(1.0)))
     at_last = F.col("months_on_book") == F.col("max_observed_mob")
     # A vintage observed beyond maturity has its last observed age at maturity.
     at_last = at_last | ((F.col("max_observed_mob") > maturity) & (F.col("months_on_book") == maturity))
     full = full.withColumns({
         "_r": F.max(F.when(at_last, F.col("cumulative_loss_rate"))).over(whole),
         "_avg": F.max(F.when(at_last, F.col("average_rate"))).over(whole),
-        "_grow": F.exp(F.sum(F.when(F.col("is_observed"), F.lit(0.0)).otherwise(F.ln(F.coalesce("factor", F.lit(1.0))))).over(run)),
+        "_grow": F.exp(F.sum(F.when(F.col("is_observed"), F.lit(0.0)).otherwise(F.ln("_factor"))).over(run)),
     })
     scale = F.when(F.col("_avg") > 0, F.col("_r") / F.col("_avg")).when(F.col("_r") == 0, 0.0).otherwise(1.0)
     scaled = F.when(F.col("is_observed"), F.when(at_last, F.col("_r"))).otherwise(F.greatest(F.coalesce("average_rate", F.lit(0.0)) * scale, F.col("_r")))
@@ -122,15 +137,36 @@ def project(table: DataFrame, maturity: int) -> DataFrame:
 
 
 def ultimates(projected: DataFrame, maturity: int) -> DataFrame:
-    """(vintage, status, max_observed_mob, original_balance, last observed rate and both ultimates)."""
-    last = projected.groupBy("vintage").agg(F.max("cumulative_loss_rate").alias("observed_rate"))
-    end = projected.where(F.col("months_on_book") == maturity)
-    return end.join(last, "vintage").select(
+    """(vintage, status, max_observed_mob, original_balance, last observed rate and both ultimates), in one grouped pass."""
+    at_end = lambda c: F.max(F.when(F.col("months_on_book") == maturity, F.col(c))).alias(c)
+    rows = projected.groupBy("vintage", "max_observed_mob", "original_balance").agg(F.max("cumulative_loss_rate").alias("observed_rate"), at_end("chain_ladder_rate"), at_end("scaled_average_rate"))
+    return rows.select(
         "vintage", F.when(F.col("max_observed_mob") >= maturity, "Observed").otherwise("Projected").alias("status"), "max_observed_mob", "original_balance",
         "observed_rate", F.col("chain_ladder_rate").alias("chain_ladder_ultimate"), F.col("scaled_average_rate").alias("scaled_average_ultimate"),
     )
 
 
+DENOMINATORS = ("original_balance", "average_outstanding")
+
+
+def ultimate_table(tri: DataFrame, maturity: int) -> DataFrame:
+    """ultimates() under both denominators side by side: names end in the denominator's."""
+    both = None
+    for name in DENOMINATORS:
+        one = ultimates(project(curves(tri, maturity, name), maturity), maturity)
+        rates = ("observed_rate", "chain_ladder_ultimate", "scaled_average_ultimate")
+        one = one.select(*(["vintage"] if both is not None else ["vintage", "status", "max_observed_mob", "original_balance"]), *[F.col(c).alias(f"{c}_{name}") for c in rates])
+        both = one if both is None else both.join(one, "vintage")
+    return both
+
+
+def backtest_pairs(early: DataFrame, later: DataFrame, maturity: int, method: str = "chain_ladder_ultimate") -> DataFrame:
+    """(vintage, era, projected, actual) of the vintages projected early whose maturity the later triangle has observed."""
+    done = later.where((F.col("max_observed_mob") >= maturity) & (F.col("months_on_book") <= maturity)).groupBy("vintage").agg(C.ratio(F.sum("net_chargeoff_dollars"), F.max("original_balance")).alias("actual"))
+    rows = early.where("status = 'Projected'").join(done, "vintage")
+    return rows.select("vintage", C.era(F.substring("vintage", 1, 4).cast("int")).alias("era"), F.col(method).alias("projected"), "actual")
+
+
 def portfolio_ultimate(table: DataFrame) -> DataFrame:
     weight = F.col("original_balance").cast("double")
     return table.agg(*[C.ratio(F.sum(F.col(c) * weight), F.sum(weight)).alias(c) for c in ("chain_ladder_ultimate", "scaled_average_ultimate")], F.count("*").alias("vintages"))

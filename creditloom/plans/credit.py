@@ -15,8 +15,8 @@ from creditloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-HORIZON = 12
-SEGMENT_LGD = 0.45
+#: Months of the lens's macro series after its cutoff that a forecast follows, as the reference job's.
+HORIZON = 119
 
 
 def query(sql: str | None = None):
@@ -175,12 +175,17 @@ def exit_counts_zero_filled(x: L.Lens) -> DataFrame:
 CUBE = """cube as (
   select delinquency_state, next_delinquency_state, months_on_book, score_band, as_of_month, count(*) as transition_count from panel where not is_censored and next_delinquency_state is not null group by all)"""
 STATES = "states as (select unnest(['Current','DPD30','DPD60','DPD90','DPD120','DPD150','ChargeOff','Prepaid','Repurchased']) as state)"
-MATRIX = f"""{STATES},
-sums as (select delinquency_state as origin, next_delinquency_state as destination, sum(transition_count) as n from cube group by all),
-matrix as (
+
+
+def _matrix_sql(before: str = "", where: str = "true") -> str:
+    return f"""{before}sums as (select delinquency_state as origin, next_delinquency_state as destination, sum(transition_count) as n from cube where {where} group by all),
+{before}matrix as (
   select a.state as origin, b.state as destination, cast(coalesce(n, 0) as bigint) as n,
     case when a.state in ('ChargeOff', 'Prepaid', 'Repurchased') or sum(coalesce(n, 0)) over (partition by a.state) = 0 then cast(a.state = b.state as double) else cast(coalesce(n, 0) as double) / sum(coalesce(n, 0)) over (partition by a.state) end as probability
-  from states a cross join states b left join sums s on s.origin = a.state and s.destination = b.state)"""
+  from states a cross join states b left join {before}sums s on s.origin = a.state and s.destination = b.state)"""
+
+
+MATRIX = f"{STATES}, {_matrix_sql()}"
 
 
 @query(f"with {L.ALL}, {CUBE} select * from cube")
@@ -208,9 +213,9 @@ def _shares(name: str, where: str) -> str:
 j as (select origin, destination, coalesce(a.p, 0) as p0, coalesce(b.p, 0) as p1, max(b.n) over (partition by origin) as n1 from a full join b using (origin, destination))
 select origin, destination, round(p0, 6) as p0, round(p1, 6) as p1, round((p1 - p0) * 10000, 4) as change_bps, case when p0 > 0 and p0 < 1 then round((p1 - p0) / sqrt(p0 * (1 - p0) / n1), 4) end as residual from j""")
 def transition_stability(x: L.Lens) -> DataFrame:
-    counts = transitions.cube(x.shared_panel())
-    split = F.lit("1998-01-01").cast("date")
-    return _round(monitoring.transition_stability(counts.where(F.col("as_of_month") < split), counts.where(F.col("as_of_month") >= split)), change_bps=4, residual=4)
+    early = (F.col("as_of_month") < F.lit("1998-01-01").cast("date")).alias("early")
+    counts = L.local(transitions.cube(x.panel()).groupBy("delinquency_state", "next_delinquency_state", early).agg(F.sum("transition_count").alias("transition_count")))
+    return _round(monitoring.transition_stability(counts.where("early"), counts.where("not early")), change_bps=4, residual=4)
 
 
 @query(f"""with {L.ALL}, {CUBE}, {MATRIX},
@@ -220,8 +225,9 @@ j as (select period, origin, destination, coalesce(r.n, 0) as realised, coalesce
 g as (select coalesce(cast(period as varchar), 'Total') as period, origin, destination, sum(realised) as realised, sum(expected) as expected from j group by grouping sets ((period, origin, destination), (origin, destination)))
 select period, origin, destination, cast(realised as bigint) as realised, round(expected, 6) as expected, round(cast(realised as double) / sum(realised) over (partition by period, origin), 6) as realised_share, round(expected / sum(expected) over (partition by period, origin), 6) as expected_share from g""")
 def transition_backtest(x: L.Lens) -> DataFrame:
-    counts = transitions.cube(x.shared_panel())
-    realised = counts.groupBy(F.year("as_of_month").alias("period"), F.col("delinquency_state").alias("origin"), F.col("next_delinquency_state").alias("destination")).agg(F.sum("transition_count").alias("n"))
+    states = ("delinquency_state", "next_delinquency_state")
+    counts = L.local(transitions.cube(x.panel()).groupBy(F.year("as_of_month").alias("period"), *states).agg(F.sum("transition_count").alias("transition_count")))
+    realised = counts.select("period", F.col(states[0]).alias("origin"), F.col(states[1]).alias("destination"), F.col("transition_count").alias("n"))
     at_origin = realised.groupBy("period", "origin").agg(F.sum("n").alias("k"))
     table = F.broadcast(transitions.matrix(counts, x.settings).select("origin", "destination", "probability"))  # states by states
     expected = at_origin.join(table, "origin").select("period", "origin", "destination", (F.col("k") * F.col("probability")).alias("n"))
@@ -273,7 +279,7 @@ ult as (
 
 
 def _curves(x: L.Lens, cutoff: str | None = L.CUTOFF) -> DataFrame:
-    return vintage.curves(vintage.triangle(x.shared_panel(), x.acquisition(), "quarterly", cutoff), L.MATURITY).persist()
+    return vintage.curves(vintage.triangle(x.panel(), x.acquisition(), "quarterly", cutoff), L.MATURITY)
 
 
 def _ultimates(x: L.Lens, cutoff: str | None = L.CUTOFF) -> DataFrame:
@@ -327,12 +333,33 @@ select coalesce(era, 'overall') as era, count(*) as vintages, round(avg(e), 6) a
 def vintage_backtest_metrics(x: L.Lens) -> DataFrame:
     """Ultimates as projected half a year earlier, against what came."""
     early = _ultimates(x, _EARLY)
-    tri = vintage.triangle(x.shared_panel(), x.acquisition(), "quarterly")
+    tri = vintage.triangle(x.panel(), x.acquisition(), "quarterly")
     actual = tri.groupBy("vintage").agg(C.ratio(F.sum(F.when(F.col("months_on_book") <= L.MATURITY, F.col("net_chargeoff_dollars"))), F.max("original_balance")).alias("actual"))
     pairs = early.join(actual, "vintage").select(F.substring("vintage", 1, 4).alias("era"), F.col("chain_ladder_ultimate").alias("projected"), "actual")
     return _round(vintage.backtest(pairs))
 
 
+@query(f"""with {L.ALL}, {_triangle_sql(_QUARTER, _EARLY)}, {CURVES}, {FACTORS}, {PROJECT},
+later as (select * from (with {_triangle_sql(_QUARTER, None)} select vintage, sum(net_chargeoff_dollars) filter (where months_on_book <= {L.MATURITY})::double / max(original_balance) as actual from tri where max_observed_mob >= {L.MATURITY} group by 1))
+select vintage, case when substr(vintage, 1, 4)::int < 2008 then 'pre-2008' when substr(vintage, 1, 4)::int <= 2010 then '2008-2010' else '2011+' end as era, round(chain_ladder_ultimate, 6) as projected, round(actual, 6) as actual from ult join later using (vintage) where status = 'Projected'""")
+def vintage_backtest_pairs(x: L.Lens) -> DataFrame:
+    """The projected vintages that have reached maturity since."""
+    return _round(vintage.backtest_pairs(_ultimates(x, _EARLY), vintage.triangle(x.panel(), x.acquisition(), "quarterly"), L.MATURITY))
+
+
+_AVERAGE = """curves_ao as (
+  select g.vintage, g.months_on_book, g.original_balance, g.max_observed_mob, g.months_on_book <= g.max_observed_mob as is_observed,
+    case when g.months_on_book <= g.max_observed_mob then cast(sum(coalesce(net_chargeoff_dollars, 0)) over w as double) end as cumulative_loss, cast(avg(balance_active) over w as double) as bottom
+  from grid g left join tri t on g.vintage = t.vintage and g.months_on_book = t.months_on_book window w as (partition by g.vintage order by g.months_on_book rows unbounded preceding))"""
+
+
+@query(f"with {L.ALL}, {TRI}, {CURVES}, {_AVERAGE} select vintage, months_on_book, is_observed, cumulative_loss, round(cumulative_loss / nullif(bottom, 0), 6) as cumulative_loss_rate from curves_ao")
+def vintage_curves_average_outstanding(x: L.Lens) -> DataFrame:
+    """Rates over the mean outstanding balance so far."""
+    table = vintage.curves(vintage.triangle(x.panel(), x.acquisition(), "quarterly", L.CUTOFF), L.MATURITY, "average_outstanding")
+    return _round(table.select("vintage", "months_on_book", "is_observed", "cumulative_loss", "cumulative_loss_rate"))
+
+
 @query(f"""with {L.ALL}, b as (select case when vintage_year < 2008 then 'pre-2008' when vintage_year <= 2010 then '2008-2010' else '2011+' end as era, upb_bom, greatest(upb_bom - coalesce(net_sales_proceeds, 0) + coalesce(foreclosure_costs, 0), 0) as loss from panel where exit_reason = 'ChargeOff')
 select era, count(*) as accounts, cast(sum(upb_bom) as double) as balance, cast(sum(loss) as double) as loss, round(sum(loss)::double / sum(upb_bom)::double, 6) as lgd from b group by 1""")
 def lgd_by_era(x: L.Lens) -> DataFrame:
@@ -341,10 +368,16 @@ def lgd_by_era(x: L.Lens) -> DataFrame:
 
 # Loss given default -----------------------------------------------------------------------------------------------
 
-OBS = """obs as (select score_band, hpi_change_yoy, vintage, cast(upb_bom as double) as w, least(greatest((coalesce(net_sales_proceeds, 0)::double - coalesce(foreclosure_costs, 0)::double) / upb_bom::double, 0), 1) as y from panel where exit_reason = 'ChargeOff' and upb_bom > 0),
-wls as (select score_band, count(*) as n, count(distinct hpi_change_yoy) as levels, sum(w) as w, sum(w * hpi_change_yoy) as wx, sum(w * y) as wy, sum(w * hpi_change_yoy * hpi_change_yoy) as wxx, sum(w * hpi_change_yoy * y) as wxy from obs group by 1),
-lgdm as (select *, n < 20 or levels < 2 as is_fallback, case when n < 20 or levels < 2 then 0::double else (w * wxy - wx * wy) / (w * wxx - wx * wx) end as slope from wls),
-coefs as (select score_band, n, case when is_fallback then 0.55::double else (wy - slope * wx) / w end as intercept, slope, is_fallback from lgdm)"""
+
+
+def _obs_sql(before: str = "", where: str = "") -> str:
+    return f"""{before}obs as (select score_band, hpi_change_yoy, vintage, cast(upb_bom as double) as w, least(greatest((coalesce(net_sales_proceeds, 0)::double - coalesce(foreclosure_costs, 0)::double) / upb_bom::double, 0), 1) as y from panel where exit_reason = 'ChargeOff' and upb_bom > 0 {where}),
+{before}wls as (select score_band, count(*) as n, count(distinct hpi_change_yoy) as levels, sum(w) as w, sum(w * hpi_change_yoy) as wx, sum(w * y) as wy, sum(w * hpi_change_yoy * hpi_change_yoy) as wxx, sum(w * hpi_change_yoy * y) as wxy from {before}obs group by 1),
+{before}lgdm as (select *, n < 20 or levels < 2 as is_fallback, case when n < 20 or levels < 2 then 0::double else (w * wxy - wx * wy) / (w * wxx - wx * wx) end as slope from {before}wls),
+{before}coefs as (select score_band, n, case when is_fallback then 0.55::double else (wy - slope * wx) / w end as intercept, slope, is_fallback from {before}lgdm)"""
+
+
+OBS = _obs_sql()
 
 
 @query(f"with {L.ALL}, {OBS} select score_band, n, round(intercept, 5) as intercept, round(slope, 5) as slope, is_fallback from coefs")
@@ -356,118 +389,251 @@ def lgd_wls_coefficients(x: L.Lens) -> DataFrame:
   round(sum((1 - y) * w) / sum(w), 5) as actual_lgd, round(sum(coalesce(1 - least(greatest(intercept + slope * hpi_change_yoy, 0), 1), 0.45) * w) / sum(w), 5) as predicted_lgd
 from (select o.*, c.intercept, c.slope from obs o left join coefs c using (score_band)) group by 1""")
 def lgd_validation(x: L.Lens) -> DataFrame:
-    rows = lgd.observations(x.shared_panel())
-    return _round(lgd.validation(rows, lgd.fit(rows), x.settings), 5)
+    with L.kept(lgd.observations(x.panel()).select("score_band", "vintage", "hpi_change_yoy", "upb_bom", "recovery")) as rows:
+        return L.local(_round(lgd.validation(rows, lgd.fit(rows), x.settings), 5))
 
 
 # Segments, forecasts, expected loss -------------------------------------------------------------------------------
 
-SEGS = f"""lastrow as (select * from (select *, row_number() over (partition by loan_id order by as_of_month desc) as rn from panel where as_of_month <= date '{L.CUTOFF}') where rn = 1),
-act as (
-  select l.loan_id, l.score_band, l.vintage_year, l.delinquency_state, l.months_on_book, greatest(coalesce(upb_eom, upb_bom)::double, 0) as b, a.orig_interest_rate, a.original_term
-  from lastrow l left join acq a using (loan_id) where coalesce(exit_reason in ('ChargeOff', 'Prepaid', 'Repurchased'), false) = false),
+SEGS = f"""act as (
+  select p.loan_id, p.score_band, p.vintage_year, delinquency_state, months_on_book, greatest(coalesce(upb_eom, upb_bom)::double, 0) as b, a.orig_interest_rate, a.original_term
+  from panel p left join acq a using (loan_id) where as_of_month = date '{L.CUTOFF}' and (exit_reason is null or exit_reason not in ('ChargeOff', 'Prepaid', 'Repurchased', 'Censored'))),
 pos as (select * from act where b > 0),
 mix as (select score_band, vintage_year, delinquency_state, sum(b) as sb from pos group by all),
 segs as (
   select score_band || '|' || cast(vintage_year as varchar) as segment_id, score_band, vintage_year, sum(b) as balance, count(*) as loans, cast(round_even(sum(b * months_on_book) / sum(b), 0) as integer) as start_mob,
-    sum(b * orig_interest_rate) / sum(b) as annual_interest_rate, cast(round_even(sum(b * greatest(original_term - months_on_book, 0)) / sum(b), 0) as integer) as remaining_term_months
+    sum(b * orig_interest_rate) / sum(b) as annual_interest_rate, greatest(cast(round_even(sum(b * greatest(original_term - months_on_book, 1)) / sum(b), 0) as integer), 1) as remaining_term_months
   from pos group by score_band, vintage_year),
 init as (select segment_id, delinquency_state as state, sb / balance as p from mix join segs using (score_band, vintage_year))"""
-PATH = f"""f(segment_id, month, state, p) as (
-  select segment_id, 0, state, p from init
-  union all
-  select f.segment_id, f.month + 1, m.destination, sum(f.p * m.probability) from f join matrix m on f.state = m.origin where f.month < {HORIZON} and m.probability > 0 group by 1, 2, 3),
-path as (select s.segment_id, cast(t.month as integer) as month, z.state, coalesce(f.p, 0) as p from segs s cross join (select unnest(range(1, {HORIZON + 1})) as month) t cross join states z left join f on f.segment_id = s.segment_id and f.month = t.month and f.state = z.state),
-mpd as (select segment_id, month, p - coalesce(lag(p) over (partition by segment_id order by month), (select max(i.p) from init i where i.segment_id = path.segment_id and i.state = 'ChargeOff'), 0) as marginal_pd from path where state = 'ChargeOff'),
-amort as (
-  select segment_id, month, case when month - 1 >= n then 0 when r = 0 then b * (1 - (month - 1) / n) else b * (pow(1 + r / 12, n) - pow(1 + r / 12, month - 1)) / (pow(1 + r / 12, n) - 1) end as exposure
-  from (select segment_id, balance as b, annual_interest_rate as r, remaining_term_months::double as n, cast(unnest(range(1, {HORIZON + 1})) as integer) as month from segs)),
-detail as (
-  select s.segment_id, month, score_band, vintage_year, balance, marginal_pd, exposure, {SEGMENT_LGD}::double as lgd, marginal_pd * balance as d, marginal_pd * exposure as e, marginal_pd * exposure * {SEGMENT_LGD}::double as l,
-    marginal_pd * exposure * {SEGMENT_LGD}::double / pow(1.05::double, month / 12.0::double) as ecl
-  from mpd join amort using (segment_id, month) join segs s using (segment_id))"""
-FORECAST = f"with recursive {L.ALL}, {CUBE}, {MATRIX}, {SEGS}, {PATH}"
 
 
-def _segments(x: L.Lens, rows: DataFrame) -> DataFrame:
-    return ecl.segments(ecl.active_at(rows, L.CUTOFF, x.settings), x.acquisition()).persist()
-
-
-def _matrices(x: L.Lens, rows: DataFrame, segs: DataFrame) -> DataFrame:
-    """The empirical matrix for every segment."""
-    table = transitions.matrix(transitions.cube(rows), x.settings).select("origin", "destination", F.col("probability").alias("p"))
-    return segs.select("segment_id", F.lit(1).alias("step")).crossJoin(F.broadcast(table))  # states by states for each segment
+def _path_sql(matrix: str, f: str = "f", path: str = "path") -> str:
+    """The pooled matrix carried over the horizon."""
+    return f"""{f}(segment_id, month, state, p) as (
+  select segment_id, 0, state, p from init
+  union all
+  select f.segment_id, f.month + 1, m.destination, sum(f.p * m.probability) from {f} f join {matrix} m on f.state = m.origin where f.month < {HORIZON} and m.probability > 0 group by 1, 2, 3),
+{path} as (select s.segment_id, cast(t.month as integer) as month, z.state, coalesce(f.p, 0) as p from segs s cross join (select unnest(range(1, {HORIZON + 1})) as month) t cross join states z left join {f} f on f.segment_id = s.segment_id and f.month = t.month and f.state = z.state)"""
 
 
-def _detail(x: L.Lens) -> tuple[DataFrame, DataFrame]:
-    rows = x.shared_panel()
-    segs = _segments(x, rows)
-    path = forecast.forecast(segs, _matrices(x, rows, segs), x.settings.states, HORIZON)
-    return ecl.lifetime(segs, forecast.marginal_default(path, segs), segs.select("segment_id", F.lit(SEGMENT_LGD).alias("lgd")), HORIZON, 0.05), segs
+AMORT = f"""amort as (
+  select segment_id, month, case when month - 1 >= n then 0 when r = 0 then b * (1 - (month - 1) / n) else b * (pow(1 + r / 12, n) - pow(1 + r / 12, month - 1)) / (pow(1 + r / 12, n) - 1) end as exposure
+  from (select segment_id, balance as b, annual_interest_rate as r, remaining_term_months::double as n, cast(unnest(range(1, {HORIZON + 1})) as integer) as month from segs))"""
+FORECAST = f"with recursive {L.ALL}, {CUBE}, {MATRIX}, {SEGS}, {_path_sql('matrix')}"
+
+# A conditional model with stated coefficients, so that another engine can follow it: (origin, destination, lag, intercept,
+# score risk, positive score risk, excess unemployment, three-month change, house prices). Fixed values of these queries.
+COEFFICIENTS = [
+    ("Current", "Current", 1, 2.6, -0.30, -0.20, -0.10, -0.20, 1.0),
+    ("Current", "DPD30", 1, 0.4, 0.35, 0.25, 0.15, 0.20, -1.5),
+    ("Current", "Prepaid", 1, -0.6, -0.10, -0.05, -0.08, -0.10, 2.0),
+    ("DPD30", "Current", 0, 0.8, -0.20, -0.10, -0.05, -0.10, 0.8),
+    ("DPD30", "DPD30", 0, 0.3, 0.05, 0.05, 0.02, 0.05, 0.1),
+    ("DPD30", "DPD60", 0, 0.2, 0.20, 0.15, 0.10, 0.10, -0.9),
+    ("DPD60", "DPD30", 3, 0.5, -0.15, -0.10, -0.06, -0.08, 0.6),
+    ("DPD60", "DPD60", 3, 0.2, 0.02, 0.02, 0.01, 0.02, 0.0),
+    ("DPD60", "DPD90", 3, 0.4, 0.15, 0.12, 0.08, 0.09, -0.7),
+    ("DPD90", "DPD60", 6, 0.3, -0.12, -0.08, -0.05, -0.06, 0.5),
+    ("DPD90", "DPD90", 6, 0.1, 0.01, 0.01, 0.01, 0.01, 0.0),
+    ("DPD90", "DPD120", 6, 0.6, 0.12, 0.10, 0.07, 0.07, -0.6),
+    ("DPD120", "DPD90", 1, 0.2, -0.10, -0.06, -0.04, -0.05, 0.4),
+    ("DPD120", "DPD120", 1, 0.0, 0.0, 0.0, 0.01, 0.01, 0.0),
+    ("DPD120", "DPD150", 1, 0.8, 0.10, 0.08, 0.06, 0.06, -0.5),
+    ("DPD150", "DPD120", 0, 0.1, -0.08, -0.05, -0.03, -0.04, 0.3),
+    ("DPD150", "DPD150", 0, -0.1, 0.0, 0.0, 0.0, 0.0, 0.0),
+    ("DPD150", "ChargeOff", 0, 1.1, 0.08, 0.06, 0.05, 0.05, -0.4),
+]
+
+
+def _timed(column: str) -> str:
+    return "case lag when 0 then " + column + "".join(f" when {n} then {column}_lag_{n}" for n in L.SETTINGS.macro_lags) + " end"
+
+
+def _model_sql(paths: str) -> str:
+    """Matrices, default, exposure and loss by segment and month along paths: SQL of (scenario, step, macro columns)."""
+    rows = ", ".join(f"('{o}', '{d}', {lag}, " + ", ".join(f"{v}::double" for v in values) + ")" for o, d, lag, *values in COEFFICIENTS)
+    return f"""coef as (select * from (values {rows}) as v(origin, destination, lag, c0, cs, cp, cu, cd, ch)),
+mpath as ({paths}),
+risk as (select segment_id, score_band, least(greatest((700 - (cast(substr(score_band, 6, 3) as double) + cast(substr(score_band, 10, 3) as double)) / 2) / 100, -0.8), 1.8)::double as r from segs),
+zs as (
+  select scenario, segment_id, step, origin, destination, c0 + cs * r + cp * greatest(r, 0) + cu * greatest({_timed("unemployment_rate")} - {L.SETTINGS.unemployment_hinge}, 0) + cd * {_timed("unemployment_change_3m")} + ch * {_timed("hpi_change_yoy")} as z
+  from risk cross join mpath cross join coef),
+es as (select *, exp(z - max(z) over (partition by scenario, segment_id, step, origin)) as e from zs),
+qs as (select *, e / sum(e) over (partition by scenario, segment_id, step, origin) as q from es),
+hz as (select coalesce(sum(transition_count) filter (where delinquency_state like 'DPD%' and next_delinquency_state = 'Prepaid') / cast(sum(transition_count) filter (where delinquency_state like 'DPD%') as double), 0) as pre,
+  coalesce(sum(transition_count) filter (where next_delinquency_state = 'Repurchased') / cast(sum(transition_count) as double), 0) as rep from cube where delinquency_state not in ('ChargeOff', 'Prepaid', 'Repurchased')),
+live as (
+  select scenario, segment_id, step, origin, destination, q * (1 - rep - case when origin <> 'Current' then pre else 0 end) as q from qs cross join hz
+  union all select distinct scenario, segment_id, step, origin, 'Repurchased', rep from qs cross join hz
+  union all select distinct scenario, segment_id, step, origin, 'Prepaid', pre from qs cross join hz where origin <> 'Current'),
+cm as (
+  select scenario, segment_id, step, origin, destination, sum(q) as p from live group by all
+  union all select scenario, segment_id, step, state, state, 1.0::double from (select distinct scenario, segment_id, step from qs) cross join (values ('ChargeOff'), ('Prepaid'), ('Repurchased')) as v(state)),
+cf(scenario, segment_id, month, state, p) as (
+  select scenario, segment_id, 0, state, p from init cross join (select distinct scenario from mpath)
+  union all
+  select f.scenario, f.segment_id, f.month + 1, m.destination, sum(f.p * m.p) from cf f join cm m on m.scenario = f.scenario and m.segment_id = f.segment_id and m.step = f.month + 1 and m.origin = f.state where f.month < {HORIZON} group by 1, 2, 3, 4),
+cpath as (
+  select n.scenario, s.segment_id, cast(t.month as integer) as month, z.state, coalesce(f.p, 0) as p from segs s cross join (select distinct scenario from mpath) n cross join (select unnest(range(1, {HORIZON + 1})) as month) t cross join states z
+  left join cf f on f.scenario = n.scenario and f.segment_id = s.segment_id and f.month = t.month and f.state = z.state),
+mpd as (select scenario, segment_id, month, p - coalesce(lag(p) over (partition by scenario, segment_id order by month), (select max(i.p) from init i where i.segment_id = cpath.segment_id and i.state = 'ChargeOff'), 0) as marginal_pd from cpath where state = 'ChargeOff'),
+{AMORT},
+price as (select m.scenario, s.segment_id, m.step as month, coalesce(1 - least(greatest(c.intercept + c.slope * m.hpi_change_yoy, 0), 1), {L.SETTINGS.fallback_lgd}) as lgd from segs s cross join mpath m left join coefs c using (score_band)),
+detail as (
+  select d.scenario, s.segment_id, d.month, s.score_band, s.vintage_year, s.balance, marginal_pd, exposure, lgd, marginal_pd * balance as d, marginal_pd * exposure as e, marginal_pd * exposure * lgd as l,
+    marginal_pd * exposure * lgd / pow({1 + L.SETTINGS.discount_rate}::double, d.month / 12.0::double) as ecl
+  from mpd d join amort using (segment_id, month) join price p on p.scenario = d.scenario and p.segment_id = d.segment_id and p.month = d.month join segs s on s.segment_id = d.segment_id)"""
+
+
+_OBSERVED = f"select 'observed' as scenario, cast((year(as_of_month) - {L.CUTOFF[:4]}) * 12 + month(as_of_month) - {int(L.CUTOFF[5:7])} as integer) as step, * from macro where as_of_month > date '{L.CUTOFF}' and as_of_month <= date '{L.CUTOFF}' + to_months({HORIZON})"
+LOSS = f"with recursive {L.ALL}, {CUBE}, {MATRIX}, {SEGS}, {OBS}, {_model_sql(_OBSERVED)}"
+PARTS = ("loan_id", "as_of_month", "vintage", "vintage_year", "months_on_book", "delinquency_state", "next_delinquency_state", "upb_bom", "upb_eom", "score_band", "net_sales_proceeds", "foreclosure_costs", "exit_reason", "is_censored", "hpi_change_yoy")
+UNTIL = "2011-05-01"
+
+
+class Parts:
+    """The report-sized tables that forecasts start from, drawn from one pass over the panel: its columns in need are kept for it."""
+
+    def __init__(self, x: L.Lens, *wanted: str):
+        s = x.settings
+        draw = {
+            "segs": lambda rows: ecl.segments(ecl.active_at(rows, L.CUTOFF, s), x.acquisition()),
+            "matrix": lambda rows: transitions.matrix(transitions.cube(rows), s),
+            "early_matrix": lambda rows: transitions.matrix(transitions.cube(rows.where(F.col("as_of_month") <= F.lit(L.CUTOFF).cast("date"))), s),
+            "hazards": lambda rows: transitions.hazards(transitions.cube(rows), s),
+            "coefs": lambda rows: lgd.fit(lgd.observations(rows), fallback_lgd=s.fallback_lgd),
+            "early_coefs": lambda rows: lgd.fit(lgd.observations(rows.where(F.col("as_of_month") <= F.lit(L.CUTOFF).cast("date"))), fallback_lgd=s.fallback_lgd),
+            "found": lambda rows: attribution.realised(rows, ecl.active_at(rows, L.CUTOFF, s), L.CUTOFF, UNTIL),
+            "ultimates": lambda rows: vintage.ultimates(vintage.project(vintage.curves(vintage.triangle(rows, x.acquisition(), "quarterly", L.CUTOFF), L.MATURITY), L.MATURITY), L.MATURITY),
+        }
+        self.x = x
+        panel = x.panel().select(*PARTS)
+        if len(wanted) == 1:
+            self.tables = {wanted[0]: L.local(draw[wanted[0]](panel))}
+        else:
+            with L.kept(panel) as rows:
+                self.tables = {w: L.local(draw[w](rows)) for w in wanted}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.tables[name]
+
+    def pooled(self, table: DataFrame) -> DataFrame:
+        """One matrix for every segment and month."""
+        cells = table.select("origin", "destination", F.col("probability").alias("p"))
+        return self.segs.select("segment_id", F.lit(1).alias("step")).crossJoin(F.broadcast(cells))  # states by states for each segment
+
+    def model(self) -> conditional.ConditionalModel:
+        """The model of COEFFICIENTS with the panel's pooled hazards."""
+        s, sets = self.x.settings, conditional.candidates(self.x.settings)
+        origins = {}
+        for origin in dict.fromkeys(c[0] for c in COEFFICIENTS):
+            own = [c for c in COEFFICIENTS if c[0] == origin]
+            macros = sets[own[0][2]]
+            features = ["score_risk", "score_risk_positive", f"{macros[0]}_excess", macros[1], macros[2]]
+            origins[origin] = conditional.OriginModel(origin, [c[1] for c in own], {}, own[0][2], 0.0, macros, features, [c[1] for c in own], tuple(tuple(c[3:]) for c in own))
+        h = self.hazards.first()
+        return conditional.ConditionalModel(s, origins, h.repurchase, h.delinquent_prepay, dict.fromkeys([*macro.VALUES, *macro.lag_columns(s.macro_lags)], 0.0), [])
+
+    def observed(self) -> DataFrame:
+        """The macro months after the cutoff as a path (step, macro columns)."""
+        cutoff = F.lit(L.CUTOFF).cast("date")
+        rows = self.x.macro_features().withColumn("step", F.months_between("as_of_month", cutoff).cast("int"))
+        return L.local(rows.where(F.col("step").between(1, HORIZON)))
+
+    def detail(self, path: DataFrame | None = None) -> DataFrame:
+        path = self.observed() if path is None else path
+        return ecl.expected_loss(self.model().matrices(self.segs, path, HORIZON), self.coefs, self.segs, path, HORIZON, self.x.settings)
+
+
+@query(f"with {L.ALL}, {SEGS} select loan_id, score_band, vintage_year, delinquency_state, months_on_book, b as exposure from act")
+def active_at_cutoff(x: L.Lens) -> DataFrame:
+    """The loans that a forecast from the cutoff holds."""
+    rows = ecl.active_at(x.panel(), L.CUTOFF, x.settings)
+    return rows.select("loan_id", "score_band", "vintage_year", "delinquency_state", "months_on_book", ecl.exposure().alias("exposure"))
+
+
+@query(f"with {L.ALL}, {SEGS} select year(as_of_month) as year, count(*) as \"rows\", count(distinct loan_id) as loans from panel where loan_id in (select loan_id from act) group by 1")
+def active_histories(x: L.Lens) -> DataFrame:
+    """All months of those loans, by year."""
+    rows = ecl.active_panel(x.panel().select(*PARTS), L.CUTOFF, x.settings)
+    return rows.groupBy(F.year("as_of_month").alias("year")).agg(F.count("*").alias("rows"), F.countDistinct("loan_id").alias("loans"))
 
 
 @query(f"""with {L.ALL}, {SEGS} select segment_id, score_band, vintage_year, round(balance, 2) as balance, loans, start_mob, round(annual_interest_rate, 6) as annual_interest_rate, remaining_term_months, state, round(p, 6) as p from segs join init using (segment_id)""")
 def ecl_segments(x: L.Lens) -> DataFrame:
-    segs = _segments(x, x.panel())
+    segs = ecl.segments(ecl.active_at(x.panel(), L.CUTOFF, x.settings), x.acquisition())
     rows = segs.select(*[c for c in segs.columns if c != "initial_state"], F.explode("initial_state").alias("state", "p"))
     return _round(rows, balance=2)
 
 
-@query(f"{FORECAST} select segment_id, month, round(exposure, 2) as exposure from amort")
+@query(f"with {L.ALL}, {SEGS}, {AMORT} select segment_id, month, round(exposure, 2) as exposure from amort")
 def amortization_schedule(x: L.Lens) -> DataFrame:
-    return _round(ecl.amortization(_segments(x, x.panel()), HORIZON), 2)
+    return _round(ecl.amortization(ecl.segments(ecl.active_at(x.panel(), L.CUTOFF, x.settings), x.acquisition()), HORIZON), 2)
 
 
 @query(f"{FORECAST} select segment_id, month, state, round(p, 6) as p from path")
 def markov_forecast(x: L.Lens) -> DataFrame:
-    rows = x.shared_panel()
-    segs = _segments(x, rows)
-    return _round(forecast.forecast(segs, _matrices(x, rows, segs), x.settings.states, HORIZON))
+    """The empirical matrix, the same for every segment and month."""
+    parts = Parts(x, "segs", "matrix")
+    return _round(forecast.forecast(parts.segs, parts.pooled(parts.matrix), x.settings.states, HORIZON))
 
 
 @query(f"{FORECAST} select p.month, p.state, round(sum(p.p * s.balance) / sum(s.balance), 6) as p, round(sum(s.balance), 2) as balance from path p join segs s using (segment_id) group by p.month, p.state")
 def portfolio_forecast(x: L.Lens) -> DataFrame:
-    rows = x.shared_panel()
-    segs = _segments(x, rows)
-    return _round(forecast.portfolio(forecast.forecast(segs, _matrices(x, rows, segs), x.settings.states, HORIZON), segs), balance=2)
+    parts = Parts(x, "segs", "matrix")
+    return _round(forecast.portfolio(forecast.forecast(parts.segs, parts.pooled(parts.matrix), x.settings.states, HORIZON), parts.segs), balance=2)
+
+
+@query(f"{LOSS} select segment_id, step, origin, destination, round(p, 6) as p from cm")
+def conditional_matrix(x: L.Lens) -> DataFrame:
+    """Each segment's matrix for each month ahead, by the model of COEFFICIENTS along the observed months."""
+    parts = Parts(x, "segs", "hazards")
+    return _round(parts.model().matrices(parts.segs, parts.observed(), HORIZON))
+
 
+@query(f"{LOSS} select segment_id, month, state, round(p, 6) as p from cpath")
+def conditional_forecast(x: L.Lens) -> DataFrame:
+    parts = Parts(x, "segs", "hazards")
+    return _round(forecast.forecast(parts.segs, parts.model().matrices(parts.segs, parts.observed(), HORIZON), x.settings.states, HORIZON))
 
-@query(f"{FORECAST} select segment_id, month, round(marginal_pd, 6) as marginal_pd, round(e, 2) as expected_default_exposure, round(ecl, 2) as ecl from detail")
+
+@query(f"{LOSS} select segment_id, month, round(marginal_pd, 6) as marginal_pd, round(lgd, 6) as lgd, round(e, 0) as expected_default_exposure, round(ecl, 0) as ecl from detail")
 def lifetime_ecl(x: L.Lens) -> DataFrame:
-    return _round(_detail(x)[0].select("segment_id", "month", "marginal_pd", "expected_default_exposure", "ecl"), expected_default_exposure=2, ecl=2)
+    rows = Parts(x, "segs", "hazards", "coefs").detail()
+    return _round(rows.select("segment_id", "month", "marginal_pd", "lgd", "expected_default_exposure", "ecl"), expected_default_exposure=0, ecl=0)
 
 
-@query(f"""{FORECAST} select score_band, round(sum(case when month = 1 then balance else 0 end), 2) as balance, round(sum(d) / sum(case when month = 1 then balance else 0 end), 6) as pd, round(sum(e) / sum(d), 6) as ead_share, round(sum(l) / sum(e), 6) as lgd, round(sum(ecl), 2) as ecl from detail group by 1""")
+@query(f"""{LOSS} select score_band, round(sum(case when month = 1 then balance else 0 end), 2) as balance, round(sum(d) / sum(case when month = 1 then balance else 0 end), 6) as pd, round(sum(e) / sum(d), 6) as ead_share, round(sum(l) / sum(e), 6) as lgd, round(sum(ecl), 0) as ecl from detail group by 1""")
 def ecl_by_score_band(x: L.Lens) -> DataFrame:
-    return _round(ecl.decompose(_detail(x)[0], "score_band"), balance=2, ecl=2)
+    return _round(ecl.decompose(Parts(x, "segs", "hazards", "coefs").detail(), "score_band"), balance=2, ecl=0)
 
 
-@query(f"""{FORECAST}, m as (select month, sum(d) as d, sum(e) as e, sum(l) as l, sum(ecl) as ecl from detail group by 1)
-select month, round(d, 2) as marginal_pd_dollars, round(e, 2) as expected_default_exposure, round(l, 2) as undiscounted_loss, round(ecl, 2) as ecl, round(sum(ecl) over (order by month rows unbounded preceding), 2) as cumulative_ecl from m""")
+@query(f"""{LOSS}, m as (select month, sum(d) as d, sum(e) as e, sum(l) as l, sum(ecl) as ecl from detail group by 1)
+select month, round(d, 0) as marginal_pd_dollars, round(e, 0) as expected_default_exposure, round(l, 0) as undiscounted_loss, round(ecl, 0) as ecl, round(sum(ecl) over (order by month rows unbounded preceding), 0) as cumulative_ecl from m""")
 def ecl_monthly_path(x: L.Lens) -> DataFrame:
-    return _round(ecl.monthly(_detail(x)[0]), 2)
+    return _round(ecl.monthly(Parts(x, "segs", "hazards", "coefs").detail()), 0)
 
 
 # Scenarios --------------------------------------------------------------------------------------------------------
 
 SCEN = """names as (select * from (values ('baseline', 0.0::double), ('adverse', 0.25::double), ('severe', 0.5::double)) as v(scenario, tilt)),
 quarters as (
-  select scenario, cast(2001 + (q + 3) // 4 as integer) as y, cast((q + 3) % 4 + 1 as integer) as k, 5.0::double + tilt * least(q, 8) as unemployment_rate, 200.0::double - tilt * 8 * least(q, 8) + q as house_price_index, q from names cross join range(0, 13) as r(q)),
-hist as (select cast(2000 + (q + 3) // 4 as integer) as y, cast((q + 3) % 4 + 1 as integer) as k, 190.0::double + q as house_price_index, q - 4 as q from range(0, 4) as r(q))"""
+  select scenario, cast(2001 + (q + 2) // 4 as integer) as y, cast((q + 2) % 4 + 1 as integer) as k, 5.0::double + tilt * least(q, 8) as unemployment_rate, 200.0::double - tilt * 8 * least(q, 8) + q as house_price_index, q from names cross join range(0, 13) as r(q)),
+hist as (select cast(2000 + (q + 2) // 4 as integer) as y, cast((q + 2) % 4 + 1 as integer) as k, 190.0::double + q as house_price_index, q - 4 as q from range(0, 4) as r(q))"""
 
 
 def _published(x: L.Lens) -> DataFrame:
-    """Three made-up scenarios from 2001-Q4, with four quarters of history before."""
+    """Three made-up scenarios from 2001-Q3, the quarter after the cutoff, with four quarters of history before."""
     q = x.spark.range(0, 13, 1, 1).withColumnRenamed("id", "q")
     names = x.spark.createDataFrame([("baseline", 0.0), ("adverse", 0.25), ("severe", 0.5)], "scenario string, tilt double")
-    label = lambda first: F.concat((first + F.floor((F.col("q") + 3) / 4)).cast("int").cast("string"), F.lit("Q"), ((F.col("q") + 3) % 4 + 1).cast("int").cast("string"))
+    label = lambda first: F.concat((first + F.floor((F.col("q") + 2) / 4)).cast("int").cast("string"), F.lit("Q"), ((F.col("q") + 2) % 4 + 1).cast("int").cast("string"))
     low = F.least(F.col("q"), F.lit(8))
     ahead = names.crossJoin(F.broadcast(q)).select(F.lit(2001).alias("vintage_year"), "scenario", label(F.lit(2001)).alias("quarter"), (F.lit(5.0) + F.col("tilt") * low).alias("unemployment_rate"), (F.lit(200.0) - F.col("tilt") * 8 * low + F.col("q")).alias("house_price_index"))
     past = q.where("q < 4").select(F.lit(2001).alias("vintage_year"), F.lit("historical").alias("scenario"), label(F.lit(2000)).alias("quarter"), F.lit(5.0).alias("unemployment_rate"), (F.lit(190.0) + F.col("q")).alias("house_price_index"))
     return ahead.unionByName(past)
 
 
-_TAIL = 24
+_TAIL = HORIZON - 39
 SCENPATH = f"""{SCEN},
 yoy as (
   select scenario, y, k, unemployment_rate, house_price_index / lag(house_price_index, 4) over (partition by scenario order by q) - 1 as hpi_change_yoy, q
@@ -479,13 +645,13 @@ longer as (
   select scenario, cast(m + to_months(cast(i as integer)) as date), 4.8::double + (u - 4.8::double) * pow(0.5::double, i / 24.0::double), 0.03::double + (h - 0.03::double) * pow(0.5::double, i / 24.0::double), false from ends cross join range(1, {_TAIL + 1}) as r(i)),
 joined as (
   select *, unemployment_rate - lag(unemployment_rate, 3) over (partition by scenario order by as_of_month) as unemployment_change_3m
-  from (select scenario, as_of_month, unemployment_rate, hpi_change_yoy, is_published, false as past from longer union all select scenario, as_of_month, unemployment_rate, hpi_change_yoy, null, true from series cross join names where as_of_month < date '2001-10-01' and as_of_month >= date '2000-10-01'))"""
+  from (select scenario, as_of_month, unemployment_rate, hpi_change_yoy, is_published, false as past from longer union all select scenario, as_of_month, unemployment_rate, hpi_change_yoy, null, true from series cross join names where as_of_month < date '2001-07-01' and as_of_month >= date '2000-07-01'))"""
 _SCEN_LAGS = ", ".join(f"round(lag({c}, {n}) over (partition by scenario order by as_of_month), 6) as {c}_lag_{n}" for n in L.SETTINGS.macro_lags for c in macro.VALUES)
 
 
 def _scenario_paths(x: L.Lens) -> DataFrame:
     monthly = scenarios.quarterly_to_monthly(scenarios.published(_published(x), 2001, 13))
-    history = x.macro().where("as_of_month < date '2001-10-01' and as_of_month >= date '2000-10-01'")
+    history = x.macro().where("as_of_month < date '2001-07-01' and as_of_month >= date '2000-07-01'")
     return scenarios.paths(scenarios.extend(monthly, 39 + _TAIL, x.settings), history, x.settings)
 
 
@@ -507,73 +673,110 @@ def _flow_sql(name: str, table: str) -> str:
 
 
 @query(f"""with recursive {L.ALL}, {CUBE}, {MATRIX}, {SEGS}, {_TILTED}, {_flow_sql("fa", "tilted")}, {_flow_sql("fb", "matrix")}
-select origin, destination, round(coalesce(fa.dollars, 0) - coalesce(fb.dollars, 0), 0) as dollars from fa full join fb using (origin, destination) where origin <> destination order by 3 desc, 1, 2 limit 3""")
+select origin, destination, round(coalesce(fa.dollars, 0) - coalesce(fb.dollars, 0), -4) as dollars from fa full join fb using (origin, destination) where origin <> destination order by 3 desc, 1, 2 limit 3""")
 def flow_attribution(x: L.Lens) -> DataFrame:
     """The three largest differences of flows when a tenth more of the current loans falls behind each month."""
-    rows = x.shared_panel()
-    segs = _segments(x, rows)
-    one = _matrices(x, rows, segs)
-    base = one.drop("step").select("*", F.explode(F.sequence(F.lit(1), F.lit(HORIZON))).alias("step"))
+    parts = Parts(x, "segs", "matrix")
+    base = parts.pooled(parts.matrix).drop("step").select("*", F.explode(F.sequence(F.lit(1), F.lit(HORIZON))).alias("step"))
     shift = F.when((F.col("origin") == "Current") & (F.col("destination") == "DPD30"), 0.1).when((F.col("origin") == "Current") & (F.col("destination") == "Current"), -0.1).otherwise(0.0)
     tilted = base.withColumn("p", F.col("p") + shift)
-    flows = [scenarios.flows(forecast.forecast(segs, m.where("step = 1"), x.settings.states, HORIZON), m, segs) for m in (tilted, base)]
-    return _round(scenarios.flow_attribution(*flows, top=3), 0)
+    flows = [scenarios.flows(forecast.forecast(parts.segs, m.where("step = 1"), x.settings.states, HORIZON), m, parts.segs) for m in (tilted, base)]
+    return _round(scenarios.flow_attribution(*flows, top=3), -4)
+
+
+_RAW_LAGS = ", ".join(f"lag({c}, {n}) over (partition by scenario order by as_of_month) as {c}_lag_{n}" for n in L.SETTINGS.macro_lags for c in macro.VALUES)
+_SCENARIO_STEPS = f"select * exclude (past), cast((year(as_of_month) - {L.CUTOFF[:4]}) * 12 + month(as_of_month) - {int(L.CUTOFF[5:7])} as integer) as step from (select *, {_RAW_LAGS} from joined) where not past"
+SCENARIO_LOSS = f"with recursive {L.ALL}, {CUBE}, {MATRIX}, {SEGS}, {OBS}, {SCENPATH}, {_model_sql(_SCENARIO_STEPS)}"
+
+
+def _scenario_details(x: L.Lens) -> DataFrame:
+    """lifetime() rows of every scenario, by the model of COEFFICIENTS."""
+    parts = Parts(x, "segs", "hazards", "coefs")
+    months = L.local(_scenario_paths(x).withColumn("step", F.months_between("as_of_month", F.lit(L.CUTOFF).cast("date")).cast("int")))
+    out = None
+    for name in ("baseline", "adverse", "severe"):
+        own = parts.detail(months.where(F.col("scenario") == name).drop("scenario", "is_published")).withColumn("scenario", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-_SCEN_LOSS = "losses as (select * from (values ('baseline', 1000.0::double, 20.75::double), ('adverse', 1000.0::double, 50.57::double), ('severe', 1000.0::double, 161.34::double)) as v(scenario, balance, ecl))"
+@query(f"""{SCENARIO_LOSS} select scenario, month, round(sum(l), 0) as undiscounted_loss, round(sum(ecl), 0) as ecl, round(sum(sum(ecl)) over (partition by scenario order by month rows unbounded preceding), 0) as cumulative_ecl from detail group by scenario, month""")
+def scenario_losses(x: L.Lens) -> DataFrame:
+    """Each scenario's loss by month."""
+    return _round(scenarios.monthly(_scenario_details(x)), 0)
 
 
-@query(f"with {_SCEN_LOSS} select scenario, balance, ecl, round(ecl / balance, 6) as ecl_rate, round(ecl - (select ecl from losses where scenario = 'baseline'), 6) as ecl_over_baseline, round(ecl / (select ecl from losses where scenario = 'baseline'), 6) as ecl_multiple from losses")
+@query(f"""{SCENARIO_LOSS}, losses as (select scenario, sum(case when month = 1 then balance else 0 end) as balance, sum(ecl) as ecl from detail group by 1)
+select scenario, round(balance, 2) as balance, round(ecl, 0) as ecl, round(ecl / balance, 6) as ecl_rate, round(ecl - (select ecl from losses where scenario = 'baseline'), 0) as ecl_over_baseline, round(ecl / (select ecl from losses where scenario = 'baseline'), 6) as ecl_multiple from losses""")
 def scenario_summary(x: L.Lens) -> DataFrame:
-    losses = x.spark.createDataFrame([("baseline", 1000.0, 20.75), ("adverse", 1000.0, 50.57), ("severe", 1000.0, 161.34)], "scenario string, balance double, ecl double")
-    return _round(scenarios.summary(losses))
+    losses = L.local(ecl.decompose(_scenario_details(x), "scenario").select("scenario", "balance", "ecl"))
+    return _round(scenarios.summary(losses), balance=2, ecl=0, ecl_over_baseline=0)
 
 
 # Validation, reports, monitoring ----------------------------------------------------------------------------------
 
-_SHAPLEY = """proj as (select year(date '2001-06-01' + to_months(month)) as year, sum(d) as d, sum(e) as e, sum(l) as l from detail group by 1),
-st as (select loan_id, b as start_balance, m as start_month from (select a.loan_id, a.b, l.as_of_month as m from act a join lastrow l using (loan_id))),
-found as (
-  select year(p.as_of_month) as year, sum(start_balance) as rb, sum(upb_bom)::double as re, sum(greatest((upb_bom - coalesce(net_sales_proceeds, 0) + coalesce(foreclosure_costs, 0))::double, 0)) as rl
-  from panel p join st using (loan_id) where exit_reason = 'ChargeOff' and p.as_of_month > start_month group by 1),
+_FOUND = f"""found as (
+  select year(p.as_of_month) as year, count(*) as k, sum(a.b) as rb, sum(upb_bom)::double as re, sum(greatest((upb_bom - coalesce(net_sales_proceeds, 0) + coalesce(foreclosure_costs, 0))::double, 0)) as rl
+  from panel p join act a using (loan_id) where exit_reason = 'ChargeOff' and p.as_of_month > date '{L.CUTOFF}' and p.as_of_month <= date '{UNTIL}' group by 1)"""
+_SHAPLEY = f"""proj as (select year(date '{L.CUTOFF}' + to_months(month)) as year, sum(d) as d, sum(e) as e, sum(l) as l from detail group by 1),
+{_FOUND},
 tot as (select sum(balance) as b from segs),
 g as (select coalesce(cast(year as varchar), 'Total') as year, sum(coalesce(d, 0)) as d, sum(coalesce(e, 0)) as e, sum(coalesce(l, 0)) as l, sum(coalesce(rb, 0)) as rb, sum(coalesce(re, 0)) as re, sum(coalesce(rl, 0)) as rl from proj full join found using (year) group by rollup (year)),
 x as (select *, coalesce(rb / nullif(b, 0), 0) as p0, coalesce(re / nullif(rb, 0), 0) as e0, coalesce(rl / nullif(re, 0), 0) as l0, coalesce(d / nullif(b, 0), 0) as p1, coalesce(e / nullif(d, 0), 0) as e1, coalesce(l / nullif(e, 0), 0) as l1 from g cross join tot)"""
 
 
-@query(f"""{FORECAST}, {_SHAPLEY} select year, round(l, 0) as projected_loss, round(rl, 0) as realised_loss, round(l - rl, 0) as error, round(b * (p1 - p0) * (2 * e0 * l0 + e0 * l1 + e1 * l0 + 2 * e1 * l1) / 6, 0) as pd_error,
+@query(f"with {L.ALL}, {SEGS}, {_FOUND} select year, k as realised_defaults, round(rb, 0) as realised_default_balance, round(re, 0) as realised_exposure, round(rl, 0) as realised_loss from found")
+def realised_losses(x: L.Lens) -> DataFrame:
+    """What became of the loans active at the cutoff."""
+    return _round(Parts(x, "found").found, 0)
+
+
+@query(f"""{LOSS}, {_SHAPLEY} select year, round(l, 0) as projected_loss, round(rl, 0) as realised_loss, round(l - rl, 0) as error, round(b * (p1 - p0) * (2 * e0 * l0 + e0 * l1 + e1 * l0 + 2 * e1 * l1) / 6, 0) as pd_error,
   round(b * (e1 - e0) * (2 * p0 * l0 + p0 * l1 + p1 * l0 + 2 * p1 * l1) / 6, 0) as ead_error, round(b * (l1 - l0) * (2 * p0 * e0 + p0 * e1 + p1 * e0 + 2 * p1 * e1) / 6, 0) as lgd_error from x""")
 def shapley_validation(x: L.Lens) -> DataFrame:
-    rows = x.shared_panel()
-    detail, segs = _detail(x)
-    year = F.year(F.add_months(F.lit(L.CUTOFF).cast("date"), F.col("month")))
-    projected = detail.groupBy(year.alias("year")).agg(*[F.sum(c).alias(c) for c in ("marginal_pd_dollars", "expected_default_exposure", "undiscounted_loss")])
-    balance = segs.agg(F.sum("balance")).first()[0] or 0.0
-    found = attribution.realised(rows, ecl.active_at(rows, L.CUTOFF, x.settings))
-    return _round(attribution.validate(projected, found, balance), 0)
+    parts = Parts(x, "segs", "hazards", "coefs", "found")
+    balance = parts.segs.agg(F.sum("balance")).first()[0] or 0.0
+    return _round(attribution.validate(attribution.by_year(parts.detail(), L.CUTOFF), parts.found, balance), 0)
 
 
-@query(f"""{FORECAST}, {_SHAPLEY}, lv as (select 1 as "order", 'realised' as step, rl as level from g where year = 'Total' union all select 2, 'projected exposure', e from g where year = 'Total' union all select 3, 'projected loss', l from g where year = 'Total' union all select 4, 'discounted', (select sum(ecl) from detail))
-select "order", step, round(level - coalesce(lag(level) over (order by "order"), 0), 0) as amount, round(level, 0) as level from lv""")
+@query(f"""{LOSS}, {TRI}, {CURVES}, {FACTORS}, {PROJECT},
+one as (select u, u - o as f, b, l, e, (select sum(balance) from segs) as sb from (select sum(chain_ladder_ultimate * original_balance) as u, sum(observed_rate * original_balance) as o, sum(original_balance)::double as b from ult) cross join (select sum(l) as l, sum(ecl) as e from detail)),
+lv as (select 1 as "order", '{attribution.BRIDGE[0]}' as step, u as level, u / b as loss_rate from one union all select 2, '{attribution.BRIDGE[1]}', f, null from one union all select 3, '{attribution.BRIDGE[2].replace("'", "''")}', f, null from one
+  union all select 4, '{attribution.BRIDGE[3].replace("'", "''")}', l, null from one union all select 5, '{attribution.BRIDGE[4]}', e, e / sb from one)
+select "order", step, round(level - coalesce(lag(level) over (order by "order"), 0), 0) as amount, round(level, 0) as level, round(loss_rate, 6) as loss_rate from lv""")
 def reconciliation_bridge(x: L.Lens) -> DataFrame:
-    rows = x.shared_panel()
-    detail, _ = _detail(x)
-    sums = detail.agg(F.sum("expected_default_exposure").alias("e"), F.sum("undiscounted_loss").alias("l"), F.sum("ecl").alias("d"))
-    real = attribution.realised(rows, ecl.active_at(rows, L.CUTOFF, x.settings)).agg(F.coalesce(F.sum("realised_loss"), F.lit(0.0)).alias("r"))
-    line = lambda k, name, c: F.struct(F.lit(k).alias("order"), F.lit(name).alias("step"), F.col(c).alias("level"))
-    one = sums.crossJoin(F.broadcast(real))  # one row by one row
-    steps = one.select(F.explode(F.array(line(1, "realised", "r"), line(2, "projected exposure", "e"), line(3, "projected loss", "l"), line(4, "discounted", "d"))).alias("x")).select("x.*")
-    return _round(attribution.bridge(steps), 0)
+    parts = Parts(x, "segs", "hazards", "coefs", "ultimates")
+    balance = parts.segs.agg(F.sum("balance")).first()[0] or 0.0
+    return _round(attribution.reconciliation(parts.ultimates, parts.detail(), balance), 0, loss_rate=6)
+
+
+def _pooled_loss_sql(name: str, matrix: str, coefs: str) -> str:
+    """The undiscounted loss under a pooled matrix."""
+    return f"""{_path_sql(matrix, f"{name}_f", f"{name}_path")},
+{name}_pd as (select segment_id, month, p - coalesce(lag(p) over (partition by segment_id order by month), (select max(i.p) from init i where i.segment_id = {name}_path.segment_id and i.state = 'ChargeOff'), 0) as marginal_pd from {name}_path where state = 'ChargeOff'),
+{name} as (select sum(marginal_pd * exposure * coalesce(1 - least(greatest(c.intercept + c.slope * m.hpi_change_yoy, 0), 1), {L.SETTINGS.fallback_lgd})) as l from {name}_pd join amort using (segment_id, month) join segs s using (segment_id) join opath m on m.step = month left join {coefs} c using (score_band))"""
 
 
-_FITS = "fits as (select * from (values ('production', 72.42::double, 71.83::double), ('cutoff', 78.67::double, 71.83::double), ('chain ladder', 14.41::double, 71.83::double)) as v(fit, projected, realised))"
+_EARLY_ONLY = f"as_of_month <= date '{L.CUTOFF}'"
 
 
-@query(f"""with {_FITS}, b as (select abs(projected - realised) as base from fits where fit = 'production') select fit, projected, realised, round(projected - realised, 6) as error, round(100 * (projected - realised) / realised, 6) as error_percent,
-  round(abs(projected - realised) - base, 6) as leakage_gap, round(100 * (abs(projected - realised) - base) / realised, 6) as leakage_points from fits cross join b""")
+@query(f"""with recursive {L.ALL}, {CUBE}, {MATRIX}, {_matrix_sql("e_", _EARLY_ONLY)}, {SEGS}, {OBS}, {_obs_sql("e_", f"and {_EARLY_ONLY}")}, {AMORT}, opath as ({_OBSERVED}), {_FOUND},
+{_pooled_loss_sql("production", "matrix", "coefs")}, {_pooled_loss_sql("early", "e_matrix", "e_coefs")}, {TRI}, {CURVES}, {FACTORS}, {PROJECT},
+real as (select coalesce(sum(rl), 0) as r from found),
+fits as (select 'production' as fit, l as projected from production union all select 'cutoff', l from early union all select 'chain ladder', (select sum((chain_ladder_ultimate - observed_rate) * original_balance) from ult)),
+b as (select abs(projected - r) as base from fits cross join real where fit = 'production')
+select fit, round(projected, 0) as projected, round(r, 0) as realised, round(projected - r, 0) as error, round(100 * (projected - r) / r, 6) as error_percent, round(abs(projected - r) - base, 0) as leakage_gap, round(100 * (abs(projected - r) - base) / r, 6) as leakage_points from fits cross join real cross join b""")
 def fit_comparison(x: L.Lens) -> DataFrame:
-    fits = x.spark.createDataFrame([("production", 72.42, 71.83), ("cutoff", 78.67, 71.83), ("chain ladder", 14.41, 71.83)], "fit string, projected double, realised double")
-    return _round(attribution.compare(fits))
+    """Matrices and LGD fitted to all months and to those up to the cutoff, and the chain ladder, against what came."""
+    parts = Parts(x, "segs", "matrix", "early_matrix", "coefs", "early_coefs", "found", "ultimates")
+    path = parts.observed()
+    real = parts.found.agg(F.coalesce(F.sum("realised_loss"), F.lit(0.0)).alias("realised"))
+    fits = parts.ultimates.agg(F.sum((F.col("chain_ladder_ultimate") - F.col("observed_rate")) * F.col("original_balance")).alias("projected")).withColumn("fit", F.lit("chain ladder"))
+    for name, table, coefs in (("production", parts.matrix, parts.coefs), ("cutoff", parts.early_matrix, parts.early_coefs)):
+        detail = ecl.expected_loss(parts.pooled(table), coefs, parts.segs, path, HORIZON, x.settings)
+        fits = fits.unionByName(detail.agg(F.sum("undiscounted_loss").alias("projected")).withColumn("fit", F.lit(name)))
+    fits = L.local(fits.crossJoin(F.broadcast(real)).select("fit", "projected", "realised"))  # three rows by one
+    return _round(attribution.compare(fits), 0, error_percent=6, leakage_points=6)
 
 
 @query(f"""with {L.ALL}, s as (select score_band as g, months_on_book::double as v, sum(upb_bom)::double as w from panel where upb_bom > 0 group by all),
@@ -594,15 +797,16 @@ select x.g as score_band, round(sum(w), 2) as weight, round(sum(v * w) / sum(w),
   round(any_value(p10), 5) as p10, round(any_value(p50), 5) as p50, round(any_value(p90), 5) as p90
 from x join (select g, max(case when q = 0.1 then value end) as p10, max(case when q = 0.5 then value end) as p50, max(case when q = 0.9 then value end) as p90 from p group by g) p on x.g = p.g group by x.g""")
 def macro_distribution(x: L.Lens) -> DataFrame:
-    return _round(monitoring.distribution(x.shared_panel(), "score_band", "unemployment_rate", "upb_bom"), 5, weight=2)
+    with L.kept(x.panel().select("score_band", "unemployment_rate", "upb_bom")) as rows:
+        return L.local(_round(monitoring.distribution(rows, "score_band", "unemployment_rate", "upb_bom"), 5, weight=2))
 
 
 @query(f"""with {L.ALL}, e as (select score_band, count(*) / sum(count(*)) over ()::double as s from panel where vintage_year < 1998 group by 1), a as (select score_band, count(*) / sum(count(*)) over ()::double as s from panel where vintage_year >= 1998 group by 1),
 j as (select score_band, greatest(coalesce(e.s, 0), 1e-6) as e, greatest(coalesce(a.s, 0), 1e-6) as a from e full join a using (score_band))
 select score_band, round(e, 6) as expected_share, round(a, 6) as actual_share, round((a - e) * ln(a / e), 6) as psi from j""")
 def population_stability(x: L.Lens) -> DataFrame:
-    rows = x.shared_panel()
-    return _round(monitoring.stability(rows.where("vintage_year < 1998"), rows.where("vintage_year >= 1998"), "score_band"))
+    with L.kept(x.panel().select("score_band", "vintage_year")) as rows:
+        return L.local(_round(monitoring.stability(rows.where("vintage_year < 1998"), rows.where("vintage_year >= 1998"), "score_band")))
 
 
 @query(f"""with {L.ALL}, m as (select as_of_month, count(*) filter (where delinquency_state = 'ChargeOff') as actual, count(*) * 0.15::double as projected from panel group by 1)
@@ -613,8 +817,8 @@ def rolling_backtest_error(x: L.Lens) -> DataFrame:
 
 
 def _conditional(x: L.Lens) -> conditional.ConditionalModel:
-    settings = replace(x.settings, maturity_mob=119, c_dpd150=1.0)
-    return conditional.fit(transitions.cube(x.panel()).persist(), x.macro_features(), settings)
+    with L.kept(transitions.cube(x.panel())) as counts:
+        return conditional.fit(counts, x.macro_features(), replace(x.settings, maturity_mob=119))
 
 
 @query()

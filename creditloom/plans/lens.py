@@ -5,6 +5,8 @@ Money is in whole cents. The same definitions stand below as SQL, for checks by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +17,32 @@ from creditloom.config import Settings
 from creditloom.operators import macro as M
 from creditloom.operators import panel as P
 
-CUTOFF, MATURITY = "2001-06-01", 4
+CUTOFF, MATURITY, MACRO_MONTHS = "2001-06-01", 4, 200
 SETTINGS = replace(Settings(), cutoff=CUTOFF, maturity_mob=MATURITY)
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """df in the cache while several small results are drawn from it."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def local(df: DataFrame) -> DataFrame:
+    """A report-sized table (a row a segment, band, year or pair of states), computed now."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def _cents(column: str):
     return F.round(F.col(column) * 100).cast("long")
 
 
 class Lens:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self.settings, self._shared = spark, sf_dir, SETTINGS, None
+        self.spark, self.dir, self.settings = spark, sf_dir, SETTINGS
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -60,9 +77,9 @@ class Lens:
 
     def macro(self) -> DataFrame:
         i = F.col("id").cast("int")
-        w = Window.orderBy("as_of_month")  # 108 months
+        w = Window.orderBy("as_of_month")  # MACRO_MONTHS rows
         u = F.lit(4.0) + ((i * 7) % 50).cast("double") / 10.0
-        rows = self.spark.range(0, 108, 1, 1).select(F.add_months(F.lit("1995-01-01").cast("date"), i).alias("as_of_month"), u.alias("unemployment_rate"), (((i * 3) % 20 - 8).cast("double") / 100.0).alias("hpi_change_yoy"))
+        rows = self.spark.range(0, MACRO_MONTHS, 1, 1).select(F.add_months(F.lit("1995-01-01").cast("date"), i).alias("as_of_month"), u.alias("unemployment_rate"), (((i * 3) % 20 - 8).cast("double") / 100.0).alias("hpi_change_yoy"))
         change = F.coalesce(F.round(F.col("unemployment_rate") - F.lag("unemployment_rate", 3).over(w), 6), F.lit(0.0))
         return rows.select("as_of_month", "unemployment_rate", change.alias("unemployment_change_3m"), "hpi_change_yoy")
 
@@ -76,12 +93,6 @@ class Lens:
     def panel(self) -> DataFrame:
         return P.public(self.checked_panel())
 
-    def shared_panel(self) -> DataFrame:
-        """The panel, kept for queries that read it several times."""
-        if self._shared is None:
-            self._shared = self.panel().persist()
-        return self._shared
-
 
 def _band_sql(x: str, edges: tuple[int, ...], prefix: str) -> str:
     return "case " + " ".join(f"when {x} >= {a} and {x} < {b} then '{prefix}{a:03d}-{b - 1:03d}'" for a, b in zip(edges[:-1], edges[1:], strict=True)) + " end"
@@ -116,7 +127,7 @@ perf as (
 MACRO_SQL = f"""spine as (
   select cast(date '1995-01-01' + to_months(cast(i as integer)) as date) as as_of_month, cast(4.0 as double) + cast((i * 7) % 50 as double) / cast(10 as double) as unemployment_rate,
     cast((i * 3) % 20 - 8 as double) / cast(100 as double) as hpi_change_yoy
-  from range(108) as r(i)),
+  from range({MACRO_MONTHS}) as r(i)),
 series as (
   select as_of_month, unemployment_rate, coalesce(round(unemployment_rate - lag(unemployment_rate, 3) over (order by as_of_month), 6), cast(0 as double)) as unemployment_change_3m, hpi_change_yoy from spine),
 macro as (select as_of_month, {_VALUES}, {_LAGS} from series)"""

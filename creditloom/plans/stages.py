@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.config import Settings
-from creditloom.operators import conditional, ecl, forecast, lgd, macro, panel, quality, scenarios, transitions, vintage
+from creditloom.operators import attribution, conditional, ecl, forecast, lgd, macro, panel, quality, scenarios, transitions, vintage
 from creditloom.plans.credit import ACQ_REASONS, PERF_REASONS
+from creditloom.plans.lens import kept, local
 from creditloom.sources import synthetic, tables
 
 EARLY_DROPS = ("occupancy_status", "channel")
@@ -71,82 +72,140 @@ def panel_stage(spark: SparkSession, s: Settings) -> dict:
 
 
 def vintage_stage(spark: SparkSession, s: Settings) -> dict:
+    """Ultimates by cohort and by year under both denominators, their decomposition, backtest and realised LGD; all gated."""
     rows, loans = spark.read.parquet(curated(s, "panel")), spark.read.parquet(curated(s, "acquisition"))
-    tri = vintage.triangle(rows, loans, s.cohort_grain, s.cutoff).persist()
-    table = vintage.curves(tri, s.maturity_mob, s.denominator).persist()
-    vintage.enforce_no_gaps(table)
-    out = vintage.ultimates(vintage.project(table, s.maturity_mob), s.maturity_mob).persist()
-    tables.write_report(out, _report(s, "vintage_ultimates"), fit_end=s.cutoff, env=s.env)
-    tables.write_report(vintage.decomposition(tri), _report(s, "loss_decomposition"), fit_end=s.cutoff, env=s.env)
-    return vintage.portfolio_ultimate(out).first().asDict()
+    seen = {"fit_end": s.cutoff, "env": s.env}
+    with kept(vintage.triangle(rows, loans, s.cohort_grain, s.cutoff)) as tri, kept(vintage.curves(tri, s.maturity_mob, s.denominator)) as table:
+        vintage.enforce_no_gaps(table)
+        vintage.enforce_seasoned(table, s.maturity_mob)
+        parts = vintage.decomposition(tri)
+        vintage.enforce_decomposition(parts)
+        with kept(vintage.ultimates(vintage.project(table, s.maturity_mob), s.maturity_mob)) as out:
+            if s.crisis_gate:
+                vintage.enforce_crisis_order(out)
+            tables.write_report(vintage.ultimate_table(tri, s.maturity_mob), _report(s, "vintage_ultimates"), **seen)
+            tables.write_report(parts, _report(s, "loss_decomposition"), **seen)
+            pairs = local(vintage.backtest_pairs(out, vintage.triangle(rows, loans, s.cohort_grain), s.maturity_mob))
+            found = vintage.portfolio_ultimate(out).first().asDict()
+    tables.write_report(pairs, _report(s, "vintage_backtest"), **seen)
+    tables.write_report(vintage.backtest(pairs), _report(s, "vintage_backtest_metrics"), **seen)
+    annual = vintage.triangle(rows, loans, "annual", s.cutoff)
+    tables.write_report(vintage.ultimate_table(local(annual), s.maturity_mob), _report(s, "vintage_ultimates_annual"), **seen)
+    tables.write_report(vintage.lgd_by_era(rows), _report(s, "realised_lgd_by_era"), fit_end="all months", env=s.env)
+    return found
 
 
 def transition_stage(spark: SparkSession, s: Settings) -> dict:
+    """Counts, the empirical matrix, the conditional models, and what they say: stress, material effects, known signs."""
     rows = spark.read.parquet(curated(s, "panel"))
     transitions.cube(rows).write.mode("overwrite").parquet(curated(s, "transition_counts"))
     counts = spark.read.parquet(curated(s, "transition_counts"))
-    table = transitions.matrix(counts, s)
+    table = local(transitions.matrix(counts, s))
     transitions.enforce(table, s)
     tables.write_report(table, _report(s, "transition_matrix"), env=s.env)
     model = conditional.fit(transitions.fit_sample(counts, s.fit_end), macro_table(spark, s), s)
-    tables.write_report(conditional.coefficient_table(spark, model), _report(s, "transition_coefficients"), env=s.env)
-    tables.write_report(conditional.bic_table(spark, model), _report(s, "transition_bic"), env=s.env)
-    return {"repurchase": model.repurchase, "delinquent_prepay": model.delinquent_prepay, "lags": {o: m.lag for o, m in model.origins.items()}}
+    every = conditional.bands(s)
+    middle = every[len(every) // 2]
+    stressed = local(conditional.stress(spark, model, middle))
+    for column in ("base", "shocked"):
+        transitions.enforce(stressed.withColumnRenamed(column, "probability"), s, 1e-9)
+    signs = local(conditional.recovery(spark, model))
+    fitted = {"fit_end": str(s.fit_end), "env": s.env}
+    tables.write_report(conditional.coefficient_table(spark, model), _report(s, "transition_coefficients"), **fitted)
+    tables.write_report(conditional.bic_table(spark, model), _report(s, "transition_bic"), **fitted)
+    tables.write_report(stressed, _report(s, "transition_stress"), **fitted)
+    tables.write_report(conditional.material(conditional.sensitivity(spark, model, [middle])), _report(s, "transition_interpretations"), **fitted)
+    tables.write_report(signs, _report(s, "transition_ground_truth"), **fitted)
+    if s.sign_gate:
+        conditional.enforce_recovery(signs)
+    return {"repurchase": model.repurchase, "delinquent_prepay": model.delinquent_prepay, "lags": {o: m.lag for o, m in model.origins.items()}, "work": tables.stage_summary(spark)}
 
 
-def _model(spark: SparkSession, s: Settings, fit_end: str | None) -> tuple[conditional.ConditionalModel, DataFrame, DataFrame, DataFrame]:
-    rows = spark.read.parquet(curated(s, "panel"))
-    counts = tables.load_or_build(spark, curated(s, "transition_counts"), lambda: transitions.cube(rows))
-    model = conditional.fit(transitions.fit_sample(counts, fit_end), macro_table(spark, s), s)
-    seen = rows if fit_end is None else rows.where(F.col("as_of_month") <= F.lit(fit_end).cast("date"))
-    coefs = lgd.fit(lgd.observations(seen), fallback_lgd=s.fallback_lgd)
-    segs = ecl.segments(ecl.active_at(rows, s.cutoff, s), spark.read.parquet(curated(s, "acquisition"))).persist()
-    return model, coefs, segs, rows
+def _counts(spark: SparkSession, s: Settings, rows: DataFrame) -> DataFrame:
+    return tables.load_or_build(spark, curated(s, "transition_counts"), lambda: transitions.cube(rows))
+
+
+def _upto(rows: DataFrame, fit_end: str | None) -> DataFrame:
+    return rows if fit_end is None else rows.where(F.col("as_of_month") <= F.lit(fit_end).cast("date"))
 
 
-def expected_loss(model: conditional.ConditionalModel, coefs: DataFrame, segs: DataFrame, path: DataFrame, horizon: int, s: Settings) -> DataFrame:
-    """lifetime() rows along a macro path (step, macro columns)."""
-    states = forecast.forecast(segs, model.matrices(segs, path, horizon), s.states, horizon)
-    prices = segs.select("segment_id", "score_band").crossJoin(F.broadcast(path.select(F.col("step").alias("month"), "hpi_change_yoy")))  # a segment by the horizon's months
-    losses = lgd.predict(prices, coefs, s).select("segment_id", "month", "lgd")
-    return ecl.lifetime(segs, forecast.marginal_default(states, segs), losses, horizon, s.discount_rate)
+def _segments(spark: SparkSession, s: Settings, rows: DataFrame) -> DataFrame:
+    """The segments of the loans active at the cutoff, which hold their whole balance."""
+    active = ecl.active_at(rows, s.cutoff, s)
+    segs = local(ecl.segments(active, spark.read.parquet(curated(s, "acquisition"))))
+    ecl.enforce_balance(segs, active)
+    return segs
 
 
 def ecl_stage(spark: SparkSession, s: Settings, horizon: int | None = None) -> dict:
-    """Expected loss from the cutoff on along the observed macro months, under both fit windows."""
-    horizon = horizon or s.maturity_mob
-    months = macro_table(spark, s).where(F.col("as_of_month") > F.lit(s.cutoff).cast("date"))
-    path = months.withColumn("step", F.months_between("as_of_month", F.lit(s.cutoff).cast("date")).cast("int")).where(F.col("step") <= horizon)
+    """Expected loss from the cutoff on along the observed macro months, under both fit windows, and its validation."""
+    horizon, cutoff = horizon or s.maturity_mob, F.lit(s.cutoff).cast("date")
+    series = macro_table(spark, s)
+    path = local(series.withColumn("step", F.months_between("as_of_month", cutoff).cast("int")).where(F.col("step").between(1, horizon)))
     horizon = path.count()
-    out = {}
+    until = str(path.agg(F.max("as_of_month")).first()[0])
+    rows, loans = spark.read.parquet(curated(s, "panel")), spark.read.parquet(curated(s, "acquisition"))
+    counts, segs = _counts(spark, s, rows), _segments(spark, s, rows)
+    balance = segs.agg(F.sum("balance")).first()[0]
+    found = local(attribution.realised(rows, ecl.active_at(rows, s.cutoff, s), s.cutoff, until))
+    real = found.agg(F.coalesce(F.sum("realised_loss"), F.lit(0.0))).first()[0]
+    with kept(vintage.curves(vintage.triangle(rows, loans, s.cohort_grain, s.cutoff), s.maturity_mob)) as table:
+        vintage.enforce_seasoned(table, s.maturity_mob)
+        ladder = local(vintage.ultimates(vintage.project(table, s.maturity_mob), s.maturity_mob))
+    out, projected = {}, {}
     for name, end in (("production", s.fit_end), ("cutoff", s.backtest_fit_end)):
-        model, coefs, segs, _ = _model(spark, s, end)
-        detail = expected_loss(model, coefs, segs, path, horizon, s).persist()
-        for label, by in (("score_band", ["score_band"]), ("vintage_year", ["vintage_year"]), ("portfolio", [])):
-            tables.write_report(ecl.decompose(detail, *by), _report(s, f"ecl_{name}_{label}"), fit_end=str(end), env=s.env)
-        tables.write_report(ecl.monthly(detail), _report(s, f"ecl_{name}_monthly"), fit_end=str(end), env=s.env)
-        out[name] = detail.agg(F.sum("ecl")).first()[0]
-        detail.unpersist()
-    return out
+        seen = {"fit": name, "fit_end": str(end), "env": s.env}
+        model = conditional.fit(transitions.fit_sample(counts, end), series, s)
+        with kept(lgd.observations(_upto(rows, end)).select("score_band", "vintage", "hpi_change_yoy", "upb_bom", "recovery")) as defaults:
+            coefs = local(lgd.fit(defaults, fallback_lgd=s.fallback_lgd))
+            tables.write_report(lgd.validation(defaults, coefs, s), _report(s, f"lgd_validation_{name}"), **seen)
+        tables.write_report(coefs, _report(s, f"lgd_coefficients_{name}"), **seen)
+        with kept(ecl.expected_loss(model.matrices(segs, path, horizon), coefs, segs, path, horizon, s, check=True)) as detail:
+            for label, by in (("score_band", ["score_band"]), ("vintage_year", ["vintage_year"]), ("portfolio", [])):
+                tables.write_report(ecl.decompose(detail, *by), _report(s, f"ecl_{name}_{label}"), **seen)
+            tables.write_report(ecl.monthly(detail), _report(s, f"ecl_{name}_monthly"), **seen)
+            checked = local(attribution.validate(attribution.by_year(detail, s.cutoff), found, balance))
+            attribution.enforce(checked)
+            tables.write_report(checked, _report(s, f"truth_validation_{name}"), **seen)
+            if name == "cutoff":
+                tables.write_report(attribution.reconciliation(ladder, detail, balance), _report(s, "reconciliation"), **seen)
+            sums = detail.agg(F.sum("ecl").alias("ecl"), F.sum("undiscounted_loss").alias("loss")).first()
+        out[name], projected[name] = sums.ecl, sums.loss
+    left = ladder.agg(F.sum((F.col("chain_ladder_ultimate") - F.col("observed_rate")) * F.col("original_balance"))).first()[0]
+    fits = spark.createDataFrame([*((k, float(v), float(real)) for k, v in projected.items()), ("chain ladder", float(left or 0), float(real))], "fit string, projected double, realised double")
+    tables.write_report(attribution.compare(fits), _report(s, "fit_comparison"), env=s.env)
+    return out | {"realised_loss": real, "balance": balance, "segments": segs.count(), "months": horizon, "work": tables.stage_summary(spark)}
 
 
 def scenario_stage(spark: SparkSession, s: Settings, path: str, horizon: int | None = None) -> dict:
-    horizon = horizon or s.maturity_mob
+    """Each published scenario's paths, losses and flows, by the models fitted to all months."""
+    horizon, cutoff = horizon or s.maturity_mob, F.lit(s.cutoff).cast("date")
     monthly = scenarios.quarterly_to_monthly(scenarios.published(tables.read_scenarios(spark, path), s.scenario_vintage, s.horizon_quarters))
-    cutoff = F.lit(s.cutoff).cast("date")
-    history = macro_table(spark, s).where((F.col("as_of_month") <= cutoff) & (F.col("as_of_month") > F.add_months(cutoff, -12)))
-    table = scenarios.paths(scenarios.extend(monthly, horizon, s), history, s).persist()
+    series = macro_table(spark, s)
+    history = series.where((F.col("as_of_month") <= cutoff) & (F.col("as_of_month") > F.add_months(cutoff, -12)))
+    table = local(scenarios.paths(scenarios.extend(monthly, horizon, s), history, s))
     scenarios.enforce(table, s)
-    tables.write_report(scenarios.extrapolation(table, s), _report(s, "scenario_extrapolation"), env=s.env)
-    model, coefs, segs, _ = _model(spark, s, s.fit_end)
-    losses = None
+    seen = {"fit_end": str(s.fit_end), "env": s.env}
+    tables.write_report(scenarios.extrapolation(table, s), _report(s, "scenario_extrapolation"), **seen)
+    tables.write_report(table, _report(s, "scenario_paths"), **seen)
+    rows = spark.read.parquet(curated(s, "panel"))
+    model = conditional.fit(transitions.fit_sample(_counts(spark, s, rows), s.fit_end), series, s)
+    coefs, segs = local(lgd.fit(lgd.observations(_upto(rows, s.fit_end)), fallback_lgd=s.fallback_lgd)), _segments(spark, s, rows)
+    details, flows = None, {}
     for name in sorted(r.scenario for r in table.select("scenario").distinct().collect()):  # a few scenarios
         own = table.where(F.col("scenario") == name).withColumn("step", F.months_between("as_of_month", cutoff).cast("int")).drop("scenario", "is_published")
-        one = ecl.decompose(expected_loss(model, coefs, segs, own, horizon, s)).select(F.lit(name).alias("scenario"), "balance", "ecl")
-        losses = one if losses is None else losses.unionByName(one)
-    out = scenarios.summary(losses.persist())
-    tables.write_report(out, _report(s, "scenario_summary"), env=s.env)
-    return {r.scenario: r.ecl for r in out.collect()}  # a row a scenario
+        matrices = model.matrices(segs, own, horizon)
+        one = local(ecl.expected_loss(matrices, coefs, segs, own, horizon, s, check=True).withColumn("scenario", F.lit(name)))
+        flows[name] = local(scenarios.flows(forecast.forecast(segs, matrices, s.states, horizon), matrices, segs))
+        details = one if details is None else details.unionByName(one)
+    out = local(scenarios.summary(local(ecl.decompose(details, "scenario").select("scenario", "balance", "ecl"))))
+    tables.write_report(out, _report(s, "scenario_summary"), **seen)
+    tables.write_report(scenarios.monthly(details), _report(s, "scenario_monthly"), **seen)
+    losses = {r.scenario: r.ecl for r in out.collect()}  # a row a scenario
+    worst = max(losses, key=losses.get)
+    if "baseline" in flows and worst != "baseline":
+        tables.write_report(scenarios.flow_attribution(flows[worst], flows["baseline"]), _report(s, "scenario_transition_attribution"), worst=worst, **seen)
+    return losses
 
 
 STAGES = {"synthetic": synthetic_stage, "ingest": ingest_stage, "panel": panel_stage, "vintage": vintage_stage, "transitions": transition_stage, "ecl": ecl_stage}

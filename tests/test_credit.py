@@ -1,6 +1,7 @@
 """Known answers and invariants of the credit operators."""
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -177,7 +178,7 @@ def test_error_shares_by_hand(spark):
     active = ecl.active_at(df, "2018-12-01", S)
     assert active.count() == 2
     projected = spark.createDataFrame([(2020, 100.0, 90.0, 45.0)], "year int, marginal_pd_dollars double, expected_default_exposure double, undiscounted_loss double")
-    out = attribution.validate(projected, attribution.realised(df, active), 200.0)
+    out = attribution.validate(projected, attribution.realised(df, active, "2018-12-01"), 200.0)
     attribution.enforce(out)
     total = out.where("year = 'Total'").first()
     assert (total.projected_loss, total.realised_loss, total.error) == (45.0, 40.0, 5.0)
@@ -207,13 +208,80 @@ def test_reports_by_hand(spark):
     assert row.leakage_gap == 18.0 and row.leakage_points == pytest.approx(25.7142857)
 
 
+SNAPSHOT = "loan_id string, as_of_month date, score_band string, vintage_year int, delinquency_state string, months_on_book int, upb_bom double, upb_eom double, exit_reason string"
+TERMS = "loan_id string, orig_interest_rate double, original_term int"
+
+
+def test_active_loans_are_those_seen_in_the_cutoff_month(spark):
+    now, before, after = month(2018, 12), month(2018, 11), month(2019, 1)
+    rows = [("a", before, None), ("a", now, None), ("a", after, "ChargeOff"), ("censored", now, "Censored"), ("gone before", before, "Censored"), ("paid", now, "Prepaid"), ("off", now, "ChargeOff"), ("back", now, "Repurchased"), ("new", after, None)]
+    df = spark.createDataFrame(rows, "loan_id string, as_of_month date, exit_reason string")
+    assert [r.loan_id for r in ecl.active_at(df, "2018-12-01", S).collect()] == ["a"]
+    assert sorted(str(r.as_of_month) for r in ecl.active_panel(df, "2018-12-01", S).collect()) == ["2018-11-01", "2018-12-01", "2019-01-01"]
+
+
 def test_segments_average_by_balance_and_round_to_even(spark):
-    cols = "loan_id string, as_of_month date, score_band string, vintage_year int, delinquency_state string, months_on_book int, upb_bom double, upb_eom double, exit_reason string"
-    rows = [("a", month(2018, 12), "x", 2018, "Current", 2, 100.0, None, None), ("b", month(2018, 12), "x", 2018, "DPD30", 3, 120.0, 100.0, "Censored"), ("c", month(2018, 11), "x", 2018, "Prepaid", 2, 9.0, 0.0, "Prepaid"), ("d", month(2018, 12), None, 2018, "Current", 2, 5.0, None, None)]
-    terms = spark.createDataFrame([("a", 0.04, 360), ("b", 0.06, 360), ("d", 0.1, 9)], "loan_id string, orig_interest_rate double, original_term int")
-    row = ecl.segments(ecl.active_at(spark.createDataFrame(rows, cols), "2018-12-01", S), terms).first()
+    rows = [("a", month(2018, 12), "x", 2018, "Current", 2, 100.0, None, None), ("b", month(2018, 12), "x", 2018, "DPD30", 3, 120.0, 100.0, None), ("old", month(2018, 12), "y", 2000, "Current", 200, 10.0, 9.0, None), ("zero", month(2018, 12), "x", 2018, "Current", 9, 5.0, 0.0, None)]
+    terms = spark.createDataFrame([("a", 0.04, 360), ("b", 0.06, 360), ("old", 0.1, 180), ("other", 0.1, 9)], TERMS)
+    active = ecl.active_at(spark.createDataFrame(rows, SNAPSHOT), "2018-12-01", S)
+    segs = ecl.segments(active, terms)
+    row = segs.where("score_band = 'x'").first()
     assert (row.segment_id, row.balance, row.loans, row.start_mob, row.remaining_term_months) == ("x|2018", 200.0, 2, 2, 358)
     assert row.annual_interest_rate == pytest.approx(0.05) and row.initial_state == {"Current": 0.5, "DPD30": 0.5}
+    assert segs.where("score_band = 'y'").first().remaining_term_months == 1  # beyond its term, a month is left
+    ecl.enforce_balance(segs, active)
+    with pytest.raises(ecl.EclError):
+        ecl.enforce_balance(segs.where("score_band = 'x'"), active)
+
+
+@pytest.mark.parametrize(
+    ("row", "terms"),
+    [
+        (("a", "x", 100.0, None), [("b", 0.04, 360)]),  # no terms
+        (("a", "x", 100.0, None), [("a", None, 360)]),  # half the terms
+        (("a", "x", 100.0, None), [("a", 0.04, 360), ("a", 0.05, 360)]),  # two rows of terms
+        (("a", "x", None, None), [("a", 0.04, 360)]),  # no balance
+        (("a", None, 100.0, None), [("a", 0.04, 360)]),  # no band
+    ],
+)
+def test_segments_fail_fast(spark, row, terms):
+    loan, band, bom, eom = row
+    active = spark.createDataFrame([(loan, month(2018, 12), band, 2018, "Current", 2, bom, eom, None)], SNAPSHOT)
+    with pytest.raises(Exception, match="USER_RAISED_EXCEPTION"):
+        ecl.segments(active, spark.createDataFrame(terms, TERMS)).collect()
+
+
+def test_a_default_outside_the_snapshot_fails(spark):
+    cols = "loan_id string, as_of_month date, upb_bom double, upb_eom double, net_sales_proceeds double, foreclosure_costs double, exit_reason string"
+    df = spark.createDataFrame([("A", month(2018, 12), 5.0, 0.0, None, None, None), ("A", month(2019, 2), 80.0, 0.0, 40.0, 0.0, "ChargeOff")], cols)
+    active = ecl.active_at(df, "2018-12-01", S)
+    with pytest.raises(Exception, match="absent from the snapshot"):
+        attribution.realised(df, active, "2018-12-01").collect()
+    assert attribution.realised(df, active, "2018-12-01", "2019-01-01").count() == 0  # beyond the forecast
+
+
+def test_bridge_from_the_chain_ladder(spark):
+    ladder = spark.createDataFrame([("v", 0.10, 0.04, 1000.0)], "vintage string, chain_ladder_ultimate double, observed_rate double, original_balance double")
+    detail = spark.createDataFrame([(80.0, 70.0), (20.0, 15.0)], "undiscounted_loss double, ecl double")
+    rows = attribution.reconciliation(ladder, detail, 500.0).orderBy("order").collect()
+    assert [r.step for r in rows] == list(attribution.BRIDGE)
+    assert [r.amount for r in rows] == pytest.approx([100, -40, 0, 40, -15]) and [r.level for r in rows] == pytest.approx([100, 60, 60, 100, 85])
+    assert rows[0].loss_rate == pytest.approx(0.1) and rows[4].loss_rate == pytest.approx(85 / 500)
+
+
+def test_vintage_gates(spark):
+    young = spark.createDataFrame([("2018-Q1", 3)], "vintage string, max_observed_mob int")
+    with pytest.raises(vintage.VintageError):
+        vintage.enforce_seasoned(young, 4)
+    parts = spark.createDataFrame([("v", 0.5, 1.0, 0.5, 0.25)], "vintage string, frequency double, exposure double, severity double, loss_rate double")
+    vintage.enforce_decomposition(parts)
+    with pytest.raises(vintage.VintageError):
+        vintage.enforce_decomposition(parts.withColumn("loss_rate", F.lit(0.3)))
+    table = lambda a, b: spark.createDataFrame([("2007-Q1", a), ("2012-Q1", b)], "vintage string, chain_ladder_ultimate double")
+    vintage.enforce_crisis_order(table(0.2, 0.1))
+    for bad in (table(0.1, 0.2), table(0.1, 0.1), table(0.1, 0.2).limit(1)):
+        with pytest.raises(vintage.VintageError):
+            vintage.enforce_crisis_order(bad)
 
 
 def scenario_table(spark):
@@ -289,4 +357,13 @@ def test_settings(tmp_path, monkeypatch, capsys):
     for bad in ({"sample_fraction": 0.0}, {"first_vintage": 2020}, {"cohort_grain": "weekly"}, {"codes": {"01": "Gone"}}, {"no_such": 1}, {"data_root": "${NOT_SET_ANYWHERE}"}):
         with pytest.raises(ConfigError):
             load_settings("local", None, **bad)
+    (tmp_path / "base.yaml").write_text("seed: 3\nmodel:\n  cutoff: '2017-01-01'\n  macro_lags: [1, 2]\nsynthetic: {loans: 7}\n")
+    (tmp_path / "nested.yaml").write_text("model: {discount_rate: 0.1}\n")
+    s = load_settings("nested", tmp_path)
+    assert (s.cutoff, s.macro_lags, s.loans, s.discount_rate) == ("2017-01-01", (1, 2), 7, 0.1) and s.section("synthetic")["loans"] == 7
+    (tmp_path / "nested.yaml").write_text("ingest: {discount_rate: 0.1}\n")
+    with pytest.raises(ConfigError):
+        load_settings("nested", tmp_path)
+    shipped = Path(__file__).resolve().parents[1] / "conf"
+    assert load_settings("local", shipped).maturity_mob == 119
     assert cli.main(["config", "--data-root", "/d"]) == 0 and '"data_root": "/d"' in capsys.readouterr().out

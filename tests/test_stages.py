@@ -1,13 +1,15 @@
 """The stages end to end on a small synthetic portfolio, the conditional models, and the stream."""
 
+import shutil
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from creditloom.config import Settings
-from creditloom.operators import conditional, macro, panel, transitions
+from creditloom.operators import attribution, conditional, forecast, macro, panel, scenarios, transitions, vintage
 from creditloom.plans import stages
 from creditloom.sources import synthetic, tables
 from creditloom.streaming import transitions as stream
@@ -15,7 +17,7 @@ from creditloom.streaming import transitions as stream
 
 @pytest.fixture(scope="module")
 def settings(tmp_path_factory):
-    return replace(Settings(), loans=400, first_vintage=2004, last_vintage=2010, max_months=48, cutoff="2009-06-01", backtest_fit_end="2009-06-01", maturity_mob=48, data_root=str(tmp_path_factory.mktemp("data")), max_rate_per_reason=1.0, max_rate_overall=1.0)
+    return replace(Settings(), loans=400, first_vintage=2004, last_vintage=2010, max_months=48, cutoff="2009-06-01", backtest_fit_end="2009-06-01", maturity_mob=24, data_root=str(tmp_path_factory.mktemp("data")), max_rate_per_reason=1.0, max_rate_overall=1.0, crisis_gate=False, sign_gate=False)
 
 
 @pytest.fixture(scope="module")
@@ -42,13 +44,93 @@ def test_panel_is_whole(spark, settings, built):
     assert not set(panel.CHECKS) & set(rows.columns)
 
 
-def test_later_stages(spark, settings, built):
-    out = stages.vintage_stage(spark, settings)
-    assert out["vintages"] > 0
-    found = stages.transition_stage(spark, settings)
-    assert 0 <= found["repurchase"] < 0.05 and found["lags"]["Current"] in (0, 1, 3, 6)
-    losses = stages.ecl_stage(spark, settings, 6)
-    assert losses["production"] > 0 and losses["cutoff"] > 0
+def reports(settings):
+    return {x.name for x in (Path(settings.data_root) / "reports").iterdir()}
+
+
+def scenario_file(folder, settings, drop=None):
+    label = lambda q: f"{2008 + (q + 2) // 4}Q{(q + 2) % 4 + 1}"
+    rows = [(settings.scenario_vintage, "historical", label(q), 5.0, 200.0 + q, "x") for q in range(4)]
+    rows += [(settings.scenario_vintage, n, label(4 + q), 5.0 + tilt * min(q, 8), 204.0 - tilt * 6 * min(q, 8) + q, "x") for n, tilt in (("baseline", 0.0), ("severe", 0.6)) for q in range(13)]
+    path = folder / f"scenarios-{drop}.csv"
+    path.write_text("\n".join(["vintage_year,scenario,quarter,unemployment_rate,house_price_index,source_url", *(",".join(map(str, r)) for r in rows if r[2] != drop)]))
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def staged(spark, settings, built):
+    return {"vintage": stages.vintage_stage(spark, settings), "transitions": stages.transition_stage(spark, settings), "ecl": stages.ecl_stage(spark, settings, 6)}
+
+
+def test_later_stages_and_their_reports(spark, settings, staged, tmp_path):
+    assert staged["vintage"]["vintages"] > 0
+    assert 0 <= staged["transitions"]["repurchase"] < 0.05 and staged["transitions"]["lags"]["Current"] in (0, 1, 3, 6) and staged["transitions"]["work"]["stages"] >= 0
+    assert staged["ecl"]["production"] > 0 and staged["ecl"]["cutoff"] > 0 and staged["ecl"]["months"] == 6
+    losses = stages.scenario_stage(spark, settings, scenario_file(tmp_path, settings), 45)
+    assert set(losses) == {"baseline", "severe"} and min(losses.values()) > 0
+    assert reports(settings) >= {
+        "vintage_ultimates", "vintage_ultimates_annual", "loss_decomposition", "vintage_backtest", "vintage_backtest_metrics", "realised_lgd_by_era",
+        "transition_matrix", "transition_coefficients", "transition_bic", "transition_stress", "transition_interpretations", "transition_ground_truth",
+        *(f"ecl_{fit}_{part}" for fit in ("production", "cutoff") for part in ("score_band", "vintage_year", "portfolio", "monthly")),
+        *(f"{part}_{fit}" for fit in ("production", "cutoff") for part in ("lgd_validation", "lgd_coefficients", "truth_validation")), "reconciliation", "fit_comparison",
+        "scenario_summary", "scenario_monthly", "scenario_paths", "scenario_extrapolation", "scenario_transition_attribution",
+    }
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{settings.data_root}/reports/{name}")
+    assert read("transition_ground_truth").count() == 23
+    both = read("vintage_ultimates")
+    assert {f"{c}_{d}" for c in ("observed_rate", "chain_ladder_ultimate", "scaled_average_ultimate") for d in vintage.DENOMINATORS} <= set(both.columns)
+    fits = {r.fit: r for r in read("fit_comparison").collect()}
+    assert set(fits) == {"production", "cutoff", "chain ladder"} and fits["cutoff"].realised == pytest.approx(staged["ecl"]["realised_loss"])
+    assert read("reconciliation").agg(F.sum("amount")).first()[0] == pytest.approx(staged["ecl"]["cutoff"])
+
+
+def test_vintage_stage_fails_on_bad_input(spark, settings, built):
+    with pytest.raises(vintage.VintageError, match="seasoned"):
+        stages.vintage_stage(spark, replace(settings, maturity_mob=400))
+    with pytest.raises(vintage.VintageError, match="2011 and later"):
+        stages.vintage_stage(spark, replace(settings, crisis_gate=True))  # no vintage of 2011 here
+
+
+def test_transition_stage_fails_on_wrong_signs(spark, settings, built, monkeypatch):
+    monkeypatch.setattr(conditional, "UNEMPLOYMENT_BPS", {"behind": -20.0, "cure": -240.0, "roll": 260.0})
+    with pytest.raises(conditional.ConditionalError, match="Current"):
+        stages.transition_stage(spark, replace(settings, sign_gate=True))
+
+
+def test_ecl_stage_fails_on_bad_input(spark, settings, staged, tmp_path, monkeypatch):
+    other = replace(settings, data_root=str(tmp_path / "other"))
+    shutil.copytree(settings.data_root, other.data_root)
+    loans = spark.read.parquet(stages.curated(settings, "acquisition"))
+    loans.where("loan_id like '%0'").write.mode("overwrite").parquet(stages.curated(other, "acquisition"))
+    with pytest.raises(Exception, match="acquisition terms"):
+        stages.ecl_stage(spark, other, 3)
+    right = conditional.ConditionalModel.matrices
+    with monkeypatch.context() as m:
+        m.setattr(conditional.ConditionalModel, "matrices", lambda *a, **k: right(*a, **k).withColumn("p", F.col("p") * 0.9))
+        with pytest.raises(forecast.ForecastError):
+            stages.ecl_stage(spark, settings, 3)
+    with monkeypatch.context() as m:
+        m.setattr(attribution, "shapley", lambda *a: (F.lit(0.0),) * 3)
+        with pytest.raises(attribution.AttributionError):
+            stages.ecl_stage(spark, settings, 3)
+
+
+def test_scenario_stage_fails_without_a_quarter(spark, settings, built, tmp_path):
+    with pytest.raises(scenarios.ScenarioError):
+        stages.scenario_stage(spark, settings, scenario_file(tmp_path, settings, "2010Q1"), 45)
+
+
+def test_panel_reconciles_with_its_sources(spark, settings, built):
+    """Every source row is in the panel once, with its balance and its loan's terms; nulls equal nulls."""
+    loans, rows, panel_ = (spark.read.parquet(stages.curated(settings, t)) for t in ("acquisition", "performance", "panel"))
+    own = rows.join(loans.select("loan_id", F.date_format("origination_month", "yyyy-MM").alias("vintage"), "orig_score"), "loan_id").select("loan_id", "as_of_month", "vintage", "orig_score", F.col("current_upb").alias("upb_bom"), "net_sales_proceeds", "foreclosure_costs")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in own.columns]
+    assert rows.count() == panel_.count() == own.alias("a").join(panel_.select(*own.columns).alias("b"), same).count()
+    assert own.exceptAll(panel_.select(*own.columns)).isEmpty()
+    months = stages.macro_table(spark, settings)
+    values = ["unemployment_rate", "hpi_change_yoy_lag_6"]
+    off = panel_.join(months.select("as_of_month", *[F.col(c).alias(f"m_{c}") for c in values]), "as_of_month").where(" or ".join(f"not {c} <=> m_{c}" for c in values))
+    assert off.isEmpty()
 
 
 def test_models_follow_the_economy(spark, settings, built):
@@ -62,9 +144,9 @@ def test_models_follow_the_economy(spark, settings, built):
     assert len(sums) == 18 and all(r.m == pytest.approx(1) and r.low >= 0 for r in sums)
     worse = conditional.sensitivity(spark, model, bands).where("origin = 'Current' and destination = 'DPD30'").first()
     assert worse.change_bps > 0
-    conditional.enforce_signs(conditional.sign_recovery(spark, model, [("unemployment_rate", "Current", "DPD30", 1)], bands[0]))
-    with pytest.raises(conditional.ConditionalError):
-        conditional.enforce_signs(conditional.sign_recovery(spark, model, [("unemployment_rate", "Current", "DPD30", -1)], bands[0]))
+    signs = conditional.recovery(spark, model)
+    assert signs.count() == 23 and signs.where("driver = 'unemployment' and origin = 'Current' and destination = 'DPD30' and agrees").count() == 1
+    assert conditional.material(conditional.sensitivity(spark, model, bands)).count() > 0
 
 
 def test_newton_reaches_the_optimum(spark):
@@ -109,3 +191,15 @@ def test_stream_of_months(spark, settings, tmp_path):
     query.stop()
     got = sorted((r.loan_id, str(r.as_of_month), r.delinquency_state, r.next_delinquency_state) for r in spark.table("moves").collect())
     assert got == [("a", "2010-01-01", "Current", "DPD30"), ("a", "2010-02-01", "DPD30", "Prepaid"), ("b", "2010-01-01", "Current", "Current")]
+
+
+def test_stream_counts_states_by_month(spark, settings, tmp_path):
+    source, day = str(tmp_path / "in"), "2010-01-05"
+    rows = [("a", day, None, 0), ("b", day, None, 30), ("c", day, "01", 0), ("d", "2010-06-05", None, 0)]
+    spark.createDataFrame(rows, "loan_id string, m string, zero_balance_code string, delinquency_status int").withColumn("as_of_month", F.to_date("m")).drop("m").coalesce(1).write.parquet(source)
+    read = spark.readStream.schema("loan_id string, as_of_month date, zero_balance_code string, delinquency_status int").parquet(source)
+    query = stream.monthly_states(read, settings).writeStream.format("memory").queryName("by_month").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    got = {(str(r.window.start)[:7], r.state): r.n for r in spark.table("by_month").collect()}
+    assert len(got) == 4 and all(n == 1 for n in got.values()) and {s for _, s in got} == {"Current", "DPD30", "Prepaid"}
