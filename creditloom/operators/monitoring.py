@@ -77,3 +77,33 @@ def distribution(rows: DataFrame, group: str, value: str, weight: str, quantiles
     points = weighted_quantiles(rows, group, value, weight, [q / 100 for q in quantiles])
     wide = points.groupBy(group).agg(*[F.max(F.when(F.col("q") == q / 100, F.col("value"))).alias(f"p{q}") for q in quantiles])
     return moments.join(wide, group)
+
+
+SAMPLE_QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.50, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+
+
+def macro_samples(counts: DataFrame, series: DataFrame, cutoff: str, first: str, last: str) -> DataFrame:
+    """Unemployment in five samples: months up to the cutoff and months from first to last, each by calendar and by transitions, and all transitions.
+
+    counts: the transition cube; series: a row a month. Rows (sample, observations, total_weight, minimum, quantiles,
+    maximum, share_above_early_maximum), the last the weight above all that was seen up to the cutoff.
+    """
+    day = lambda x: F.lit(x).cast("date")
+    cells = counts.groupBy("as_of_month").agg(F.count("*").alias("cells"), F.sum("transition_count").alias("moves"))
+    early = F.col("as_of_month") <= day(cutoff)
+    months = series.select("as_of_month", "unemployment_rate").dropDuplicates(["as_of_month"])  # a row a month from here on
+    top = months.agg(F.max(F.when(early, F.col("unemployment_rate"))).alias("early_maximum"))
+    months = months.join(cells, "as_of_month", "left").crossJoin(F.broadcast(top))
+    late = F.col("as_of_month").between(day(first), day(last))
+    one = lambda name, held, weight, rows: F.when(held, F.struct(F.lit(name).alias("sample"), weight.cast("double").alias("weight"), rows.cast("long").alias("rows")))
+    unit = F.lit(1)
+    every = F.array_compact(F.array(
+        one("early calendar", early, unit, unit), one("early transitions", early, F.col("moves"), F.col("cells")),
+        one("late calendar", late, unit, unit), one("late transitions", late, F.col("moves"), F.col("cells")), one("all transitions", F.lit(True), F.col("moves"), F.col("cells")),
+    ))
+    rows = months.select("unemployment_rate", "early_maximum", F.inline(every)).where("weight > 0")
+    u, w = F.col("unemployment_rate"), F.col("weight")
+    sums = rows.groupBy("sample").agg(F.sum("rows").alias("observations"), F.sum(w).alias("total_weight"), F.min(u).alias("minimum"), F.max(u).alias("maximum"), C.ratio(C.sum_if(u > F.col("early_maximum"), w), F.sum(w)).alias("share_above_early_maximum"))
+    points = weighted_quantiles(rows, "sample", "unemployment_rate", "weight", list(SAMPLE_QUANTILES.values()))
+    wide = points.groupBy("sample").agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for name, q in SAMPLE_QUANTILES.items()])
+    return sums.join(wide, "sample").select("sample", "observations", "total_weight", "minimum", *SAMPLE_QUANTILES, "maximum", "share_above_early_maximum")

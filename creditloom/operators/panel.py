@@ -108,3 +108,19 @@ def exit_counts(panel: DataFrame, s: Settings) -> DataFrame:
     kinds = panel.sparkSession.createDataFrame([(x,) for x in (*s.absorbing, "Censored")], "exit_reason string")
     counts = panel.where("exit_reason is not null").groupBy("exit_reason").agg(F.count("*").alias("n"))
     return kinds.join(counts, "exit_reason", "left").select("exit_reason", F.coalesce("n", F.lit(0)).alias("loans"))
+
+
+def reconcile(panel: DataFrame, expected: DataFrame, *columns: str) -> DataFrame:
+    """One row: rows of both, rows in one alone, and rows that differ in a column, by loan and month; nulls equal nulls."""
+    keys = ["loan_id", "as_of_month"]
+    a, b = (df.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in columns], F.lit(True).alias(side)) for df, side in ((panel, "in_panel"), (expected, "in_expected")))
+    both = a.join(b, keys, "full")
+    same = C.all_of([F.col(f"{c}_in_panel").eqNullSafe(F.col(f"{c}_in_expected")) for c in columns])
+    here, there = F.col("in_panel").isNotNull(), F.col("in_expected").isNotNull()
+    return both.agg(F.count_if(here).alias("panel_rows"), F.count_if(there).alias("expected_rows"), F.count_if(here & ~there).alias("only_in_panel"), F.count_if(there & ~here).alias("only_in_expected"), F.count_if(here & there & ~same).alias("differing_rows"))
+
+
+def enforce_reconciled(table: DataFrame) -> None:
+    row = table.first()
+    if row.only_in_panel or row.only_in_expected or row.differing_rows:
+        raise PanelError(f"the panel does not reconcile: {row.asDict()}")

@@ -145,6 +145,17 @@ def panel_integrity(x: L.Lens) -> DataFrame:
     return panel.integrity(x.checked_panel(), x.settings)
 
 
+@query(f"""with {L.ALL}, want as (select loan_id, as_of_month, {L._STATE_SQL} as delinquency_state, current_upb as upb_bom, net_sales_proceeds from perf)
+select count(p.loan_id) as panel_rows, count(w.loan_id) as expected_rows, count(*) filter (where w.loan_id is null) as only_in_panel, count(*) filter (where p.loan_id is null) as only_in_expected,
+  count(*) filter (where p.loan_id is not null and w.loan_id is not null and (p.delinquency_state is distinct from w.delinquency_state or p.upb_bom is distinct from w.upb_bom or p.net_sales_proceeds is distinct from w.net_sales_proceeds)) as differing_rows
+from panel p full join want w on p.loan_id = w.loan_id and p.as_of_month = w.as_of_month""")
+def panel_reconciliation(x: L.Lens) -> DataFrame:
+    """The panel against its source rows."""
+    rows = x.performance()
+    want = rows.select("loan_id", "as_of_month", C.delinquency_state("zero_balance_code", "delinquency_status", x.settings).alias("delinquency_state"), F.col("current_upb").alias("upb_bom"), "net_sales_proceeds")
+    return panel.reconcile(x.panel(), want, "delinquency_state", "upb_bom", "net_sales_proceeds")
+
+
 @query(f"with {L.MACRO_SQL} select * from macro")
 def macro_features(x: L.Lens) -> DataFrame:
     return x.macro_features()
@@ -801,6 +812,24 @@ def macro_distribution(x: L.Lens) -> DataFrame:
         return L.local(_round(monitoring.distribution(rows, "score_band", "unemployment_rate", "upb_bom"), 5, weight=2))
 
 
+@query(f"""with {L.ALL}, {CUBE}, cells as (select as_of_month, count(*) as cells, sum(transition_count) as moves from cube group by 1),
+months as (select s.as_of_month, unemployment_rate as v, cells, moves, (select max(unemployment_rate) from series where as_of_month <= date '{L.CUTOFF}') as top from series s left join cells using (as_of_month)),
+x as (
+  select 'early calendar' as g, v, 1::double as w, 1 as k, top from months where as_of_month <= date '{L.CUTOFF}' union all select 'early transitions', v, moves::double, cells, top from months where as_of_month <= date '{L.CUTOFF}'
+  union all select 'late calendar', v, 1::double, 1, top from months where as_of_month between date '2001-07-01' and date '2002-06-01' union all select 'late transitions', v, moves::double, cells, top from months where as_of_month between date '2001-07-01' and date '2002-06-01'
+  union all select 'all transitions', v, moves::double, cells, top from months),
+u as (select * from x where w > 0), s as (select g, v, sum(w) as w from u group by all),
+o as (select g, v, (sum(w) over (partition by g order by v) - w / 2) / sum(w) over (partition by g) as pos from s),
+n as (select *, lead(v) over (partition by g order by v) as v1, lead(pos) over (partition by g order by v) as pos1, lag(pos) over (partition by g order by v) is null as first_ from o),
+a as (select *, unnest([{", ".join(f"{q}::double" for q in monitoring.SAMPLE_QUANTILES.values())}]) as q from n),
+p as (select g, q, case when pos1 is null or (first_ and q < pos) then v else v + (v1 - v) * (q - pos) / (pos1 - pos) end as value from a where (q >= pos and q < coalesce(pos1, 2)) or (first_ and q < pos))
+select u.g as sample, cast(sum(k) as bigint) as observations, sum(w) as total_weight, min(v) as minimum, {", ".join(f"round((select value from p where p.g = u.g and q = {q}), 6) as {name}" for name, q in monitoring.SAMPLE_QUANTILES.items())},
+  max(v) as maximum, round(coalesce(sum(w) filter (where v > top), 0) / sum(w), 6) as share_above_early_maximum from u group by u.g""")
+def macro_samples(x: L.Lens) -> DataFrame:
+    """Unemployment up to the cutoff, in the year after it, and in all transitions."""
+    return _round(monitoring.macro_samples(transitions.cube(x.panel()), x.macro(), L.CUTOFF, "2001-07-01", "2002-06-01"))
+
+
 @query(f"""with {L.ALL}, e as (select score_band, count(*) / sum(count(*)) over ()::double as s from panel where vintage_year < 1998 group by 1), a as (select score_band, count(*) / sum(count(*)) over ()::double as s from panel where vintage_year >= 1998 group by 1),
 j as (select score_band, greatest(coalesce(e.s, 0), 1e-6) as e, greatest(coalesce(a.s, 0), 1e-6) as a from e full join a using (score_band))
 select score_band, round(e, 6) as expected_share, round(a, 6) as actual_share, round((a - e) * ln(a / e), 6) as psi from j""")

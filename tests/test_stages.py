@@ -123,10 +123,14 @@ def test_scenario_stage_fails_without_a_quarter(spark, settings, built, tmp_path
 def test_panel_reconciles_with_its_sources(spark, settings, built):
     """Every source row is in the panel once, with its balance and its loan's terms; nulls equal nulls."""
     loans, rows, panel_ = (spark.read.parquet(stages.curated(settings, t)) for t in ("acquisition", "performance", "panel"))
-    own = rows.join(loans.select("loan_id", F.date_format("origination_month", "yyyy-MM").alias("vintage"), "orig_score"), "loan_id").select("loan_id", "as_of_month", "vintage", "orig_score", F.col("current_upb").alias("upb_bom"), "net_sales_proceeds", "foreclosure_costs")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in own.columns]
-    assert rows.count() == panel_.count() == own.alias("a").join(panel_.select(*own.columns).alias("b"), same).count()
-    assert own.exceptAll(panel_.select(*own.columns)).isEmpty()
+    columns = ("vintage", "orig_score", "upb_bom", "net_sales_proceeds", "foreclosure_costs")
+    own = rows.join(loans.select("loan_id", F.date_format("origination_month", "yyyy-MM").alias("vintage"), "orig_score"), "loan_id").withColumnRenamed("current_upb", "upb_bom")
+    found = panel.reconcile(panel_, own, *columns)
+    assert found.first()[:] == (rows.count(), rows.count(), 0, 0, 0)
+    panel.enforce_reconciled(found)
+    for bad in (own.where("loan_age > 0"), own.withColumn("orig_score", F.col("orig_score") + 1), own.withColumn("net_sales_proceeds", F.coalesce("net_sales_proceeds", F.lit(0.0)))):
+        with pytest.raises(panel.PanelError):
+            panel.enforce_reconciled(panel.reconcile(panel_, bad, *columns))
     months = stages.macro_table(spark, settings)
     values = ["unemployment_rate", "hpi_change_yoy_lag_6"]
     off = panel_.join(months.select("as_of_month", *[F.col(c).alias(f"m_{c}") for c in values]), "as_of_month").where(" or ".join(f"not {c} <=> m_{c}" for c in values))
