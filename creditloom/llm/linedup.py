@@ -18,9 +18,14 @@ deletions. All columns are returned; an input's own columns lines and dropped_li
 Passages inside lines are found by words (inline_words). Any run of that many words is a union of windows of exactly so
 many, so a word goes when it lies in a window that also starts earlier, whatever white space parts the words. Each
 window is represented by the run of a quarter of its words with the smallest hash, its anchor. Equal windows have equal
-anchors, so only windows whose anchor occurs again are compared, by two 64-bit hashes. Later copies of whole texts go as
-lines and take no part: each of their windows is in the first copy. Of a line, only its deleted words go; a
-line whose every word goes counts as a dropped line.
+anchors, so only windows whose anchor is also in another text, or again in their own, are compared, by 64-bit hashes of
+the anchor and of the window.
+Of equal texts the first alone is looked through, as all windows of the others are in it. Of a line, only its deleted
+words go; a line whose every word goes counts as a dropped line.
+
+Texts are shuffled only where they hold a repeated anchor or lose something. Which these are is broadcast, 8 bytes a text,
+up to BROADCAST_KEYS of them; beyond that all texts are shuffled in both places, which takes more disk and finds the same.
+Very long texts are one row each: their lines and windows are rows of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,22 +35,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytesops import _GOLD, _R, _R_INV, U64, _powers, cut_lineage, hashes, mix, slices, words
 
-MIN_WORDS, SALTS, HOT = 50, 16, 256
+MIN_WORDS, SALTS, HOT, BROADCAST_KEYS = 50, 16, 1024, 3_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def _words(text: str) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+
+
 def line_table(rows: DataFrame) -> DataFrame:
     """Rows (row, line, a, b, words): one for each line of rows (row, text), with two hashes of the line and its words."""
     lines = rows.where(F.col("text").isNotNull()).select("row", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    words = F.size(F.filter(F.split("words", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
-    return lines.select("row", "line", F.xxhash64("words").alias("a"), F.xxhash64("words", F.lit(1)).alias("b"), words.alias("words"))
+    return lines.select("row", "line", F.xxhash64("words").alias("a"), F.xxhash64("words", F.lit(1)).alias("b"), F.size(_words("words")).alias("words"))
 
 
 def _ranked(pairs: DataFrame, by: list[str], into: str) -> DataFrame:
@@ -83,7 +90,8 @@ def shortest_runs(repeated: DataFrame, min_words: int) -> DataFrame:
     lines = lines.withColumn("upto", F.sum("words").over(at.orderBy("line"))).withColumn("start", F.col("upto") - F.col("words"))
     lines = lines.withColumns({
         # The next line starts where this one ends, so the first start min_words further on comes after the run.
-        "after": F.min("line").over(at.orderBy("start").rangeBetween(min_words, Window.unboundedFollowing)),
+        # Both frames only grow, so each row is added once.
+        "after": F.min("line").over(at.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -min_words)),
         "before": F.max("line").over(at.orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words)),
         "first": F.min("line").over(at), "last": F.max("line").over(at), "low": F.min("start").over(at), "high": F.max("upto").over(at),
     })
@@ -116,26 +124,99 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.select("row", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("m") - 1)).alias("line")).distinct()
 
 
-def _windows(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """Of each window of n words inside one text: its text, its first word in the text, its anchor's word and hash, and two hashes."""
+def _sliding(best: np.ufunc, x: np.ndarray, m: int) -> np.ndarray:
+    """The best of each m neighbours, in log m passes."""
+    width = 1
+    while width < m:
+        step = min(width, m - width)
+        x = best(x[:-step], x[step:])
+        width += step
+    return x
+
+
+def _runs(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k neighbours."""
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(values * _powers(_R, len(values)), dtype=U64)))
+    return mix((sums[k:] - sums[:-k]) * _powers(_R_INV, len(values))[: len(values) - k + 1])
+
+
+def _anchors(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the windows of n words inside one text, their anchors' hashes, and the hash of each run that may be an anchor."""
+    part = _runs(h, max(1, n // 4))
+    first = np.flatnonzero(owner[: len(h) - n + 1] == owner[n - 1 :])
+    return first, _sliding(np.minimum, part, n - max(1, n // 4) + 1)[first], part
+
+
+def _text_anchors(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct anchors (text, hash), and at how many of its places they are."""
     starts, ends, at = words(data, off)
     if len(starts) < n:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64, np.int64))
-    h = hashes(data, starts, ends)
-    up, down = _powers(_R, len(h)), _powers(_R_INV, len(h))
-
-    def runs(values: np.ndarray, k: int) -> np.ndarray:
-        sums = np.concatenate((np.zeros(1, U64), np.cumsum(values * up, dtype=U64)))
-        return mix((sums[k:] - sums[:-k]) * down[: len(h) - k + 1])
-
-    owner = np.repeat(np.arange(len(off) - 1), np.diff(at))
-    first = np.flatnonzero(np.arange(n, len(h) + 1) <= at[owner[: len(h) - n + 1] + 1])
-    k = max(1, n // 4)
-    part = runs(h, k)
-    anchor = first + sliding_window_view(part, n - k + 1)[first].argmin(1)
-    two = [runs(v, n)[first].view(np.int64) for v in (h, mix(h + _GOLD))]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    h, owner = hashes(data, starts, ends), np.repeat(np.arange(len(off) - 1), np.diff(at))
+    first, least, part = _anchors(h, owner, n)
+    # A run is an anchor where the largest of the least hashes of the windows that hold it is its own.
+    m = n - max(1, n // 4) + 1
+    wide = np.zeros(len(h) - n + 1 + 2 * (m - 1), U64)
+    wide[m - 1 + first] = least
+    place = np.flatnonzero(_sliding(np.maximum, wide, m) == part)
+    order = np.lexsort((part[place], owner[place]))
+    text, value = owner[place[order]], part[place[order]]
+    one = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (value[1:] != value[:-1])))[: len(text)])
+    return text[one], value[one].view(np.int64), np.diff(np.append(one, len(text))).astype(np.int32)
+
+
+def _repeated_windows(data: np.ndarray, off: np.ndarray, hits: np.ndarray, hots: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Stretches of windows whose anchor is among the hits: (text, first word, anchor, hot) of each, and the offsets and hashes of their windows."""
+    starts, ends, at = words(data, off)
+    if len(starts) < n:
+        return tuple(np.zeros(k, t) for k, t in ((0, np.int64), (0, np.int32), (0, U64), (0, bool), (1, np.int32), (0, U64)))
+    h, owner = hashes(data, starts, ends), np.repeat(np.arange(len(off) - 1), np.diff(at))
+    first, least, _ = _anchors(h, owner, n)
+    # An anchor that another text of the slice has among its hits only adds windows to compare.
+    again = np.isin(least, hits)
+    first, least = first[again], least[again]
     text = owner[first]
-    return text, (first - at[text]).astype(np.int32), (anchor - at[text]).astype(np.int32), part[anchor].view(np.int64), *two
+    new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (first[1:] != first[:-1] + 1) | (least[1:] != least[:-1])))[: len(text)])
+    return text[new], (first[new] - at[text[new]]).astype(np.int32), least[new], np.isin(least[new], hots), np.append(new, len(text)).astype(np.int32), _runs(h, n)[first]
+
+
+class _Seen:
+    """Tells the windows that came before, of stretches (row, anchor, salt, first word, hot, windows' hashes) sorted by anchor, salt and place."""
+
+    def __init__(self) -> None:
+        self.key, self.place, self.hashes = None, None, np.zeros(0, U64)
+
+    def later(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """(row, starts: first words of windows seen before; and of hot stretches their anchor and the other windows)."""
+        row, at, lists = batch.column(0), batch.column(3).to_numpy(), batch.column(5)
+        anchor, salt, hot = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+        text = row.field(1).to_numpy(zero_copy_only=False)
+        before = self.key or (None, None)
+        new = np.concatenate(([(anchor[0], salt[0]) != before], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])))
+        # Equal rows come one after another and are one.
+        same = np.concatenate(([not new[0] and (text[0], at[0]) == self.place], ~new[1:] & (text[1:] == text[:-1]) & (at[1:] == at[:-1])))
+        group, size = np.cumsum(new), lists.value_lengths().to_numpy()
+        owner, value = np.repeat(np.arange(len(at)), size), lists.flatten().to_numpy().view(U64)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        used = ~same[owner]
+        owner, value, inside = owner[used], value[used], inside[used]
+        of = group[owner]
+        order = np.lexsort((value, of))
+        late = np.zeros(len(owner), bool)
+        late[order[1:]] = (value[order[1:]] == value[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
+        late |= (of == 0) & np.isin(value, self.hashes)
+        kept = value[~late & (of == group[-1])]
+        self.hashes = np.union1d(self.hashes, kept) if group[-1] == 0 else kept
+        self.key, self.place = (anchor[-1], salt[-1]), (text[-1], at[-1])
+        word, rest = (at[owner] + inside).astype(np.int32), ~late & hot[owner]
+        give = np.flatnonzero(np.bincount(owner, late | rest, len(at)))
+        list_of = lambda of, x: pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(owner[of], give), np.count_nonzero(of)).astype(np.int32)), pa.array(x[of]))
+        return pa.RecordBatch.from_arrays([row.take(pa.array(give)), batch.column(1).take(pa.array(give)), list_of(late, word), list_of(rest, word), list_of(rest, value.view(np.int64))], ["row", "a", "starts", "others", "hashes"])
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, key: Column) -> DataFrame | None:
+    """rows whose key (64 bits) is among keys (checkpointed, one column k) by broadcast, if these are BROADCAST_KEYS at most; else None."""
+    return rows.join(F.broadcast(keys.withColumnRenamed("k", "__k")), key == F.col("__k"), "left_semi") if keys.count() <= BROADCAST_KEYS else None
 
 
 def later_windows(rows: DataFrame, n: int, copies: bool = True) -> DataFrame:
@@ -149,41 +230,49 @@ def later_windows(rows: DataFrame, n: int, copies: bool = True) -> DataFrame:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches, "text"):
-            text, _, at, a, *_ = _windows(data, off, n)
-            # A window's anchor is often the next one's.
-            one = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (at[1:] != at[:-1])))[: len(text)])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[one])), pa.array(at[one]), pa.array(a[one])], ["row", "at", "a"])
+            text, a, many = _text_anchors(data, off, n)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(a), pa.array(many)], ["t", "a", "many"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches, "text"):
-            text, first, at, _, a, b = _windows(data, off, n)
-            code, at = (text << 32) + at, {}
-            for c in (2, 3):
-                at[c] = (np.repeat(np.arange(part.num_rows), part.column(c).value_lengths().to_numpy()) << 32) + part.column(c).flatten().to_numpy()
-            one = np.flatnonzero(np.isin(code, at[2]))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[one])), *(pa.array(x[one]) for x in (first, a, b)), pa.array(np.isin(code[one], at[3]))], ["row", "at", "a", "b", "hot"])
-
-    seen = rows.select("row", "text").mapInArrow(anchors, f"row {kind}, at int, a bigint")
-    text = F.col("row.text")
-    counts = seen.groupBy("a").agg(F.count("*").alias("n"), F.min(text).alias("t0"), F.max(text).alias("t1"), F.min("at").alias("at0"), F.max("at").alias("at1"))
-    counts = cut_lineage(counts.where("n > 1" if copies else "t0 <> t1 or at0 <> at1").select("a", (F.col("n") > HOT).alias("hot")))
-    # Hot anchors, at most a HOT-th of all, are found by broadcast, and their windows are salted.
-    seen = seen.join(F.broadcast(counts.where("hot")), "a", "left")
-    spread = seen.withColumn("a", F.when(F.col("hot"), F.xxhash64("row", "at")).otherwise(F.col("a")))
-    hits = spread.join(counts.where("not hot").select("a", F.lit(True).alias("cold")), "a", "left").where("hot or cold")
-    hits = hits.groupBy("row").agg(F.collect_set("at").alias("hits"), F.collect_set(F.when(F.col("hot"), F.col("at"))).alias("hots"))
+            text, first, a, hot, at, h = _repeated_windows(data, off, *(part.column(k).flatten().to_numpy().view(U64) for k in (2, 3)), n)
+            salt = np.where(hot, mix(part.column(0).field(1).to_numpy(zero_copy_only=False).view(U64)[text] + first.astype(U64) * _GOLD) % U64(SALTS), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(a.view(np.int64)), pa.array(salt), pa.array(first), pa.array(hot), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["row", "a", "salt", "at", "hot", "h"])
+
+    def seen_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in batches:
+            if batch.num_rows:
+                yield seen.later(batch)
+
+    # Of equal texts the first alone is looked through.
+    firsts = rows.groupBy(F.col("row.text").alias("t")).agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    several = cut_lineage(firsts.where("n > 1").select(F.col("t").alias("__t"), F.xxhash64("row").alias("__first")))
+    whole_rows = rows
+    if several.count() <= BROADCAST_KEYS:  # else copies take part, and change nothing
+        rows = rows.join(F.broadcast(several), F.col("row.text") == F.col("__t"), "left").where(F.col("__t").isNull() | (F.xxhash64("row") == F.col("__first"))).select("row", "text")
+    seen = rows.select(F.col("row.text").alias("t"), "text").mapInArrow(anchors, "t bigint, a bigint, many int")
+    again = seen.groupBy("a").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("many").alias("many"), F.count("*").alias("n")).where("t0 <> t1 or many > 1")
+    again = cut_lineage(again.select("a", (F.col("n") > HOT).alias("hot")))
+    hits = seen.join(again, "a").select("t", "a", "hot").repartition("t").groupBy("t").agg(F.collect_set("a").alias("hits"), F.collect_set(F.when(F.col("hot"), F.col("a"))).alias("hots"))
+    picks = cut_lineage(firsts.drop("n").join(hits, "t").select("row", "hits", "hots"))
+    near = narrowed(rows, picks.select(F.xxhash64("row").alias("k")), F.xxhash64("row"))
+    found = (rows if near is None else near).join(picks, "row").select("row", "text", "hits", "hots").mapInArrow(windows, f"row {kind}, a bigint, salt int, at int, hot boolean, h array<bigint>")
+    # The windows of an anchor meet, in order of place. Those of a frequent one are dealt over salts, and what is not seen
+    # before in its salt meets window by window, a row from each salt at most.
+    dealt = found.repartition("a", "salt").sortWithinPartitions("a", "salt", "row", "at")
+    found = cut_lineage(dealt.mapInArrow(seen_before, f"row {kind}, a bigint, starts array<int>, others array<int>, hashes array<bigint>"))
+    others = found.where(F.size("others") > 0).select("row", "a", F.inline(F.arrays_zip(F.col("others").alias("at"), F.col("hashes").alias("h"))))
+    place = F.struct("row", "at")
+    src = F.first(place).over(Window.partitionBy("a", "h").orderBy("row", "at"))
+    others = others.withColumn("late", place != src).where("late").groupBy("row").agg(F.collect_set("at").alias("starts"))
+    late = found.where(F.size("starts") > 0).select("row", "starts").unionByName(others)
+    later = late.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     if not copies:
-        hits = hits.join(rows.groupBy(text.alias("text")).agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
-    # Equal rows have equal windows.
-    texts = rows.join(cut_lineage(hits), "row").select("row", "text", "hits", "hots")
-    found = texts.mapInArrow(windows, f"row {kind}, at int, a bigint, b bigint, hot boolean")
-    place, key = F.struct("row", "at"), ["a", "b"]
-    cold = found.where("not hot").withColumn("src", F.first(place).over(Window.partitionBy(*key).orderBy("row", "at")))
-    hot = cut_lineage(found.where("hot"))
-    first = hot.groupBy(*key).agg(F.min(place).alias("src")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hot = hot.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(first, [*key, "salt"])
-    later = cold.select("row", "at", "src").unionByName(hot.select("row", "at", "src")).where(place != F.col("src"))
-    return later.groupBy("row").agg(F.collect_set("at").alias("starts"))
+        return later
+    whole = whole_rows.select("row", (F.size(_words("text")) - n).alias("end")).join(firsts.where("n > 1").select("t", F.col("row").alias("src")), F.col("row.text") == F.col("t"))
+    whole = whole.where((F.col("row") != F.col("src")) & (F.col("end") >= 0)).select("row", F.sequence(F.lit(0), "end").alias("starts"))
+    return later.unionByName(whole.distinct())
 
 
 def without(text: str, gone: list[int] | None, starts: list[int], n: int) -> tuple[str, int]:
@@ -219,25 +308,32 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     # A row is named by its id, or, where ids are null or repeat, also by its text; equal rows share their deletions.
     name = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
-    docs = docs.drop("lines", "dropped_lines", "__row", "__gone", "__starts", "__cut")
+    docs = docs.drop("lines", "dropped_lines", "__row", "__gone", "__starts", "__cut", "__of", "__k")
     rows = docs.select(name.alias("row"), F.col(text_col).cast("string").alias("text"))
     gone = later_copies(line_table(rows), min_words).groupBy("row").agg(F.collect_set("line").alias("__gone"))
-    source = docs.withColumn("__row", name)
     if inline_words is not None:
         gone = gone.join(later_windows(rows.where(F.col("text").isNotNull()), inline_words, copies=inline_words < min_words).withColumnRenamed("starts", "__starts"), "row", "full")
-    joined = source.join(gone, source["__row"].eqNullSafe(gone["row"]), "left")
+    gone = cut_lineage(gone)
     parts = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    changed, dropped = F.col("__gone").isNotNull(), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
-    if inline_words is not None:
-        joined = joined.withColumn("__cut", _without(F.col(text_col), inline_words))
-        changed, cut = changed | F.col("__starts").isNotNull(), F.col("__starts").isNotNull()
-        left, dropped = F.when(cut, F.col("__cut.text")).otherwise(left), F.when(cut, F.col("__cut.dropped")).otherwise(dropped)
-    return joined.select(
-        *[F.when(changed, left).otherwise(source[c]).alias(c) if c == text_col else source[c] for c in docs.columns],
-        F.coalesce(F.size(parts), F.lit(0)).alias("lines"),
-        dropped.alias("dropped_lines"),
-    )
+    lines = F.coalesce(F.size(parts), F.lit(0)).alias("lines")
+
+    def cleaned(source: DataFrame) -> DataFrame:
+        joined = source.withColumn("__row", name).join(gone.withColumnRenamed("row", "__of"), F.col("__row").eqNullSafe(F.col("__of")), "left")
+        left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+        changed, dropped = F.col("__gone").isNotNull(), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
+        if inline_words is not None:
+            joined = joined.withColumn("__cut", _without(F.col(text_col), inline_words))
+            changed, cut = changed | F.col("__starts").isNotNull(), F.col("__starts").isNotNull()
+            left, dropped = F.when(cut, F.col("__cut.text")).otherwise(left), F.when(cut, F.col("__cut.dropped")).otherwise(dropped)
+        return joined.select(*[F.when(changed, left).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns], lines, dropped.alias("dropped_lines"))
+
+    # Texts without a deletion need not be shuffled.
+    keys = gone.select(F.xxhash64("row").alias("k"))
+    hit = narrowed(docs, keys, F.xxhash64(name))
+    if hit is None:
+        return cleaned(docs)
+    clean = docs.join(F.broadcast(keys.withColumnRenamed("k", "__k")), F.xxhash64(name) == F.col("__k"), "left_anti")
+    return clean.select(*docs.columns, lines, F.lit(0).alias("dropped_lines")).unionByName(cleaned(hit))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

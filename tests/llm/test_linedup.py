@@ -1,4 +1,5 @@
 import random
+import time
 
 from creditloom.llm import linedup
 
@@ -75,6 +76,31 @@ def brute_words(rows, n):
     return out
 
 
+def brute_inline(rows, n):
+    """Texts in order, without lines of runs of n words and words of windows of n words that also start earlier."""
+    lines, seen, out = set(), set(), []
+    for text in rows:
+        if text is None:
+            out.append(None)
+            continue
+        parts, gone, starts = text.split("\n"), set(), []
+        sizes, words = [len(x.split()) for x in parts], text.split()
+        for a in range(len(parts)):
+            for b in range(a, len(parts)):
+                if sum(sizes[a : b + 1]) >= n:
+                    run = "\n".join(parts[a : b + 1])
+                    if run in lines:
+                        gone.update(range(a, b + 1))
+                    lines.add(run)
+        for a in range(len(words) - n + 1):
+            window = tuple(words[a : a + n])
+            if window in seen:
+                starts.append(a)
+            seen.add(window)
+        out.append(linedup.without(text, sorted(gone), starts, n)[0] if gone or starts else text)
+    return out
+
+
 def test_passages_inside_lines_go(spark, monkeypatch):
     rng = random.Random(3)
     passage = " ".join(f"p{i}" for i in range(55))
@@ -85,11 +111,24 @@ def test_passages_inside_lines_go(spark, monkeypatch):
 
     texts = ["".join(f"w{rng.randrange(3)}{rng.choice([' ', '  ', chr(10)])}" for _ in range(rng.randint(0, 40))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    for n, hot in ((5, 3), (8, 256)):
-        monkeypatch.setattr(linedup, "HOT", hot)
+    for n, most in ((5, 0), (8, 1000)):  # by a shuffle of all texts, and by broadcast
+        monkeypatch.setattr(linedup, "BROADCAST_KEYS", most)
+        monkeypatch.setattr(linedup, "HOT", 3 if most else 256)
         got = {r.doc_id: r.text.split() for r in linedup.drop_repeated_lines(df, min_words=10_000, inline_words=n).collect()}
         assert [got[i] for i in range(len(texts))] == brute_words(texts, n)
     texts += [texts[5], texts[20], f"{texts[5]} more"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
     got = {r.doc_id: r.text.split() for r in linedup.drop_repeated_lines(df, min_words=5, inline_words=5).collect()}
     assert [got[i] for i in range(len(texts))] == brute_words(texts, 5)
+
+
+def test_a_document_of_many_repeated_lines_takes_no_quadratic_time(spark):
+    """Every line occurs twice in it; frames that are computed anew for each row would take hours."""
+    half = [f"line number {i}" for i in range(100_000)]
+    df = spark.createDataFrame([(0, "\n".join(half + half))], "doc_id bigint, text string")
+    repeated = linedup._ranked(linedup.line_table(df.select(linedup.F.struct(linedup.F.col("doc_id").alias("id"), linedup.F.lit(0).cast("bigint").alias("text")).alias("row"), "text")), ["a", "b"], "rank").select("row", "line", "words", "rank")
+    began = time.perf_counter()
+    runs = linedup.shortest_runs(repeated, 50)
+    assert runs.count() >= 199_000 and time.perf_counter() - began < 60
+    # 17 lines of 3 words have 50 words or more.
+    assert {r.m for r in runs.select("m").distinct().collect()} == {17}
