@@ -1,8 +1,11 @@
 """Audio columns: 8-bit WAV media, polyphase resampling, log-mel frames, hysteresis segments.
 
 Features are Arrow fixed-shape tensors of BLOCK frames by MELS bands, each with its time span, kept in one binary
-column per row as an Arrow stream, which also holds the segments. Digests are of what was read back from the stream. A null text is an empty one: its payload is 576 bytes of 255. Empty tables give
-empty results; repeated rows give repeated results; other columns of the input are not carried.
+column per row as an Arrow stream, which also holds the segments. Digests, spans and segments in the result are those
+read back from the stream. Rows go through the workers in parts of about a megabyte; a longer text is a part of its own,
+of any length, and its frames are made 2,048 at a time. A null text is an empty one: its payload is 576 bytes of 255.
+Null ids and ids of any type are carried. Empty tables give empty results; repeated rows give repeated, equal results;
+other columns of the input are not carried, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytesops import by_bytes
+
 UNIT = 576
 RATE, TARGET_RATE = 16_000, 8_000
 FRAME, HOP, MELS, BLOCK = 256, 128, 32, 32
@@ -156,22 +161,16 @@ def _sha256(x: np.ndarray) -> str:
     return hashlib.sha256(np.ascontiguousarray(x).tobytes()).hexdigest()
 
 
-def _rows(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    return [b"" if x is None else x for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
-
-
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def _rows(column: pa.Array) -> list[bytes]:
+    return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
 def as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_bytes, media): every whole text as the samples of a WAV file, and its own length."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            texts = _rows(batch, "text")
+        for batch in by_bytes(batches, 1):
+            texts = _rows(batch.column(1))
             sizes = pa.array([len(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([wav(payload(x)) for x in texts], pa.binary())], ["id", "n_bytes", "media"])
 
@@ -179,43 +178,50 @@ def as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
+_SPAN = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+_FEATURES = pa.schema([
+    ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("blocks", pa.int32()), ("tensors", pa.binary()),
+    ("stream_bytes", pa.int64()), ("tensor_sha256", pa.string()), ("spans_sha256", pa.string()), ("segments_sha256", pa.string()), ("level", pa.float64()), ("spans", _SPAN), ("segments", _SPAN),
+])
+_FEATURES_SQL = (
+    "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, blocks int, tensors binary, stream_bytes bigint, tensor_sha256 string, spans_sha256 string, "
+    "segments_sha256 string, level double, spans array<struct<start_s:double,end_s:double>>, segments array<struct<start_s:double,end_s:double>>"
+)
+
+
+def _described(media: bytes | None, keep_tensors: bool) -> dict:
+    if media is None:
+        return {}
+    samples = read_wav(media)[1]
+    stream = tensor_stream(*features(media))
+    tensor, spans, segments = stored(stream)
+    pairs = lambda x: [{"start_s": float(a), "end_s": float(b)} for a, b in x]
+    return {
+        "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
+        "blocks": len(tensor), "tensors": stream if keep_tensors else None, "stream_bytes": len(stream), "tensor_sha256": _sha256(tensor), "spans_sha256": _sha256(spans), "segments_sha256": _sha256(segments),
+        "level": float(np.round(tensor.mean(), 3)), "spans": pairs(spans), "segments": pairs(segments),
+    }
+
+
 def audio_features(media: DataFrame, keep_tensors: bool = True) -> DataFrame:
-    """Rows (id, n_bytes, samples' digests, tensors as an Arrow stream, segments) of media rows (id, n_bytes, media).
+    """Rows (id, n_bytes, samples' digests, tensors as an Arrow stream with its blocks' spans, segments) of media rows (id, n_bytes, media).
 
     The samples are read back from the media column. A null media value gives null features. With keep_tensors off
-    the stream is left out after it was read back, and its length and the digests stay.
+    the stream is left out after it was read back, and its length, digests, spans and segments stay.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, 16):
-            out: list[dict] = []
-            for i, n, m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if m is None:
-                    out.append({"id": i, "n_bytes": n})
-                    continue
-                samples = read_wav(m)[1]
-                stream = tensor_stream(*features(m))
-                tensor, spans, segments = stored(stream)
-                out.append({
-                    "id": i, "n_bytes": n, "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-32:]),
-                    "media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest(), "blocks": len(tensor), "tensors": stream if keep_tensors else None,
-                    "stream_bytes": len(stream), "tensor_sha256": _sha256(tensor), "spans_sha256": _sha256(spans), "segments_sha256": _sha256(segments), "level": float(np.round(tensor.mean(), 3)),
-                    "segments": [{"start_s": float(a), "end_s": float(b)} for a, b in segments],
-                })
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    kind = media.schema["id"].dataType.simpleString()
-    span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-    arrow = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("blocks", pa.int32()), ("tensors", pa.binary()), ("stream_bytes", pa.int64()), ("tensor_sha256", pa.string()), ("spans_sha256", pa.string()), ("segments_sha256", pa.string()), ("level", pa.float64()), ("segments", span)])
-    return media.select("id", "n_bytes", "media").mapInArrow(
-        decode,
-        f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, "
-        "blocks int, tensors binary, stream_bytes bigint, tensor_sha256 string, spans_sha256 string, segments_sha256 string, level double, segments array<struct<start_s:double,end_s:double>>",
-    )
+        for batch in by_bytes(batches, 2):
+            found = pa.Table.from_pylist([_described(m, keep_tensors) for m in batch.column(2).to_pylist()], schema=_FEATURES).combine_chunks()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(c.combine_chunks() for c in found.columns)], ["id", "n_bytes", *_FEATURES.names])
+
+    rows = media.select("id", "n_bytes", "media")
+    return rows.mapInArrow(decode, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, {_FEATURES_SQL}")
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's digests, each row's tensor stream, and the blocks' and segments' spans as they were read back from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = audio_features(as_media(docs), keep_tensors=False)
+    found = audio_features(as_media(docs))
     feature = F.to_json(F.struct("blocks", "level", F.size("segments").alias("segments"), F.round(F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["end_s"] - s["start_s"]), 3).alias("active_s"), "stream_bytes", "tensor_sha256", "spans_sha256", "segments_sha256"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "tensors", "spans", "segments")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 2
             at = to
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches whose values of a string or binary column have about max_bytes at most; a longer value stands alone."""
+    for batch in batches:
+        run = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(run, run[at] + max_bytes, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words between bytes 0x20 and 0x09 to 0x0D, and each text's offsets in them."""
     n = len(data)
@@ -82,10 +94,14 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; set here only where the session has none, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder all executors share, from spark.checkpoint.dir. Only a session on one machine, as in tests, may do without."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -25,6 +25,9 @@ def test_no_rows_and_null_media(spark, no_docs):
     assert audio.audio_features(audio.as_media(no_docs)).count() == 0
     row = audio.audio_features(spark.createDataFrame([(1, None, None)], "id bigint, n_bytes bigint, media binary")).first()
     assert row.id == 1 and row.payload_sha256 is None
+    for kind in ("smallint", "double", "date", "string"):
+        row = audio.audio_features(audio.as_media(spark.createDataFrame([("7", "x")], "doc_id string, text string").selectExpr(f"cast('2020-01-01' as {kind}) as doc_id" if kind == "date" else f"cast(doc_id as {kind}) as doc_id", "text"))).first()
+        assert row.n_bytes == 1 and row.id is not None
 
 
 def test_resampling_equals_zero_stuffing():
@@ -50,8 +53,11 @@ def test_log_mel_by_definition_and_segments():
 def test_the_query_digests_what_its_stream_holds(spark, tmp_path):
     text = "a tone of no length " * 900
     spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: json.loads(r.feature) for r in audio.op1_audio_features(spark, str(tmp_path)).collect()}
+    rows = {r.doc_id: r for r in audio.op1_audio_features(spark, str(tmp_path)).collect()}
+    got = {i: json.loads(r.feature) for i, r in rows.items()}
     for i, x in ((1, text), (2, "")):
+        opened = audio.read_tensor_stream(rows[i].tensors)
+        assert opened.column("tensor").type.shape == [audio.BLOCK, audio.MELS] and [(s.start_s, s.end_s) for s in rows[i].spans] == list(zip(opened.column("start_s").to_pylist(), opened.column("end_s").to_pylist(), strict=True))
         tensor, spans, segments = audio.features(audio.wav(audio.payload(x.encode())))
         stream = audio.tensor_stream(tensor, spans, segments)
         assert all(np.array_equal(a, b) for a, b in zip(audio.stored(stream), (tensor, spans, segments), strict=True))
