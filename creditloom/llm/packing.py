@@ -6,7 +6,11 @@ where the sum of the squared counts of open sequences per residual gap becomes s
 only where none has room (opening one whenever that makes the sum smaller took 1 % more sequences). Sequences left
 under FULL are dissolved and their pieces packed once more together, by the same rule, in fewer shards.
 
-A null text is empty: it has only the end id. Empty tables give no pieces; repeated rows are packed as rows of their own.
+A null text is empty: it has only the end id. Null ids are carried, and rows alike in everything (as of a null id and
+text) are dealt to all shards like others. Very long texts are encoded alone and cut into as many pieces as they need.
+Pieces of equal length go in the order of a hash. Empty tables give no pieces; repeated rows are packed as rows of their
+own. Other columns of the documents are not carried; pack() keeps all columns of the pieces, whose names must not be
+sequence_id, offset or start with two underscores.
 """
 
 from __future__ import annotations
@@ -171,16 +175,17 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """The pieces (any columns, among them length) with sequence_id and offset."""
-    pieces = cut_lineage(pieces.withColumn("__r", F.xxhash64(*[c for c in ("id", "piece", "ids_crc32", "length") if c in pieces.columns])))
+    # The row's number tells equal rows apart, so that they too are dealt to all shards; the checkpoint fixes it.
+    pieces = cut_lineage(pieces.withColumn("__r", F.xxhash64(*[c for c in ("id", "piece", "ids_crc32", "length") if c in pieces.columns], F.monotonically_increasing_id())))
     n = pieces.count()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if not f.name.startswith("__"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def placed(rows: DataFrame, shards: int, round_: int) -> DataFrame:
         def place(table: pa.Table) -> pa.Table:
             table = table.sort_by([("__r", "ascending")])
             shard_of = table.column("__shard")[0].as_py()
             bins, offsets, fill = sum_of_squares(table.column("length").to_numpy(), capacity)
-            table = table.drop_columns(["__r", "__shard"])
+            table = table.drop_columns(["__shard"])
             table = table.append_column("sequence_id", pa.array(((shard_of * 2 + round_) << 32) + bins))
             return table.append_column("offset", pa.array(offsets)).append_column("__fill", pa.array(fill[bins]))
 
@@ -189,9 +194,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
 
     first = cut_lineage(placed(pieces, max(1, round(n / shard)), 0))
     loose = first.where(F.col("__fill") < FULL * capacity)
-    again = loose.drop("sequence_id", "offset", "__fill").withColumn("__r", F.xxhash64(*[c for c in ("id", "piece", "ids_crc32", "length") if c in pieces.columns]))
-    second = placed(again, max(1, round(loose.count() / shard)), 1)
-    return first.where(F.col("__fill") >= FULL * capacity).unionByName(second).drop("__fill")
+    second = placed(loose.drop("sequence_id", "offset", "__fill"), max(1, round(loose.count() / shard)), 1)
+    return first.where(F.col("__fill") >= FULL * capacity).unionByName(second).drop("__fill", "__r")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -80,3 +80,10 @@ def test_few_sequences(spark):
     rows = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
     used = packing.pack(rows, shard=1500).select("sequence_id").distinct().count()
     assert used <= math.ceil(sum(lengths) / 4096) * 1.01 + 1
+
+
+def test_equal_rows_are_dealt_to_all_shards(spark):
+    rows = spark.range(100_000).selectExpr("cast(null as bigint) as id", "0 as piece", "0L as start", "1L as length", "7L as ids_crc32").repartition(4)
+    packed = packing.pack(rows, shard=5_000).selectExpr("shiftright(sequence_id, 32) as shard").groupBy("shard").count().collect()
+    # Twenty shards, and about four for what they left over.
+    assert len(packed) >= 23 and max(r["count"] for r in packed) < 6_000 and sum(r["count"] for r in packed) == 100_000
