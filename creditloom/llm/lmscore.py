@@ -5,14 +5,17 @@ the context's count c(h). They are learned by expectation-maximisation on held-o
 documents is deleted from the counts and predicted from the others. Scores then use the counts of all training
 documents. Counts come from every training document and every text is scored whole.
 
-Documents are dealt to chunks of about CHUNK_BYTES by a hash of their ids. A chunk sends its distinct words and bigrams,
+Documents are dealt to chunks of about CHUNK_BYTES by a hash of their ids, texts and partition numbers, so that no id, null
+or repeated, gathers its rows in one chunk; rows alike in id and text meet there only from one partition of the input. A chunk sends its distinct words and bigrams,
 as hashes, each with its count in the chunk, to parts by hash range; a part adds them up and answers each chunk with
 the corpus counts of just its own keys, in the order asked. So a word as common as any is one row a chunk, nothing of
 the vocabulary is broadcast, and no task holds more than a part or a chunk. Words are told apart by 64-bit hashes,
 bigrams by 48 bits. The driver holds the totals, and a table of held-out tokens by bucket and rounded probabilities.
 
-A null text is empty: it has the end token alone. A null id counts as training. Repeated rows are rows of their own.
-An empty table gives no rows.
+A null text is empty: it has the end token alone. A null id counts as training. Repeated rows are rows of their own, and
+score alike. A very long text is one row: its tokens are found in one task, a longer text than CHUNK_BYTES as a chunk of
+about its own size. There are no ties to break. An empty table gives no rows. Other columns of the documents are not
+carried, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -186,7 +189,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     size = docs.agg(F.sum(F.octet_length(text).cast("long") + 1)).first()[0] or 1
     chunks, parts = -(-size // chunk_bytes), -(-size // part_bytes)
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS, F.lit(DELETED + 1)).cast("int")
-    chunked = docs.select(F.col(id_col).alias("id"), text.alias("text"), fold.alias("fold"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(chunks)).alias("chunk"))
+    chunked = docs.select(F.col(id_col).alias("id"), text.alias("text"), fold.alias("fold"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), text, F.spark_partition_id()), F.lit(chunks)).alias("chunk"))
     answers = cut_lineage(corpus_counts(chunked, parts))
     total = answers.where("kind = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "main_total", "types", "main_types"))).first()
     n, v, n_main, v_main = total["total"], total["types"], total["main_total"], total["main_types"]

@@ -83,3 +83,15 @@ def test_counts_beyond_32_bits_survive_packing():
     for counts in ([], [3, 0], [7, (1 << 32) - 1], [1, 1 << 32, 5 << 40]):
         row = lmscore._pack_counts(np.array(counts, np.int64))
         assert lmscore._unpack(row["counts"], "<u8" if row["wide"] else "<u4", row["n"]).tolist() == counts
+
+
+def test_rows_of_a_null_id_are_dealt_to_many_chunks(spark, monkeypatch):
+    df = spark.range(100_000).selectExpr("cast(null as bigint) as doc_id", "concat('word of text ', id % 50000) as text").repartition(8)
+    seen = []
+    counts = lmscore.corpus_counts
+    monkeypatch.setattr(lmscore, "corpus_counts", lambda chunked, parts: seen.append(chunked) or counts(chunked, parts))
+    rows = lmscore.lm_scores(df, chunk_bytes=50_000, part_bytes=200_000)
+    assert rows.count() == 100_000 and rows.where("held_out").count() == 0
+    sizes = [r["count"] for r in seen[0].groupBy("chunk").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    assert rows.select("train_tokens").distinct().collect()[0][0] == 500_000
