@@ -7,8 +7,11 @@ joins two neighbouring symbols is taken, leftmost first, until none is left. Cha
 their bytes' pieces. Ids equal those of the library for vocabularies of byte-pair kind without pieces that go on past
 a space or a line end, and with the plain normalizer (a space put before the text, spaces shown as U+2581).
 
-A null text is empty and has no ids. Repeated rows are encoded alike. Decoding gives the text back, but for U+2581,
-which the format cannot tell from a space.
+A null text is empty and has no ids; a null id is carried. Repeated rows are encoded alike. Decoding gives the text back,
+but for U+2581, which the format cannot tell from a space; round_trip says of each text, as it was given, whether it came
+back. Very long texts are encoded whole; a word of more than LONG_WORD characters is relaxed with a heap. Of equal scores
+the leftmost edge is taken. Empty tables give no rows. Other columns are not carried, so their names cannot clash. A model
+that is not byte-pair, or has pieces this encoder does not take, raises ValueError.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import U64, hashes, ranges, slices
+from .bytesops import U64, flat, hashes, ranges, slices
 
 LONGEST, CACHE_WORDS, INDEX_BYTES, LONG_WORD = 16, 500_000, 400_000, 2_000
 
@@ -55,12 +58,47 @@ def suffix_array(eights: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, varint()
+        else:
+            size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield key >> 3, message[at : at + size]
+            at += size
+
+
+def model_kind(message: bytes) -> int:
+    """The kind of a serialized model: 1 unigram (also where none is named), 2 byte-pair, 3 word, 4 char."""
+    for number, trainer in _fields(message):
+        if number == 2:  # the trainer's settings, whose third field is the kind
+            return next((int(v) for n, v in _fields(trainer) if n == 3), 1)
+    return 1
+
+
 class Pieces:
     """The vocabulary: each piece's bytes as eights, its length in bytes and characters, and its score."""
 
     def __init__(self, model: str):
         import sentencepiece
 
+        with open(model, "rb") as file:
+            if (kind := model_kind(file.read())) != 2:
+                raise ValueError(f"this encoder takes byte-pair models; kind {kind} was given")
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
         self.byte_ids = np.full(256, -1, np.int64)
@@ -303,14 +341,17 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(model)
-        plain = (b.set_column(1, "text", pc.replace_substring(b.column(1), "▁", " ")) for b in batches)
-        for part, data, off in slices(plain, "text"):
+        # The library reads U+2581 as a space; texts are compared with what decoding gives as they were.
+        plain = (b.append_column("plain", pc.replace_substring(b.column(1), "▁", " ")) for b in batches)
+        for part, data, off in slices(plain, "plain"):
             ids, at = encoder.encode(data, off)
-            decoded, raw = encoder.decode(ids, at), data.tobytes()
+            decoded = encoder.decode(ids, at)
+            whole, ends = flat(part.column(1))
+            raw = whole.tobytes()
             own = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(np.diff(at)), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()), pa.array([zlib.crc32(x) for x in decoded], pa.int64()),
-                 pa.array([x == raw[a:b] for x, a, b in zip(decoded, off[:-1], off[1:], strict=True)], pa.bool_()), pa.array(own if keep_ids else [None] * len(own), pa.list_(pa.int32()))],
+                 pa.array([x == raw[a:b] for x, a, b in zip(decoded, ends[:-1], ends[1:], strict=True)], pa.bool_()), pa.array(own if keep_ids else [None] * len(own), pa.list_(pa.int32()))],
                 ["id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip", "ids"],
             )
 

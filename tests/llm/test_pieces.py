@@ -43,3 +43,23 @@ def test_odd_rows(odd_docs, no_docs, library):
     back = pieces.decode_pieces(encoded, pieces.piece_model()).collect()
     assert sorted(r.text for r in back) == sorted(d.text or "" for d in docs)
     assert pieces.encode_pieces(no_docs, pieces.piece_model()).count() == 0
+
+
+def test_round_trip_is_of_the_text_as_it_was_given(spark, library):
+    texts = ["plain text", "a▁b", "▁", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.id: r for r in pieces.encode_pieces(df, pieces.piece_model()).collect()}
+    assert [rows[i].round_trip for i in range(4)] == [True, False, False, True]
+    assert all(rows[i].ids == library.encode(t or "") for i, t in enumerate(texts))
+
+
+def test_only_byte_pair_models_are_taken(tmp_path):
+    with open(pieces.piece_model(), "rb") as file:
+        model = file.read()
+    assert pieces.model_kind(model) == 2
+    # The same message with the trainer's kind set to unigram, or left out.
+    other = bytes([0x0A, 0x03, 0x0A, 0x01, 0x61, 0x12, 0x02, 0x18, 0x01])
+    assert pieces.model_kind(other) == 1 and pieces.model_kind(other[:5]) == 1
+    (tmp_path / "unigram.model").write_bytes(other)
+    with pytest.raises(ValueError, match="byte-pair"):
+        pieces.Pieces(str(tmp_path / "unigram.model"))
