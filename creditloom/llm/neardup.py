@@ -12,8 +12,11 @@ that pass are confirmed as well, so nothing of a group that the leaders have joi
 components is lost.
 
 Words are lower-cased for A-Z. Documents without words, and null texts, have an empty set and are linked with nothing.
-Rows of a null id are returned with a null component, and kept. Rows that share an id are one document. Shingles are
-held as 64-bit hashes. Other columns of the input are not read.
+Rows of a null id are returned with a null component, and kept. Rows that share an id are one document, also with
+different texts: each row has its own set's size, a link of one of the texts links the id, and so texts that are close to
+nothing of each other can meet in one component; the rows share component_id and kept. Very long texts are held as whole
+sets. Ties do not arise, as the smallest id stands for a group. An empty table gives no rows. Shingles are held as 64-bit
+hashes. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .bytesops import U64, cut_lineage, hashes, mix, slices, words
 
-MISS = 1e-4
+MISS, LIST_ROWS = 1e-4, 256
 _SEEDS = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -173,12 +176,15 @@ def across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # The smallest set that may be linked to one of n has percent * n / 100 shingles.
     least = 100 * (F.col("n") - F.col("p")) * (100 + percent) >= percent * F.col("n") * (100 + percent)
     lists = cut_lineage(placed.where(least).select("s", "id", "n", "component", "p"))
-    most = lists.groupBy("s", "component").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
-    here = lists.join(most, "s")
-    a = here.where("component <> main").select("s", *(F.col(c).alias(f"{c}1") for c in ("id", "n", "component", "p")))
-    b = here.select("s", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "p")))
+    most = lists.groupBy("s", "component").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("several"), F.sum("k").alias("rows"))
+    most = most.where("several > 1").select("s", "main", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("parts"))
+    here = cut_lineage(lists.join(most, "s"))
+    # A frequent shingle's list is dealt over parts of about LIST_ROWS, and each row to be matched goes to all of them.
+    columns = lambda i: (F.col(c).alias(f"{c}{i}") for c in ("id", "n", "component", "p"))
+    a = here.where("component <> main").select("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *columns(1))
+    b = here.select("s", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), *columns(2))
     fits = (F.col("component1") != F.col("component2")) & room(F.col("n1"), F.col("p1"), F.col("n2")) & room(F.col("n2"), F.col("p2"), F.col("n1"))
-    return a.join(b, (a["s"] == b["s"]) & fits).select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct()
+    return a.join(b, (a["s"] == b["s"]) & (a["part"] == b["part"]) & fits).select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct()
 
 
 def _assign(rows: DataFrame, classes: DataFrame, found: DataFrame, salts: int = 16) -> DataFrame:

@@ -95,3 +95,16 @@ def test_miss_probability():
     s, at = neardup.distinct_sets(data, off, 3)
     keys = neardup.half_keys(s, at, neardup.halves_for(0.85))
     assert keys.shape == (2, 16) and np.unique(keys).size > 16
+
+
+def test_different_texts_under_one_id_are_one_document(spark):
+    rng = random.Random(3)
+    one, other = prose(rng, 100), prose(rng, 100)
+    rows = [(5, one), (5, other), (7, edited(rng, one, 1)), (9, edited(rng, other, 1)), (11, prose(rng, 50))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert sorted((r.id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True)]
+
+
+def test_a_frequent_shingles_list_is_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LIST_ROWS", 4)
+    test_rare_shingles_find_every_link_across_components(spark)
