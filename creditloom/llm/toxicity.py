@@ -1,10 +1,16 @@
-"""Toxicity: subword embeddings averaged over short word windows into a linear softmax, trained jointly in numpy.
+"""Toxicity: subword embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's subwords are its byte n-grams of 3 to 5, hashed, with a boundary byte on each side, so a misspelling never
-seen shares most vectors with the word it stands for. A text's score is that of its most toxic window of WINDOW words;
-texts with fewer words have one window. Training takes at most MAX_TRAIN labelled texts, drawn by a hash of the id;
-scoring covers every whole text. Texts without words score as the model's bias alone;
-labels of one kind only, or none, give a model all the same. Null texts are empty.
+seen shares most vectors with the word it stands for. A bag of words is the average of its words' subword vectors; the
+softmax rates it. With window=None the bag is the whole text. By default bags are windows of WINDOW words, and a text's
+score is that of its most toxic one, as the average over a long text drowns a single word; README has both measured.
+Texts with fewer words have one window. Training takes at most about MAX_TRAIN labelled texts, drawn by a hash of the id;
+no subword is left out. Scoring covers every whole text, of any length, in slices of half a megabyte or of one longer text.
+
+Texts without words, null ones too, score as the model's bias alone. Labels of one kind only, or none, give a model all
+the same. A null id is scored like others but trains nothing; an id labelled several times counts as toxic if one label
+says so; repeated rows score alike. Of windows equally toxic the first is trained on. Empty tables give no rows. Columns
+carried along keep their names, whatever these are, but score, which is the result's.
 """
 
 from __future__ import annotations
@@ -18,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .bytesops import LOWER, id_mod, ranges, slices
 
-BUCKETS, ORDERS, WINDOW, DIM, MAX_TRAIN, EPOCHS, MIN_SHARE, DECAY, TOXIC_WEIGHT = 1 << 20, (3, 4, 5), 6, 8, 5_000, 60, 0.001, 3e-6, 6.0
+BUCKETS, ORDERS, WINDOW, DIM, MAX_TRAIN, EPOCHS, DECAY, TOXIC_WEIGHT = 1 << 20, (3, 4, 5), 6, 8, 5_000, 60, 3e-6, 6.0
+#: With whole texts as bags a step takes so many of them.
+WHOLE_BATCH = 256
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
@@ -62,8 +70,10 @@ def word_scores(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[n
     return total, many, count
 
 
-def windows(count: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and end word of all windows, and the texts' offsets in the windows; a text without words has an empty one."""
+def windows(count: np.ndarray, width: int | None = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end word of all windows, and the texts' offsets in the windows; a text without words has an empty one. None: whole texts."""
+    if width is None:
+        return count[:-1], count[1:], np.arange(len(count))
     size = np.diff(count)
     many = np.maximum(size - width + 1, 1)
     at = np.concatenate(([0], np.cumsum(many)))
@@ -71,11 +81,28 @@ def windows(count: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return first, np.minimum(first + width, np.repeat(count[1:], many)), at
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
+def _most_toxic(value: np.ndarray, word: np.ndarray, bucket: np.ndarray, bound: np.ndarray, per_word: np.ndarray, same: np.ndarray, first: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each text's window of the largest average of its words' subword values."""
+    distinct = len(per_word)
+    own = np.empty(distinct)
+    for k in range(0, distinct, 1 << 16):  # in parts, which keeps the worker small
+        a, b = bound[k], bound[min(k + (1 << 16), distinct)]
+        own[k : k + (1 << 16)] = np.bincount(word[a:b] - k, value[bucket[a:b]], min(1 << 16, distinct - k))
+    run = np.concatenate(([0.0], np.cumsum((own / per_word)[same])))
+    mean = np.empty(len(first), np.float32)
+    for k in range(0, len(first), 1 << 18):
+        a, b = first[k : k + (1 << 18)], end[k : k + (1 << 18)]
+        mean[k : k + len(a)] = (run[b] - run[a]) / np.maximum(b - a, 1)
+    top = np.maximum.reduceat(mean, at[:-1])
+    is_top = np.flatnonzero(mean == np.repeat(top, np.diff(at)))
+    return is_top[np.searchsorted(is_top, at[:-1])]
+
+
+def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, window: int | None = WINDOW) -> tuple[np.ndarray, float]:
     """The value of each bucket (its vector times the softmax's difference of weights) and the bias.
 
-    Vectors and softmax are learned together by Adam. A text's window for a step is drawn to the model's present
-    view: all windows weigh alike at first, then the most toxic one counts alone.
+    Vectors and softmax are learned together by Adam. A text's window for a step is the most toxic one in the model's
+    present view, which for the first steps is the subwords' share of toxic texts.
     """
     rng = np.random.default_rng(seed)
     # Equal words add up the same values in the same order, so the sum names the word.
@@ -113,7 +140,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     per_word = np.maximum(size[one], 1).astype(np.float32)
     word = np.repeat(np.arange(len(one), dtype=np.int32), size[one])
     del names, own_names, grams_of
-    kept = np.flatnonzero(texts_with >= max(3, MIN_SHARE * len(texts)))
+    kept = np.flatnonzero(texts_with)
     new = np.full(BUCKETS, -1, np.int32)
     new[kept] = np.arange(len(kept))
     with_toxic = with_toxic[kept]
@@ -121,7 +148,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     word, bucket = word[good], new[bucket[good]]
     distinct = len(one)
     bound = np.searchsorted(word, np.arange(distinct + 1))
-    first, end, at = windows(count)
+    first, end, at = windows(count, window)
     first, end = first.astype(np.int32), end.astype(np.int32)
     V = rng.normal(0, 0.1, (len(kept) + 1, DIM)).astype(np.float32)
     u, b = rng.normal(0, 0.5, DIM).astype(np.float32), np.float32(-2)
@@ -132,37 +159,28 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     value = np.log((pos + 2 * rate) / (every + 2) / rate)
     m1, m2, mu, su = np.zeros_like(V), np.zeros_like(V), np.zeros(DIM + 1, np.float32), np.zeros(DIM + 1, np.float32)
     for step in range(1, epochs + 1):
-        if step > 5:
-            value = V[:-1] @ u
-        own = np.empty(distinct)
-        for k in range(0, distinct, 1 << 16):  # in parts, which keeps the worker small
-            a, b_ = bound[k], bound[min(k + (1 << 16), distinct)]
-            own[k : k + (1 << 16)] = np.bincount(word[a:b_] - k, value[bucket[a:b_]], min(1 << 16, distinct - k))
-        per = (own / per_word)[same]
-        run = np.concatenate(([0.0], np.cumsum(per)))
-        mean = np.empty(len(first), np.float32)
-        for k in range(0, len(first), 1 << 18):
-            a, b_ = first[k : k + (1 << 18)], end[k : k + (1 << 18)]
-            mean[k : k + len(a)] = (run[b_] - run[a]) / np.maximum(b_ - a, 1)
-        del per, run
-        top = np.maximum.reduceat(mean, at[:-1])
-        is_top = np.flatnonzero(mean == np.repeat(top, np.diff(at)))
-        pick = is_top[np.searchsorted(is_top, at[:-1])]
+        if window is None:
+            own_rows = rng.permutation(len(texts))[:WHOLE_BATCH]
+            pick = own_rows
+        else:
+            if step > 5:
+                value = V[:-1] @ u
+            own_rows, pick = slice(None), _most_toxic(value, word, bucket, bound, per_word, same, first, end, at)
         many = end[pick] - first[pick]
         w = same[ranges(first[pick], many)]
-        of_text = np.repeat(np.arange(len(texts)), many)
+        of_text = np.repeat(np.arange(len(pick)), many)
         grams = bound[w + 1] - bound[w]
         g = bucket[ranges(bound[w], grams)]
         share = np.repeat(1 / (per_word[w] * np.maximum(many, 1)[of_text]), grams).astype(np.float32)
         owner = np.repeat(of_text, grams)
-        bag = np.stack([np.bincount(owner, share * V[g, k], len(texts)) for k in range(DIM)], 1).astype(np.float32)
+        bag = np.stack([np.bincount(owner, share * V[g, k], len(pick)) for k in range(DIM)], 1).astype(np.float32)
         p = 1 / (1 + np.exp(-(bag @ u + b)))
-        err = (p - y) * np.where(y > 0, TOXIC_WEIGHT, 1).astype(np.float32) / len(texts)
+        err = (p - y[own_rows]) * np.where(y[own_rows] > 0, TOXIC_WEIGHT, 1).astype(np.float32) / len(pick)
         gu = np.append(bag.T @ err + 1e-5 * u, err.sum())
-        gV = np.stack([np.bincount(g, share * err[owner] * u[k], len(V)) for k in range(DIM)], 1).astype(np.float32) + np.float32(DECAY) * V
-        touched = np.unique(g)
-        m1[touched] = 0.9 * m1[touched] + 0.1 * gV[touched]
-        m2[touched] = 0.99 * m2[touched] + 0.01 * gV[touched] ** 2
+        touched, place = np.unique(g, return_inverse=True)
+        gV = np.stack([np.bincount(place, share * err[owner] * u[k], len(touched)) for k in range(DIM)], 1).astype(np.float32) + np.float32(DECAY) * V[touched]
+        m1[touched] = 0.9 * m1[touched] + 0.1 * gV
+        m2[touched] = 0.99 * m2[touched] + 0.01 * gV**2
         V[touched] -= 0.1 * m1[touched] / (1 - 0.9**step) / (np.sqrt(m2[touched] / (1 - 0.99**step)) + 1e-6)
         mu, su = 0.9 * mu + 0.1 * gu, 0.99 * su + 0.01 * gu**2
         move = 0.1 * mu / (1 - 0.9**step) / (np.sqrt(su / (1 - 0.99**step)) + 1e-8)
@@ -172,8 +190,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return table, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    """Trains on at most about max_train of the labelled rows (1: toxic). The bounded sample is trained on in one task."""
+Model = tuple[np.ndarray, float, int | None]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int = MAX_TRAIN, window: int | None = WINDOW) -> Model:
+    """Bucket values, bias and window, from at most about max_train of the labelled rows (1: toxic). The bounded sample is trained on in one task."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
     n = ids.count()
     if n > max_train:
@@ -186,14 +207,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             texts += [x or "" for x in batch.column(0).to_pylist()]
             y += batch.column(1).to_pylist()
         if texts:
-            table, bias = train(texts, np.array(y))
+            table, bias = train(texts, np.array(y), window=window)
             yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias])], ["table", "bias"])
 
     found = rows.select("__text", "__y").repartition(1).sortWithinPartitions(F.xxhash64("__text"), "__y").mapInArrow(learn, "table binary, bias double").collect()
-    return (np.frombuffer(found[0][0], np.float32), found[0][1]) if found else (np.zeros(BUCKETS, np.float32), 0.0)
+    return (np.frombuffer(found[0][0], np.float32), found[0][1], window) if found else (np.zeros(BUCKETS, np.float32), 0.0, window)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """Rows (id, more..., score): the probability of label 1, of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col), *more, F.col(text_col).cast("string").alias("__text"))
@@ -201,11 +222,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     columns = kept.names
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bias = shared.value
+        table, bias, window = shared.value
         for part, data, off in slices(batches, "__text", 1 << 19):
             total, many, count = word_scores(data, off, table)
             run = np.concatenate(([0.0], np.cumsum(total / np.maximum(many, 1))))
-            first, end, at = windows(count)
+            first, end, at = windows(count, window)
             top = np.maximum.reduceat((run[end] - run[first]) / np.maximum(end - first, 1), at[:-1])
             p = 1 / (1 + np.exp(-np.clip(top + bias, -50, 50)))
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(part.num_columns - 1)), pa.array(p)], [*columns, "score"])

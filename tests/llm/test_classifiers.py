@@ -1,9 +1,11 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from creditloom.llm import bytesops, langid, toxicity
@@ -143,3 +145,45 @@ def test_windows_and_subwords():
     parts, count = toxicity.subwords(*bytesops.flat(pa.array(["Abc de", "", "x"])))
     assert count.tolist() == [0, 2, 2, 3]
     assert [np.bincount(w, minlength=3).tolist() for w, _ in parts] == [[3, 2, 1], [2, 1, 0], [1, 0, 0]]
+
+
+def test_toxicity_scores_by_definition(spark):
+    """A trained model's scores from its bucket values, added up word by word."""
+    df = spark.createDataFrame(toxic_rows(200, 5), "doc_id bigint, text string, toxic int")
+    for window in (toxicity.WINDOW, None):
+        table, bias, _ = model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), "doc_id", "text", "toxic", window=window)
+        texts = [r.text for r in df.limit(20).collect()] + ["Stupid!", "", "One two three four five six seven eight MORON nine"]
+        got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+        for r in got:
+            means = []
+            for word in re.findall(r"[0-9a-z\x80-\xff]+", texts[r.doc_id].lower().encode().decode("latin-1")):
+                data = b" " + word.encode("latin-1") + b" "
+                grams = [toxic_bucket(data[i : i + n]) for n in toxicity.ORDERS for i in range(len(data) - n + 1)]
+                means.append(sum(float(table[g]) for g in grams) / max(len(grams), 1))
+            width = len(means) if window is None else window
+            bags = [means[i : i + width] for i in range(max(len(means) - width + 1, 1))]
+            top = max(sum(b) / max(len(b), 1) for b in bags) if means else 0.0
+            assert r.score == pytest.approx(1 / (1 + math.exp(-top - bias)), abs=1e-4)
+
+
+def toxic_bucket(gram):
+    h = gram[0]
+    for b in gram[1:]:
+        h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+    h = (h ^ (h >> 13)) * (0x9E3779B1 + 2 * len(gram)) & 0xFFFFFFFF
+    return h >> 12
+
+
+def test_no_subword_is_left_out(spark):
+    """A misspelling that one training text alone holds still moves its subwords."""
+    rows = toxic_rows(300, 6) + [(300, "some words around zqxjvkw and more words", 1)]
+    table, _ = toxicity.train([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    assert table[toxic_bucket(b"zqx")] != 0 and table[toxic_bucket(b"jvkw")] != 0
+
+
+def test_whole_text_bags_learn(spark):
+    df = spark.createDataFrame(toxic_rows(900, 3), "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic").where("doc_id < 600"), "doc_id", "text", "toxic", window=None)
+    got = toxicity.score(df.where("doc_id >= 600"), model, "doc_id", "text", F.col("toxic")).collect()
+    toxic, clean = ([r.score for r in got if r.toxic == y] for y in (1, 0))
+    assert np.mean([a > b for a in toxic for b in clean]) > 0.8
