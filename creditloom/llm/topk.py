@@ -9,7 +9,8 @@ of the other bounds, so leaving them out is exact. Shards return their own best
 
 Vectors that are null or hold a null or non-finite component take no part. Vectors may differ in length: missing
 components count as 0. Ties go to the smaller id. Empty tables give no rows. Null ids take no part. Rows that repeat
-an id are candidates of their own, but a query never meets rows of its own id.
+an id are candidates of their own, but a query never meets rows of its own id. A query's rows of a repeated id are queries
+of their own, and their results are ranked together. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
+SHARD_ROWS, QUERY_ROWS, LEAST_GROUPS, LEAST_QUERIES = 16_384, 4_096, 64, 128
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -102,6 +103,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: in
     """
     n, queries = vectors.agg(F.count("*"), F.count_if(is_query)).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-queries // query_rows))
+    # A table of few shards has smaller blocks, so that its groups occupy the cluster.
+    blocks = max(blocks, min(-(-LEAST_GROUPS // shards), -(-queries // LEAST_QUERIES)))
     spread = lambda parts, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     candidates = vectors.select("id", "vec", F.lit(False).alias("is_query"), spread(shards, 1).alias("shard"), every(blocks).alias("block"))
