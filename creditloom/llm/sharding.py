@@ -10,8 +10,10 @@ between the two can fall are summed again by longer hash prefixes, until the bou
 the borders of such ranges: at most RANGES in the first round, and a bounded number of children of the few ranges
 around each cut in the later ones.
 
-A null text counts as an empty one (size 1). Repeated rows of a document are rows of their own; null ids are kept.
-An empty table gives no rows. Other columns of the input are not read.
+A null text counts as an empty one (size 1); a very long text is a group like others, and bounds the capacity from below.
+Repeated rows of a document are rows of their own, and rows alike in id and text take any order among themselves; null
+ids are kept and come first in a shard's slots. An empty table gives no rows. Other columns of the input are not read, so
+their names cannot clash.
 """
 
 from __future__ import annotations
