@@ -1,6 +1,7 @@
 import random
 import struct
 import zlib
+from pathlib import Path
 
 from tokenizers import Tokenizer
 
@@ -8,11 +9,14 @@ import corpus_pipeline
 from creditloom.llm import packing
 
 from .conftest import prose
-from .test_linedup import brute as brute_lines
+from .test_linedup import brute_inline
 from .test_neardup import brute as brute_groups
 from .test_neardup import edited
 
 
+JUNK = 401
+
+
 def corpus(rng):
     """(id, text, toxic): clean prose, toxic prose, texts without letters, near copies, and passages that repeat."""
     bad = ["stupid", "moron", "idiot", "worthless"]
@@ -34,12 +38,13 @@ def corpus(rng):
         else:
             rows.append((i, prose(rng, rng.randint(10, 200)), 0))
     rows.append((400, rows[-1][1], 0))  # an exact copy
+    rows.append((JUNK, "".join(rng.choice("qxzjkvwQXZ/+=9") for _ in range(300)), 0))
     return rows
 
 
 def test_stages_in_order_and_their_results(spark, tmp_path):
     rows = corpus(random.Random(6))
-    spark.createDataFrame([(i, t, "en" if i % 2 else "de", f"src{i % 3}", len(t or "")) for i, t, _ in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, t, None if i == JUNK else "en" if i % 2 else "de", f"src{i % 3}", len(t or "")) for i, t, _ in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "line_dedup", "near_dedup", "packing"]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
@@ -48,9 +53,12 @@ def test_stages_in_order_and_their_results(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     passed = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
     assert all(i in passed for i, _, y in rows if not y) and sum(i in passed for i, _, y in rows if y) < 0.1 * sum(y for *_, y in rows)
-    kept = [(i, t) for i, t, _ in rows if i in passed and t and any(c.isalpha() for c in t)]
-    lines = brute_lines([t for _, t in kept], 50)
-    kept = [(i, t) for (i, _), (t, gone) in zip(kept, lines, strict=True) if not gone or t.split()]
+    named = {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, docs, str(tmp_path)).collect()}
+    assert {i for i, t, _ in rows if t and any(c.isalpha() for c in t) and i != JUNK} == named  # all clean ones, and not the junk
+    kept = [(i, t) for i, t, _ in rows if i in passed and i in named]
+    left = brute_inline([t for _, t in kept], 50)
+    assert sum(t != old for t, (_, old) in zip(left, kept, strict=True)) > 20
+    kept = [(i, t) for (i, old), t in zip(kept, left, strict=True) if t == old or t.split()]
     groups = brute_groups([i for i, _ in kept], [t for _, t in kept], 5, 80)
     kept = [(i, t) for i, t in kept if groups[i][1] == i]
     tokenizer = Tokenizer.from_file(packing.word_tokenizer())
@@ -59,6 +67,7 @@ def test_stages_in_order_and_their_results(spark, tmp_path):
         ids = tokenizer.encode(t, add_special_tokens=False).ids + [1]
         want.add((i, 0, 0, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want
+    assert len(list((Path(str(spark.sparkContext.getCheckpointDir()).removeprefix("file:")).parent).rglob("pipeline-*/*-packing"))) >= 1 and not list(Path(str(spark.sparkContext.getCheckpointDir()).removeprefix("file:")).parent.rglob("pipeline-*/*-toxicity"))
     fill = {}
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == fill.get(r.sequence_id, 0)
@@ -74,3 +83,17 @@ def test_stages_take_odd_rows_and_no_rows(spark, tmp_path, odd_docs, no_docs):
             assert name == "packing" or docs.columns == corpus_pipeline.COLUMNS
             docs = docs.cache()
             docs.count()
+
+
+def test_all_documents_stay_where_no_language_is_learned(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text", None, "a", 9), (2, None, None, "a", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert corpus_pipeline.drop_unknown_language(spark, docs, str(tmp_path)).count() == 2
+
+
+def test_near_duplicates_without_ids_and_with_repeated_ids(spark, tmp_path):
+    rng = random.Random(1)
+    one, other = prose(rng, 80), prose(rng, 80)
+    rows = [(7, one), (None, one), (None, other), (None, other), (8, prose(rng, 60)), (9, "same row"), (9, "same row"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r.doc_id or 0), r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert got == sorted([(7, one), (0, other), (8, rows[4][1]), (9, "same row"), (0, "")])
