@@ -202,8 +202,8 @@ def scenario_stage(spark: SparkSession, s: Settings, path: str, horizon: int | N
     tables.write_report(out, _report(s, "scenario_summary"), **seen)
     tables.write_report(scenarios.monthly(details), _report(s, "scenario_monthly"), **seen)
     losses = {r.scenario: r.ecl for r in out.collect()}  # a row a scenario
-    worst = max(losses, key=losses.get)
-    if "baseline" in flows and worst != "baseline":
+    worst = max((n for n in losses if n != "baseline"), key=losses.get, default=None)
+    if "baseline" in flows and worst:
         tables.write_report(scenarios.flow_attribution(flows[worst], flows["baseline"]), _report(s, "scenario_transition_attribution"), worst=worst, **seen)
     return losses
 

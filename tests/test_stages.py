@@ -62,10 +62,17 @@ def staged(spark, settings, built):
     return {"vintage": stages.vintage_stage(spark, settings), "transitions": stages.transition_stage(spark, settings), "ecl": stages.ecl_stage(spark, settings, 6)}
 
 
-def test_later_stages_and_their_reports(spark, settings, staged, tmp_path):
+@pytest.fixture(scope="module")
+def model(spark, settings, built):
+    rows = spark.read.parquet(stages.curated(settings, "panel"))
+    return conditional.fit(transitions.cube(rows), stages.macro_table(spark, settings), settings)
+
+
+def test_later_stages_and_their_reports(spark, settings, staged, model, tmp_path, monkeypatch):
     assert staged["vintage"]["vintages"] > 0
     assert 0 <= staged["transitions"]["repurchase"] < 0.05 and staged["transitions"]["lags"]["Current"] in (0, 1, 3, 6) and staged["transitions"]["work"]["stages"] >= 0
     assert staged["ecl"]["production"] > 0 and staged["ecl"]["cutoff"] > 0 and staged["ecl"]["months"] == 6
+    monkeypatch.setattr(conditional, "fit", lambda *a: model)
     losses = stages.scenario_stage(spark, settings, scenario_file(tmp_path, settings), 45)
     assert set(losses) == {"baseline", "severe"} and min(losses.values()) > 0
     assert reports(settings) >= {
@@ -91,13 +98,15 @@ def test_vintage_stage_fails_on_bad_input(spark, settings, built):
         stages.vintage_stage(spark, replace(settings, crisis_gate=True))  # no vintage of 2011 here
 
 
-def test_transition_stage_fails_on_wrong_signs(spark, settings, built, monkeypatch):
+def test_transition_stage_fails_on_wrong_signs(spark, settings, model, monkeypatch):
+    monkeypatch.setattr(conditional, "fit", lambda *a: model)
     monkeypatch.setattr(conditional, "UNEMPLOYMENT_BPS", {"behind": -20.0, "cure": -240.0, "roll": 260.0})
     with pytest.raises(conditional.ConditionalError, match="Current"):
         stages.transition_stage(spark, replace(settings, sign_gate=True))
 
 
-def test_ecl_stage_fails_on_bad_input(spark, settings, staged, tmp_path, monkeypatch):
+def test_ecl_stage_fails_on_bad_input(spark, settings, staged, model, tmp_path, monkeypatch):
+    monkeypatch.setattr(conditional, "fit", lambda *a: model)
     other = replace(settings, data_root=str(tmp_path / "other"))
     shutil.copytree(settings.data_root, other.data_root)
     loans = spark.read.parquet(stages.curated(settings, "acquisition"))
@@ -137,10 +146,7 @@ def test_panel_reconciles_with_its_sources(spark, settings, built):
     assert off.isEmpty()
 
 
-def test_models_follow_the_economy(spark, settings, built):
-    rows = spark.read.parquet(stages.curated(settings, "panel"))
-    counts, months = transitions.cube(rows), stages.macro_table(spark, settings)
-    model = conditional.fit(counts, months, settings)
+def test_models_follow_the_economy(spark, model):
     bands = ["FICO_660-699"]
     grid = spark.createDataFrame([(12, b) for b in [*bands, "FICO_740-779"]], "months_on_book int, score_band string")
     table = model.score(grid)
