@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import LOWER, id_mod, slices
+from .bytesops import id_mod, LOWER, slices, tidy
 
 BUCKETS, ORDERS, MAX_TRAIN, TRAIN_TASKS = 1 << 17, (1, 2, 3, 4), 10_000, 32
 SMOOTH, TEMPER = 0.5, 40.0
@@ -62,6 +62,7 @@ def training_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str,
 def train_counts(sample: DataFrame, tasks: int = TRAIN_TASKS) -> DataFrame:
     """Rows (lang, counts): the n-gram counts of each language's rows as a little-endian int64 array, added up on the cluster."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums = None, np.zeros(BUCKETS, np.int64)
         row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([pa.compress(sums.astype("<i8").tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["lang", "counts"])
@@ -101,6 +102,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     kept = rows.drop("__text").schema
     columns = kept.names
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = shared.value
         for part, data, off in slices(batches, "__text", 1 << 20):

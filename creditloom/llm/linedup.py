@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bytesops import _GOLD, _R, _R_INV, U64, _powers, cut_lineage, hashes, mix, slices, words
+from .bytesops import _GOLD, _powers, _R, _R_INV, cut_lineage, hashes, mix, slices, tidy, U64, words
 
 MIN_WORDS, SALTS, HOT, BROADCAST_KEYS = 50, 16, 1024, 3_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -228,17 +228,20 @@ def later_windows(rows: DataFrame, n: int, copies: bool = True) -> DataFrame:
         raise ValueError("a window has 2 words or more")
     kind = rows.schema["row"].dataType.simpleString()
 
+    @tidy
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches, "text"):
             text, a, many = _text_anchors(data, off, n)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(a), pa.array(many)], ["t", "a", "many"])
 
+    @tidy
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches, "text"):
             text, first, a, hot, at, h = _repeated_windows(data, off, *(part.column(k).flatten().to_numpy().view(U64) for k in (2, 3)), n)
             salt = np.where(hot, mix(part.column(0).field(1).to_numpy(zero_copy_only=False).view(U64)[text] + first.astype(U64) * _GOLD) % U64(SALTS), 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(a.view(np.int64)), pa.array(salt), pa.array(first), pa.array(hot), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["row", "a", "salt", "at", "hot", "h"])
 
+    @tidy
     def seen_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in batches:

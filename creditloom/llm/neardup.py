@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bytesops import U64, cut_lineage, hashes, mix, slices, words
+from .bytesops import cut_lineage, hashes, mix, slices, tidy, U64, words
 
 MISS, LIST_ROWS = 1e-4, 256
 _SEEDS = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -83,6 +83,7 @@ def signatures(docs: DataFrame, k: int, m: int, id_col: str, text_col: str) -> D
     """Rows (id, n, fp1, fp2, halves): set size, a fingerprint of the set, and the half-keys (null for an empty set)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches, "text"):
             s, at = distinct_sets(data, off, k)
@@ -103,6 +104,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: s
     """Rows (id, set) of the documents with the given ids."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
 
+    @tidy
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches, "text"):
             s, at = distinct_sets(data, off, k)

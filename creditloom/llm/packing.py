@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import cut_lineage, hashes, ranges, slices
+from .bytesops import cut_lineage, hashes, ranges, slices, tidy
 
 CAPACITY, SHARD, FULL, END_ID, CACHE_WORDS = 4096, 16_384, 0.995, 1, 500_000
 
@@ -125,6 +125,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer)
         for part, data, off in slices(batches, "text", 2 << 20):

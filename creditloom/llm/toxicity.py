@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import LOWER, id_mod, ranges, slices
+from .bytesops import id_mod, LOWER, ranges, release, slices, tidy
 
 BUCKETS, ORDERS, WINDOW, DIM, MAX_TRAIN, EPOCHS, DECAY, TOXIC_WEIGHT = 1 << 20, (3, 4, 5), 6, 8, 5_000, 60, 3e-6, 6.0
 #: With whole texts as bags a step takes so many of them.
@@ -88,11 +88,12 @@ def _most_toxic(value: np.ndarray, word: np.ndarray, bucket: np.ndarray, bound:
     for k in range(0, distinct, 1 << 16):  # in parts, which keeps the worker small
         a, b = bound[k], bound[min(k + (1 << 16), distinct)]
         own[k : k + (1 << 16)] = np.bincount(word[a:b] - k, value[bucket[a:b]], min(1 << 16, distinct - k))
-    run = np.concatenate(([0.0], np.cumsum((own / per_word)[same])))
+    own /= per_word
     mean = np.empty(len(first), np.float32)
     for k in range(0, len(first), 1 << 18):
         a, b = first[k : k + (1 << 18)], end[k : k + (1 << 18)]
-        mean[k : k + len(a)] = (run[b] - run[a]) / np.maximum(b - a, 1)
+        run = np.concatenate(([0.0], np.cumsum(own[same[a[0] : b.max()]])))
+        mean[k : k + len(a)] = (run[b - a[0]] - run[a - a[0]]) / np.maximum(b - a, 1)
     top = np.maximum.reduceat(mean, at[:-1])
     is_top = np.flatnonzero(mean == np.repeat(top, np.diff(at)))
     return is_top[np.searchsorted(is_top, at[:-1])]
@@ -139,7 +140,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     bucket = np.concatenate(grams_of)[ranges((np.cumsum(size) - size)[one], size[one])]
     per_word = np.maximum(size[one], 1).astype(np.float32)
     word = np.repeat(np.arange(len(one), dtype=np.int32), size[one])
-    del names, own_names, grams_of
+    del names, own_names, grams_of, known, value_of, every_own, listed
+    release()
     kept = np.flatnonzero(texts_with)
     new = np.full(BUCKETS, -1, np.int32)
     new[kept] = np.arange(len(kept))
@@ -201,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         ids = ids.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < (max_train << 20) // n)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(ids), id_col)
 
+    @tidy
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, y = [], []
         for batch in batches:
@@ -221,6 +224,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kept = rows.drop("__text").schema
     columns = kept.names
 
+    @tidy
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias, window = shared.value
         for part, data, off in slices(batches, "__text", 1 << 19):
