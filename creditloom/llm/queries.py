@@ -16,6 +16,7 @@ from .pieces import op9_sentencepiece
 from .sharding import op2_minimax_sharding
 from .topk import OP3_SQL, op3_maxscore_topk
 from .toxicity import op7_toxicity
+from .urlrules import OP11_SQL, op11_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,9 +33,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_line_dedup,
             op9_sentencepiece,
             op10_lm_scoring,
+            op11_url_filters,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_maxscore_topk": OP3_SQL, "op5_minhash_neardup": OP5_SQL}
+    return {"op3_maxscore_topk": OP3_SQL, "op5_minhash_neardup": OP5_SQL, "op11_url_filters": OP11_SQL}
