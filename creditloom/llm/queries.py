@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .audio import op1_audio_features
+from .divergence import OP12_SQL, op12_source_divergence
 from .langid import op6_language_id
 from .linedup import op8_line_dedup
 from .lmscore import op10_lm_scoring
@@ -34,9 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_sentencepiece,
             op10_lm_scoring,
             op11_url_filters,
+            op12_source_divergence,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_maxscore_topk": OP3_SQL, "op5_minhash_neardup": OP5_SQL, "op11_url_filters": OP11_SQL}
+    return {"op3_maxscore_topk": OP3_SQL, "op5_minhash_neardup": OP5_SQL, "op11_url_filters": OP11_SQL, "op12_source_divergence": OP12_SQL}
