@@ -15,6 +15,7 @@ from .neardup import OP5_SQL, op5_minhash_neardup
 from .packing import op4_best_fit_packing
 from .pieces import op9_sentencepiece
 from .sharding import op2_minimax_sharding
+from .spelling import op13_spelling_variants
 from .topk import OP3_SQL, op3_maxscore_topk
 from .toxicity import op7_toxicity
 from .urlrules import OP11_SQL, op11_url_filters
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_lm_scoring,
             op11_url_filters,
             op12_source_divergence,
+            op13_spelling_variants,
         )
     }
 
