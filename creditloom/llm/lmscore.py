@@ -5,9 +5,10 @@ the context's count c(h). They are learned by expectation-maximisation on held-o
 documents is deleted from the counts and predicted from the others. Scores then use the counts of all training
 documents. Counts come from every training document and every text is scored whole.
 
-Documents are dealt to chunks of about CHUNK_BYTES by a hash of their ids, texts and partition numbers, so that no id, null
-or repeated, gathers its rows in one chunk; rows alike in id and text meet there only from one partition of the input. A chunk sends its distinct words and bigrams,
-as hashes, each with its count in the chunk, to parts by hash range; a part adds them up and answers each chunk with
+Each task that reads documents packs them, in the order they come, into chunks of about CHUNK_BYTES, compressed, which are
+checkpointed: all passes see the same chunks, whatever the input's partitions would be another time, and no id, null or
+repeated, gathers its rows anywhere. A chunk sends its distinct words and bigrams, as hashes, each with its count in the
+chunk, to parts by hash range; a part adds them up and answers each chunk with
 the corpus counts of just its own keys, in the order asked. So a word as common as any is one row a chunk, nothing of
 the vocabulary is broadcast, and no task holds more than a part or a chunk. Words are told apart by 64-bit hashes,
 bigrams by 48 bits. The driver holds the totals, and a table of held-out tokens by bucket and rounded probabilities.
@@ -24,10 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import U64, cut_lineage, hashes, mix, slices, words
+from .bytesops import U64, cut_lineage, hashes, mix, slices, tidy, words
 
 CHUNK_BYTES, PART_BYTES, FOLDS, HELD_OUT, DELETED = 6 << 20, 12 << 20, 10, 0, 1
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
@@ -36,7 +39,7 @@ UNI, BI = 0, 1
 
 
 def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all texts' tokens, those of the bigrams that end at them, and the texts' offsets in the tokens."""
+    """Hashes of all tokens of the column text, those of the bigrams that end at them, and the texts' offsets in the tokens."""
     seen, sizes = [], []
     for _, data, off in slices(iter(table.to_batches()), "text"):
         starts, ends, of = words(data, off)
@@ -55,6 +58,42 @@ def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, mix(before * U64(0x9E3779B97F4A7C15) + word * U64(0xD6E8FEB86659FD93)) >> U64(16), at
 
 
+def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Rows (chunk, ids, folds, bytes, sizes, texts) of docs (id, fold, text), each some documents of one task; sizes and texts compressed."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    @tidy
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def one() -> pa.RecordBatch:
+            ids, folds = (pa.concat_arrays([x[k] for x in held]) for k in (0, 1))
+            data, sizes = np.concatenate([x[2] for x in held]), np.concatenate([np.diff(x[3]) for x in held])
+            listed = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, folds)]
+            blobs = [pa.array([_pack(x)], pa.binary()) for x in (sizes.astype("<i8"), data)]
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), *listed, pa.array([len(data)], pa.int64()), *blobs], ["chunk", "ids", "folds", "bytes", "sizes", "texts"])
+
+        for part, data, off in slices(batches, "text", chunk_bytes):
+            if held and size + len(data) + part.num_rows > chunk_bytes:
+                yield one()
+                number, held, size = number + 1, [], 0
+            held.append((part.column(0), part.column(1), data, off))
+            size += len(data) + part.num_rows
+        if held:
+            yield one()
+
+    return docs.select("id", "fold", "text").mapInArrow(pack, f"chunk bigint, ids array<{kind}>, folds array<int>, bytes bigint, sizes binary, texts binary")
+
+
+def unpack(table: pa.Table) -> Iterator[tuple[int, pa.Table]]:
+    """The documents (id, fold, text) of each chunk."""
+    for k in range(table.num_rows):
+        ids, folds = (table.column(c).combine_chunks().slice(k, 1).flatten() for c in ("ids", "folds"))
+        off = np.concatenate(([0], np.cumsum(_unpack(table.column("sizes")[k].as_py(), "<i8", len(folds)))))
+        data = _unpack(table.column("texts")[k].as_py(), "u1", table.column("bytes")[k].as_py())
+        yield table.column("chunk")[k].as_py(), pa.table({"id": ids, "fold": folds, "text": pa.Array.from_buffers(pa.large_string(), len(folds), [None, pa.py_buffer(off), pa.py_buffer(data)])})
+
+
 def _pack(x: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True)
 
@@ -100,10 +139,15 @@ def corpus_counts(chunked: DataFrame, parts: int) -> DataFrame:
     documents, of those of the chunk's keys that its deleted documents hold.
     """
 
-    def ask(table: pa.Table) -> pa.Table:
+    @tidy
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, table in unpack(pa.Table.from_batches([batch])):
+                yield from ask(chunk, table).to_batches()
+
+    def ask(chunk: int, table: pa.Table) -> pa.Table:
         word, pair, at = tokens(table)
-        fold = np.repeat(table.column("fold").to_numpy(), np.diff(at))
-        chunk, out = table.column("chunk")[0].as_py(), []
+        fold, out = np.repeat(table.column("fold").to_numpy(), np.diff(at)), []
         for kind, every, bits in ((UNI, word, 64), (BI, pair, 48)):
             keys, which = np.unique(every, return_inverse=True)
             main = np.bincount(which, (fold != HELD_OUT) & (fold != DELETED), len(keys)).astype("<u4")
@@ -134,7 +178,7 @@ def corpus_counts(chunked: DataFrame, parts: int) -> DataFrame:
                 out.append({"part": part, "kind": -1, "total": int(train.sum()), "main_total": int(main.sum()), "types": int((train > 0).sum()), "main_types": int((main > 0).sum())})
         return pa.Table.from_pylist(out, schema=_ANSWER)
 
-    return chunked.groupBy("chunk").applyInArrow(ask, _ASK_SQL).groupBy("part").applyInArrow(answer, _ANSWER_SQL)
+    return chunked.mapInArrow(asked, _ASK_SQL).groupBy("part").applyInArrow(answer, _ANSWER_SQL)
 
 
 def _counts(answers: pa.Table, kinds: tuple[int, int], word: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,11 +230,11 @@ def learn_weights(cells: list[tuple[int, int]], p0: float) -> np.ndarray:
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    size = docs.agg(F.sum(F.octet_length(text).cast("long") + 1)).first()[0] or 1
-    chunks, parts = -(-size // chunk_bytes), -(-size // part_bytes)
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS, F.lit(DELETED + 1)).cast("int")
-    chunked = docs.select(F.col(id_col).alias("id"), text.alias("text"), fold.alias("fold"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), text, F.spark_partition_id()), F.lit(chunks)).alias("chunk"))
-    answers = cut_lineage(corpus_counts(chunked, parts))
+    # Whatever comes later reads these files, so a chunk's keys are the same in each pass.
+    chunked = cut_lineage(chunks(docs.select(F.col(id_col).alias("id"), fold.alias("fold"), text.alias("text")), chunk_bytes))
+    size = chunked.agg(F.sum(F.col("bytes") + F.size("ids"))).first()[0] or 1
+    answers = cut_lineage(corpus_counts(chunked, -(-size // part_bytes)))
     total = answers.where("kind = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "main_total", "types", "main_types"))).first()
     n, v, n_main, v_main = total["total"], total["types"], total["main_total"], total["main_types"]
 
@@ -198,20 +242,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         return np.where(p > 0, np.minimum(np.rint(-np.log2(np.maximum(p, 1e-300)) * STEPS), 1000) + 1, 0).astype(np.int64)
 
     def held(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
-        word, pair, at = tokens(table)
-        if not len(word):
+        if not table.num_rows:
             return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        _, table = next(unpack(table))
+        word, pair, at = tokens(table.filter(pc.equal(table.column("fold"), DELETED)))
         c1, c2 = _counts(counts, (2, 3), word, pair)
         context = _contexts(c1, word, at)
         cells, many = np.unique(_bucket(context) << 20 | level(c2 / np.maximum(context, 1)) << 10 | level(c1 / max(n_main, 1)), return_counts=True)
         return pa.table({"cell": cells, "n": many})
 
-    deleted = chunked.where(F.col("fold") == DELETED).groupBy("chunk").cogroup(answers.where("kind in (2, 3)").select("chunk", "part", "kind", "n", "wide", "counts").groupBy("chunk"))
+    deleted = chunked.where(F.array_contains("folds", DELETED)).groupBy("chunk").cogroup(answers.where("kind in (2, 3)").select("chunk", "part", "kind", "n", "wide", "counts").groupBy("chunk"))
     cells = deleted.applyInArrow(held, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights([tuple(r) for r in cells], 1 / (v_main + 1))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def score(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
+        _, table = next(unpack(table))
         word, pair, at = tokens(table)
         c1, c2 = _counts(counts, (UNI, BI), word, pair)
         context = _contexts(c1, word, at)

@@ -92,6 +92,35 @@ def test_rows_of_a_null_id_are_dealt_to_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "corpus_counts", lambda chunked, parts: seen.append(chunked) or counts(chunked, parts))
     rows = lmscore.lm_scores(df, chunk_bytes=50_000, part_bytes=200_000)
     assert rows.count() == 100_000 and rows.where("held_out").count() == 0
-    sizes = [r["count"] for r in seen[0].groupBy("chunk").count().collect()]
-    assert len(sizes) > 20 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    sizes = [r[0] for r in seen[0].selectExpr("size(ids)").collect()]
+    assert len(sizes) > 20 and max(sizes) < 3 * sum(sizes) / len(sizes) and sum(sizes) == 100_000
     assert rows.select("train_tokens").distinct().collect()[0][0] == 500_000
+
+
+def test_rows_all_alike_are_dealt_to_many_chunks(spark):
+    df = spark.range(50_000).selectExpr("cast(7 as bigint) as id", "2 as fold", "'the same words in every row' as text").repartition(4)
+    made = lmscore.chunks(df, 100_000)
+    assert made.count() > 10 and made.selectExpr("max(bytes)").first()[0] <= 100_000
+
+
+def test_scores_stay_when_the_input_is_split_otherwise_between_passes(spark, tmp_path, monkeypatch):
+    """As when executors come and go, so that a later pass plans the scan anew."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(40))) for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(12).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    counts = lmscore.corpus_counts
+
+    def split_anew(chunked, parts):
+        out = counts(chunked, parts)
+        out.cache().count()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        return out
+
+    want = {r.id: (r.base_score, r.score) for r in lmscore.lm_scores(docs, chunk_bytes=20_000, part_bytes=50_000).collect()}
+    monkeypatch.setattr(lmscore, "corpus_counts", split_anew)
+    try:
+        got = {r.id: (r.base_score, r.score) for r in lmscore.lm_scores(docs, chunk_bytes=20_000, part_bytes=50_000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 1000 and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
