@@ -30,19 +30,19 @@ Very long texts are one row each: their lines and windows are rows of their own.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytesops import _GOLD, _powers, _R, _R_INV, cut_lineage, hashes, mix, slices, tidy, U64, words
 
-MIN_WORDS, SALTS, HOT, BROADCAST_KEYS = 50, 16, 1024, 3_000_000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: An anchor in more than HOT texts is dealt over as many salts as give each about HOT.
+MIN_WORDS, HOT, BROADCAST_KEYS = 50, 1024, 3_000_000
 
 
 def _words(text: str) -> Column:
@@ -117,10 +117,10 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = cut_lineage(found)
     key = ["k", "m", "r1", "r2"]
     first = found.groupBy(*key).agg(F.min(F.struct("row", "line")).alias("src"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # A run may start in a third of all rows, so its copies are salted.
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("row", "line"), F.lit(SALTS)).cast("int"))
-    every = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    later = salted.join(every, [*key, "salt"]).where(F.struct("row", "line") != F.col("src"))
+    # A run may start in a third of all rows. Joined by a hash, both sides come from exchanges of their own, and adaptive execution splits such a run's rows.
+    first = first.select(F.xxhash64(*key).alias("__h"), *[F.col(c).alias(f"__{c}") for c in key], "src")
+    same = [F.col(c) == F.col(f"__{c}") for c in key]
+    later = found.withColumn("__h", F.xxhash64(*key)).join(first, "__h").where(same[0] & same[1] & same[2] & same[3] & (F.struct("row", "line") != F.col("src")))
     return later.select("row", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("m") - 1)).alias("line")).distinct()
 
 
@@ -165,11 +165,13 @@ def _text_anchors(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray
     return text[one], value[one].view(np.int64), np.diff(np.append(one, len(text))).astype(np.int32)
 
 
-def _repeated_windows(data: np.ndarray, off: np.ndarray, hits: np.ndarray, hots: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """Stretches of windows whose anchor is among the hits: (text, first word, anchor, hot) of each, and the offsets and hashes of their windows."""
+def _repeated_windows(data: np.ndarray, off: np.ndarray, hits: np.ndarray, salts: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Stretches of windows whose anchor is among the hits: (text, first word, anchor, its salts) of each, and the offsets and hashes of their windows."""
     starts, ends, at = words(data, off)
-    if len(starts) < n:
-        return tuple(np.zeros(k, t) for k, t in ((0, np.int64), (0, np.int32), (0, U64), (0, bool), (1, np.int32), (0, U64)))
+    if len(starts) < n or not len(hits):
+        return tuple(np.zeros(k, t) for k, t in ((0, np.int64), (0, np.int32), (0, U64), (0, np.int64), (1, np.int32), (0, U64)))
+    hits, one = np.unique(hits, return_index=True)
+    salts = salts[one]
     h, owner = hashes(data, starts, ends), np.repeat(np.arange(len(off) - 1), np.diff(at))
     first, least, _ = _anchors(h, owner, n)
     # An anchor that another text of the slice has among its hits only adds windows to compare.
@@ -177,7 +179,7 @@ def _repeated_windows(data: np.ndarray, off: np.ndarray, hits: np.ndarray, hots:
     first, least = first[again], least[again]
     text = owner[first]
     new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (first[1:] != first[:-1] + 1) | (least[1:] != least[:-1])))[: len(text)])
-    return text[new], (first[new] - at[text[new]]).astype(np.int32), least[new], np.isin(least[new], hots), np.append(new, len(text)).astype(np.int32), _runs(h, n)[first]
+    return text[new], (first[new] - at[text[new]]).astype(np.int32), least[new], salts[np.searchsorted(hits, least[new])], np.append(new, len(text)).astype(np.int32), _runs(h, n)[first]
 
 
 class _Seen:
@@ -237,9 +239,9 @@ def later_windows(rows: DataFrame, n: int, copies: bool = True) -> DataFrame:
     @tidy
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches, "text"):
-            text, first, a, hot, at, h = _repeated_windows(data, off, *(part.column(k).flatten().to_numpy().view(U64) for k in (2, 3)), n)
-            salt = np.where(hot, mix(part.column(0).field(1).to_numpy(zero_copy_only=False).view(U64)[text] + first.astype(U64) * _GOLD) % U64(SALTS), 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(a.view(np.int64)), pa.array(salt), pa.array(first), pa.array(hot), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["row", "a", "salt", "at", "hot", "h"])
+            text, first, a, salts, at, h = _repeated_windows(data, off, part.column(2).flatten().to_numpy().view(U64), part.column(3).flatten().to_numpy(), n)
+            salt = mix(part.column(0).field(1).to_numpy(zero_copy_only=False).view(U64)[text] + first.astype(U64) * _GOLD) % salts.astype(U64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(a.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(first), pa.array(salts > 1), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["row", "a", "salt", "at", "hot", "h"])
 
     @tidy
     def seen_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,11 +258,11 @@ def later_windows(rows: DataFrame, n: int, copies: bool = True) -> DataFrame:
         rows = rows.join(F.broadcast(several), F.col("row.text") == F.col("__t"), "left").where(F.col("__t").isNull() | (F.xxhash64("row") == F.col("__first"))).select("row", "text")
     seen = rows.select(F.col("row.text").alias("t"), "text").mapInArrow(anchors, "t bigint, a bigint, many int")
     again = seen.groupBy("a").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("many").alias("many"), F.count("*").alias("n")).where("t0 <> t1 or many > 1")
-    again = cut_lineage(again.select("a", (F.col("n") > HOT).alias("hot")))
-    hits = seen.join(again, "a").select("t", "a", "hot").repartition("t").groupBy("t").agg(F.collect_set("a").alias("hits"), F.collect_set(F.when(F.col("hot"), F.col("a"))).alias("hots"))
-    picks = cut_lineage(firsts.drop("n").join(hits, "t").select("row", "hits", "hots"))
+    again = cut_lineage(again.select("a", F.ceil(F.col("n") / HOT).alias("salts")))
+    hits = seen.join(again, "a").select("t", "a", "salts").repartition("t").groupBy("t").agg(F.collect_list(F.struct("a", "salts")).alias("hits"))
+    picks = cut_lineage(firsts.drop("n").join(hits, "t").select("row", F.col("hits.a").alias("hits"), F.col("hits.salts").alias("salts")))
     near = narrowed(rows, picks.select(F.xxhash64("row").alias("k")), F.xxhash64("row"))
-    found = (rows if near is None else near).join(picks, "row").select("row", "text", "hits", "hots").mapInArrow(windows, f"row {kind}, a bigint, salt int, at int, hot boolean, h array<bigint>")
+    found = (rows if near is None else near).join(picks, "row").select("row", "text", "hits", "salts").mapInArrow(windows, f"row {kind}, a bigint, salt int, at int, hot boolean, h array<bigint>")
     # The windows of an anchor meet, in order of place. Those of a frequent one are dealt over salts, and what is not seen
     # before in its salt meets window by window, a row from each salt at most.
     dealt = found.repartition("a", "salt").sortWithinPartitions("a", "salt", "row", "at")
@@ -278,30 +280,57 @@ def later_windows(rows: DataFrame, n: int, copies: bool = True) -> DataFrame:
     return later.unionByName(whole.distinct())
 
 
-def without(text: str, gone: list[int] | None, starts: list[int], n: int) -> tuple[str, int]:
-    """The text without the lines gone and the windows of n words from starts, and how many whole lines went."""
-    lost, left, dropped, word = {k for a in starts for k in range(a, a + n)}, [], 0, 0
-    gone = set(gone or ())
-    for k, line in enumerate(text.split("\n")):
-        spans = [m.span() for m in _WORD.finditer(line)]
-        kept = [i for i in range(len(spans)) if word + i not in lost]
-        word += len(spans)
-        if k in gone or (spans and not kept):
-            dropped += 1
-            continue
-        if len(kept) < len(spans):
-            # A deleted word takes the white space after it along, or, at the line's end, that before it.
-            parts = [line[spans[i][0] : spans[i + 1][0]] for i in kept if i + 1 < len(spans) and i != kept[-1]]
-            end = spans[kept[-1]][1]
-            line = line[: spans[0][0]] + "".join(parts) + line[spans[kept[-1]][0] : end] + line[spans[-1][1] :]
-        left.append(line)
-    return "\n".join(left), dropped
+def without(text: bytes, gone: np.ndarray, starts: np.ndarray, n: int) -> tuple[bytes, int]:
+    """The text without the lines gone and the windows of n words from starts, and how many whole lines went. Time grows with the text alone.
+
+    A line whose every word goes, goes. A deleted word takes the white space after it along, or, at the line's end, that
+    before it.
+    """
+    data = np.frombuffer(text, np.uint8)
+    word, end, _ = words(data, np.array([0, len(data)]))
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, word)
+    count = len(breaks) + 1
+    first, last = np.concatenate(([0], breaks + 1)), np.append(breaks, len(data))
+
+    def covered(size: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        steps = np.bincount(begins, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
+        return np.cumsum(steps[:size]) > 0
+
+    lost = covered(len(word), starts, np.minimum(starts + n, len(word)))
+    dropped = np.bincount(line, ~lost, count) == 0
+    dropped &= np.bincount(line, minlength=count) > 0
+    dropped[gone] = True
+    cut = np.flatnonzero(lost & ~dropped[line])
+    # The last word that stays in each word's line.
+    stays = np.full(count, -1)
+    np.maximum.at(stays, line[~lost], np.flatnonzero(~lost))
+    inner = cut < stays[line[cut]]
+    a, b = np.where(inner, word[cut], end[cut - 1]), np.where(inner, word[np.minimum(cut + 1, len(word) - 1)], end[cut])
+    kept = np.flatnonzero(~dropped)
+    # A break stays after a line that stays, but for the last of these.
+    broken = np.ones(count, bool)
+    broken[kept[:-1]] = False
+    broken = np.flatnonzero(broken[:-1])
+    away = np.flatnonzero(dropped)
+    mask = covered(len(data), np.concatenate((a, first[away], breaks[broken])), np.concatenate((b, last[away], breaks[broken] + 1)))
+    return data[~mask].tobytes(), len(away)
 
 
 def _without(text: Column, n: int) -> Column:
-    """without() of the rows that have windows to delete, else null."""
-    cut = F.udf(lambda t, g, w: None if w is None else without(t, g, w, n), "text string, dropped int", useArrow=True)
-    return cut(F.when(F.col("__starts").isNotNull(), text.cast("string")), F.col("__gone"), F.col("__starts"))
+    """without() of a column, with its lists __gone and __starts, either null where nothing of the kind goes."""
+
+    @F.arrow_udf("text string, dropped int")
+    def cut(texts: pa.Array, gone: pa.Array, starts: pa.Array) -> pa.Array:
+        out = [(None, 0)] * len(texts)
+        whole = texts.cast(pa.large_binary())
+        for k in np.flatnonzero(pc.and_(pc.is_valid(whole), pc.or_(pc.is_valid(gone), pc.is_valid(starts))).to_numpy(zero_copy_only=False)).tolist():
+            lists = [x.slice(k, 1).flatten().to_numpy().astype(np.int64) for x in (gone, starts)]
+            out[k] = without(whole[k].as_buffer(), *lists, n)
+        left = pa.array([x[0] for x in out], pa.binary()).cast(pa.string())
+        return pa.StructArray.from_arrays([left, pa.array([x[1] for x in out], pa.int32())], ["text", "dropped"])
+
+    return cut(text.cast("string"), F.col("__gone"), F.col("__starts"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, inline_words: int | None = None) -> DataFrame:
@@ -316,19 +345,16 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = later_copies(line_table(rows), min_words).groupBy("row").agg(F.collect_set("line").alias("__gone"))
     if inline_words is not None:
         gone = gone.join(later_windows(rows.where(F.col("text").isNotNull()), inline_words, copies=inline_words < min_words).withColumnRenamed("starts", "__starts"), "row", "full")
+    else:
+        gone = gone.withColumn("__starts", F.lit(None).cast("array<int>"))
     gone = cut_lineage(gone)
-    parts = F.split(F.col(text_col), "\n")
-    lines = F.coalesce(F.size(parts), F.lit(0)).alias("lines")
+    lines = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).alias("lines")
 
     def cleaned(source: DataFrame) -> DataFrame:
         joined = source.withColumn("__row", name).join(gone.withColumnRenamed("row", "__of"), F.col("__row").eqNullSafe(F.col("__of")), "left")
-        left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-        changed, dropped = F.col("__gone").isNotNull(), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
-        if inline_words is not None:
-            joined = joined.withColumn("__cut", _without(F.col(text_col), inline_words))
-            changed, cut = changed | F.col("__starts").isNotNull(), F.col("__starts").isNotNull()
-            left, dropped = F.when(cut, F.col("__cut.text")).otherwise(left), F.when(cut, F.col("__cut.dropped")).otherwise(dropped)
-        return joined.select(*[F.when(changed, left).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns], lines, dropped.alias("dropped_lines"))
+        joined = joined.withColumn("__cut", _without(F.col(text_col), inline_words or 1))
+        changed = F.col("__gone").isNotNull() | F.col("__starts").isNotNull()
+        return joined.select(*[F.when(changed, F.col("__cut.text")).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns], lines, F.coalesce("__cut.dropped", F.lit(0)).alias("dropped_lines"))
 
     # Texts without a deletion need not be shuffled.
     keys = gone.select(F.xxhash64("row").alias("k"))

@@ -1,6 +1,9 @@
 import random
+import re
 import time
 
+import numpy as np
+
 from creditloom.llm import linedup
 
 
@@ -76,6 +79,33 @@ def brute_words(rows, n):
     return out
 
 
+def without_by_hand(text, gone, starts, n):
+    lost, left, dropped, word = {k for a in starts for k in range(a, a + n)}, [], 0, 0
+    for k, line in enumerate(text.split("\n")):
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+        kept = [i for i in range(len(spans)) if word + i not in lost]
+        word += len(spans)
+        if k in gone or (spans and not kept):
+            dropped += 1
+            continue
+        if len(kept) < len(spans):
+            parts = [line[spans[i][0] : spans[i + 1][0]] for i in kept if i + 1 < len(spans) and i != kept[-1]]
+            line = line[: spans[0][0]] + "".join(parts) + line[spans[kept[-1]][0] : spans[kept[-1]][1]] + line[spans[-1][1] :]
+        left.append(line)
+    return "\n".join(left), dropped
+
+
+def test_texts_without_lines_and_windows_equal_the_definition():
+    rng = random.Random(6)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "bé", "你", " ", "  ", "\t", "\n", "\n\n", "\r"]) for _ in range(rng.randrange(40)))
+        lines, n = text.count("\n") + 1, rng.randrange(1, 5)
+        starts = sorted({rng.randrange(m - n + 1) for _ in range(3)}) if (m := len(re.findall(r"[^\x20\x09-\x0D]+", text))) >= n and rng.random() < 0.7 else []
+        gone = sorted({rng.randrange(lines) for _ in range(rng.randrange(4))})
+        got, dropped = linedup.without(text.encode(), np.array(gone, np.int64), np.array(starts, np.int64), n)
+        assert (got.decode(), dropped) == without_by_hand(text, gone, starts, n), (text, gone, starts, n)
+
+
 def brute_inline(rows, n):
     """Texts in order, without lines of runs of n words and words of windows of n words that also start earlier."""
     lines, seen, out = set(), set(), []
@@ -97,7 +127,7 @@ def brute_inline(rows, n):
             if window in seen:
                 starts.append(a)
             seen.add(window)
-        out.append(linedup.without(text, sorted(gone), starts, n)[0] if gone or starts else text)
+        out.append(without_by_hand(text, gone, starts, n)[0] if gone or starts else text)
     return out
 
 
@@ -130,5 +160,25 @@ def test_a_document_of_many_repeated_lines_takes_no_quadratic_time(spark):
     began = time.perf_counter()
     runs = linedup.shortest_runs(repeated, 50)
     assert runs.count() >= 199_000 and time.perf_counter() - began < 60
+    for more in ({}, {"inline_words": 50}):
+        began = time.perf_counter()
+        row = linedup.drop_repeated_lines(df, **more).first()
+        assert row.text == "\n".join(half) and row.dropped_lines == 100_000 and time.perf_counter() - began < 60
     # 17 lines of 3 words have 50 words or more.
     assert {r.m for r in runs.select("m").distinct().collect()} == {17}
+
+
+def test_windows_of_a_very_frequent_anchor_are_dealt_over_more_salts(spark, monkeypatch):
+    """One passage in every text, each time after other words, so that it is one anchor in all of them."""
+    monkeypatch.setattr(linedup, "HOT", 20)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"own{i} {passage} end{i}" for i in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    got = {r.doc_id: r.text for r in linedup.drop_repeated_lines(df, inline_words=50).collect()}
+    assert got == {i: t if i == 0 else f"own{i} end{i}" for i, t in enumerate(texts)}
+    data = np.frombuffer("".join(texts[:300]).encode(), np.uint8)
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts[:300]])))
+    _, anchors, _ = linedup._text_anchors(data, off, 50)
+    hits = np.unique(anchors).view(np.uint64)
+    salts = linedup._repeated_windows(data, off, hits, np.arange(1, len(hits) + 1), 50)[3]
+    assert set(salts.tolist()) <= set(range(1, len(hits) + 1)) and len(salts)
