@@ -94,28 +94,39 @@ def cut_hashes(groups: DataFrame, shards: int) -> tuple[list[str], int]:
         ranges = sorted([r for r in ranges if r[0] not in opened] + list(parts.values()))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, size, text_crc32, shard, slot) of all documents; slots count each shard's rows from 0 without gaps."""
+def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Checkpointed rows (id, size, text_crc32, hash, __row); __row tells equal rows apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = cut_lineage(
+    return cut_lineage(
         docs.select(
             F.col(id_col).alias("id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.sha2(text.cast("binary"), 256).alias("hash"),
+            F.monotonically_increasing_id().alias("__row"),
         )
     )
-    groups = cut_lineage(rows.groupBy("hash").agg(F.sum("size").alias("weight")))
-    cuts, _ = cut_hashes(groups, shards)
+
+
+def dealt(rows: DataFrame, cuts: list[str]) -> DataFrame:
+    """rows with their shard and a salt within it, about ROWS_PER_SALT rows a salt, however many are alike."""
     shard = F.lit(0)
     for c in cuts:
         shard = shard + (F.substring("hash", 1, len(c)) > c).cast("int")
     salts = max(8, rows.count() // ROWS_PER_SALT)
-    dealt = rows.select("id", "size", "text_crc32", shard.alias("shard"), F.pmod(F.xxhash64("id", "hash"), F.lit(salts)).cast("int").alias("__salt"))
-    inside = Window.partitionBy("shard", "__salt").orderBy("id", "text_crc32")
+    return rows.select("id", "size", "text_crc32", shard.alias("shard"), F.pmod(F.xxhash64("__row"), F.lit(salts)).cast("int").alias("__salt"), "__row")
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, size, text_crc32, shard, slot) of all documents; slots count each shard's rows from 0 without gaps."""
+    rows = hashed(docs, id_col, text_col)
+    groups = cut_lineage(rows.groupBy("hash").agg(F.sum("size").alias("weight")))
+    cuts, _ = cut_hashes(groups, shards)
+    salted = dealt(rows, cuts)
+    inside = Window.partitionBy("shard", "__salt").orderBy("id", "text_crc32", "__row")
     # One row a shard and salt: as many as there are salts, each for ROWS_PER_SALT documents.
-    before = dealt.groupBy("shard", "__salt").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = dealt.withColumn("__k", F.row_number().over(inside) - 1)
+    before = salted.groupBy("shard", "__salt").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = salted.withColumn("__k", F.row_number().over(inside) - 1)
     return numbered.join(before.drop("__n"), ["shard", "__salt"]).select("id", "size", "text_crc32", "shard", (F.col("__before") + F.col("__k")).cast("long").alias("slot"))
 
 

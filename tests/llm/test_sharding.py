@@ -51,3 +51,12 @@ def test_odd_rows(odd_docs):
 
 def test_no_rows(no_docs):
     assert sharding.shard_documents(no_docs).count() == 0
+
+
+def test_equal_rows_are_numbered_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_SALT", 10_000)
+    df = spark.range(200_000).selectExpr("cast(null as bigint) as doc_id", "cast(null as string) as text").repartition(8)
+    sizes = [r["count"] for r in sharding.dealt(sharding.hashed(df, "doc_id", "text"), []).groupBy("shard", "__salt").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2 * 10_000
+    slots = sharding.shard_documents(df).groupBy("shard").agg({"slot": "max", "*": "count"}).select("max(slot)", "count(1)").collect()
+    assert [tuple(r) for r in slots] == [(199_999, 200_000)]
