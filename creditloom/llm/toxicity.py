@@ -4,8 +4,8 @@ A word's subwords are its byte n-grams of 3 to 5, hashed, with a boundary byte o
 seen shares most vectors with the word it stands for. A bag of words is the average of its words' subword vectors; the
 softmax rates it. With window=None the bag is the whole text. By default bags are windows of WINDOW words, and a text's
 score is that of its most toxic one, as the average over a long text drowns a single word; README has both measured.
-Texts with fewer words have one window. Training takes at most about MAX_TRAIN labelled texts, drawn by a hash of the id;
-no subword is left out. Scoring covers every whole text, of any length, in slices of half a megabyte or of one longer text.
+Texts with fewer words have one window. Training takes at most about MAX_TRAIN labelled texts, ids drawn by a hash
+and then their distinct rows; no subword is left out. Scoring covers every whole text, of any length, in slices of half a megabyte or of one longer text.
 
 Texts without words, null ones too, score as the model's bias alone. Labels of one kind only, or none, give a model all
 the same. A null id is scored like others but trains nothing; an id labelled several times counts as toxic if one label
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import id_mod, LOWER, ranges, release, slices, tidy
+from .bytesops import cut_lineage, id_mod, LOWER, ranges, release, slices, tidy
 
 BUCKETS, ORDERS, WINDOW, DIM, MAX_TRAIN, EPOCHS, DECAY, TOXIC_WEIGHT = 1 << 20, (3, 4, 5), 6, 8, 5_000, 60, 3e-6, 6.0
 #: With whole texts as bags a step takes so many of them.
@@ -195,13 +195,20 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 Model = tuple[np.ndarray, float, int | None]
 
 
+def drawn(most: int, of: int, *names: Column) -> Column:
+    """Whether a row is among about that many of so many, by a hash of its names."""
+    share = F.pmod(F.xxhash64(*names), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    return share * float(of) < float(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int = MAX_TRAIN, window: int | None = WINDOW) -> Model:
     """Bucket values, bias and window, from at most about max_train of the labelled rows (1: toxic). The bounded sample is trained on in one task."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
-    n = ids.count()
-    if n > max_train:
-        ids = ids.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < (max_train << 20) // n)
+    ids = ids.where(drawn(max_train, ids.count(), F.col(id_col).cast("string")))
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(ids), id_col)
+    # An id may stand for any number of rows: equal ones are one, and of the others about max_train are drawn.
+    rows = cut_lineage(rows.dropDuplicates([id_col, "__text"]))
+    rows = rows.where(drawn(max_train, rows.count(), F.col(id_col).cast("string"), F.col("__text")))
 
     @tidy
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
