@@ -1,11 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed byte n-grams of 1 to 4.
 
 The model is a matrix of log-probabilities, BUCKETS by languages (half a megabyte a language), whose size does not grow
-with the data; all languages are alike likely before the text is read. It is fitted on a sample of about MAX_TRAIN
+with the data; more than MAX_LANGUAGES of them are an error; all are alike likely before the text is read. It is fitted on a sample of about MAX_TRAIN
 documents of each language at most, drawn by a hash of id and text, so a rare language keeps all its rows. The scan's
 own tasks draw the sample, TRAIN_TASKS tasks count it, and the cluster adds the counts up; the driver gets one row a language.
 
-Scoring covers every whole text, of any length, in slices of about a megabyte; a longer text is a slice of its own.
+Scoring covers every whole text, of any length, in slices of about a megabyte; a longer text is read in pieces of PIECE bytes.
 A null text, or one without a letter, is "und" with score 0. Without training rows every text is "und". Ties go to the
 language that comes first in alphabetical order. Repeated rows score alike, null ids score like others, and empty tables
 give no rows. Columns carried along keep their names, whatever these are, but lang_pred, score and fit, which are the result's.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import id_mod, LOWER, slices, tidy
 
-BUCKETS, ORDERS, MAX_TRAIN, TRAIN_TASKS = 1 << 17, (1, 2, 3, 4), 10_000, 32
+BUCKETS, ORDERS, MAX_TRAIN, TRAIN_TASKS, MAX_LANGUAGES, PIECE, CELLS = 1 << 17, (1, 2, 3, 4), 10_000, 32, 256, 1 << 20, 1 << 22
 SMOOTH, TEMPER = 0.5, 40.0
 UNFIT = -float(np.log(BUCKETS))
 
@@ -51,10 +51,30 @@ def grams(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np
     return h[keep], np.concatenate(([0], np.cumsum(counts)))
 
 
+def gram_sums(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's sum of its n-grams' rows of the table, and their number. At most PIECE bytes of a long text and CELLS values of the table are held at once."""
+    total, seen = np.zeros((len(off) - 1, table.shape[1])), np.zeros(len(off) - 1)
+    for order in ORDERS:
+        # Only a text that stands alone is longer than a piece; pieces overlap so that each n-gram is in one of them.
+        for begin in range(0, max(1, len(data) - order + 1), PIECE if len(off) == 2 else len(data) + 1):
+            piece = data[begin : begin + PIECE + order - 1] if len(off) == 2 else data
+            h, at = grams(piece, off if len(off) > 2 else np.array([0, len(piece)]), order)
+            seen += np.diff(at)
+            step = max(1, CELLS // max(1, table.shape[1]))
+            for a in range(0, len(h), step):
+                b = min(a + step, len(h))
+                own = np.arange(np.searchsorted(at, a, side="right") - 1, np.searchsorted(at, b))
+                own = own[at[own + 1] > np.maximum(at[own], a)]
+                total[own] += np.add.reduceat(table[h[a:b]], np.maximum(at[own], a) - a, axis=0, dtype=np.float64)
+    return total, seen
+
+
 def training_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str, max_train: int = MAX_TRAIN) -> DataFrame:
     """Rows (lang, text): the labelled rows, of a language with more than max_train of them about so many."""
     lang = F.col(lang_col).cast("string").alias("lang")
-    many = rows.groupBy(lang).agg(F.count("*").alias("__n")).where("lang is not null")  # a row a language
+    many = rows.groupBy(lang).agg(F.count("*").alias("__n")).where("lang is not null")
+    if many.count() > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} languages, each of which takes half a megabyte of the model")
     labelled = rows.select(lang, F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)).alias("__h"))
     return labelled.where("text is not null").join(F.broadcast(many), "lang").where(F.col("__h").cast("double") * F.col("__n") < float(max_train) * (1 << 30)).select("lang", "text")
 
@@ -74,8 +94,11 @@ def train_counts(sample: DataFrame, tasks: int = TRAIN_TASKS) -> DataFrame:
                     if now is not None:
                         yield row()
                     now, sums = langs[a], np.zeros(BUCKETS, np.int64)
+                own, cut = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 for order in ORDERS:
-                    sums += np.bincount(grams(data[off[a] : off[b]], off[a : b + 1] - off[a], order)[0], minlength=BUCKETS)
+                    for begin in range(0, max(1, len(own) - order + 1), PIECE if b - a == 1 else len(own) + 1):
+                        piece = own[begin : begin + PIECE + order - 1] if b - a == 1 else own
+                        sums += np.bincount(grams(piece, np.array([0, len(piece)]) if b - a == 1 else cut, order)[0], minlength=BUCKETS)
         if now is not None:
             yield row()
 
@@ -106,13 +129,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = shared.value
         for part, data, off in slices(batches, "__text", 1 << 20):
-            total, seen = np.zeros((part.num_rows, max(1, len(names)))), np.zeros(part.num_rows)
-            for order in ORDERS if names else ():
-                h, at = grams(data, off, order)
-                full = np.flatnonzero(np.diff(at))
-                if len(full):
-                    total[full] += np.add.reduceat(table[h], at[full], axis=0, dtype=np.float64)
-                    seen += np.diff(at)
+            total, seen = gram_sums(data, off, table) if names else (np.zeros((part.num_rows, 1)), np.zeros(part.num_rows))
             best = total.argmax(1)
             mean = (total - total.max(1, keepdims=True)) / np.maximum(seen, 1)[:, None] * np.minimum(seen, TEMPER)[:, None]
             share = 1 / np.exp(mean).sum(1)

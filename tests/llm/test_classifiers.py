@@ -187,3 +187,45 @@ def test_whole_text_bags_learn(spark):
     got = toxicity.score(df.where("doc_id >= 600"), model, "doc_id", "text", F.col("toxic")).collect()
     toxic, clean = ([r.score for r in got if r.toxic == y] for y in (1, 0))
     assert np.mean([a > b for a in toxic for b in clean]) > 0.8
+
+
+def test_one_labelled_id_of_many_rows_trains_on_a_bounded_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, window: seen.append(len(texts)) or (np.zeros(toxicity.BUCKETS, np.float32), 0.0))
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")
+    different = spark.range(60_000).selectExpr("cast(1 as bigint) as doc_id", "concat('text ', id) as text").repartition(8)
+    sizes = []
+    real = toxicity.drawn
+    monkeypatch.setattr(toxicity, "drawn", lambda most, of, *names: sizes.append((most, of, len(names))) or real(most, of, *names))
+    toxicity.fit(different, labels, "doc_id", "text", "toxic", max_train=500)
+    rows = different.where(real(500, 60_000, F.col("doc_id").cast("string"), F.col("text"))).count()
+    assert sizes == [(500, 1, 1), (500, 60_000, 2)] and 350 < rows < 650
+    sizes.clear()
+    toxicity.fit(different.withColumn("text", F.lit("all alike")), labels, "doc_id", "text", "toxic", max_train=500)
+    assert sizes == [(500, 1, 1), (500, 1, 2)]
+
+
+def test_samples_of_very_many_rows_are_not_empty(spark):
+    share = spark.range(1_000_000).where(toxicity.drawn(5_000, 10**12, F.col("id"))).count()
+    assert share == 0  # one in two hundred million
+    assert 0 < spark.range(1_000_000).where(toxicity.drawn(5_000, 10**9, F.col("id"))).count() < 30
+
+
+def test_long_texts_are_summed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=(langid.BUCKETS, 20)).astype(np.float32)
+    data = rng.integers(97, 123, 5000).astype(np.uint8)
+    for off in ([0, 5000], [0, 0, 1700, 1702, 5000, 5000]):
+        off = np.array(off)
+        want = [sum((table[langid.grams(data[a:b], np.array([0, b - a]), n)[0]].astype(float).sum(0) for n in langid.ORDERS), np.zeros(20)) for a, b in zip(off[:-1], off[1:], strict=True)]
+        for piece, cells in ((1 << 20, 1 << 22), (700, 20 * 97)):
+            monkeypatch.setattr(langid, "PIECE", piece)
+            monkeypatch.setattr(langid, "CELLS", cells)
+            total, seen = langid.gram_sums(data, off, table)
+            assert np.allclose(total, want, atol=1e-3) and seen.tolist() == [sum(max(b - a - n + 1, 0) for n in langid.ORDERS) for a, b in zip(off[:-1], off[1:], strict=True)]
+
+
+def test_a_column_of_anything_is_no_language(spark):
+    rows = spark.range(1000).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(rows, "doc_id", "text", "lang")

@@ -58,7 +58,8 @@ def test_stages_in_order_and_their_results(spark, tmp_path):
     kept = [(i, t) for i, t, _ in rows if i in passed and i in named]
     left = brute_inline([t for _, t in kept], 50)
     assert sum(t != old for t, (_, old) in zip(left, kept, strict=True)) > 20
-    kept = [(i, t) for (i, old), t in zip(kept, left, strict=True) if t == old or t.split()]
+    scrap = lambda t, old: not t.split() or (2 * len(t.encode()) < len(old.encode()) and len(t.split()) < corpus_pipeline.SCRAP_WORDS)
+    kept = [(i, t) for (i, old), t in zip(kept, left, strict=True) if t == old or not scrap(t, old)]
     groups = brute_groups([i for i, _ in kept], [t for _, t in kept], 5, 80)
     kept = [(i, t) for i, t in kept if groups[i][1] == i]
     tokenizer = Tokenizer.from_file(packing.word_tokenizer())
@@ -85,6 +86,16 @@ def test_stages_take_odd_rows_and_no_rows(spark, tmp_path, odd_docs, no_docs):
             docs.count()
 
 
+def test_scraps_of_copies_go_and_short_texts_stay(spark, tmp_path):
+    rng = random.Random(3)
+    passage = prose(rng, 300)
+    rows = [(1, passage), (2, f"few own words {passage} at the end"), (3, f"{passage}\n{prose(rng, 60)}"), (4, "a short text"), (5, f"{prose(rng, 400)} {passage}"), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert set(got) == {1, 3, 4, 5, 6, 7}  # of 2 six words are left
+    assert len(got[3].split()) == 60 and len(got[5].split()) == 400 and got[1] == passage
+
+
 def test_all_documents_stay_where_no_language_is_learned(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some text", None, "a", 9), (2, None, None, "a", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert corpus_pipeline.drop_unknown_language(spark, docs, str(tmp_path)).count() == 2
