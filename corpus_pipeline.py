@@ -13,6 +13,8 @@ from creditloom.llm import bytesops, langid, linedup, neardup, packing, toxicity
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC_FROM = 0.7
+#: What is left of a text that lost more than half of its bytes must have so many words to stay.
+SCRAP_WORDS = 50
 _runs = itertools.count()
 
 
@@ -21,6 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts score as the model's bias alone and stay unless that is toxic; null ids are scored like others and
     train nothing; rows that repeat an id are judged each by its own text. No documents give none; without labels all stay.
+    Very long texts are scored whole. Other columns than those of documents are left out.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.expr(bytesops.id_mod("doc_id", 3)) != 1)
     model = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
@@ -32,7 +35,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents in a language that the classifier knows.
 
     Null texts and texts without a letter go, and so do those to which the likeliest language gives a lower probability
-    than blind chance. Where no language could be learned, as without a label, all stay. Ids play no part in it.
+    than blind chance. Where no language could be learned, as without a label, all stay. Ids play no part in it, so
+    repeated rows are judged alike. Very long texts are read whole. No documents give none. Other columns are left out.
     """
     held = F.coalesce(F.expr(bytesops.id_mod("doc_id", 4)) == 2, F.lit(False))
     model = langid.fit(docs.where(~held), "doc_id", "text", "lang")
@@ -46,12 +50,15 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies of passages of 50 words or more, whole lines or not; n_chars follows the text.
 
-    Documents left without a word go. Null and empty texts stay as they are, null ids come first in order, and rows alike
-    in id and text share their deletions.
+    Documents left without a word go, and so do scraps: a text that lost more than half of its bytes and has fewer than
+    SCRAP_WORDS words left. Null and empty texts stay as they are, null ids come first in order, and rows alike in id and
+    text share their deletions. Very long texts are rewritten in time linear in their length. No documents give none.
     """
     left = linedup.drop_repeated_lines(docs.select(*COLUMNS, F.octet_length("text").alias("__bytes")), inline_words=linedup.MIN_WORDS)
     changed = F.coalesce(F.octet_length("text") != F.col("__bytes"), F.lit(False))
-    left = left.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    scrap = (words == 0) | ((2 * F.octet_length("text") < F.col("__bytes")) & (words < SCRAP_WORDS))
+    left = left.where(~changed | ~scrap)
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -59,7 +66,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates, the one with the smallest id.
 
     A row without an id takes one from its text, above all others, so it stays only where no document with an id is in its
-    group. Of rows alike in id and text one stays. Texts without words, null ones too, are groups of their own id.
+    group. Of rows alike in id and text one stays. Texts without words, null ones too, are groups of their own id. Very
+    long texts are compared by all their shingles. No documents give none. Other columns are left out.
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit((1 << 62) - 1)))
     docs = docs.select(*COLUMNS).withColumns({"__id": own, "__name": F.xxhash64("doc_id", "text")})
@@ -76,7 +84,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences, as op4 returns them.
 
-    A null text has the end id alone; null and repeated ids are packed like others; no documents give no pieces.
+    A null text has the end id alone; null and repeated ids are packed like others; no documents give no pieces. Very long
+    texts are cut into pieces of 4096 ids. Other columns are left out.
     """
     pieces = packing.token_pieces(docs, packing.word_tokenizer()).drop("ids")
     return packing.pack(pieces).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
