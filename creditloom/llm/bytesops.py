@@ -35,6 +35,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * _GOLD)
 _BYTE_LOWER = _BYTE[LOWER]
+#: Random byte values of a second, independent hash.
+_BYTE_AGAIN = mix(np.arange(257, 513, dtype=U64) * _GOLD)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +103,11 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span: a polynomial over random byte values from prefix sums, then mixed with the length."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span: a polynomial over random byte values from prefix sums, then mixed with the length. seed 1: other byte values."""
+    values = _BYTE_AGAIN if seed else _BYTE_LOWER if lower else _BYTE
     prefix = np.zeros(len(data) + 1, U64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _powers(_R, len(data)), out=prefix[1:])
+    np.cumsum(values[data] * _powers(_R, len(data)), out=prefix[1:])
     return mix((prefix[ends] - prefix[starts]) * _powers(_R_INV, len(data) + 1)[starts] + (ends - starts).astype(U64) * _GOLD)
 
 

@@ -51,8 +51,27 @@ def _words(text: str) -> Column:
 
 def line_table(rows: DataFrame) -> DataFrame:
     """Rows (row, line, a, b, words): one for each line of rows (row, text), with two hashes of the line and its words."""
-    lines = rows.where(F.col("text").isNotNull()).select("row", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    return lines.select("row", "line", F.xxhash64("words").alias("a"), F.xxhash64("words", F.lit(1)).alias("b"), F.size(_words("words")).alias("words"))
+    kind = rows.schema["row"].dataType.simpleString()
+
+    @tidy
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in slices(batches, "text"):
+            breaks = np.flatnonzero(data == 10)
+            text = np.searchsorted(off, breaks, side="right") - 1  # a text has a line more than it has breaks
+            many = np.bincount(text, minlength=part.num_rows) + 1
+            owner = np.repeat(np.arange(part.num_rows), many)
+            at = np.cumsum(many) - many
+            starts, ends = np.empty(len(owner), np.int64), np.empty(len(owner), np.int64)
+            starts[at], ends[at + many - 1] = off[:-1], off[1:]
+            inner = np.arange(len(breaks)) + text
+            starts[inner + 1], ends[inner] = breaks + 1, breaks
+            word = words(data, off)[0]
+            count = np.searchsorted(word, ends) - np.searchsorted(word, starts)
+            a, b = hashes(data, starts, ends), hashes(data, starts, ends, seed=1)
+            number = (np.arange(len(owner)) - np.repeat(at, many)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(number), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(count.astype(np.int32))], ["row", "line", "a", "b", "words"])
+
+    return rows.where(F.col("text").isNotNull()).select("row", "text").mapInArrow(lines, f"row {kind}, line int, a bigint, b bigint, words int")
 
 
 def _ranked(pairs: DataFrame, by: list[str], into: str) -> DataFrame:
@@ -256,7 +275,8 @@ def later_windows(rows: DataFrame, n: int, copies: bool = True) -> DataFrame:
     whole_rows = rows
     if several.count() <= BROADCAST_KEYS:  # else copies take part, and change nothing
         rows = rows.join(F.broadcast(several), F.col("row.text") == F.col("__t"), "left").where(F.col("__t").isNull() | (F.xxhash64("row") == F.col("__first"))).select("row", "text")
-    seen = rows.select(F.col("row.text").alias("t"), "text").mapInArrow(anchors, "t bigint, a bigint, many int")
+    # Read twice: 20 bytes an anchor cost less than cutting all texts again.
+    seen = cut_lineage(rows.select(F.col("row.text").alias("t"), "text").mapInArrow(anchors, "t bigint, a bigint, many int"))
     again = seen.groupBy("a").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("many").alias("many"), F.count("*").alias("n")).where("t0 <> t1 or many > 1")
     again = cut_lineage(again.select("a", F.ceil(F.col("n") / HOT).alias("salts")))
     hits = seen.join(again, "a").select("t", "a", "salts").repartition("t").groupBy("t").agg(F.collect_list(F.struct("a", "salts")).alias("hits"))
