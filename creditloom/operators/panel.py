@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,18 +22,15 @@ def build(acquisition: DataFrame, performance: DataFrame, macro: DataFrame, s: S
     """One row an account and month.
 
     current_upb is the balance at the month's begin and the state that at its end. One sort by loan and month serves
-    all windows: the last row is the one without a next, and a repeated month equals its neighbour.
+    all windows: the last row is the one without a next, and a repeated month equals its neighbour. The windows come
+    before the join, as rows that lie by loan and month already (layout.colocated) then need no shuffle and no sort.
     """
-    loans = acquisition.select("loan_id", "origination_month", "orig_score", "orig_ltv", "property_state", "vintage_year")
-    rows = performance.drop("vintage_year").join(loans, "loan_id")
     order = Window.partitionBy("loan_id").orderBy("as_of_month")
     mapped = C.lookup("zero_balance_code", s.codes)
-    last = F.lead("as_of_month").over(order).isNull()
-    rows = rows.select(
+    rows = performance.drop("vintage_year").select(
         "*",
-        C.months_apart("as_of_month", "origination_month").alias("months_on_book"),
         C.delinquency_state("zero_balance_code", "delinquency_status", s).alias("delinquency_state"),
-        last.alias("_last"),
+        F.lead("as_of_month").over(order).isNull().alias("_last"),
         F.lag("as_of_month").over(order).alias("_previous_month"),
         F.lead("current_upb").over(order).alias("_next_upb"),
     )
@@ -44,10 +41,17 @@ def build(acquisition: DataFrame, performance: DataFrame, macro: DataFrame, s: S
     )
     rows = rows.withColumn("exit_reason", exit_)
     whole = Window.partitionBy("loan_id")
+    rows = rows.select(
+        "*",
+        F.lag("delinquency_state").over(order).alias("previous_delinquency_state"),
+        F.when(F.col("exit_reason").isNull(), F.lead("delinquency_state").over(order)).alias("next_delinquency_state"),
+        F.count("exit_reason").over(whole).alias("_terminals"),
+    )
+    loans = acquisition.select("loan_id", "origination_month", "orig_score", "orig_ltv", "property_state", "vintage_year")
+    rows = rows.join(loans, "loan_id").withColumn("months_on_book", C.months_apart("as_of_month", "origination_month"))
     rows = rows.select(
         "loan_id", "as_of_month", F.date_format("origination_month", "yyyy-MM").alias("vintage"), "vintage_year", "months_on_book", F.col("loan_age").alias("vendor_loan_age"),
-        C.mob_band("months_on_book", s).alias("mob_band"), "delinquency_state", F.lag("delinquency_state").over(order).alias("previous_delinquency_state"),
-        F.when(F.col("exit_reason").isNull(), F.lead("delinquency_state").over(order)).alias("next_delinquency_state"), F.col("current_upb").alias("upb_bom"),
+        C.mob_band("months_on_book", s).alias("mob_band"), "delinquency_state", "previous_delinquency_state", "next_delinquency_state", F.col("current_upb").alias("upb_bom"),
         F.when(F.col("exit_reason").isin(*s.absorbing), F.lit(0).cast(rows.schema["current_upb"].dataType)).when(F.col("exit_reason").isNull(), F.col("_next_upb")).alias("upb_eom"),
         "orig_score", C.score_band("orig_score", s).alias("score_band"), "orig_ltv", "property_state", "net_sales_proceeds", "foreclosure_costs", "exit_reason",
         F.coalesce(F.col("exit_reason") == "Censored", F.lit(False)).alias("is_censored"),
@@ -55,7 +59,7 @@ def build(acquisition: DataFrame, performance: DataFrame, macro: DataFrame, s: S
         (~C.is_blank("zero_balance_code") & C.lookup("zero_balance_code", s.codes).isNull()).alias("_unknown_zero_balance_code"),
         F.coalesce(F.months_between("as_of_month", "_previous_month") != 1, F.lit(False)).alias("_gap"),
         F.coalesce(F.col("as_of_month") == F.col("_previous_month"), F.lit(False)).alias("_duplicate_key"),
-        (F.col("exit_reason").isNotNull() & ~F.col("_last")).alias("_terminal_not_last"), F.count("exit_reason").over(whole).alias("_terminals"), "_last",
+        (F.col("exit_reason").isNotNull() & ~F.col("_last")).alias("_terminal_not_last"), "_terminals", "_last",
     )
     return M.join(rows, macro)
 
@@ -64,11 +68,11 @@ def public(panel: DataFrame) -> DataFrame:
     return panel.drop(*CHECKS)
 
 
-def integrity(panel: DataFrame, s: Settings) -> DataFrame:
-    """One row of counts from one pass."""
+def counts(s: Settings) -> list[Column]:
+    """Aggregates for the gate, all from one pass."""
     live = F.col("exit_reason").isNull()
     known = F.col("delinquency_state").isin(*s.states)
-    return panel.agg(
+    return [
         F.count("*").alias("row_count"),
         F.count_if(F.col("_gap")).alias("gap_rows"),
         F.count_if(F.col("_duplicate_key")).alias("duplicate_rows"),
@@ -85,12 +89,26 @@ def integrity(panel: DataFrame, s: Settings) -> DataFrame:
         F.count_if(F.col("is_censored") & F.col("upb_eom").isNotNull()).alias("censored_balance_rows"),
         F.count_if(F.greatest(*[F.col(c).isNull() for c in M.VALUES])).alias("missing_macro_rows"),
         F.count_if(F.col("_vendor_mob_mismatch")).alias("vendor_mob_mismatch_rows"),
-    )
+    ]
+
+
+def exits(s: Settings) -> dict[str, Column]:
+    """Aggregates for the loans of each exit."""
+    return {x: F.count_if(F.col("exit_reason") == x) for x in (*s.absorbing, "Censored")}
+
+
+def integrity(panel: DataFrame, s: Settings) -> DataFrame:
+    """One row of counts from one pass."""
+    return panel.agg(*counts(s))
 
 
 def enforce(panel: DataFrame, s: Settings) -> dict[str, int]:
+    """enforce_counts() of a pass over the panel."""
+    return enforce_counts(integrity(panel, s).first().asDict(), s)
+
+
+def enforce_counts(row: dict[str, int], s: Settings) -> dict[str, int]:
     """The integrity counts; raises PanelError for any violation, and for vendor ages off in more rows than a rule may fail."""
-    row = integrity(panel, s).first().asDict()
     bad = {k: v for k, v in row.items() if k not in ("row_count", "vendor_mob_mismatch_rows") and v}
     if row["vendor_mob_mismatch_rows"] > s.max_rate_per_reason * row["row_count"]:
         bad["vendor_mob_mismatch_rows"] = row["vendor_mob_mismatch_rows"]

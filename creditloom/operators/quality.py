@@ -23,6 +23,15 @@ def tag(df: DataFrame, rules: dict[str, Column], also: str | None = None) -> Dat
     return df.withColumn(REASONS, F.concat(F.col(also), names) if also else names)
 
 
+def _missing() -> Column:
+    return F.col("loan_id").isNull() | (F.trim(F.col("loan_id").cast("string")) == "")
+
+
+def spread_key() -> Column:
+    """The loan's id, and for each row without one a key of its own, so that these, however many, meet in no window and no join."""
+    return F.when(_missing(), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("loan_id").cast("string"))
+
+
 def _with_repeats(df: DataFrame, key: str, *more: str) -> DataFrame:
     """df with the column _again: whether the keys are in several rows. Null keys repeat each other.
 
@@ -35,30 +44,65 @@ def _with_repeats(df: DataFrame, key: str, *more: str) -> DataFrame:
     return here.unionByName(absent.join(F.broadcast(counts), same).drop(*[f"_{c}" for c in more]))
 
 
-def tag_acquisition(df: DataFrame) -> DataFrame:
-    """Missing id or month, balance or term not above 0, score outside 300 to 850, repeated id. Null ids repeat each other."""
-    missing = F.col("loan_id").isNull() | (F.trim(F.col("loan_id").cast("string")) == "")
-    return tag(_with_repeats(df, "loan_id"), {
-        "acquisition_missing_loan_id": missing,
+def _acquisition_rules() -> dict[str, Column]:
+    return {
+        "acquisition_missing_loan_id": _missing(),
         "acquisition_missing_origination_month": F.col("origination_month").isNull(),
         "acquisition_nonpositive_original_upb": F.coalesce(F.col("original_upb") <= 0, F.lit(True)),
         "acquisition_nonpositive_original_term": F.coalesce(F.col("original_term") <= 0, F.lit(True)),
         "acquisition_score_out_of_range": ~F.coalesce(F.col("orig_score").between(300, 850), F.lit(False)),
         "acquisition_duplicate_loan_id": F.col("_again"),
-    }).drop("_again")
+    }
 
 
-def tag_performance(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Missing id or month, negative balance or age, unknown days past due, repeated (id, month); and ids not in known."""
-    missing = F.col("loan_id").isNull() | (F.trim(F.col("loan_id").cast("string")) == "")
-    tagged = tag(_with_repeats(df, "loan_id", "as_of_month"), {
-        "performance_missing_loan_id": missing,
+def _performance_rules() -> dict[str, Column]:
+    return {
+        "performance_missing_loan_id": _missing(),
         "performance_missing_as_of_month": F.col("as_of_month").isNull(),
         "performance_negative_current_upb": F.coalesce(F.col("current_upb") < 0, F.lit(True)),
         "performance_invalid_delinquency_status": ~F.coalesce(F.col("delinquency_status").isin(*DPD_VALUES), F.lit(False)),
         "performance_negative_loan_age": F.coalesce(F.col("loan_age") < 0, F.lit(True)),
         "performance_duplicate_loan_month": F.col("_again"),
-    }).drop("_again")
+    }
+
+
+def tag_acquisition(df: DataFrame) -> DataFrame:
+    """Missing id or month, balance or term not above 0, score outside 300 to 850, repeated id. Null ids repeat each other."""
+    return tag(_with_repeats(df, "loan_id"), _acquisition_rules()).drop("_again")
+
+
+def scan_acquisition(df: DataFrame) -> DataFrame:
+    """tag_acquisition() in one scan and one window. That ids are missing repeatedly is left to repeats_without_id()."""
+    keyed = df.withColumn("_key", spread_key())
+    again = F.count("*").over(Window.partitionBy("_key")) > 1
+    return tag(keyed.withColumn("_again", again), _acquisition_rules()).drop("_again", "_key")
+
+
+def scan_performance(df: DataFrame, known: DataFrame) -> DataFrame:
+    """tag_performance() with the columns of known (loan_id and more, a row a loan), in one scan and one shuffle by loan."""
+    keyed = df.withColumn("_key", spread_key())
+    loans = known.withColumnRenamed("loan_id", "_key").withColumn("_known", F.lit(True))
+    joined = keyed.join(loans, "_key", "left")
+    # The rows of a loan are together after the join, and so are those of its months.
+    again = F.count("*").over(Window.partitionBy("_key", "as_of_month")) > 1
+    rules = _performance_rules() | {"performance_orphan_loan_id": F.col("_known").isNull()}
+    return tag(joined.withColumn("_again", again), rules).drop("_again", "_key", "_known")
+
+
+def counts(reasons: list[str]) -> list[Column]:
+    """Aggregates for a gate: all rows, those with a reason, and those of each reason."""
+    return [F.count("*").alias("total_rows"), F.count_if(F.size(REASONS) > 0).alias("excluded_rows"), *[F.count_if(F.array_contains(REASONS, r)).alias(r) for r in reasons]]
+
+
+def repeats_without_id(excluded: DataFrame, *more: str) -> int:
+    """Rows without an id that are alike in the id they have (null or blank) and in the columns more."""
+    groups = excluded.where(_missing()).groupBy("loan_id", *more).agg(F.count("*").alias("n")).where("n > 1")
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def tag_performance(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Missing id or month, negative balance or age, unknown days past due, repeated (id, month); and ids not in known."""
+    tagged = tag(_with_repeats(df, "loan_id", "as_of_month"), _performance_rules()).drop("_again")
     if known is None:
         return tagged
     ids = known.select("loan_id").where("loan_id is not null").distinct().withColumn("_known", F.lit(True))
@@ -69,30 +113,42 @@ def tag_performance(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def summarise(tagged: DataFrame, reasons: list[str]) -> DataFrame:
     """One row a reason from one pass: failed, rate, and the table's total and excluded rows."""
-    one = tagged.agg(F.count("*").alias("total_rows"), F.count_if(F.size(REASONS) > 0).alias("excluded_rows"), *[F.count_if(F.array_contains(REASONS, r)).alias(r) for r in reasons])
+    one = tagged.agg(*counts(reasons))
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), F.col(r).alias("failed")) for r in reasons]))
     return one.select("total_rows", "excluded_rows", pairs.alias("x")).select("x.reason", "x.failed", F.coalesce(F.try_divide(F.col("x.failed").cast("double"), F.col("total_rows")), F.lit(0.0)).alias("rate"), "total_rows", "excluded_rows")
 
 
-def enforce(summary: DataFrame, s: Settings) -> None:
-    """Raises QualityError for a fatal reason, a reason above its rate, or too many excluded rows."""
-    rows = summary.collect()  # one row a rule
-    problems = [f"{r.reason}: {r.failed} rows" for r in rows if r.reason in s.fatal_reasons and r.failed]
-    problems += [f"{r.reason}: rate {r.rate:.4f}" for r in rows if r.reason not in s.fatal_reasons and r.rate > s.max_rate_per_reason]
-    if rows and rows[0].total_rows and rows[0].excluded_rows / rows[0].total_rows > s.max_rate_overall:
-        problems.append(f"excluded {rows[0].excluded_rows} of {rows[0].total_rows} rows")
+def enforce_counts(found: dict[str, int], s: Settings) -> None:
+    """Raises QualityError for a fatal reason, a reason above its rate, or too many excluded rows, from counts()."""
+    total, excluded = found["total_rows"], found["excluded_rows"]
+    failed = {r: n for r, n in found.items() if r not in ("total_rows", "excluded_rows")}
+    problems = [f"{r}: {n} rows" for r, n in failed.items() if r in s.fatal_reasons and n]
+    problems += [f"{r}: rate {n / total:.4f}" for r, n in failed.items() if r not in s.fatal_reasons and total and n / total > s.max_rate_per_reason]
+    if total and excluded / total > s.max_rate_overall:
+        problems.append(f"excluded {excluded} of {total} rows")
     if problems:
         raise QualityError("; ".join(problems))
 
 
+def enforce(summary: DataFrame, s: Settings) -> None:
+    """enforce_counts() of summarise()'s rows."""
+    rows = summary.collect()  # one row a rule
+    if rows:
+        enforce_counts({"total_rows": rows[0].total_rows, "excluded_rows": rows[0].excluded_rows} | {r.reason: r.failed for r in rows}, s)
+
+
 def valid(tagged: DataFrame, *drop: str) -> DataFrame:
     return tagged.where(F.size(REASONS) == 0).drop(REASONS, *drop)
 
 
+def in_sample(key: str, fraction: float, s: Settings) -> Column:
+    """Whether the entity is in a share of all, the same ones each time."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(s.seed)), F.lit(s.hash_buckets)) < int(fraction * s.hash_buckets)
+
+
 def hash_sample(df: DataFrame, key: str, fraction: float, s: Settings) -> DataFrame:
     """All rows of a share of the entities, the same ones each time."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(s.seed)), F.lit(s.hash_buckets))
-    return df.where(bucket < int(fraction * s.hash_buckets))
+    return df.where(in_sample(key, fraction, s))
 
 
 def digest_sample(df: DataFrame, key: str, fraction: float, s: Settings) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions import columns as C
-from creditloom.operators import attribution, conditional, ecl, forecast, lgd, macro, monitoring, panel, quality, scenarios, transitions, vintage
+from creditloom.operators import attribution, conditional, ecl, forecast, lgd, macro, monitoring, panel, quality, quantiles, scenarios, transitions, vintage
 from creditloom.plans import lens as L
 from creditloom.sources import tables
 
@@ -156,6 +156,16 @@ def panel_reconciliation(x: L.Lens) -> DataFrame:
     return panel.reconcile(x.panel(), want, "delinquency_state", "upb_bom", "net_sales_proceeds")
 
 
+@query(f"""with {L.ALL} select vintage_year, delinquency_state, next_delinquency_state, exit_reason, count(*) as "rows", cast(sum(upb_bom) as bigint) as upb_bom, cast(sum(upb_eom) as bigint) as upb_eom, count(previous_delinquency_state) as with_previous
+from panel group by all""")
+def panel_colocated(x: L.Lens) -> DataFrame:
+    """The panel from loans and months that lie bucketed and sorted by loan: no shuffle and no sort under its windows and its join."""
+    loans, rows = x.colocated()
+    built = panel.public(panel.build(loans, rows, x.macro_features(), x.settings))
+    keys = ["vintage_year", "delinquency_state", "next_delinquency_state", "exit_reason"]
+    return built.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum("upb_bom").alias("upb_bom"), F.sum("upb_eom").alias("upb_eom"), F.count("previous_delinquency_state").alias("with_previous"))
+
+
 @query(f"with {L.MACRO_SQL} select * from macro")
 def macro_features(x: L.Lens) -> DataFrame:
     return x.macro_features()
@@ -799,6 +809,17 @@ def weighted_quantiles(x: L.Lens) -> DataFrame:
     return _round(monitoring.weighted_quantiles(x.panel(), "score_band", "months_on_book", "upb_bom", [0.1, 0.5, 0.9]))
 
 
+@query(f"""with {L.ALL}, x as (select delinquency_state as g, upb_bom::double as v, (months_on_book + 1)::double as w from panel union all select 'all', upb_bom::double, (months_on_book + 1)::double from panel),
+s as (select g, v, sum(w) as w from x group by all), o as (select g, v, (sum(w) over (partition by g order by v) - w / 2) / sum(w) over (partition by g) as pos from s),
+n as (select *, lead(v) over (partition by g order by v) as v1, lead(pos) over (partition by g order by v) as pos1, lag(pos) over (partition by g order by v) is null as first_ from o),
+a as (select *, unnest([0::double, 0.01::double, 0.25::double, 0.5::double, 0.75::double, 0.99::double, 1::double]) as q from n)
+select g as delinquency_state, q, round(case when pos1 is null or (first_ and q < pos) then v else v + (v1 - v) * (q - pos) / (pos1 - pos) end, 3) as value from a where (q >= pos and q < coalesce(pos1, 2)) or (first_ and q < pos)""")
+def balance_quantiles(x: L.Lens) -> DataFrame:
+    """Balances by state and altogether, weighted by age: nearly every row has a value of its own."""
+    rows = x.panel().select("upb_bom", (F.col("months_on_book") + 1).alias("weight"), F.explode(F.array("delinquency_state", F.lit("all"))).alias("delinquency_state"))
+    return _round(quantiles.spread_quantiles(rows, "delinquency_state", "upb_bom", "weight", [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]), 3, q=2)
+
+
 @query(f"""with {L.ALL}, x as (select score_band as g, unemployment_rate as v, upb_bom::double as w from panel where upb_bom > 0),
 s as (select g, v, sum(w) as w from x group by all), o as (select g, v, (sum(w) over (partition by g order by v) - w / 2) / sum(w) over (partition by g) as pos from s),
 n as (select *, lead(v) over (partition by g order by v) as v1, lead(pos) over (partition by g order by v) as pos1, lag(pos) over (partition by g order by v) is null as first_ from o),

@@ -5,6 +5,7 @@ Money is in whole cents. The same definitions stand below as SQL, for checks by
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import replace
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 from creditloom.config import Settings
 from creditloom.operators import macro as M
 from creditloom.operators import panel as P
+from creditloom.sources import layout, tables
 
 CUTOFF, MATURITY, MACRO_MONTHS = "2001-06-01", 4, 200
 SETTINGS = replace(Settings(), cutoff=CUTOFF, maturity_mob=MATURITY)
@@ -75,6 +77,14 @@ class Lens:
             F.when(bad, F.floor(F.col("upb") * (100 - F.col("d")) / 200).cast("long")).alias("net_sales_proceeds"), F.when(bad, F.floor(F.col("upb") * F.col("t") / 100).cast("long")).alias("foreclosure_costs"),
         )
 
+    def colocated(self, buckets: int = 8) -> tuple[DataFrame, DataFrame]:
+        """Loans and months as bucketed tables in the shared folder, under names of their own."""
+        name = f"lens_{uuid.uuid4().hex}"
+        root = f"{tables.shared_folder(self.spark)}/{name}"
+        loans = self.acquisition()
+        rows = layout.write(self.performance(loans), f"{name}_performance", f"{root}/performance", "loan_id", ["as_of_month"], buckets)
+        return layout.write(loans, f"{name}_acquisition", f"{root}/acquisition", "loan_id", [], buckets), rows
+
     def macro(self) -> DataFrame:
         i = F.col("id").cast("int")
         w = Window.orderBy("as_of_month")  # MACRO_MONTHS rows

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.config import Settings
 from creditloom.operators import attribution, conditional, ecl, forecast, lgd, macro, panel, quality, scenarios, transitions, vintage
 from creditloom.plans.credit import ACQ_REASONS, PERF_REASONS
 from creditloom.plans.lens import kept, local
-from creditloom.sources import synthetic, tables
+from creditloom.sources import publish, synthetic, tables
 
 EARLY_DROPS = ("occupancy_status", "channel")
 
@@ -36,39 +37,83 @@ def synthetic_stage(spark: SparkSession, s: Settings) -> dict:
     return {"loans": s.loans}
 
 
-def ingest_stage(spark: SparkSession, s: Settings) -> dict:
-    """Tags, gates, samples by loan, and writes curated tables by vintage year."""
-    loans = quality.tag_acquisition(tables.read_delimited(spark, _raw(s, "acquisition"), tables.acquisition_schema(), s)).persist()
-    rows = quality.tag_performance(tables.read_delimited(spark, _raw(s, "performance"), tables.performance_schema(), s), loans).persist()
-    try:
-        for tagged, reasons in ((loans, ACQ_REASONS), (rows, PERF_REASONS)):
-            quality.enforce(quality.summarise(tagged, reasons), s)
-        kept = quality.hash_sample(quality.valid(loans, *EARLY_DROPS), "loan_id", s.sample_fraction, s).withColumn("vintage_year", F.year("origination_month"))
-        if kept.isEmpty():
+def _kept(df: DataFrame, columns: list[str], kept_: Column, excluded: Column) -> DataFrame:
+    """df with the column part: kept, excluded, or other; of other rows only the loan's id is left."""
+    part = F.when(excluded, "excluded").when(kept_, "kept").otherwise("other")
+    df = df.withColumn("part", part)
+    return df.select(quality.REASONS, "part", "loan_id", *[F.when(F.col("part") != "other", F.col(c)).alias(c) for c in columns if c != "loan_id"])
+
+
+def _publish(spark: SparkSession, new: str, path: str, vintages: Sequence[int] | None) -> None:
+    if vintages is None or not publish.exists(spark, path):
+        publish.replace(spark, new, path)
+    else:
+        publish.replace_parts(spark, new, path, [f"vintage_year={v}" for v in vintages])
+
+
+def ingest_stage(spark: SparkSession, s: Settings, vintages: Sequence[int] | None = None) -> dict:
+    """Tags, gates, samples by loan, and writes curated tables by vintage year; excluded rows are kept beside them.
+
+    Each raw table is read once, by the job that writes its draft; the drafts' counts are the gate. Only when both pass are
+    both published. With vintages, only these are written, and replace their directories alone; a rerun gives the same.
+    """
+    raw = {name: tables.read_delimited(spark, _raw(s, name), schema, s) for name, schema in (("acquisition", tables.acquisition_schema()), ("performance", tables.performance_schema()))}
+    invalid = F.size(quality.REASONS) > 0
+    with publish.drafts(spark, curated(s, "acquisition"), curated(s, "performance")) as (loans, rows):
+        tagged = quality.scan_acquisition(raw["acquisition"].drop(*EARLY_DROPS)).withColumn("vintage_year", F.year("origination_month"))
+        wanted = quality.in_sample("loan_id", s.sample_fraction, s)
+        if vintages is not None:
+            wanted &= F.coalesce(F.col("vintage_year").isin(*vintages), F.lit(False))
+        tagged = _kept(tagged, tagged.drop(quality.REASONS).columns, wanted, invalid)
+        publish.write(loans, tagged, ("part", "vintage_year"), s, [*quality.counts(ACQ_REASONS), F.count_if(F.col("part") == "kept").alias("kept_rows")], drop=[quality.REASONS])
+        _enforce_ingest(loans, ACQ_REASONS, s)
+        if not loans.counts["kept_rows"]:
             raise quality.QualityError("the sample has no loan")
-        tables.write_partitioned(kept, curated(s, "acquisition"), "vintage_year", s)
-        tables.write_partitioned(quality.attach_vintage(quality.valid(rows, "modification_flag"), kept), curated(s, "performance"), "vintage_year", s)
-    finally:
-        loans.unpersist()
-        rows.unpersist()
+
+        kept_ = F.struct((F.col("part") == "kept").alias("kept"), F.col("vintage_year").cast("int").alias("vintage_year"))
+        known = loans.read().where(F.col("loan_id").isNotNull()).groupBy("loan_id").agg(F.max(kept_).alias("_loan"))
+        tagged = quality.scan_performance(raw["performance"].drop("modification_flag"), known).withColumn("vintage_year", F.col("_loan.vintage_year"))
+        tagged = _kept(tagged, tagged.drop(quality.REASONS, "_loan").columns, F.coalesce(F.col("_loan.kept"), F.lit(False)), invalid)
+        publish.write(rows, tagged, ("part", "vintage_year"), s, quality.counts(PERF_REASONS), keep=F.col("part") != "other", drop=[quality.REASONS])
+        _enforce_ingest(rows, PERF_REASONS, s, "as_of_month")
+
+        for name, draft in (("acquisition", loans), ("performance", rows)):
+            _publish(spark, f"{draft.at}/part=kept", curated(s, name), vintages)
+            if draft.counts["excluded_rows"]:
+                publish.replace(spark, f"{draft.at}/part=excluded", curated(s, f"excluded/{name}"))
+            else:
+                publish.remove(spark, curated(s, f"excluded/{name}"))
     return {name: tables.file_summary(spark, curated(s, name)).first().asDict() for name in ("acquisition", "performance")}
 
 
+def _enforce_ingest(draft: publish.Draft, reasons: list[str], s: Settings, *more: str) -> None:
+    """The gate of a draft. Rows without an id meet in no window; whether they repeat is counted over the excluded rows, if there are any."""
+    found = {k: v for k, v in draft.counts.items() if k != "kept_rows"}
+    missing, repeated = (next(r for r in reasons if x in r) for x in ("missing_loan_id", "duplicate_loan"))
+    if found[missing]:
+        found[repeated] += quality.repeats_without_id(draft.read().where("part = 'excluded'"), *more)
+    quality.enforce_counts(found, s)
+
+
 def macro_table(spark: SparkSession, s: Settings) -> DataFrame:
     series = tables.read_macro(spark, _raw(s, "macro"), s)
     macro.enforce(series)
     return macro.features(series, s.macro_lags)
 
 
-def panel_stage(spark: SparkSession, s: Settings) -> dict:
-    built = panel.build(spark.read.parquet(curated(s, "acquisition")), spark.read.parquet(curated(s, "performance")), macro_table(spark, s), s).persist()
-    try:
-        counts = panel.enforce(built, s)
-        tables.write_partitioned(panel.public(built), curated(s, "panel"), "vintage_year", s)
-        exits = {r.exit_reason: r.loans for r in panel.exit_counts(built, s).collect()}  # a row an exit
-    finally:
-        built.unpersist()
-    return counts | {"exits": exits}
+def panel_stage(spark: SparkSession, s: Settings, vintages: Sequence[int] | None = None) -> dict:
+    """The panel by vintage year, gated by the counts of its own write; with vintages, only these are read and replaced."""
+    loans, rows = (spark.read.parquet(curated(s, name)) for name in ("acquisition", "performance"))
+    if vintages is not None:
+        loans, rows = (df.where(F.col("vintage_year").isin(*vintages)) for df in (loans, rows))
+    ends = panel.exits(s)
+    with publish.drafts(spark, curated(s, "panel")) as (draft,):
+        built = panel.build(loans, rows, macro_table(spark, s), s)
+        found = publish.write(draft, built, ("vintage_year",), s, [*panel.counts(s), *[n.alias(f"exit_{x}") for x, n in ends.items()]], drop=panel.CHECKS).counts
+        exits = {x: found.pop(f"exit_{x}") for x in ends}
+        panel.enforce_counts(found, s)
+        _publish(spark, draft.at, curated(s, "panel"), vintages)
+    return found | {"exits": exits}
 
 
 def vintage_stage(spark: SparkSession, s: Settings) -> dict:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import SparkSession
 
+from creditloom.sources import layout
+
 
 def build_session(app: str = "creditloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC dates and adaptive execution on; conf holds further settings."""
@@ -13,6 +15,7 @@ def build_session(app: str = "creditloom", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        layout.ORDERED: "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)

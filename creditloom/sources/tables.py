@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,23 @@ def file_summary(spark: SparkSession, path: str) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_bytes"), F.avg("length").alias("average_bytes"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, from spark.checkpoint.dir. Only a session on one machine, as in tests, may do without."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows from a checkpoint in the shared folder, which outlives any executor."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def stage_summary(spark: SparkSession) -> dict[str, int]:
     """Jobs, stages and tasks that this application still tracks; zeros where nothing is known."""
     tracker = spark.sparkContext.statusTracker()

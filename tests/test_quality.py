@@ -63,3 +63,37 @@ def test_sample_takes_whole_entities(spark):
         assert 60 < len(counts) < 140 and set(counts) == {5}
     attached = quality.attach_vintage(rows, spark.createDataFrame([("L1", 1999)], "loan_id string, vintage_year int")).collect()
     assert {r.vintage_year for r in attached} == {1999} and len(attached) == 5
+
+
+def test_one_scan_tags_as_many_scans_do(spark):
+    """All but the repeats of rows without an id, which are counted apart."""
+    loans = [(f"L{i}", 700) for i in range(20)] + [("L3", 700), (None, 700), (None, 1), ("", 700), (" ", 700), ("", 999)]
+    df = spark.createDataFrame(loans, "loan_id string, orig_score int").selectExpr("*", "date'2010-01-01' as origination_month", "1.0D as original_upb", "360 as original_term").repartition(3)
+    want = quality.tag_acquisition(df)
+    got = quality.scan_acquisition(df)
+    rows = lambda t, drop=(): sorted((str(r.loan_id), r.orig_score, [x for x in r[quality.REASONS] if x not in drop]) for r in t.collect())
+    again = "acquisition_duplicate_loan_id"
+    assert rows(got.where("trim(loan_id) <> ''")) == rows(want.where("trim(loan_id) <> ''")) and rows(got, [again]) == rows(want, [again])
+    without = quality.repeats_without_id(got)
+    assert without == want.where(quality.F.array_contains(quality.REASONS, again) & quality._missing()).count() == 4
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+    months = spark.createDataFrame([("L1", 1), ("L1", 2), ("L1", 2), ("gone", 1), (None, 1), (None, 1), (None, 2), ("", 5), ("", 5)], "loan_id string, m int").selectExpr("loan_id", "add_months(date'2010-01-01', m) as as_of_month", "1.0D as current_upb", "0 as delinquency_status", "0 as loan_age").repartition(3)
+    known = df.select("loan_id")
+    want, got = quality.tag_performance(months, known), quality.scan_performance(months, known.where("loan_id is not null").distinct().withColumn("more", quality.F.lit(1)))
+    again = "performance_duplicate_loan_month"
+    key = lambda t: sorted((str(r.loan_id), str(r.as_of_month), sorted(set(r[quality.REASONS]) - {again} - ({"performance_orphan_loan_id"} if not (r.loan_id or "").strip() else set()))) for r in t.collect())
+    assert key(got) == key(want)
+    assert quality.repeats_without_id(got, "as_of_month") == 4 and {r.more for r in got.where("loan_id = 'L1'").collect()} == {1}
+    assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(_key") <= 2  # one for each side
+
+
+def test_many_rows_without_an_id_meet_in_no_task(spark):
+    df = spark.range(50_000).selectExpr("cast(null as string) as loan_id", "date'2010-01-01' as as_of_month", "1.0D as current_upb", "0 as delinquency_status", "0 as loan_age").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tagged = quality.scan_performance(df, spark.createDataFrame([("a",)], "loan_id string"))
+        sizes = [r["count"] for r in tagged.groupBy(quality.F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 30_000

@@ -6,12 +6,13 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.config import Settings
-from creditloom.operators import attribution, conditional, forecast, macro, panel, scenarios, transitions, vintage
-from creditloom.plans import stages
-from creditloom.sources import synthetic, tables
+from creditloom.operators import attribution, conditional, forecast, macro, panel, quality, scenarios, transitions, vintage
+from creditloom.plans import credit, stages
+from creditloom.sources import publish, synthetic, tables
 from creditloom.streaming import transitions as stream
 
 
@@ -44,6 +45,130 @@ def test_panel_is_whole(spark, settings, built):
     assert not set(panel.CHECKS) & set(rows.columns)
 
 
+def listing(path):
+    return sorted((str(p.relative_to(path)), p.stat().st_size, p.stat().st_mtime_ns) for p in Path(path).rglob("*.parquet"))
+
+
+@pytest.fixture
+def other(spark, settings, built, tmp_path):
+    """A copy of the data, to be spoilt."""
+    out = replace(settings, data_root=str(tmp_path / "copy"))
+    shutil.copytree(settings.data_root, out.data_root)
+    return out
+
+
+def raw_lines(s, name, change):
+    """Puts changed lines in the place of a raw table; headers stay."""
+    for path in sorted(Path(f"{s.data_root}/raw/{name}").glob("*.csv")):
+        head, *lines = path.read_text().splitlines()
+        path.write_text("\n".join([head, *change(lines)]) + "\n")
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+
+
+def test_drafts_are_written_in_one_pass_without_a_cache(spark, other, monkeypatch):
+    plans = []
+    write = publish.write
+
+    def spy(draft, df, *a, **k):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(draft, df, *a, **k)
+
+    monkeypatch.setattr(publish, "write", spy)
+    monkeypatch.setattr(DataFrame, "persist", lambda *a: pytest.fail("persisted"))
+    stages.ingest_stage(spark, other)
+    stages.panel_stage(spark, other)
+    loans, rows, built_ = plans
+    assert loans.count("Relation [") == 1 and loans.count("csv") == 1
+    assert rows.count(" csv") == 1 and rows.count(" parquet") == 1  # the raw table, and the loans' draft
+    assert built_.count(" parquet") == 2 and not any("InMemoryRelation" in p for p in plans)
+
+
+def test_broken_input_leaves_the_old_tables(spark, other):
+    before = {name: listing(f"{other.data_root}/curated/{name}") for name in ("acquisition", "performance", "panel")}
+    strict = replace(other, max_rate_per_reason=0.001, max_rate_overall=0.001)
+    good = Path(other.data_root) / "raw"
+    shutil.copytree(good, good.parent / "good")
+    breaks = [
+        ("acquisition", lambda lines: [x if k % 40 else x.replace(x.split("|")[5], "9999", 1) for k, x in enumerate(lines)], "score_out_of_range"),
+        ("acquisition", lambda lines: [*lines, *lines[:1]], "duplicate_loan_id: "),
+        ("acquisition", lambda lines: [*lines, *["|" + x.split("|", 1)[1] for x in lines[:2]]], "duplicate_loan_id: "),
+        ("performance", lambda lines: [*lines, *[f"stranger{k}|" + x.split("|", 1)[1] for k, x in enumerate(lines[:2])]], "orphan_loan_id"),
+        ("performance", lambda lines: [*lines, *lines[:1]], "duplicate_loan_month"),
+    ]
+    for name, change, said in breaks:
+        raw_lines(other, name, change)
+        with pytest.raises(quality.QualityError, match=said):
+            stages.ingest_stage(spark, strict)
+        shutil.rmtree(good)
+        shutil.copytree(good.parent / "good", good)
+    rows = spark.read.parquet(stages.curated(other, "performance"))
+    rows.where("loan_age <> 3 or loan_id not like '%1'").withColumn("x", F.lit(1)).write.mode("overwrite").partitionBy("vintage_year").parquet(f"{other.data_root}/curated/gaps")
+    shutil.move(f"{other.data_root}/curated/performance", f"{other.data_root}/curated/whole")
+    shutil.move(f"{other.data_root}/curated/gaps", f"{other.data_root}/curated/performance")
+    with pytest.raises(panel.PanelError, match="gap_rows"):
+        stages.panel_stage(spark, other)
+    shutil.move(f"{other.data_root}/curated/performance", f"{other.data_root}/curated/gaps")
+    shutil.move(f"{other.data_root}/curated/whole", f"{other.data_root}/curated/performance")
+    assert before == {name: listing(f"{other.data_root}/curated/{name}") for name in before}
+    assert not [p for p in (Path(other.data_root) / "curated").iterdir() if "draft" in p.name or "old" in p.name]
+
+
+def test_excluded_rows_are_kept_beside_and_counted_as_by_several_passes(spark, other):
+    raw_lines(other, "acquisition", lambda lines: [*lines, *["|" + x.split("|", 1)[1] for x in lines[:2]], " |" + lines[0].split("|", 1)[1]])
+    seen = []
+    lax = replace(other, fatal_reasons=())
+    with pytest.MonkeyPatch.context() as m:
+        real = quality.enforce_counts
+        m.setattr(quality, "enforce_counts", lambda found, s: seen.append(dict(found)) or real(found, s))
+        stages.ingest_stage(spark, lax)
+    raw = tables.read_delimited(spark, stages._raw(other, "acquisition"), tables.acquisition_schema(), other)
+    want = {r.reason: r.failed for r in quality.summarise(quality.tag_acquisition(raw), credit.ACQ_REASONS).collect()}
+    assert {k: v for k, v in seen[0].items() if k in want} == want and want["acquisition_duplicate_loan_id"] >= 2
+    assert spark.read.parquet(stages.curated(other, "excluded/acquisition")).count() == seen[0]["excluded_rows"]
+    assert spark.read.parquet(stages.curated(other, "acquisition")).count() == 400
+
+
+def test_a_vintage_alone_is_rewritten(spark, other):
+    read = lambda name: {tuple(r) for r in spark.read.parquet(stages.curated(other, name)).drop("x").collect()}
+    names = ("acquisition", "performance", "panel")
+    rows, files = {n: read(n) for n in names}, {n: listing(stages.curated(other, n)) for n in names}
+    for _ in range(2):
+        stages.ingest_stage(spark, other, [2006])
+        counts = stages.panel_stage(spark, other, [2006])
+        assert {n: read(n) for n in names} == rows
+    own = lambda found, is_own: [x for x in found if ("vintage_year=2006/" in x[0]) == is_own]
+    for n in names:
+        now = listing(stages.curated(other, n))
+        assert own(now, False) == own(files[n], False) and own(now, True) != own(files[n], True)
+    assert counts["row_count"] == sum(r[-1] == 2006 for r in rows["panel"])
+    # A vintage that the source no longer has goes, and no other.
+    raw_lines(other, "acquisition", lambda lines: [x for x in lines if "|2007-" not in x])
+    lax = replace(other, fatal_reasons=())
+    stages.ingest_stage(spark, lax, [2006, 2007])
+    assert {p.name for p in Path(stages.curated(other, "acquisition")).glob("vintage*")} == {f"vintage_year={y}" for y in range(2004, 2011) if y != 2007}
+
+
+def test_a_run_that_died_between_two_renames_is_mended(spark, tmp_path, settings):
+    table = str(tmp_path / "t")
+    df = spark.range(4).withColumn("vintage_year", (F.col("id") % 2).cast("int"))
+    df.write.partitionBy("vintage_year").parquet(table)
+    shutil.move(table, f"{table}.old-1")
+    with publish.drafts(spark, table):
+        assert spark.read.parquet(table).count() == 4
+    shutil.copytree(table, f"{table}.old-2")
+    shutil.move(f"{table}/vintage_year=1", f"{table}/vintage_year=1.old-3")
+    publish.recover(spark, table)
+    assert spark.read.parquet(table).count() == 4 and {p.name for p in tmp_path.iterdir()} == {"t"}
+    with pytest.raises(publish.PublishError):
+        publish.replace(spark, str(tmp_path / "nothing"), table)
+    assert spark.read.parquet(table).count() == 4
+    with pytest.raises(ValueError), publish.drafts(spark, table) as (draft,):
+        publish.write(draft, df, ("vintage_year",), settings, [F.count("*").alias("n"), F.max("id").alias("top")], keep=F.col("id") > 1)
+        assert draft.counts == {"n": 4, "top": 3} and draft.read().count() == 2
+        raise ValueError
+    assert {p.name for p in tmp_path.iterdir()} == {"t"}
+
+
 def reports(settings):
     return {x.name for x in (Path(settings.data_root) / "reports").iterdir()}
 
