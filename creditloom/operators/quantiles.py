@@ -15,15 +15,14 @@ from pyspark.sql.window import Window
 
 from creditloom.sources.tables import cut_lineage
 
-SIDE = 16
-CELLS = SIDE * SIDE
+#: A power of two.
+CELLS = 256
 
 
 def _cell(value: str, borders: str) -> Column:
-    """How many of the sorted borders are below the value: first by every SIDEth, then inside."""
-    below = lambda part: F.size(F.filter(part, lambda b: b < F.col(value)))
-    coarse = below(F.filter(F.col(borders), lambda b, i: (i + 1) % SIDE == 0))
-    return coarse * SIDE + below(F.slice(F.col(borders), coarse * SIDE + 1, SIDE))
+    """How many of the CELLS - 1 sorted borders are below the value, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(CELLS.bit_length() - 1))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(F.col(borders), at + step - 1) < F.col(value), step).otherwise(0))
 
 
 def value_weights(rows: DataFrame, group: str, value: str, weight: str) -> DataFrame:

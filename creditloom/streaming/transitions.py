@@ -16,7 +16,8 @@ from creditloom.functions import columns as C
 def transitions(rows: DataFrame, s: Settings, silence: str = "400 days") -> DataFrame:
     """(loan_id, as_of_month, delinquency_state, next_delinquency_state) of a stream (loan_id, as_of_month, zero_balance_code, delinquency_status).
 
-    A month that comes before one already seen is left out: months are expected in order within an account.
+    Prompt: a move is there as soon as its second month is. A month that comes before one already seen is left out; months
+    in any order are what streaming.panel is for.
     """
     states = rows.withColumn("event_time", F.col("as_of_month").cast("timestamp")).withWatermark("event_time", silence)
     states = states.select("loan_id", "as_of_month", "event_time", C.delinquency_state("zero_balance_code", "delinquency_status", s).alias("state"))
@@ -49,7 +50,8 @@ def transitions(rows: DataFrame, s: Settings, silence: str = "400 days") -> Data
 
 
 def monthly_states(rows: DataFrame, s: Settings, late: str = "40 days") -> DataFrame:
-    """(month window, state, n) of the same stream, final once the watermark has passed the month."""
-    timed = rows.withColumn("event_time", F.col("as_of_month").cast("timestamp")).withWatermark("event_time", late)
+    """(month, state, n) of the same stream by calendar month, final once the watermark has passed the month's first day."""
+    month = F.date_trunc("month", F.col("as_of_month").cast("timestamp"))
+    timed = rows.withColumn("month", month).withWatermark("month", late)
     state = C.delinquency_state("zero_balance_code", "delinquency_status", s).alias("state")
-    return timed.groupBy(F.window("event_time", "30 days").alias("window"), state).agg(F.count("*").alias("n"))
+    return timed.groupBy("month", state).agg(F.count("*").alias("n"))

@@ -326,15 +326,3 @@ def test_stream_of_months(spark, settings, tmp_path):
     query.stop()
     got = sorted((r.loan_id, str(r.as_of_month), r.delinquency_state, r.next_delinquency_state) for r in spark.table("moves").collect())
     assert got == [("a", "2010-01-01", "Current", "DPD30"), ("a", "2010-02-01", "DPD30", "Prepaid"), ("b", "2010-01-01", "Current", "Current")]
-
-
-def test_stream_counts_states_by_month(spark, settings, tmp_path):
-    source, day = str(tmp_path / "in"), "2010-01-05"
-    rows = [("a", day, None, 0), ("b", day, None, 30), ("c", day, "01", 0), ("d", "2010-06-05", None, 0)]
-    spark.createDataFrame(rows, "loan_id string, m string, zero_balance_code string, delinquency_status int").withColumn("as_of_month", F.to_date("m")).drop("m").coalesce(1).write.parquet(source)
-    read = spark.readStream.schema("loan_id string, as_of_month date, zero_balance_code string, delinquency_status int").parquet(source)
-    query = stream.monthly_states(read, settings).writeStream.format("memory").queryName("by_month").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    query.stop()
-    got = {(str(r.window.start)[:7], r.state): r.n for r in spark.table("by_month").collect()}
-    assert len(got) == 4 and all(n == 1 for n in got.values()) and {s for _, s in got} == {"Current", "DPD30", "Prepaid"}
