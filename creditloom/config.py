@@ -71,6 +71,7 @@ class Settings:
     data_root: str = "data"
     crisis_gate: bool = True
     sign_gate: bool = True
+    backtest_gate: bool = True
 
     def section(self, name: str) -> dict:
         """The settings of one section of the files."""
@@ -99,7 +100,7 @@ SECTIONS = {
     "project": ("env", "seed", "data_root"),
     "states": ("states", "absorbing", "dpd_floors", "codes"),
     "ingest": ("delimiter", "header", "date_format", "parse_mode", "hash_buckets", "sample_fraction", "max_records_per_file", "fatal_reasons", "max_rate_per_reason", "max_rate_overall"),
-    "model": ("mob_edges", "score_edges", "macro_lags", "discount_rate", "fallback_lgd", "cutoff", "maturity_mob", "cohort_grain", "denominator", "c", "c_dpd150", "fit_end", "backtest_fit_end", "crisis_gate", "sign_gate"),
+    "model": ("mob_edges", "score_edges", "macro_lags", "discount_rate", "fallback_lgd", "cutoff", "maturity_mob", "cohort_grain", "denominator", "c", "c_dpd150", "fit_end", "backtest_fit_end", "crisis_gate", "sign_gate", "backtest_gate"),
     "scenarios": ("unemployment_hinge", "scenario_vintage", "horizon_quarters", "half_life_quarters", "long_run_unemployment", "long_run_hpi", "support_before_cutoff", "support_full_history"),
     "synthetic": ("loans", "first_vintage", "last_vintage", "max_months"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from creditloom.functions import columns as C
+from creditloom.operators import joins
 from creditloom.operators.ecl import exposure
 
 
@@ -23,13 +24,15 @@ def shapley(balance: Column, p0: Column, e0: Column, l0: Column, p1: Column, e1:
 def realised(panel: DataFrame, active: DataFrame, cutoff: str, until: str | None = None) -> DataFrame:
     """(year, realised_defaults and sums) of the active loans' charge-offs after the cutoff, up to the month until.
 
-    Each loan's loss is floored at 0. A default of a loan without exposure at the cutoff fails the job, as no forecast held it.
+    Each loan's loss is floored at 0. Charge-offs of loans that were not active are none of the forecast's; one of an active
+    loan without exposure at the cutoff fails the job, and so does a loan that is active twice.
     """
     start = active.select("loan_id", exposure().alias("start_balance"))
     bad = panel.where((F.col("exit_reason") == "ChargeOff") & (F.col("as_of_month") > F.lit(cutoff).cast("date")))
     if until is not None:
         bad = bad.where(F.col("as_of_month") <= F.lit(until).cast("date"))
-    bad = bad.select("loan_id", "as_of_month", "upb_bom", "net_sales_proceeds", "foreclosure_costs").join(start, "loan_id")
+    bad = bad.select("loan_id", "as_of_month", "upb_bom", "net_sales_proceeds", "foreclosure_costs")
+    bad = joins.checked(bad, start, ["loan_id"], "realised losses by snapshot", complete=False)
     held = F.when(F.col("start_balance") > 0, F.col("start_balance")).otherwise(F.raise_error(F.lit("a realised default is absent from the snapshot")).cast("double"))
     loss = F.greatest((F.col("upb_bom") - F.coalesce("net_sales_proceeds", F.lit(0)) + F.coalesce("foreclosure_costs", F.lit(0))).cast("double"), F.lit(0.0))
     return bad.groupBy(F.year("as_of_month").alias("year")).agg(F.count("*").alias("realised_defaults"), F.sum(held).alias("realised_default_balance"), F.sum(F.col("upb_bom").cast("double")).alias("realised_exposure"), F.sum(loss).alias("realised_loss"))
@@ -74,11 +77,18 @@ def bridge(steps: DataFrame) -> DataFrame:
     return steps.select("order", "step", (F.col("level") - F.coalesce(F.lag("level").over(w), F.lit(0.0))).alias("amount"), "level")
 
 
-BRIDGE = ("chain-ladder ultimate", "less losses realised before the cutoff", "restriction to surviving exposure", "roll-rate model against the ladder's remainder", "discounting")
+#: The steps, and what each rests on.
+BRIDGE = {
+    "chain-ladder ultimate": "realised and projected loss of all cohorts, undiscounted",
+    "less losses realised before the cutoff": "net losses observed up to the cutoff",
+    "restriction to surviving exposure": "none: once realised losses are out, loans that have left hold no future loss",
+    "roll-rate model against the ladder's remainder": "undiscounted loss of the conditional model less the ladder's future loss",
+    "discounting": "expected loss at the discount rate less the undiscounted one",
+}
 
 
 def reconciliation(ultimates: DataFrame, detail: DataFrame, balance: float) -> DataFrame:
-    """From the chain ladder's ultimate loss to the lifetime expected loss: (order, step, amount, level, loss_rate).
+    """From the chain ladder's ultimate loss to the lifetime expected loss: (order, step, basis, amount, level, loss_rate).
 
     ultimates: vintage.ultimates(); detail: ecl.lifetime(); balance: the segments'. What is left of the ultimate after the
     realised losses is the ladder's future loss; loans that have left have none, so survival takes no step of its own.
@@ -92,7 +102,8 @@ def reconciliation(ultimates: DataFrame, detail: DataFrame, balance: float) -> D
     rates = (C.ratio("u", "b"), null, null, null, C.ratio("e", F.lit(float(balance))))
     lines = [F.struct(F.lit(k).alias("order"), F.lit(name).alias("step"), level.alias("level"), rate.alias("loss_rate")) for k, (name, level, rate) in enumerate(zip(BRIDGE, levels, rates, strict=True), 1)]
     steps = one.select(F.explode(F.array(*lines)).alias("x")).select("x.*")
-    return bridge(steps.drop("loss_rate")).join(steps.select("order", "loss_rate"), "order")
+    basis = F.coalesce(*[F.when(F.col("step") == k, F.lit(v)) for k, v in BRIDGE.items()])
+    return bridge(steps.drop("loss_rate")).join(steps.select("order", "loss_rate", basis.alias("basis")), "order")
 
 
 def compare(fits: DataFrame) -> DataFrame:
@@ -102,3 +113,25 @@ def compare(fits: DataFrame) -> DataFrame:
     out = fits.crossJoin(F.broadcast(base)).withColumn("error", error)
     gap = F.abs("error") - F.col("base")
     return out.select("fit", "projected", "realised", "error", (100 * C.ratio("error", "realised")).alias("error_percent"), gap.alias("leakage_gap"), (100 * C.ratio(gap, "realised")).alias("leakage_points"))
+
+
+#: What each fit may have seen of the months that it is judged by.
+PROVENANCE = {"cutoff": "months up to the cutoff", "production": "all months, those judged by too", "chain ladder": "triangle up to the cutoff"}
+
+
+def comparison(fits: DataFrame, cutoff_end: str, production_end: str | None = None) -> DataFrame:
+    """Realised loss and the three fits (fit, projected, realised): (order, measure, provenance, fit_end, loss, error, absolute_error, error_percent, leakage_gap, leakage_points).
+
+    The realised row has no error. The gap, the same in each row, is by how much the cutoff fit is further off than the
+    production fit, which knows the outcome.
+    """
+    ends = {"cutoff": cutoff_end, "production": production_end or "all months", "chain ladder": cutoff_end}
+    pick = lambda table: F.coalesce(*[F.when(F.col("fit") == k, F.lit(v)) for k, v in table.items()])
+    order = pick({"cutoff": 2, "production": 3, "chain ladder": 4})
+    off = lambda name: F.max(F.when(F.col("fit") == name, F.abs(F.col("projected") - F.col("realised"))))
+    gap = fits.agg((off("cutoff") - off("production")).alias("leakage_gap"), F.max("realised").alias("all_realised"))
+    error, null = F.col("projected") - F.col("realised"), F.lit(None).cast("double")
+    rows = fits.select(order.alias("order"), F.col("fit").alias("measure"), pick(PROVENANCE).alias("provenance"), pick(ends).alias("fit_end"), F.col("projected").alias("loss"), error.alias("error"), F.abs(error).alias("absolute_error"), (100 * C.ratio(error, "realised")).alias("error_percent"))
+    truth = gap.select(F.lit(1).alias("order"), F.lit("realised").alias("measure"), F.lit("the outcome").alias("provenance"), F.lit("none").alias("fit_end"), F.col("all_realised").alias("loss"), null.alias("error"), null.alias("absolute_error"), null.alias("error_percent"))
+    both = truth.unionByName(rows).crossJoin(F.broadcast(gap))  # four rows by one
+    return both.select(*rows.columns, "leakage_gap", (100 * C.ratio("leakage_gap", "all_realised")).alias("leakage_points"))

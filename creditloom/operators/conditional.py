@@ -6,17 +6,20 @@ each task adds up every model's gradient and curvature; the driver gets these su
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.config import Settings
 from creditloom.functions import columns as C
 from creditloom.functions import spline
+from creditloom.operators import joins
 from creditloom.operators import macro as M
 from creditloom.operators import transitions as X
 
@@ -266,10 +269,8 @@ class ConditionalModel:
 
 
 def fit(counts: DataFrame, macro: DataFrame, s: Settings) -> ConditionalModel:
-    """counts: the transition cube; macro: features() with all lags, one row a month."""
-    if macro.count() != macro.select("as_of_month").distinct().count():
-        raise ConditionalError("the macro series repeats a month")
-    training = counts.join(F.broadcast(macro), "as_of_month", "left").persist()
+    """counts: the transition cube; macro: features() with all lags, one row a month. A repeated month, or one of the counts that the series lacks, fails the job."""
+    training = joins.checked(counts, macro, ["as_of_month"], "transition counts by macro month", small=True).persist()
     origins, tried = fit_origins(training, s)
     training.unpersist()
     h = X.hazards(counts, s).first()
@@ -278,6 +279,29 @@ def fit(counts: DataFrame, macro: DataFrame, s: Settings) -> ConditionalModel:
     return ConditionalModel(s, origins, float(h.repurchase), float(h.delinquent_prepay), {k: float(v) for k, v in medians.items() if v is not None}, tried)
 
 
+def save(spark: SparkSession, model: ConditionalModel, path: str, **provenance: str | None) -> None:
+    """The model as one line of text, numbers digit by digit, with what it was fitted to."""
+    state = {"settings": asdict(model.settings), "origins": {o: asdict(m) for o, m in model.origins.items()}, "repurchase": model.repurchase, "delinquent_prepay": model.delinquent_prepay, "defaults": model.defaults, "tried": model.tried, "provenance": provenance}
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load(spark: SparkSession, path: str, s: Settings, **provenance: str | None) -> ConditionalModel | None:
+    """What save() wrote, scored under the settings s; None where there is nothing, or a model of other settings or provenance."""
+    try:
+        state = json.loads(spark.read.text(path).first()[0])
+    except AnalysisException:
+        return None
+    wanted = json.loads(json.dumps({k: getattr(s, k) for k in SHAPING}))
+    if {k: state["settings"][k] for k in SHAPING} != wanted or state["provenance"] != provenance:
+        return None
+    origins = {o: OriginModel(**m | {"weights": tuple(map(tuple, m["weights"]))}) for o, m in state["origins"].items()}
+    return ConditionalModel(s, origins, state["repurchase"], state["delinquent_prepay"], state["defaults"], [tuple(x) for x in state["tried"]])
+
+
+#: Settings that a fitted model depends on.
+SHAPING = ("states", "absorbing", "macro_lags", "mob_edges", "score_edges", "maturity_mob", "unemployment_hinge", "c", "c_dpd150")
+
+
 def bic_table(spark: SparkSession, model: ConditionalModel) -> DataFrame:
     return spark.createDataFrame(model.tried, "origin string, lag int, log_likelihood double, parameters int, bic double")
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from creditloom.config import Settings
 from creditloom.functions import columns as C
+from creditloom.operators import joins
 
 REASONS = "_quality_reasons"
 DPD_VALUES = (0, 30, 60, 90, 120, 150, 180)
@@ -161,3 +162,8 @@ def digest_sample(df: DataFrame, key: str, fraction: float, s: Settings) -> Data
 def attach_vintage(performance: DataFrame, acquisition: DataFrame) -> DataFrame:
     """Performance rows of the loans in acquisition, with the loan's vintage year, whatever year they carried."""
     return performance.drop("vintage_year").join(acquisition.select("loan_id", "vintage_year"), "loan_id")
+
+
+def attach_sampled(performance: DataFrame, sample: DataFrame) -> DataFrame:
+    """attach_vintage() for a small share of the loans: a Bloom filter of them drops the other loans' months before the shuffle."""
+    return attach_vintage(joins.semi_reduced(performance, sample.select("loan_id"), "loan_id"), sample)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from creditloom.config import Settings
 from creditloom.functions import columns as C
+from creditloom.operators import joins
 
 MEASURES = ("accounts_active", "chargeoff_accounts", "balance_active", "gross_chargeoff_dollars", "recovery_dollars", "net_chargeoff_dollars", "prepay_dollars", "repurchase_dollars")
 
@@ -167,6 +168,37 @@ def backtest_pairs(early: DataFrame, later: DataFrame, maturity: int, method: st
     return rows.select("vintage", C.era(F.substring("vintage", 1, 4).cast("int")).alias("era"), F.col(method).alias("projected"), "actual")
 
 
+METHODS = ("chain_ladder", "scaled_average")
+ERAS = ("overall", "pre-2008", "2008-2010", "2011+")
+
+
+def backtest_comparison(early: DataFrame, later: DataFrame, maturity: int, complete: bool = True) -> DataFrame:
+    """Each vintage that ultimates() projected early, against what the later triangle has observed at maturity.
+
+    (vintage, era, status, original_balance, both ultimates, both realised rates, and by method the error, its absolute and
+    its share of the realised rate, null where that is 0). A projected vintage that is there twice fails the job, and one
+    that is not observed at maturity does too, or else is left out if the comparison need not be complete.
+    """
+    at_end = lambda name: curves(later, maturity, name).where((F.col("months_on_book") == maturity) & F.col("is_observed"))
+    one, other = (at_end(name).select("vintage", F.col("cumulative_loss_rate").alias(f"realised_rate_{name}")) for name in DENOMINATORS)
+    realised = one.join(other, "vintage")
+    rows = joins.checked(early.where("status = 'Projected'"), realised, ["vintage"], "projected vintages by realised ultimates", one_to_one=True, complete=complete)
+    rows = rows.withColumn("era", C.era(F.substring("vintage", 1, 4).cast("int")))
+    for m in METHODS:
+        error = F.col(f"{m}_ultimate") - F.col("realised_rate_original_balance")
+        rows = rows.withColumns({f"error_{m}": error, f"absolute_error_{m}": F.abs(error), f"absolute_percentage_error_{m}": C.ratio(F.abs(error), F.nullif("realised_rate_original_balance", F.lit(0.0)))})
+    return rows
+
+
+def backtest_metrics(rows: DataFrame) -> DataFrame:
+    """(era, method, cohorts, mean_error, mean_absolute_error, mean_absolute_percentage_error, nonzero_cohorts) for all eras, empty ones too."""
+    each = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"error_{m}").alias("e"), F.col(f"absolute_percentage_error_{m}").alias("pct")) for m in METHODS])
+    spread = rows.select(F.array(F.lit("overall"), F.col("era")).alias("eras"), F.explode(each).alias("x")).select(F.explode("eras").alias("era"), "x.*")
+    sums = spread.groupBy("era", "method").agg(F.count("*").alias("cohorts"), F.avg("e").alias("mean_error"), F.avg(F.abs("e")).alias("mean_absolute_error"), F.avg("pct").alias("mean_absolute_percentage_error"), F.count("pct").alias("nonzero_cohorts"))
+    every = rows.sparkSession.createDataFrame([(e, m) for e in ERAS for m in METHODS], "era string, method string")
+    return every.join(sums, ["era", "method"], "left").na.fill(0, ["cohorts", "nonzero_cohorts"])
+
+
 def portfolio_ultimate(table: DataFrame) -> DataFrame:
     weight = F.col("original_balance").cast("double")
     return table.agg(*[C.ratio(F.sum(F.col(c) * weight), F.sum(weight)).alias(c) for c in ("chain_ladder_ultimate", "scaled_average_ultimate")], F.count("*").alias("vintages"))

@@ -35,6 +35,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _round(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Doubles rounded, so that the order of additions does not show."""
     return df.select(*[F.round(c, special.get(c, digits)).alias(c) if kind == "double" else F.col(c).cast("bigint").alias(c) if kind.startswith("decimal") else F.col(c) for c, kind in df.dtypes])
@@ -116,7 +120,7 @@ def dq_exclusion_reasons(x: L.Lens) -> DataFrame:
 select vintage_year, count(distinct loan_id) as loans, count(*) as "rows", cast(sum(current_upb) as bigint) as upb from perf join sampled using (loan_id) group by vintage_year""")
 def entity_hash_sample(x: L.Lens) -> DataFrame:
     loans = x.acquisition()
-    rows = quality.attach_vintage(x.performance(loans), quality.digest_sample(loans, "loan_id", 0.1, x.settings))
+    rows = quality.attach_sampled(x.performance(loans), quality.digest_sample(loans, "loan_id", 0.1, x.settings))
     return rows.groupBy("vintage_year").agg(F.countDistinct("loan_id").alias("loans"), F.count("*").alias("rows"), F.sum("current_upb").alias("upb"))
 
 
@@ -368,6 +372,31 @@ def vintage_backtest_pairs(x: L.Lens) -> DataFrame:
     return _round(vintage.backtest_pairs(_ultimates(x, _EARLY), vintage.triangle(x.panel(), x.acquisition(), "quarterly"), L.MATURITY))
 
 
+_METHODS = f"""with {L.ALL}, {_triangle_sql(_QUARTER, _EARLY)}, {CURVES}, {FACTORS}, {PROJECT},
+later as (select * from (with {_triangle_sql(_QUARTER, None)} select vintage, sum(net_chargeoff_dollars) filter (where months_on_book <= {L.MATURITY})::double / max(original_balance) as ob,
+  sum(net_chargeoff_dollars) filter (where months_on_book <= {L.MATURITY})::double / avg(balance_active) filter (where months_on_book <= {L.MATURITY}) as ao from tri where max_observed_mob >= {L.MATURITY} group by 1)),
+c as (select *, case when substr(vintage, 1, 4)::int < 2008 then 'pre-2008' when substr(vintage, 1, 4)::int <= 2010 then '2008-2010' else '2011+' end as era, chain_ladder_ultimate - ob as e1, scaled_average_ultimate - ob as e2 from ult join later using (vintage) where status = 'Projected')"""
+
+
+def _comparison(x: L.Lens) -> DataFrame:
+    return vintage.backtest_comparison(_ultimates(x, _EARLY), vintage.triangle(x.panel(), x.acquisition(), "quarterly"), L.MATURITY)
+
+
+@query(f"""{_METHODS} select vintage, era, round(chain_ladder_ultimate, 6) as chain_ladder_ultimate, round(scaled_average_ultimate, 6) as scaled_average_ultimate, round(ob, 6) as realised_rate_original_balance, round(ao, 6) as realised_rate_average_outstanding,
+  round(e1, 6) as error_chain_ladder, round(abs(e1), 6) as absolute_error_chain_ladder, round(abs(e1) / nullif(ob, 0), 6) as absolute_percentage_error_chain_ladder, round(e2, 6) as error_scaled_average, round(abs(e2), 6) as absolute_error_scaled_average, round(abs(e2) / nullif(ob, 0), 6) as absolute_percentage_error_scaled_average from c""")
+def vintage_backtest_comparison(x: L.Lens) -> DataFrame:
+    """Every projected vintage against what came, by both methods and under both denominators."""
+    return _round(_comparison(x).drop("status", "max_observed_mob", "original_balance", "observed_rate"))
+
+
+@query(f"""{_METHODS}, m as (select unnest(['overall', era]) as era, unnest([1, 1]) as k, vintage, e1, e2, ob from c),
+x as (select era, 'chain_ladder' as method, e1 as e, abs(e1) / nullif(ob, 0) as pct from m union all select era, 'scaled_average', e2, abs(e2) / nullif(ob, 0) from m)
+select era, method, count(e) as cohorts, round(avg(e), 6) as mean_error, round(avg(abs(e)), 6) as mean_absolute_error, round(avg(pct), 6) as mean_absolute_percentage_error, count(pct) as nonzero_cohorts
+from (select unnest(['overall', 'pre-2008', '2008-2010', '2011+']) as era) cross join (select unnest(['chain_ladder', 'scaled_average']) as method) left join x using (era, method) group by 1, 2""")
+def vintage_backtest_methods(x: L.Lens) -> DataFrame:
+    return _round(vintage.backtest_metrics(_comparison(x)))
+
+
 _AVERAGE = """curves_ao as (
   select g.vintage, g.months_on_book, g.original_balance, g.max_observed_mob, g.months_on_book <= g.max_observed_mob as is_observed,
     case when g.months_on_book <= g.max_observed_mob then cast(sum(coalesce(net_chargeoff_dollars, 0)) over w as double) end as cumulative_loss, cast(avg(balance_active) over w as double) as bottom
@@ -694,7 +723,7 @@ def _flow_sql(name: str, table: str) -> str:
 
 
 @query(f"""with recursive {L.ALL}, {CUBE}, {MATRIX}, {SEGS}, {_TILTED}, {_flow_sql("fa", "tilted")}, {_flow_sql("fb", "matrix")}
-select origin, destination, round(coalesce(fa.dollars, 0) - coalesce(fb.dollars, 0), -4) as dollars from fa full join fb using (origin, destination) where origin <> destination order by 3 desc, 1, 2 limit 3""")
+select origin, destination, round(coalesce(fa.dollars, 0) - coalesce(fb.dollars, 0), 0) as dollars from fa full join fb using (origin, destination) where origin <> destination order by 3 desc, 1, 2 limit 3""")
 def flow_attribution(x: L.Lens) -> DataFrame:
     """The three largest differences of flows when a tenth more of the current loans falls behind each month."""
     parts = Parts(x, "segs", "matrix")
@@ -702,7 +731,7 @@ def flow_attribution(x: L.Lens) -> DataFrame:
     shift = F.when((F.col("origin") == "Current") & (F.col("destination") == "DPD30"), 0.1).when((F.col("origin") == "Current") & (F.col("destination") == "Current"), -0.1).otherwise(0.0)
     tilted = base.withColumn("p", F.col("p") + shift)
     flows = [scenarios.flows(forecast.forecast(parts.segs, m.where("step = 1"), x.settings.states, HORIZON), m, parts.segs) for m in (tilted, base)]
-    return _round(scenarios.flow_attribution(*flows, top=3), -4)
+    return _round(scenarios.flow_attribution(*flows, top=3), 0)
 
 
 _RAW_LAGS = ", ".join(f"lag({c}, {n}) over (partition by scenario order by as_of_month) as {c}_lag_{n}" for n in L.SETTINGS.macro_lags for c in macro.VALUES)
@@ -762,9 +791,8 @@ def shapley_validation(x: L.Lens) -> DataFrame:
 
 @query(f"""{LOSS}, {TRI}, {CURVES}, {FACTORS}, {PROJECT},
 one as (select u, u - o as f, b, l, e, (select sum(balance) from segs) as sb from (select sum(chain_ladder_ultimate * original_balance) as u, sum(observed_rate * original_balance) as o, sum(original_balance)::double as b from ult) cross join (select sum(l) as l, sum(ecl) as e from detail)),
-lv as (select 1 as "order", '{attribution.BRIDGE[0]}' as step, u as level, u / b as loss_rate from one union all select 2, '{attribution.BRIDGE[1]}', f, null from one union all select 3, '{attribution.BRIDGE[2].replace("'", "''")}', f, null from one
-  union all select 4, '{attribution.BRIDGE[3].replace("'", "''")}', l, null from one union all select 5, '{attribution.BRIDGE[4]}', e, e / sb from one)
-select "order", step, round(level - coalesce(lag(level) over (order by "order"), 0), 0) as amount, round(level, 0) as level, round(loss_rate, 6) as loss_rate from lv""")
+lv as ({" union all ".join(f"""select {k} as "order", {_quoted(step)} as step, {_quoted(basis)} as basis, {level} as level, {rate} as loss_rate from one""" for k, ((step, basis), level, rate) in enumerate(zip(attribution.BRIDGE.items(), ("u", "f", "f", "l", "e"), ("u / b", "null", "null", "null", "e / sb"), strict=True), 1))})
+select "order", step, basis, round(level - coalesce(lag(level) over (order by "order"), 0), 0) as amount, round(level, 0) as level, round(loss_rate, 6) as loss_rate from lv""")
 def reconciliation_bridge(x: L.Lens) -> DataFrame:
     parts = Parts(x, "segs", "hazards", "coefs", "ultimates")
     balance = parts.segs.agg(F.sum("balance")).first()[0] or 0.0
@@ -781,14 +809,14 @@ def _pooled_loss_sql(name: str, matrix: str, coefs: str) -> str:
 _EARLY_ONLY = f"as_of_month <= date '{L.CUTOFF}'"
 
 
-@query(f"""with recursive {L.ALL}, {CUBE}, {MATRIX}, {_matrix_sql("e_", _EARLY_ONLY)}, {SEGS}, {OBS}, {_obs_sql("e_", f"and {_EARLY_ONLY}")}, {AMORT}, opath as ({_OBSERVED}), {_FOUND},
+_FITS = f"""with recursive {L.ALL}, {CUBE}, {MATRIX}, {_matrix_sql("e_", _EARLY_ONLY)}, {SEGS}, {OBS}, {_obs_sql("e_", f"and {_EARLY_ONLY}")}, {AMORT}, opath as ({_OBSERVED}), {_FOUND},
 {_pooled_loss_sql("production", "matrix", "coefs")}, {_pooled_loss_sql("early", "e_matrix", "e_coefs")}, {TRI}, {CURVES}, {FACTORS}, {PROJECT},
 real as (select coalesce(sum(rl), 0) as r from found),
-fits as (select 'production' as fit, l as projected from production union all select 'cutoff', l from early union all select 'chain ladder', (select sum((chain_ladder_ultimate - observed_rate) * original_balance) from ult)),
-b as (select abs(projected - r) as base from fits cross join real where fit = 'production')
-select fit, round(projected, 0) as projected, round(r, 0) as realised, round(projected - r, 0) as error, round(100 * (projected - r) / r, 6) as error_percent, round(abs(projected - r) - base, 0) as leakage_gap, round(100 * (abs(projected - r) - base) / r, 6) as leakage_points from fits cross join real cross join b""")
-def fit_comparison(x: L.Lens) -> DataFrame:
-    """Matrices and LGD fitted to all months and to those up to the cutoff, and the chain ladder, against what came."""
+fits as (select 'production' as fit, l as projected from production union all select 'cutoff', l from early union all select 'chain ladder', (select sum((chain_ladder_ultimate - observed_rate) * original_balance) from ult))"""
+
+
+def _fits(x: L.Lens) -> DataFrame:
+    """(fit, projected, realised): matrices and LGD fitted to all months and to those up to the cutoff, and the chain ladder."""
     parts = Parts(x, "segs", "matrix", "early_matrix", "coefs", "early_coefs", "found", "ultimates")
     path = parts.observed()
     real = parts.found.agg(F.coalesce(F.sum("realised_loss"), F.lit(0.0)).alias("realised"))
@@ -796,8 +824,29 @@ def fit_comparison(x: L.Lens) -> DataFrame:
     for name, table, coefs in (("production", parts.matrix, parts.coefs), ("cutoff", parts.early_matrix, parts.early_coefs)):
         detail = ecl.expected_loss(parts.pooled(table), coefs, parts.segs, path, HORIZON, x.settings)
         fits = fits.unionByName(detail.agg(F.sum("undiscounted_loss").alias("projected")).withColumn("fit", F.lit(name)))
-    fits = L.local(fits.crossJoin(F.broadcast(real)).select("fit", "projected", "realised"))  # three rows by one
-    return _round(attribution.compare(fits), 0, error_percent=6, leakage_points=6)
+    return L.local(fits.crossJoin(F.broadcast(real)).select("fit", "projected", "realised"))  # three rows by one
+
+
+@query(f"""{_FITS},
+b as (select abs(projected - r) as base from fits cross join real where fit = 'production')
+select fit, round(projected, 0) as projected, round(r, 0) as realised, round(projected - r, 0) as error, round(100 * (projected - r) / r, 6) as error_percent, round(abs(projected - r) - base, 0) as leakage_gap, round(100 * (abs(projected - r) - base) / r, 6) as leakage_points from fits cross join real cross join b""")
+def fit_comparison(x: L.Lens) -> DataFrame:
+    """Three fits against what came."""
+    return _round(attribution.compare(_fits(x)), 0, error_percent=6, leakage_points=6)
+
+
+_SEEN = " ".join(f"when '{k}' then '{v}'" for k, v in attribution.PROVENANCE.items())
+
+
+@query(f"""{_FITS},
+g as (select r, (select abs(projected - r) from fits where fit = 'cutoff') - (select abs(projected - r) from fits where fit = 'production') as gap from real),
+rows_ as (
+  select 1 as "order", 'realised' as measure, 'the outcome' as provenance, 'none' as fit_end, r as loss, null::double as error, null::double as absolute_error, null::double as error_percent from real
+  union all select case fit when 'cutoff' then 2 when 'production' then 3 else 4 end, fit, case fit {_SEEN} end, case fit when 'production' then 'all months' else '{L.CUTOFF}' end, projected, projected - r, abs(projected - r), 100 * (projected - r) / r from fits cross join real)
+select "order", measure, provenance, fit_end, round(loss, 0) as loss, round(error, 0) as error, round(absolute_error, 0) as absolute_error, round(error_percent, 6) as error_percent, round(gap, 0) as leakage_gap, round(100 * gap / r, 6) as leakage_points from rows_ cross join g""")
+def fit_provenance(x: L.Lens) -> DataFrame:
+    """What came, and each fit with what it had seen of it."""
+    return _round(attribution.comparison(_fits(x), L.CUTOFF), 0, error_percent=6, leakage_points=6)
 
 
 @query(f"""with {L.ALL}, s as (select score_band as g, months_on_book::double as v, sum(upb_bom)::double as w from panel where upb_bom > 0 group by all),
@@ -859,10 +908,15 @@ def population_stability(x: L.Lens) -> DataFrame:
         return L.local(_round(monitoring.stability(rows.where("vintage_year < 1998"), rows.where("vintage_year >= 1998"), "score_band")))
 
 
-@query(f"""with {L.ALL}, m as (select as_of_month, count(*) filter (where delinquency_state = 'ChargeOff') as actual, count(*) * 0.15::double as projected from panel group by 1)
-select as_of_month, round(sum(projected) over w, 4) as projected, cast(sum(actual) over w as bigint) as actual, round((sum(projected) over w - sum(actual) over w) / nullif(sum(actual) over w, 0)::double, 6) as error from m window w as (order by as_of_month rows 11 preceding)""")
+@query(f"""with {L.ALL}, {CUBE}, {MATRIX}, m as (select as_of_month, cast(sum(transition_count) filter (where next_delinquency_state = 'ChargeOff') as bigint) as actual, sum(transition_count * probability) as projected from cube join matrix on origin = delinquency_state and destination = 'ChargeOff' group by 1),
+z as (select as_of_month, coalesce(actual, 0) as actual, projected from m)
+select as_of_month, round(sum(projected) over w, 4) as projected, cast(sum(actual) over w as bigint) as actual, round((sum(projected) over w - sum(actual) over w) / nullif(sum(actual) over w, 0)::double, 6) as error from z window w as (order by as_of_month rows 11 preceding)""")
 def rolling_backtest_error(x: L.Lens) -> DataFrame:
-    monthly = x.panel().groupBy("as_of_month").agg((F.count("*") * 0.15).alias("projected"), F.count_if(F.col("delinquency_state") == "ChargeOff").alias("actual"))
+    """Charge-offs that the pooled matrix expects of each month's accounts, against those that came, over twelve months."""
+    states = ["as_of_month", "delinquency_state", "next_delinquency_state"]
+    counts = L.local(transitions.cube(x.panel()).groupBy(*states).agg(F.sum("transition_count").alias("transition_count")))  # a row a month and pair of states
+    rates = transitions.matrix(counts, x.settings).where("destination = 'ChargeOff'").select(F.col("origin").alias("delinquency_state"), "probability")
+    monthly = counts.join(F.broadcast(rates), "delinquency_state").groupBy("as_of_month").agg(F.sum(F.col("transition_count") * F.col("probability")).alias("projected"), C.sum_if(F.col("next_delinquency_state") == "ChargeOff", "transition_count").alias("actual"))
     return _round(monitoring.rolling_error(monthly), projected=4)
 
 

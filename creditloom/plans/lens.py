@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from creditloom.config import Settings
+from creditloom.functions import columns as C
 from creditloom.operators import macro as M
 from creditloom.operators import panel as P
 from creditloom.sources import layout, tables
 
-CUTOFF, MATURITY, MACRO_MONTHS = "2001-06-01", 4, 200
+CUTOFF, MATURITY, MACRO_MONTHS, SEEN_MONTHS = "2001-06-01", 4, 200, 80
 SETTINGS = replace(Settings(), cutoff=CUTOFF, maturity_mob=MATURITY)
 
 
@@ -86,10 +87,14 @@ class Lens:
         return layout.write(loans, f"{name}_acquisition", f"{root}/acquisition", "loan_id", [], buckets), rows
 
     def macro(self) -> DataFrame:
-        i = F.col("id").cast("int")
+        """MACRO_MONTHS months: what the orders of each month add up to, and after their last month the same again."""
+        placed = self.table("orders").select(C.months_apart("o_orderdate", F.lit("1995-01-01").cast("date")).alias("at"), _cents("o_totalprice").alias("cents"))
+        seen = placed.groupBy("at").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))  # a row a month
+        months = self.spark.range(0, MACRO_MONTHS, 1, 1).select(F.col("id").cast("int").alias("i"), (F.col("id") % SEEN_MONTHS).cast("int").alias("at")).join(F.broadcast(seen), "at", "left")
+        n, cents = F.coalesce("n", F.lit(0)), F.coalesce("cents", F.lit(0))
+        u, h = F.lit(4.0) + (n * 7 % 50).cast("double") / 10.0, (cents % 20 - 8).cast("double") / 100.0
+        rows = months.select(F.add_months(F.lit("1995-01-01").cast("date"), F.col("i")).alias("as_of_month"), u.alias("unemployment_rate"), h.alias("hpi_change_yoy"))
         w = Window.orderBy("as_of_month")  # MACRO_MONTHS rows
-        u = F.lit(4.0) + ((i * 7) % 50).cast("double") / 10.0
-        rows = self.spark.range(0, MACRO_MONTHS, 1, 1).select(F.add_months(F.lit("1995-01-01").cast("date"), i).alias("as_of_month"), u.alias("unemployment_rate"), (((i * 3) % 20 - 8).cast("double") / 100.0).alias("hpi_change_yoy"))
         change = F.coalesce(F.round(F.col("unemployment_rate") - F.lag("unemployment_rate", 3).over(w), 6), F.lit(0.0))
         return rows.select("as_of_month", "unemployment_rate", change.alias("unemployment_change_3m"), "hpi_change_yoy")
 
@@ -134,10 +139,12 @@ perf as (
     case when dpd = 180 or code = '03' then cast(floor(cast(upb * (100 - d) as double) / 200) as bigint) end as net_sales_proceeds,
     case when dpd = 180 or code = '03' then cast(floor(cast(upb * t as double) / 100) as bigint) end as foreclosure_costs
   from coded join acq on l_orderkey = loan_id)"""
-MACRO_SQL = f"""spine as (
-  select cast(date '1995-01-01' + to_months(cast(i as integer)) as date) as as_of_month, cast(4.0 as double) + cast((i * 7) % 50 as double) / cast(10 as double) as unemployment_rate,
-    cast((i * 3) % 20 - 8 as double) / cast(100 as double) as hpi_change_yoy
-  from range({MACRO_MONTHS}) as r(i)),
+MACRO_SQL = f"""ordered as (
+  select cast((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 as integer) as place, count(*) as n, sum(cast(round(o_totalprice * 100) as bigint)) as cents from orders group by 1),
+spine as (
+  select cast(date '1995-01-01' + to_months(cast(i as integer)) as date) as as_of_month, cast(4.0 as double) + cast(coalesce(n, 0) * 7 % 50 as double) / cast(10 as double) as unemployment_rate,
+    cast(coalesce(cents, 0) % 20 - 8 as double) / cast(100 as double) as hpi_change_yoy
+  from range({MACRO_MONTHS}) as r(i) left join ordered on place = i % {SEEN_MONTHS}),
 series as (
   select as_of_month, unemployment_rate, coalesce(round(unemployment_rate - lag(unemployment_rate, 3) over (order by as_of_month), 6), cast(0 as double)) as unemployment_change_3m, hpi_change_yoy from spine),
 macro as (select as_of_month, {_VALUES}, {_LAGS} from series)"""

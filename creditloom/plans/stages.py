@@ -130,10 +130,12 @@ def vintage_stage(spark: SparkSession, s: Settings) -> dict:
                 vintage.enforce_crisis_order(out)
             tables.write_report(vintage.ultimate_table(tri, s.maturity_mob), _report(s, "vintage_ultimates"), **seen)
             tables.write_report(parts, _report(s, "loss_decomposition"), **seen)
-            pairs = local(vintage.backtest_pairs(out, vintage.triangle(rows, loans, s.cohort_grain), s.maturity_mob))
+            whole = local(vintage.triangle(rows, loans, s.cohort_grain))
+            pairs = local(vintage.backtest_comparison(out, whole, s.maturity_mob, s.backtest_gate))
             found = vintage.portfolio_ultimate(out).first().asDict()
-    tables.write_report(pairs, _report(s, "vintage_backtest"), **seen)
-    tables.write_report(vintage.backtest(pairs), _report(s, "vintage_backtest_metrics"), **seen)
+        tri.orderBy("vintage", "months_on_book").write.mode("overwrite").parquet(curated(s, "vintage_triangle"))
+    tables.write_report(pairs.orderBy("vintage"), _report(s, "vintage_backtest"), **seen)
+    tables.write_report(vintage.backtest_metrics(pairs), _report(s, "vintage_backtest_metrics"), **seen)
     annual = vintage.triangle(rows, loans, "annual", s.cutoff)
     tables.write_report(vintage.ultimate_table(local(annual), s.maturity_mob), _report(s, "vintage_ultimates_annual"), **seen)
     tables.write_report(vintage.lgd_by_era(rows), _report(s, "realised_lgd_by_era"), fit_end="all months", env=s.env)
@@ -148,7 +150,9 @@ def transition_stage(spark: SparkSession, s: Settings) -> dict:
     table = local(transitions.matrix(counts, s))
     transitions.enforce(table, s)
     tables.write_report(table, _report(s, "transition_matrix"), env=s.env)
-    model = conditional.fit(transitions.fit_sample(counts, s.fit_end), macro_table(spark, s), s)
+    series = macro_table(spark, s)
+    model = conditional.fit(transitions.fit_sample(counts, s.fit_end), series, s)
+    conditional.save(spark, model, _model_path(s, s.fit_end), **_provenance(counts, series, s.fit_end))
     every = conditional.bands(s)
     middle = every[len(every) // 2]
     stressed = local(conditional.stress(spark, model, middle))
@@ -170,6 +174,26 @@ def _counts(spark: SparkSession, s: Settings, rows: DataFrame) -> DataFrame:
     return tables.load_or_build(spark, curated(s, "transition_counts"), lambda: transitions.cube(rows))
 
 
+def _model_path(s: Settings, fit_end: str | None) -> str:
+    return curated(s, f"models/conditional-{fit_end or 'all'}")
+
+
+def _provenance(counts: DataFrame, series: DataFrame, fit_end: str | None) -> dict[str, str]:
+    """What a model is fitted to: its last month, and digests of the counts and of the macro series."""
+    digest = lambda df: df.agg(F.concat_ws("/", F.count("*"), F.bit_xor(F.xxhash64(*sorted(df.columns))))).first()[0]
+    return {"fit_end": str(fit_end), "counts": digest(counts), "macro": digest(series)}
+
+
+def _model(spark: SparkSession, s: Settings, counts: DataFrame, series: DataFrame, fit_end: str | None) -> conditional.ConditionalModel:
+    """The conditional model of the months up to fit_end: the saved one if it was fitted to these counts, else a new one, saved."""
+    seen = _provenance(counts, series, fit_end)
+    model = conditional.load(spark, _model_path(s, fit_end), s, **seen)
+    if model is None:
+        model = conditional.fit(transitions.fit_sample(counts, fit_end), series, s)
+        conditional.save(spark, model, _model_path(s, fit_end), **seen)
+    return model
+
+
 def _upto(rows: DataFrame, fit_end: str | None) -> DataFrame:
     return rows if fit_end is None else rows.where(F.col("as_of_month") <= F.lit(fit_end).cast("date"))
 
@@ -200,7 +224,7 @@ def ecl_stage(spark: SparkSession, s: Settings, horizon: int | None = None) -> d
     out, projected = {}, {}
     for name, end in (("production", s.fit_end), ("cutoff", s.backtest_fit_end)):
         seen = {"fit": name, "fit_end": str(end), "env": s.env}
-        model = conditional.fit(transitions.fit_sample(counts, end), series, s)
+        model = _model(spark, s, counts, series, end)
         with kept(lgd.observations(_upto(rows, end)).select("score_band", "vintage", "hpi_change_yoy", "upb_bom", "recovery")) as defaults:
             coefs = local(lgd.fit(defaults, fallback_lgd=s.fallback_lgd))
             tables.write_report(lgd.validation(defaults, coefs, s), _report(s, f"lgd_validation_{name}"), **seen)
@@ -218,7 +242,7 @@ def ecl_stage(spark: SparkSession, s: Settings, horizon: int | None = None) -> d
         out[name], projected[name] = sums.ecl, sums.loss
     left = ladder.agg(F.sum((F.col("chain_ladder_ultimate") - F.col("observed_rate")) * F.col("original_balance"))).first()[0]
     fits = spark.createDataFrame([*((k, float(v), float(real)) for k, v in projected.items()), ("chain ladder", float(left or 0), float(real))], "fit string, projected double, realised double")
-    tables.write_report(attribution.compare(fits), _report(s, "fit_comparison"), env=s.env)
+    tables.write_report(attribution.comparison(fits, str(s.backtest_fit_end), s.fit_end).orderBy("order"), _report(s, "fit_comparison"), env=s.env)
     return out | {"realised_loss": real, "balance": balance, "segments": segs.count(), "months": horizon, "work": tables.stage_summary(spark)}
 
 
@@ -234,7 +258,7 @@ def scenario_stage(spark: SparkSession, s: Settings, path: str, horizon: int | N
     tables.write_report(scenarios.extrapolation(table, s), _report(s, "scenario_extrapolation"), **seen)
     tables.write_report(table, _report(s, "scenario_paths"), **seen)
     rows = spark.read.parquet(curated(s, "panel"))
-    model = conditional.fit(transitions.fit_sample(_counts(spark, s, rows), s.fit_end), series, s)
+    model = _model(spark, s, _counts(spark, s, rows), series, s.fit_end)
     coefs, segs = local(lgd.fit(lgd.observations(_upto(rows, s.fit_end)), fallback_lgd=s.fallback_lgd)), _segments(spark, s, rows)
     details, flows = None, {}
     for name in sorted(r.scenario for r in table.select("scenario").distinct().collect()):  # a few scenarios

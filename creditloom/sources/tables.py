@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,12 +86,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def stage_summary(spark: SparkSession) -> dict[str, int]:
-    """Jobs, stages and tasks that this application still tracks; zeros where nothing is known."""
+    """Jobs, stages and tasks of this application, and the bytes its stages read, shuffled and spilled, as far as Spark still keeps them.
+
+    The figures come from the driver's status store, which runs with or without the web interface; zeros where it is out of reach.
+    """
     tracker = spark.sparkContext.statusTracker()
     jobs = tracker.getJobIdsForGroup(None)
-    stages = {k for j in jobs if (info := tracker.getJobInfo(j)) for k in info.stageIds}
-    found = [x for k in stages if (x := tracker.getStageInfo(k))]
-    return {"jobs": len(jobs), "stages": len(found), "tasks": sum(x.numTasks for x in found), "failed_tasks": sum(x.numFailedTasks for x in found)}
+    out = dict.fromkeys(("jobs", "stages", "tasks", "failed_tasks", *STAGE_BYTES), 0) | {"jobs": len(jobs)}
+    for stage in _stages(spark):
+        out["stages"] += 1
+        out["tasks"] += stage.numCompleteTasks()
+        out["failed_tasks"] += stage.numFailedTasks()
+        for name, getter in STAGE_BYTES.items():
+            out[name] += getattr(stage, getter)()
+    return out
+
+
+STAGE_BYTES = {"input_bytes": "inputBytes", "output_bytes": "outputBytes", "shuffle_read_bytes": "shuffleReadBytes", "shuffle_write_bytes": "shuffleWriteBytes", "spilled_bytes": "diskBytesSpilled", "executor_ms": "executorRunTime"}
+
+
+def _stages(spark: SparkSession) -> list:
+    """The finished stages that the status store keeps."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    try:
+        done = jvm.java.util.ArrayList()
+        done.add(jvm.org.apache.spark.status.api.v1.StageStatus.COMPLETE)
+        found = spark._jsc.sc().statusStore().stageList(done, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return [found.apply(k) for k in range(found.size())]
+    except (Py4JError, TypeError):
+        return []
 
 
 def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:

@@ -18,7 +18,7 @@ from creditloom.streaming import transitions as stream
 
 @pytest.fixture(scope="module")
 def settings(tmp_path_factory):
-    return replace(Settings(), loans=400, first_vintage=2004, last_vintage=2010, max_months=48, cutoff="2009-06-01", backtest_fit_end="2009-06-01", maturity_mob=24, data_root=str(tmp_path_factory.mktemp("data")), max_rate_per_reason=1.0, max_rate_overall=1.0, crisis_gate=False, sign_gate=False)
+    return replace(Settings(), loans=400, first_vintage=2004, last_vintage=2010, max_months=48, cutoff="2009-06-01", backtest_fit_end="2009-06-01", maturity_mob=24, data_root=str(tmp_path_factory.mktemp("data")), max_rate_per_reason=1.0, max_rate_overall=1.0, crisis_gate=False, sign_gate=False, backtest_gate=False)
 
 
 @pytest.fixture(scope="module")
@@ -36,11 +36,28 @@ def test_more_loans_keep_the_first_ones(spark, settings):
     assert few.select(*keys).exceptAll(synthetic.portfolio(spark, replace(settings, loans=20))[1].select(*keys)).isEmpty()
 
 
+def test_the_source_reads_by_vintage_in_any_session(spark, settings, monkeypatch):
+    s = replace(settings, loans=37)
+    whole = sorted(map(repr, (tuple(r) for r in synthetic.portfolio(spark, s)[1].collect())))
+    read = lambda **o: spark.read.format("synthetic_portfolio").options(**{k: str(getattr(s, k)) for k in synthetic.OPTIONS} | o).load()
+    rows = read()
+    assert rows.rdd.getNumPartitions() == 7  # a vintage a partition
+    years = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct(F.year("origination_month")).alias("n")).collect()
+    assert [r.n for r in years] == [1] * 7
+    assert sorted(map(repr, (tuple(r) for r in rows.select("loan_id", *synthetic.NAMES[8:]).collect()))) == whole
+    parts = synthetic.PortfolioReader(replace(s, loans=30_000)).partitions()
+    numbers = sorted(p.first + k * p.step for p in parts for k in range(p.count))
+    assert numbers == list(range(30_000)) and max(p.count for p in parts) <= synthetic.LOANS_PER_TASK and len(parts) > 7
+    assert synthetic.PortfolioReader(replace(s, loans=0)).partitions() == []
+    with pytest.raises(Exception, match="unknown options"):
+        read(loanz="3").count()
+
+
 def test_panel_is_whole(spark, settings, built):
     loans = spark.read.parquet(stages.curated(settings, "acquisition"))
     assert loans.count() == 400 and built["loans_without_one_terminal"] == 0 and sum(built["exits"].values()) == 400
     assert tables.file_summary(spark, stages.curated(settings, "panel")).first().files >= 7
-    assert set(tables.stage_summary(spark)) == {"jobs", "stages", "tasks", "failed_tasks"}
+    assert set(tables.stage_summary(spark)) == {"jobs", "stages", "tasks", "failed_tasks", *tables.STAGE_BYTES}
     rows = spark.read.parquet(stages.curated(settings, "panel"))
     assert not set(panel.CHECKS) & set(rows.columns)
 
@@ -211,8 +228,11 @@ def test_later_stages_and_their_reports(spark, settings, staged, model, tmp_path
     assert read("transition_ground_truth").count() == 23
     both = read("vintage_ultimates")
     assert {f"{c}_{d}" for c in ("observed_rate", "chain_ladder_ultimate", "scaled_average_ultimate") for d in vintage.DENOMINATORS} <= set(both.columns)
-    fits = {r.fit: r for r in read("fit_comparison").collect()}
-    assert set(fits) == {"production", "cutoff", "chain ladder"} and fits["cutoff"].realised == pytest.approx(staged["ecl"]["realised_loss"])
+    fits = {r.measure: r for r in read("fit_comparison").collect()}
+    assert set(fits) == {"realised", "production", "cutoff", "chain ladder"} and fits["realised"].loss == pytest.approx(staged["ecl"]["realised_loss"])
+    assert {r.era for r in read("vintage_backtest_metrics").collect()} == set(vintage.ERAS)
+    tri = [(r.vintage, r.months_on_book) for r in spark.read.parquet(stages.curated(settings, "vintage_triangle")).collect()]
+    assert tri and tri == sorted(tri)
     assert read("reconciliation").agg(F.sum("amount")).first()[0] == pytest.approx(staged["ecl"]["cutoff"])
 
 
@@ -221,6 +241,8 @@ def test_vintage_stage_fails_on_bad_input(spark, settings, built):
         stages.vintage_stage(spark, replace(settings, maturity_mob=400))
     with pytest.raises(vintage.VintageError, match="2011 and later"):
         stages.vintage_stage(spark, replace(settings, crisis_gate=True))  # no vintage of 2011 here
+    with pytest.raises(Exception, match="no partner"):
+        stages.vintage_stage(spark, replace(settings, backtest_gate=True))  # of a few loans a month all may be gone before maturity
 
 
 def test_transition_stage_fails_on_wrong_signs(spark, settings, model, monkeypatch):
