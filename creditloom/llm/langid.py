@@ -106,7 +106,7 @@ def train_counts(sample: DataFrame, tasks: int = TRAIN_TASKS) -> DataFrame:
         total = sum(np.frombuffer(pa.decompress(x, 8 * BUCKETS, codec="zstd"), "<i8") for x in table.column("counts").to_pylist())
         return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    dealt = sample.repartition(tasks, "lang", F.pmod(F.xxhash64("text"), F.lit(tasks))).sortWithinPartitions("lang")
+    dealt = sample.repartition(tasks).sortWithinPartitions("lang")  # in turn, so equal texts are dealt apart too
     return dealt.select("lang", "text").mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary")
 
 

@@ -350,7 +350,8 @@ def _without(text: Column, n: int) -> Column:
         left = pa.array([x[0] for x in out], pa.binary()).cast(pa.string())
         return pa.StructArray.from_arrays([left, pa.array([x[1] for x in out], pa.int32())], ["text", "dropped"])
 
-    return cut(text.cast("string"), F.col("__gone"), F.col("__starts"))
+    # Not run again for each filter on the result.
+    return cut.asNondeterministic()(text.cast("string"), F.col("__gone"), F.col("__starts"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, inline_words: int | None = None) -> DataFrame:
@@ -362,7 +363,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     name = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
     docs = docs.drop("lines", "dropped_lines", "__row", "__gone", "__starts", "__cut", "__of", "__k")
     rows = docs.select(name.alias("row"), F.col(text_col).cast("string").alias("text"))
-    gone = later_copies(line_table(rows), min_words).groupBy("row").agg(F.collect_set("line").alias("__gone"))
+    # Lines, too, are read twice.
+    gone = later_copies(cut_lineage(line_table(rows)), min_words).groupBy("row").agg(F.collect_set("line").alias("__gone"))
     if inline_words is not None:
         gone = gone.join(later_windows(rows.where(F.col("text").isNotNull()), inline_words, copies=inline_words < min_words).withColumnRenamed("starts", "__starts"), "row", "full")
     else:
