@@ -1,8 +1,8 @@
 """URL filters: rules for hosts and paths, found by short hash prefixes and confirmed by full digests.
 
 A rule (host, path, verdict) fits its host and all its subdomains where the URL's path starts with the rule's. Of the
-rules that fit a URL, the one with the longest host and path together wins; where one rule is there with both verdicts,
-block wins. A URL without a rule has the verdict `otherwise`.
+rules that fit a URL, the one with the longest host and path together wins, of equally long ones that with the longer host;
+where one rule is there with both verdicts, block wins. A URL without a rule has the verdict `otherwise`.
 
 Each distinct (host, path) is expanded into expressions: the host's last labels followed by a beginning of the path, in the
 shapes (number of labels, length of path) that rules have. Any rule that fits a URL is one of its expressions, whatever the
@@ -81,7 +81,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
         return urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     asked = expressions(urls.select("host", "path").where("host <> ''").distinct(), of)
     hits = asked.join(ready.withColumnRenamed("digest", "__digest"), "prefix").where(F.col("digest") == F.col("__digest"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("__best"))
+    rank = F.struct(F.length("rule"), -F.col("length"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("__best"))
     key = F.xxhash64("host", "path")
     found = best.select(key.alias("__key"), F.col("host").alias("__host"), F.col("path").alias("__path"), "__best")
     joined = urls.withColumn("__key", key).join(found, "__key", "left")

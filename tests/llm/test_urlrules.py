@@ -4,11 +4,11 @@ import pytest
 
 from creditloom.llm import urlrules
 
-RULES = [*urlrules.RULES, ("a.net", "", "allow"), ("b.a.net", "/x", "block"), ("ORG", "/fr/deep/", "block"), ("two.org", "/", "allow"), ("two.org", "/", "block"), (None, "/", "block"), ("", "/", "block")]
+RULES = [*urlrules.RULES, ("a.net", "", "allow"), ("b.a.net", "/x", "block"), ("ORG", "/fr/deep/", "block"), ("two.org", "/", "allow"), ("two.org", "/", "block"), (None, "/", "block"), ("", "/", "block"), ("t.ie", "/x", "block"), ("ie", "/x/yz", "allow"), ("s.t.ie", "", "allow")]
 ODD = [
     None, "", "no scheme", "://", "http://", "http://net", "http://net/", "http://NET/?q", "http://www.net?x=/en/", "http://example.net/en/1", "http://xexample.net/en/1", "x://y://example.com/de/", "http://Example.COM/de/a#b/c",
     "http://a.example.com/de", "http://org/fr/", "http://x.org/fr/deep/er", "http://x.org/FR/", "http://a.net", "http://b.a.net/xyz", "http://c.b.a.net/x", "http://user@example.net:80/en/", "http://.net/", "http://net./", "http://a..net/", "http://two.org/",
-    "http://" + "a." * 3000 + "net/" + "p/" * 5000, "http://é.org/fr/ü?", "http://x.org\n/fr/",
+    "http://" + "a." * 3000 + "net/" + "p/" * 5000, "http://é.org/fr/ü?", "http://x.org\n/fr/", "http://t.ie/x/yz", "http://s.t.ie/x/yz", "http://s.t.ie/",
 ]
 
 
@@ -19,9 +19,9 @@ def by_hand(url, rules, otherwise="allow"):
         cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
         host, tail = rest[:cut].translate(str.maketrans(urlrules.UPPER, urlrules.LOWER)), rest[cut:]
         path = tail[: min([tail.find(c) for c in "?#" if c in tail] or [len(tail)])]
-    fits = [(len(h.lower() + p), v, h.lower() + p) for h, p, v in rules if h is not None and (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p) and host]
+    fits = [(len(h.lower() + p), len(h), v, h.lower() + p) for h, p, v in rules if h is not None and (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p) and host]
     best = max(fits, default=None)
-    return (host, path, best and best[2], best[1] if best else otherwise)
+    return (host, path, best and best[3], best[2] if best else otherwise)
 
 
 def frame(spark, rows):
