@@ -240,10 +240,11 @@ def narrowed(rows: DataFrame, keys: DataFrame, key: Column) -> DataFrame | None:
     return rows.join(F.broadcast(keys.withColumnRenamed("k", "__k")), key == F.col("__k"), "left_semi") if keys.count() <= BROADCAST_KEYS else None
 
 
-def later_windows(rows: DataFrame, n: int, copies: bool = True) -> DataFrame:
+def later_windows(rows: DataFrame, n: int, copies: bool = True, names: DataFrame | None = None) -> DataFrame:
     """Rows (row, starts): the first words of a text's windows of n words that also start at an earlier position, of rows (row, text).
 
-    row: a struct (id, text's hash). Without copies, later copies of whole texts are left out.
+    row: a struct (id, text's hash), of which names may hold the rows' alone. Without copies, later copies of whole texts are
+    left out.
     """
     if n < 2:
         raise ValueError("a window has 2 words or more")
@@ -270,7 +271,7 @@ def later_windows(rows: DataFrame, n: int, copies: bool = True) -> DataFrame:
                 yield seen.later(batch)
 
     # Of equal texts the first alone is looked through.
-    firsts = rows.groupBy(F.col("row.text").alias("t")).agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    firsts = (rows if names is None else names).groupBy(F.col("row.text").alias("t")).agg(F.min("row").alias("row"), F.count("*").alias("n"))
     several = cut_lineage(firsts.where("n > 1").select(F.col("t").alias("__t"), F.xxhash64("row").alias("__first")))
     whole_rows = rows
     if several.count() <= BROADCAST_KEYS:  # else copies take part, and change nothing
@@ -363,10 +364,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     name = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
     docs = docs.drop("lines", "dropped_lines", "__row", "__gone", "__starts", "__cut", "__of", "__k")
     rows = docs.select(name.alias("row"), F.col(text_col).cast("string").alias("text"))
-    # Lines, too, are read twice.
-    gone = later_copies(cut_lineage(line_table(rows)), min_words).groupBy("row").agg(F.collect_set("line").alias("__gone"))
+    table = cut_lineage(line_table(rows))  # read several times, too; every text has a first line, which names it
+    gone = later_copies(table, min_words).groupBy("row").agg(F.collect_set("line").alias("__gone"))
     if inline_words is not None:
-        gone = gone.join(later_windows(rows.where(F.col("text").isNotNull()), inline_words, copies=inline_words < min_words).withColumnRenamed("starts", "__starts"), "row", "full")
+        gone = gone.join(later_windows(rows.where(F.col("text").isNotNull()), inline_words, copies=inline_words < min_words, names=table.where("line = 0").select("row")).withColumnRenamed("starts", "__starts"), "row", "full")
     else:
         gone = gone.withColumn("__starts", F.lit(None).cast("array<int>"))
     gone = cut_lineage(gone)
