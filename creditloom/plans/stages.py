@@ -12,7 +12,7 @@ from creditloom.config import Settings
 from creditloom.operators import attribution, conditional, ecl, forecast, lgd, macro, panel, quality, scenarios, transitions, vintage
 from creditloom.plans.credit import ACQ_REASONS, PERF_REASONS
 from creditloom.plans.lens import kept, local
-from creditloom.sources import publish, synthetic, tables
+from creditloom.sources import layout, publish, synthetic, tables
 
 EARLY_DROPS = ("occupancy_status", "channel")
 
@@ -101,9 +101,43 @@ def macro_table(spark: SparkSession, s: Settings) -> DataFrame:
     return macro.features(series, s.macro_lags)
 
 
-def panel_stage(spark: SparkSession, s: Settings, vintages: Sequence[int] | None = None) -> dict:
-    """The panel by vintage year, gated by the counts of its own write; with vintages, only these are read and replaced."""
-    loans, rows = (spark.read.parquet(curated(s, name)) for name in ("acquisition", "performance"))
+COLOCATED = {"acquisition": [], "performance": ["as_of_month"]}
+
+
+def _bucketed(s: Settings, name: str, buckets: int) -> dict:
+    """Name, place and order of a co-located table; the place tells the number of buckets, so a rewrite with another is another table."""
+    return {"table": f"{s.env}_{name}_{buckets}", "path": curated(s, f"colocated/{name}-{buckets}"), "key": "loan_id", "order": COLOCATED[name], "buckets": buckets}
+
+
+def colocate_stage(spark: SparkSession, s: Settings, bucket_bytes: int = layout.BUCKET_BYTES) -> dict:
+    """Curated loans and months once more, bucketed and sorted by loan; both with as many buckets as the months need."""
+    size = tables.file_summary(spark, curated(s, "performance")).first().total_bytes
+    buckets = layout.buckets_for(size, bucket_bytes)
+    for name in COLOCATED:
+        spark.sql(f"drop table if exists {_bucketed(s, name, buckets)['table']}")
+        layout.write(spark.read.parquet(curated(s, name)), **_bucketed(s, name, buckets))
+    return {"buckets": buckets}
+
+
+def colocated(spark: SparkSession, s: Settings) -> dict[str, DataFrame]:
+    """The co-located tables with the most buckets, named anew where the catalog has forgotten them."""
+    found = {int(x.rsplit("-", 1)[1]) for x in publish.children(spark, curated(s, "colocated"))}
+    if not found:
+        raise FileNotFoundError(curated(s, "colocated"))
+    out = {}
+    for name in COLOCATED:
+        at = _bucketed(s, name, max(found))
+        out[name] = spark.table(at["table"]) if spark.catalog.tableExists(at["table"]) else layout.register(spark, **at)
+    return out
+
+
+def panel_stage(spark: SparkSession, s: Settings, vintages: Sequence[int] | None = None, by_loan: bool = False) -> dict:
+    """The panel by vintage year, gated by the counts of its own write; with vintages, only these are read and replaced.
+
+    by_loan: from the co-located tables, which need no shuffle by loan.
+    """
+    source = colocated(spark, s) if by_loan else {name: spark.read.parquet(curated(s, name)) for name in COLOCATED}
+    loans, rows = source["acquisition"], source["performance"]
     if vintages is not None:
         loans, rows = (df.where(F.col("vintage_year").isin(*vintages)) for df in (loans, rows))
     ends = panel.exits(s)
@@ -277,7 +311,7 @@ def scenario_stage(spark: SparkSession, s: Settings, path: str, horizon: int | N
     return losses
 
 
-STAGES = {"synthetic": synthetic_stage, "ingest": ingest_stage, "panel": panel_stage, "vintage": vintage_stage, "transitions": transition_stage, "ecl": ecl_stage}
+STAGES = {"synthetic": synthetic_stage, "ingest": ingest_stage, "colocate": colocate_stage, "panel": panel_stage, "vintage": vintage_stage, "transitions": transition_stage, "ecl": ecl_stage}
 
 
 def sampled(s: Settings, fraction: float | None) -> Settings:

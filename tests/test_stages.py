@@ -165,6 +165,23 @@ def test_a_vintage_alone_is_rewritten(spark, other):
     assert {p.name for p in Path(stages.curated(other, "acquisition")).glob("vintage*")} == {f"vintage_year={y}" for y in range(2004, 2011) if y != 2007}
 
 
+def test_the_panel_from_colocated_tables_is_the_same(spark, other, monkeypatch):
+    read = lambda: {tuple(r) for r in spark.read.parquet(stages.curated(other, "panel")).collect()}
+    want, plans, write = read(), [], publish.write
+    with pytest.raises(FileNotFoundError):
+        stages.panel_stage(spark, other, by_loan=True)
+    made = stages.colocate_stage(spark, other, bucket_bytes=20_000)
+    assert made["buckets"] > 1 and len(list(Path(stages.curated(other, f"colocated/performance-{made['buckets']}")).glob("*.parquet"))) == made["buckets"]
+    stages.colocate_stage(spark, other, bucket_bytes=20_000)  # again, in place
+    monkeypatch.setattr(publish, "write", lambda draft, df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(draft, df, *a, **k))
+    for name in stages.COLOCATED:
+        spark.sql(f"drop table {stages._bucketed(other, name, made['buckets'])['table']}")  # as in a new session
+    for vintages in (None, [2005]):
+        stages.panel_stage(spark, other, vintages, by_loan=True)
+        assert read() == want
+    assert not any("Exchange hashpartitioning(loan_id" in p for p in plans) and all("Window" in p for p in plans)
+
+
 def test_a_run_that_died_between_two_renames_is_mended(spark, tmp_path, settings):
     table = str(tmp_path / "t")
     df = spark.range(4).withColumn("vintage_year", (F.col("id") % 2).cast("int"))
