@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import dataclasses
 import json
 
 from creditloom.config import load_settings
@@ -29,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     over = {"data_root": a.data_root} if a.data_root else {}
     s = stages.sampled(load_settings(a.env, a.config_dir, **over), a.sample_fraction)
     if a.verb == "config":
-        print(json.dumps(dataclasses.asdict(s), indent=2))
+        print(json.dumps(s.nested(), indent=2))
         return 0
     spark = build_session(f"creditloom-{a.verb}")
     more = {"vintages": a.vintages} if a.vintages else {}

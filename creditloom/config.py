@@ -77,6 +77,10 @@ class Settings:
         """The settings of one section of the files."""
         return {key: getattr(self, key) for key in SECTIONS[name]}
 
+    def nested(self) -> dict[str, dict]:
+        """All settings by section, as a file may hold them."""
+        return {name: self.section(name) for name in SECTIONS}
+
     def validate(self) -> Settings:
         """Raises ConfigError for settings that no run could use."""
         if not 0 < self.sample_fraction <= 1:
@@ -106,6 +110,27 @@ SECTIONS = {
 }
 
 
+_KINDS = {"str": (str,), "int": (int,), "float": (int, float), "bool": (bool,), "str | None": (str, type(None))}
+
+
+def check_type(name: str, kind: str, value) -> None:
+    """Raises ConfigError for a value of another type than the setting's: a truth value is no number, a list holds its elements' type."""
+    if kind.startswith("tuple["):
+        right = isinstance(value, list | tuple)
+        for x in value if right else ():
+            check_type(name, kind.removeprefix("tuple[").split(",")[0], x)
+    elif kind.startswith("dict["):
+        right = isinstance(value, dict)
+        of_key, of_value = kind.removeprefix("dict[").removesuffix("]").split(", ")
+        for k, v in value.items() if right else ():
+            check_type(name, of_key, k)
+            check_type(name, of_value, v)
+    else:
+        right = isinstance(value, _KINDS[kind]) and (kind == "bool" or not isinstance(value, bool))
+    if not right:
+        raise ConfigError(f"{name} must be of type {kind}, not {value!r}")
+
+
 def flatten(values: dict) -> dict:
     """Settings out of their sections; one under another section's name is an error."""
     out = {}
@@ -158,4 +183,6 @@ def load_settings(env: str = "local", config_dir: str | Path | None = None, **ov
     known = {f.name: f for f in dataclasses.fields(Settings)}
     if unknown := set(values) - set(known):
         raise ConfigError(f"unknown settings: {sorted(unknown)}")
+    for k, v in values.items():
+        check_type(k, known[k].type, v)
     return Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()}).validate()

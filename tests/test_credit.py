@@ -1,5 +1,6 @@
 """Known answers and invariants of the credit operators."""
 
+import dataclasses
 import datetime as dt
 from pathlib import Path
 
@@ -364,6 +365,15 @@ def test_settings(tmp_path, monkeypatch, capsys):
     (tmp_path / "nested.yaml").write_text("ingest: {discount_rate: 0.1}\n")
     with pytest.raises(ConfigError):
         load_settings("nested", tmp_path)
+    for bad in ("model: {discount_rate: high}", "model: {maturity_mob: 12.5}", "ingest: {header: 1}", "model: {macro_lags: [1, two]}", "model: {macro_lags: 3}", "states: {codes: {'01': 7}}", "model: {fit_end: [1]}", "synthetic: {loans: true}"):
+        (tmp_path / "nested.yaml").write_text(bad)
+        with pytest.raises(ConfigError, match="must be of type"):
+            load_settings("nested", tmp_path)
+    (tmp_path / "nested.yaml").write_text("model: {discount_rate: 1, fit_end: null}\nstates: {codes: {'01': Prepaid}}\n")
+    s = load_settings("nested", tmp_path)
+    assert s.discount_rate == 1 and s.codes == {"01": "Prepaid"}
+    every = s.nested()
+    assert {k for part in every.values() for k in part} == {f.name for f in dataclasses.fields(Settings)} and every["model"]["discount_rate"] == 1
     shipped = Path(__file__).resolve().parents[1] / "conf"
     assert load_settings("local", shipped).maturity_mob == 119
     assert cli.main(["config", "--data-root", "/d"]) == 0 and '"data_root": "/d"' in capsys.readouterr().out
