@@ -61,15 +61,19 @@ def _has(bits: Column, place: Column) -> Column:
     return F.getbit(byte, (place % 8).cast("int")) == 1
 
 
-def semi_reduced(large: DataFrame, keys: DataFrame, key: str, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """The rows of large whose key may be among the keys: all that are, and about one in a thousand of the others. Null keys go.
+def marked(large: DataFrame, keys: DataFrame, key: str, column: str, max_blocks: int | None = None) -> DataFrame:
+    """large with a boolean column: whether the row's key may be among the keys. It is for all that are, and for about one in a thousand of the others.
 
-    The filter is broadcast: BITS a key, at most max_blocks of 4 KB, 64 MB; with more keys it lets more rows through, and
-    never loses one.
+    The filter is broadcast: BITS a key, at most max_blocks (MAX_BLOCKS) of 4 KB, 64 MB; with more keys it lets more rows
+    through, and never loses one. A null key is not among them.
     """
-    blocks = min(max_blocks, max(1, -(-keys.count() * BITS // BLOCK_BITS)))
+    blocks = min(max_blocks or MAX_BLOCKS, max(1, -(-keys.count() * BITS // BLOCK_BITS)))
     made = F.broadcast(bloom(keys, key, blocks).withColumnsRenamed({"block": "__block", "bits": "__bits"}))
-    met = large.join(made, _block(F.col(key), blocks) == F.col("__block"))
-    for place in _places(F.col(key)):
-        met = met.where(_has(F.col("__bits"), place))
-    return met.drop("__block", "__bits")
+    met = large.join(made, _block(F.col(key), blocks) == F.col("__block"), "left")
+    held = reduce(lambda a, b: a & b, [_has(F.col("__bits"), place) for place in _places(F.col(key))])
+    return met.withColumn(column, F.coalesce(F.when(F.col("__bits").isNotNull(), held), F.lit(False))).drop("__block", "__bits")
+
+
+def semi_reduced(large: DataFrame, keys: DataFrame, key: str, max_blocks: int | None = None) -> DataFrame:
+    """The rows of large whose key may be among the keys, by marked(): all that are, and few others. Null keys go."""
+    return marked(large, keys, key, "__maybe", max_blocks).where("__maybe").drop("__maybe")
