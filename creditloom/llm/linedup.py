@@ -23,8 +23,10 @@ the anchor and of the window.
 Of equal texts the first alone is looked through, as all windows of the others are in it. Of a line, only its deleted
 words go; a line whose every word goes counts as a dropped line.
 
-Texts are shuffled only where they hold a repeated anchor or lose something. Which these are is broadcast, 8 bytes a text,
-up to BROADCAST_KEYS of them; beyond that all texts are shuffled in both places, which takes more disk and finds the same.
+Texts are shuffled only where they hold a repeated anchor or lose something, which a Bloom filter of at most 64 MB tells
+before the shuffle. It never misses one; beyond 30 million such texts it lets more and more of the others through, which
+then find nothing. That later copies of whole texts are left out of the search for windows is a saving, taken up to
+BROADCAST_KEYS texts that have copies; beyond that the copies take part and change nothing.
 Very long texts are one row each: their lines and windows are rows of their own. An empty table gives no rows.
 """
 
@@ -39,6 +41,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from creditloom.operators import joins
+
 from .bytesops import _GOLD, _powers, _R, _R_INV, cut_lineage, hashes, mix, slices, tidy, U64, words
 
 #: An anchor in more than HOT texts is dealt over as many salts as give each about HOT.
@@ -235,9 +239,9 @@ class _Seen:
         return pa.RecordBatch.from_arrays([row.take(pa.array(give)), batch.column(1).take(pa.array(give)), list_of(late, word), list_of(rest, word), list_of(rest, value.view(np.int64))], ["row", "a", "starts", "others", "hashes"])
 
 
-def narrowed(rows: DataFrame, keys: DataFrame, key: Column) -> DataFrame | None:
-    """rows whose key (64 bits) is among keys (checkpointed, one column k) by broadcast, if these are BROADCAST_KEYS at most; else None."""
-    return rows.join(F.broadcast(keys.withColumnRenamed("k", "__k")), key == F.col("__k"), "left_semi") if keys.count() <= BROADCAST_KEYS else None
+def near_keys(rows: DataFrame, name: Column, keys: DataFrame) -> DataFrame:
+    """rows with the column __near: whether the row's name may be among the keys' rows (a column row), by a filter of bounded size."""
+    return joins.marked(rows.withColumn("__k", F.xxhash64(name)), keys.select(F.xxhash64("row").alias("__k")), "__k", "__near").drop("__k")
 
 
 def later_windows(rows: DataFrame, n: int, copies: bool = True, names: DataFrame | None = None) -> DataFrame:
@@ -282,8 +286,8 @@ def later_windows(rows: DataFrame, n: int, copies: bool = True, names: DataFrame
     again = cut_lineage(again.select("a", F.ceil(F.col("n") / HOT).alias("salts")))
     hits = seen.join(again, "a").select("t", "a", "salts").repartition("t").groupBy("t").agg(F.collect_list(F.struct("a", "salts")).alias("hits"))
     picks = cut_lineage(firsts.drop("n").join(hits, "t").select("row", F.col("hits.a").alias("hits"), F.col("hits.salts").alias("salts")))
-    near = narrowed(rows, picks.select(F.xxhash64("row").alias("k")), F.xxhash64("row"))
-    found = (rows if near is None else near).join(picks, "row").select("row", "text", "hits", "salts").mapInArrow(windows, f"row {kind}, a bigint, salt int, at int, hot boolean, h array<bigint>")
+    near = near_keys(rows, F.col("row"), picks).where("__near")
+    found = near.join(picks, "row").select("row", "text", "hits", "salts").mapInArrow(windows, f"row {kind}, a bigint, salt int, at int, hot boolean, h array<bigint>")
     # The windows of an anchor meet, in order of place. Those of a frequent one are dealt over salts, and what is not seen
     # before in its salt meets window by window, a row from each salt at most.
     dealt = found.repartition("a", "salt").sortWithinPartitions("a", "salt", "row", "at")
@@ -362,7 +366,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     # A row is named by its id, or, where ids are null or repeat, also by its text; equal rows share their deletions.
     name = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
-    docs = docs.drop("lines", "dropped_lines", "__row", "__gone", "__starts", "__cut", "__of", "__k")
+    docs = docs.drop("lines", "dropped_lines", "__row", "__gone", "__starts", "__cut", "__of", "__k", "__near")
     rows = docs.select(name.alias("row"), F.col(text_col).cast("string").alias("text"))
     table = cut_lineage(line_table(rows))  # read several times, too; every text has a first line, which names it
     gone = later_copies(table, min_words).groupBy("row").agg(F.collect_set("line").alias("__gone"))
@@ -379,13 +383,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         changed = F.col("__gone").isNotNull() | F.col("__starts").isNotNull()
         return joined.select(*[F.when(changed, F.col("__cut.text")).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns], lines, F.coalesce("__cut.dropped", F.lit(0)).alias("dropped_lines"))
 
-    # Texts without a deletion need not be shuffled.
-    keys = gone.select(F.xxhash64("row").alias("k"))
-    hit = narrowed(docs, keys, F.xxhash64(name))
-    if hit is None:
-        return cleaned(docs)
-    clean = docs.join(F.broadcast(keys.withColumnRenamed("k", "__k")), F.xxhash64(name) == F.col("__k"), "left_anti")
-    return clean.select(*docs.columns, lines, F.lit(0).alias("dropped_lines")).unionByName(cleaned(hit))
+    # Texts without a deletion need not be shuffled, but for the few that the filter takes for others.
+    near = near_keys(docs, name, gone)
+    clean = near.where("not __near").select(*docs.columns, lines, F.lit(0).alias("dropped_lines"))
+    return clean.unionByName(cleaned(near.where("__near").drop("__near")))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,8 +141,10 @@ def test_passages_inside_lines_go(spark, monkeypatch):
 
     texts = ["".join(f"w{rng.randrange(3)}{rng.choice([' ', '  ', chr(10)])}" for _ in range(rng.randint(0, 40))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    for n, most in ((5, 0), (8, 1000)):  # by a shuffle of all texts, and by broadcast
+    for n, most in ((5, 0), (8, 1000)):  # with a filter that lets nearly all texts through, and with copies in the search; and without
         monkeypatch.setattr(linedup, "BROADCAST_KEYS", most)
+        monkeypatch.setattr(linedup.joins, "BLOCK_BITS", 32_768 if most else 8)
+        monkeypatch.setattr(linedup.joins, "MAX_BLOCKS", 1 << 14 if most else 1)
         monkeypatch.setattr(linedup, "HOT", 3 if most else 256)
         got = {r.doc_id: r.text.split() for r in linedup.drop_repeated_lines(df, min_words=10_000, inline_words=n).collect()}
         assert [got[i] for i in range(len(texts))] == brute_words(texts, n)
