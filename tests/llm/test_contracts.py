@@ -11,12 +11,16 @@ from collections import Counter
 import pytest
 from tokenizers import Tokenizer
 
-from creditloom.llm import audio, packing, queries
+from creditloom.llm import audio, packing, queries, urlrules
 
 from .conftest import odd_texts, prose
 from .test_classifiers import text as language_text
+from .test_divergence import by_hand as by_hand_divergence
 from .test_neardup import brute as brute_groups
+from .test_spelling import by_hand as by_hand_spelling
 from .test_topk import brute as brute_top
+from .test_urlrules import ODD as ODD_URLS
+from .test_urlrules import by_hand as by_hand_url
 
 Q = queries.queries()
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -48,6 +52,7 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame([(i, t, lang, f"src{i % 4}", len(t or "")) for i, t, lang in rows], DOCS).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(100, 400)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(120)] + [(120, None), (150, [math.nan] * 8), (200, [0.5] * 8)]
+    spark.createDataFrame([(i, u, "<html>") for i, u in enumerate(ODD_URLS)], "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
     return folder, rows, vectors
 
@@ -153,5 +158,21 @@ def test_op10(spark, tables):
     assert len(rows) == len(tokens)
 
 
+def test_op11(spark, tables):
+    rows = run(spark, tables, 11, [("page_id", "bigint"), ("host", "string"), ("path", "string"), ("rule", "string"), ("verdict", "string")])
+    want = {i: (i, *by_hand_url(u, urlrules.RULES)) for i, u in enumerate(ODD_URLS)}
+    assert {r.page_id: tuple(r)[:5] for r in rows} == want and len(rows) == len(want)
+
+
+def test_op12(spark, tables):
+    rows = run(spark, tables, 12, [("lang", "string"), ("source", "string"), ("part", "string"), ("item", "string"), ("value", "bigint"), ("rank", "int")])
+    assert sorted(tuple(r)[:6] for r in rows) == by_hand_divergence([(lang, f"src{i % 4}", t) for i, t, lang in tables[1]], 10)
+
+
+def test_op13(spark, tables):
+    rows = run(spark, tables, 13, [("word", "string"), ("form", "string"), ("root", "string"), ("n", "bigint"), ("n_near", "bigint"), ("form_n", "bigint")])
+    assert sorted((r.word, r.form or "", r.root, r.n, r.n_near, r.form_n or 0) for r in rows) == by_hand_spelling([(i, t) for i, t, _ in tables[1]])
+
+
 def test_every_operator_has_one_query():
-    assert [name_of(n) for n in range(1, 11)] == list(Q) and set(queries.oracle_sql()) <= set(Q)
+    assert [name_of(n) for n in range(1, 14)] == list(Q) and set(queries.oracle_sql()) <= set(Q)
