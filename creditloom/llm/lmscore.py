@@ -7,11 +7,13 @@ documents. Counts come from every training document and every text is scored who
 
 Each task that reads documents packs them, in the order they come, into chunks of about CHUNK_BYTES, compressed, which are
 checkpointed: all passes see the same chunks, whatever the input's partitions would be another time, and no id, null or
-repeated, gathers its rows anywhere. A chunk sends its distinct words and bigrams, as hashes, each with its count in the
-chunk, to parts by hash range; a part adds them up and answers each chunk with
+repeated, gathers its rows anywhere. Deleted documents have chunks of their own, so the pass that learns the weights
+moves no others. A chunk sends its distinct words and bigrams, as hashes, each with its count in the
+chunk, to parts by hash range, one row a part; a part adds them up and answers each chunk with
 the corpus counts of just its own keys, in the order asked. So a word as common as any is one row a chunk, nothing of
 the vocabulary is broadcast, and no task holds more than a part or a chunk. Words are told apart by 64-bit hashes,
-bigrams by 48 bits. The driver holds the totals, and a table of held-out tokens by bucket and rounded probabilities.
+bigrams by 48 bits. Whatever is sent or kept is compressed, numbers byte by byte of their places.
+The driver holds the totals, and a table of held-out tokens by bucket and rounded probabilities.
 
 A null text is empty: it has the end token alone. A null id counts as training. Repeated rows are rows of their own, and
 score alike. A very long text is one row: its tokens are found in one task, a longer text than CHUNK_BYTES as a chunk of
@@ -35,7 +37,6 @@ from .bytesops import U64, cut_lineage, hashes, mix, slices, tidy, words
 CHUNK_BYTES, PART_BYTES, FOLDS, HELD_OUT, DELETED = 6 << 20, 12 << 20, 10, 0, 1
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 BUCKETS, STEPS, ROUNDS = 48, 4, 60
-UNI, BI = 0, 1
 
 
 def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,30 +60,39 @@ def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Rows (chunk, ids, folds, bytes, sizes, texts) of docs (id, fold, text), each some documents of one task; sizes and texts compressed."""
+    """Rows (chunk, deleted, ids, folds, bytes, sizes, texts) of docs (id, fold, text), each some documents of one task, all deleted or none; sizes and texts compressed."""
     kind = docs.schema["id"].dataType.simpleString()
 
     @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def one() -> pa.RecordBatch:
-            ids, folds = (pa.concat_arrays([x[k] for x in held]) for k in (0, 1))
-            data, sizes = np.concatenate([x[2] for x in held]), np.concatenate([np.diff(x[3]) for x in held])
+        task, number = TaskContext.get().partitionId(), 0
+        held: dict[bool, list] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def one(deleted: bool) -> pa.RecordBatch:
+            nonlocal number
+            taken, held[deleted], size[deleted] = held[deleted], [], 0
+            ids, folds = (pa.concat_arrays([x[k] for x in taken]) for k in (0, 1))
+            data, sizes = np.concatenate([x[2] for x in taken]), np.concatenate([np.diff(x[3]) for x in taken])
             listed = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, folds)]
-            blobs = [pa.array([_pack(x)], pa.binary()) for x in (sizes.astype("<i8"), data)]
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), *listed, pa.array([len(data)], pa.int64()), *blobs], ["chunk", "ids", "folds", "bytes", "sizes", "texts"])
+            blobs = [pa.array([x], pa.binary()) for x in (_pack(sizes.astype("<i8")), _pack_text(data))]
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number - 1]), pa.array([deleted]), *listed, pa.array([len(data)], pa.int64()), *blobs], ["chunk", "deleted", "ids", "folds", "bytes", "sizes", "texts"])
 
-        for part, data, off in slices(batches, "text", chunk_bytes):
-            if held and size + len(data) + part.num_rows > chunk_bytes:
-                yield one()
-                number, held, size = number + 1, [], 0
-            held.append((part.column(0), part.column(1), data, off))
-            size += len(data) + part.num_rows
-        if held:
-            yield one()
+        for batch in batches:
+            is_deleted = pc.equal(batch.column(1), DELETED)
+            for deleted, of in ((False, pc.invert(is_deleted)), (True, is_deleted)):
+                for part, data, off in slices(iter([batch.filter(of)]), "text", chunk_bytes):
+                    more = len(data) + part.num_rows
+                    if held[deleted] and size[deleted] + more > chunk_bytes:
+                        yield one(deleted)
+                    held[deleted].append((part.column(0), part.column(1), data, off))
+                    size[deleted] += more
+        for deleted in held:
+            if held[deleted]:
+                yield one(deleted)
 
-    return docs.select("id", "fold", "text").mapInArrow(pack, f"chunk bigint, ids array<{kind}>, folds array<int>, bytes bigint, sizes binary, texts binary")
+    return docs.select("id", "fold", "text").mapInArrow(pack, f"chunk bigint, deleted boolean, ids array<{kind}>, folds array<int>, bytes bigint, sizes binary, texts binary")
 
 
 def unpack(table: pa.Table) -> Iterator[tuple[int, pa.Table]]:
@@ -90,16 +100,23 @@ def unpack(table: pa.Table) -> Iterator[tuple[int, pa.Table]]:
     for k in range(table.num_rows):
         ids, folds = (table.column(c).combine_chunks().slice(k, 1).flatten() for c in ("ids", "folds"))
         off = np.concatenate(([0], np.cumsum(_unpack(table.column("sizes")[k].as_py(), "<i8", len(folds)))))
-        data = _unpack(table.column("texts")[k].as_py(), "u1", table.column("bytes")[k].as_py())
+        data = np.frombuffer(pa.decompress(table.column("texts")[k].as_py(), table.column("bytes")[k].as_py(), codec="zstd"), "u1")
         yield table.column("chunk")[k].as_py(), pa.table({"id": ids, "fold": folds, "text": pa.Array.from_buffers(pa.large_string(), len(folds), [None, pa.py_buffer(off), pa.py_buffer(data)])})
 
 
+def _pack_text(data: np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=6).compress(np.ascontiguousarray(data), asbytes=True)
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True)
+    """Numbers, compressed: the lowest bytes of all, then the next ones."""
+    return pa.compress(np.ascontiguousarray(np.ascontiguousarray(x).view("u1").reshape(len(x), x.itemsize).T), codec="zstd", asbytes=True)
 
 
 def _unpack(x: bytes, kind: str, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd"), kind)
+    wide = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(x, n * wide, codec="zstd"), "u1").reshape(wide, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
 
 
 def _pack_counts(x: np.ndarray) -> dict:
@@ -109,15 +126,12 @@ def _pack_counts(x: np.ndarray) -> dict:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys: the first, then steps of 4 bytes where all fit."""
-    step = np.diff(keys)
-    small = not len(step) or step.max() < U64(1 << 32)
-    return keys[:1].tobytes() + (step.astype("<u4") if small else step).tobytes()
+    """Sorted keys as steps from each to the next."""
+    return _pack(np.diff(keys, prepend=U64(0)).astype("<u8"))
 
 
 def unpack_keys(x: bytes, n: int) -> np.ndarray:
-    step = np.frombuffer(x, "<u4" if len(x) == 8 + 4 * (n - 1) and n > 1 else "<u8", offset=8)
-    return np.cumsum(np.concatenate((np.frombuffer(x, "<u8", 1), step.astype(U64))), dtype=U64)
+    return np.cumsum(_unpack(x, "<u8", n), dtype=U64)
 
 
 def _cuts(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
@@ -126,69 +140,69 @@ def _cuts(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, border), [len(keys)]))
 
 
-_ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("main", pa.binary()), ("deleted", pa.binary())])
-_ASK_SQL = "part int, chunk bigint, kind int, n bigint, keys binary, main binary, deleted binary"
-_ANSWER = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("wide", pa.bool_()), ("counts", pa.binary()), ("total", pa.int64()), ("main_total", pa.int64()), ("types", pa.int64()), ("main_types", pa.int64())])
-_ANSWER_SQL = "chunk bigint, part int, kind int, n bigint, wide boolean, counts binary, total bigint, main_total bigint, types bigint, main_types bigint"
+_ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("deleted", pa.bool_()), ("words", pa.int64()), ("pairs", pa.int64()), ("word_keys", pa.binary()), ("pair_keys", pa.binary()), ("counts", pa.binary())])
+_ASK_SQL = "part int, chunk bigint, deleted boolean, words bigint, pairs bigint, word_keys binary, pair_keys binary, counts binary"
+_ANSWER = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("words", pa.int64()), ("n", pa.int64()), ("wide", pa.bool_()), ("counts", pa.binary()), ("totals", pa.list_(pa.int64()))])
+_ANSWER_SQL = "chunk bigint, part int, kind int, words bigint, n bigint, wide boolean, counts binary, totals array<bigint>"
+TOTALS, TRAIN, MAIN = -1, 0, 1
 
 
 def corpus_counts(chunked: DataFrame, parts: int) -> DataFrame:
-    """Answers (chunk, part, kind, n, counts) to all chunks, and one row of totals for each part (chunk null).
+    """Answers (chunk, part, kind, words, n, counts) to all chunks, and one row of totals for each part (chunk null).
 
-    kind 0 and 1: training counts of the chunk's distinct words and bigrams; 2 and 3: the counts without the deleted
-    documents, of those of the chunk's keys that its deleted documents hold.
+    Counts are those of the chunk's distinct words, then of its bigrams. kind TRAIN: in all training documents; MAIN, for
+    chunks of deleted documents alone: in the training documents that are not deleted.
     """
 
     @tidy
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, table in unpack(pa.Table.from_batches([batch])):
-                yield from ask(chunk, table).to_batches()
+            for deleted, (chunk, table) in zip(batch.column(batch.schema.get_field_index("deleted")).to_pylist(), unpack(pa.Table.from_batches([batch])), strict=True):
+                yield from ask(chunk, deleted, table).to_batches()
 
-    def ask(chunk: int, table: pa.Table) -> pa.Table:
+    def ask(chunk: int, deleted: bool, table: pa.Table) -> pa.Table:
         word, pair, at = tokens(table)
-        fold, out = np.repeat(table.column("fold").to_numpy(), np.diff(at)), []
-        for kind, every, bits in ((UNI, word, 64), (BI, pair, 48)):
+        train, found = np.repeat(table.column("fold").to_numpy() != HELD_OUT, np.diff(at)), []
+        for every, bits in ((word, 64), (pair, 48)):
             keys, which = np.unique(every, return_inverse=True)
-            main = np.bincount(which, (fold != HELD_OUT) & (fold != DELETED), len(keys)).astype("<u4")
-            deleted = np.bincount(which, fold == DELETED, len(keys)).astype("<u4")
-            cuts = _cuts(keys, parts, bits)
-            for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if b > a:
-                    out.append({"part": part, "chunk": chunk, "kind": kind, "n": b - a, "keys": pack_keys(keys[a:b]), "main": _pack(main[a:b]), "deleted": _pack(deleted[a:b])})
+            found.append((keys, np.bincount(which, train, len(keys)).astype("<u4"), _cuts(keys, parts, bits).tolist()))
+        (words, word_counts, at_word), (pairs, pair_counts, at_pair) = found
+        out = []
+        for part, (a, b, c, d) in enumerate(zip(at_word[:-1], at_word[1:], at_pair[:-1], at_pair[1:], strict=True)):
+            if b > a or d > c:
+                counts = np.concatenate((word_counts[a:b], pair_counts[c:d]))
+                out.append({"part": part, "chunk": chunk, "deleted": deleted, "words": b - a, "pairs": d - c, "word_keys": pack_keys(words[a:b]), "pair_keys": pack_keys(pairs[c:d]), "counts": _pack(counts)})
         return pa.Table.from_pylist(out, schema=_ASK)
 
     def answer(table: pa.Table) -> pa.Table:
-        out, part = [], table.column("part")[0].as_py()
-        for kind in (UNI, BI):
-            rows = [r for b in table.to_batches() for r in b.to_pylist() if r["kind"] == kind]
-            if not rows:
-                continue
-            sizes = np.array([r["n"] for r in rows])
-            keys, which = np.unique(np.concatenate([unpack_keys(r.pop("keys"), r["n"]) for r in rows]), return_inverse=True)
-            main = np.bincount(which, np.concatenate([_unpack(r.pop("main"), "<u4", r["n"]) for r in rows]), len(keys)).astype(np.int64)
-            deleted = np.concatenate([_unpack(r.pop("deleted"), "<u4", r["n"]) for r in rows])
-            train = main + np.bincount(which, deleted, len(keys)).astype(np.int64)
-            at = np.concatenate(([0], np.cumsum(sizes)))
-            for r, a, b in zip(rows, at[:-1], at[1:], strict=True):
-                held = which[a:b][deleted[a:b] > 0]
-                out.append({"chunk": r["chunk"], "part": part, "kind": kind} | _pack_counts(train[which[a:b]]))
-                out.append({"chunk": r["chunk"], "part": part, "kind": kind + 2} | _pack_counts(main[held]))
-            if kind == UNI:
-                out.append({"part": part, "kind": -1, "total": int(train.sum()), "main_total": int(main.sum()), "types": int((train > 0).sum()), "main_types": int((main > 0).sum())})
+        rows = [r for b in table.to_batches() for r in b.to_pylist()]
+        part, deleted = rows[0]["part"], np.array([r["deleted"] for r in rows])
+        counts = [_unpack(r.pop("counts"), "<u4", r["words"] + r["pairs"]) for r in rows]
+        found, totals = [], []
+        for name, side in (("word", [c[: r["words"]] for c, r in zip(counts, rows, strict=True)]), ("pair", [c[r["words"] :] for c, r in zip(counts, rows, strict=True)])):
+            sizes, n = np.array([len(x) for x in side]), np.concatenate(side)
+            keys, which = np.unique(np.concatenate([unpack_keys(r.pop(f"{name}_keys"), k) for r, k in zip(rows, sizes.tolist(), strict=True)]), return_inverse=True)
+            train = np.bincount(which, n, len(keys)).astype(np.int64)
+            main = np.bincount(which, np.where(np.repeat(deleted, sizes), 0, n), len(keys)).astype(np.int64)
+            found.append((which, np.concatenate(([0], np.cumsum(sizes))).tolist(), train, main))
+            totals = totals or [int(train.sum()), int(main.sum()), int((train > 0).sum()), int((main > 0).sum())]
+        out = [{"part": part, "kind": TOTALS, "totals": totals}]
+        for k, r in enumerate(rows):
+            for kind in (TRAIN, MAIN) if r["deleted"] else (TRAIN,):
+                own = [(train if kind == TRAIN else main)[which[at[k] : at[k + 1]]] for which, at, train, main in found]
+                out.append({"chunk": r["chunk"], "part": part, "kind": kind, "words": r["words"]} | _pack_counts(np.concatenate(own)))
         return pa.Table.from_pylist(out, schema=_ANSWER)
 
     return chunked.mapInArrow(asked, _ASK_SQL).groupBy("part").applyInArrow(answer, _ANSWER_SQL)
 
 
-def _counts(answers: pa.Table, kinds: tuple[int, int], word: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counts(answers: pa.Table, word: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The answered count of each token and of each bigram."""
-    rows = sorted((r for r in answers.to_pylist() if r["kind"] in kinds), key=lambda r: (r["kind"], r["part"]))
-    out = []
-    for kind, every in zip(kinds, (word, pair), strict=True):
-        counts = [_unpack(r["counts"], "<u8" if r["wide"] else "<u4", r["n"]) for r in rows if r["kind"] == kind and r["n"]]
-        out.append(np.concatenate(counts)[np.unique(every, return_inverse=True)[1]].astype(np.int64))
-    return out[0], out[1]
+    rows = sorted(answers.to_pylist(), key=lambda r: r["part"])
+    counts = [_unpack(r["counts"], "<u8" if r["wide"] else "<u4", r["n"]) for r in rows]
+    sides = [c[: r["words"]] for c, r in zip(counts, rows, strict=True)], [c[r["words"] :] for c, r in zip(counts, rows, strict=True)]
+    c1, c2 = (np.concatenate(side)[np.unique(every, return_inverse=True)[1]].astype(np.int64) for side, every in zip(sides, (word, pair), strict=True))
+    return c1, c2
 
 
 def _contexts(c: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -235,31 +249,28 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     chunked = cut_lineage(chunks(docs.select(F.col(id_col).alias("id"), fold.alias("fold"), text.alias("text")), chunk_bytes))
     size = chunked.agg(F.sum(F.col("bytes") + F.size("ids"))).first()[0] or 1
     answers = cut_lineage(corpus_counts(chunked, -(-size // part_bytes)))
-    total = answers.where("kind = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "main_total", "types", "main_types"))).first()
-    n, v, n_main, v_main = total["total"], total["types"], total["main_total"], total["main_types"]
+    n, n_main, v, v_main = answers.where(F.col("kind") == TOTALS).agg(*(F.coalesce(F.sum(F.col("totals")[k]), F.lit(0)) for k in range(4))).first()
 
     def level(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.minimum(np.rint(-np.log2(np.maximum(p, 1e-300)) * STEPS), 1000) + 1, 0).astype(np.int64)
 
     def held(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         _, table = next(unpack(table))
-        word, pair, at = tokens(table.filter(pc.equal(table.column("fold"), DELETED)))
-        c1, c2 = _counts(counts, (2, 3), word, pair)
+        word, pair, at = tokens(table)
+        c1, c2 = _counts(counts, word, pair)
         context = _contexts(c1, word, at)
         cells, many = np.unique(_bucket(context) << 20 | level(c2 / np.maximum(context, 1)) << 10 | level(c1 / max(n_main, 1)), return_counts=True)
         return pa.table({"cell": cells, "n": many})
 
-    deleted = chunked.where(F.array_contains("folds", DELETED)).groupBy("chunk").cogroup(answers.where("kind in (2, 3)").select("chunk", "part", "kind", "n", "wide", "counts").groupBy("chunk"))
-    cells = deleted.applyInArrow(held, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    answered = lambda kind: answers.where(F.col("kind") == kind).select("chunk", "part", "words", "n", "wide", "counts").groupBy("chunk")
+    cells = chunked.where("deleted").groupBy("chunk").cogroup(answered(MAIN)).applyInArrow(held, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights([tuple(r) for r in cells], 1 / (v_main + 1))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def score(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
         _, table = next(unpack(table))
         word, pair, at = tokens(table)
-        c1, c2 = _counts(counts, (UNI, BI), word, pair)
+        c1, c2 = _counts(counts, word, pair)
         context = _contexts(c1, word, at)
         a = weights[_bucket(context)]
         p = a[:, 0] * c2 / np.maximum(context, 1) + a[:, 1] * c1 / max(n, 1) + a[:, 2] / (v + 1)
@@ -269,8 +280,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             "train_tokens": np.full(len(at) - 1, n), "base_score": np.add.reduceat(base, at[:-1]), "score": np.add.reduceat(np.log10(p), at[:-1]),
         })
 
-    both = chunked.groupBy("chunk").cogroup(answers.where("kind in (0, 1)").select("chunk", "part", "kind", "n", "wide", "counts").groupBy("chunk"))
-    return both.applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return chunked.groupBy("chunk").cogroup(answered(TRAIN)).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,26 @@ def test_keys_survive_packing():
         assert np.array_equal(lmscore.unpack_keys(lmscore.pack_keys(keys), len(keys)), keys)
 
 
+def test_far_keys_are_sent_in_about_the_bytes_of_their_steps():
+    rng = np.random.default_rng(1)
+    for bits, most in ((48, 5.2), (64, 7.2)):  # 5,000 steps average 36 and 52 bits
+        keys = np.unique(rng.integers(0, 1 << bits, 5000, dtype=np.uint64))
+        assert len(lmscore.pack_keys(keys)) < most * len(keys)
+    counts = rng.geometric(0.1, 5000)
+    assert len(lmscore._pack_counts(counts)["counts"]) < 0.85 * len(counts)
+
+
+def test_deleted_documents_alone_are_moved_for_the_weights(spark):
+    df = spark.range(5000).selectExpr("id", "cast(id % 10 as int) as fold", "concat('some words of text ', id) as text").repartition(4)
+    rows = lmscore.chunks(df, 20_000).collect()
+    kinds = [{f == lmscore.DELETED for f in r.folds} for r in rows]
+    assert all(k == {r.deleted} for k, r in zip(kinds, rows, strict=True)) and sum(len(r.ids) for r in rows if r.deleted) == 500
+    assert sorted(i for r in rows for i in r.ids) == list(range(5000))
+    answers = lmscore.corpus_counts(spark.createDataFrame(rows, lmscore.chunks(df, 20_000).schema), 3).collect()
+    assert {r.chunk for r in answers if r.kind == lmscore.MAIN} == {r.chunk for r in rows if r.deleted}
+    assert len(answers) <= 3 * (len(rows) + sum(r.deleted for r in rows) + 1)
+
+
 def test_counts_beyond_32_bits_survive_packing():
     for counts in ([], [3, 0], [7, (1 << 32) - 1], [1, 1 << 32, 5 << 40]):
         row = lmscore._pack_counts(np.array(counts, np.int64))
