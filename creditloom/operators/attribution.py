@@ -33,9 +33,14 @@ def realised(panel: DataFrame, active: DataFrame, cutoff: str, until: str | None
         bad = bad.where(F.col("as_of_month") <= F.lit(until).cast("date"))
     bad = bad.select("loan_id", "as_of_month", "upb_bom", "net_sales_proceeds", "foreclosure_costs")
     bad = joins.checked(bad, start, ["loan_id"], "realised losses by snapshot", complete=False)
-    held = F.when(F.col("start_balance") > 0, F.col("start_balance")).otherwise(F.raise_error(F.lit("a realised default is absent from the snapshot")).cast("double"))
+    return bad.groupBy(F.year("as_of_month").alias("year")).agg(*[F.sum(x).alias(name) for name, x in outcome(F.col("start_balance")).items()])
+
+
+def outcome(start: Column) -> dict[str, Column]:
+    """What came of an active loan in the row of its charge-off, to be added up, by its balance at the cutoff."""
+    held = F.when(start > 0, start).otherwise(F.raise_error(F.lit("a realised default is absent from the snapshot")).cast("double"))
     loss = F.greatest((F.col("upb_bom") - F.coalesce("net_sales_proceeds", F.lit(0)) + F.coalesce("foreclosure_costs", F.lit(0))).cast("double"), F.lit(0.0))
-    return bad.groupBy(F.year("as_of_month").alias("year")).agg(F.count("*").alias("realised_defaults"), F.sum(held).alias("realised_default_balance"), F.sum(F.col("upb_bom").cast("double")).alias("realised_exposure"), F.sum(loss).alias("realised_loss"))
+    return {"realised_defaults": F.lit(1), "realised_default_balance": held, "realised_exposure": F.col("upb_bom").cast("double"), "realised_loss": loss}
 
 
 def by_year(detail: DataFrame, cutoff: str) -> DataFrame:

@@ -26,10 +26,14 @@ def exposure() -> Column:
     return F.greatest(known, F.lit(0.0))
 
 
+def is_active(cutoff: str, s: Settings) -> Column:
+    gone = F.coalesce(F.col("exit_reason").isin(*s.absorbing, "Censored"), F.lit(False))
+    return (F.col("as_of_month") == F.lit(cutoff).cast("date")) & ~gone
+
+
 def active_at(panel: DataFrame, cutoff: str, s: Settings) -> DataFrame:
     """Rows of the loans seen in the cutoff month itself that neither exit nor are censored in it. A filter, without a shuffle."""
-    gone = F.coalesce(F.col("exit_reason").isin(*s.absorbing, "Censored"), F.lit(False))
-    return panel.where((F.col("as_of_month") == F.lit(cutoff).cast("date")) & ~gone)
+    return panel.where(is_active(cutoff, s))
 
 
 def active_panel(panel: DataFrame, cutoff: str, s: Settings) -> DataFrame:
@@ -46,13 +50,21 @@ def segments(active: DataFrame, terms: DataFrame, by: tuple[str, ...] = ("score_
     several = F.when(F.count("*") > 1, F.raise_error(F.lit("a loan has several acquisition rows")).cast("double"))
     one = terms.groupBy("loan_id").agg(F.coalesce(several, F.first("orig_interest_rate").cast("double")).alias("orig_interest_rate"), F.first("original_term").alias("original_term"))
     rows = active.select("loan_id", "delinquency_state", "months_on_book", "upb_bom", "upb_eom", *by).withColumn("b", exposure()).where("b > 0").join(one, "loan_id", "left")
+    measures = [F.sum(x).alias(name) for name, x in snapshot(F.col("b")).items()]
+    return segments_of(rows.groupBy(*by, "delinquency_state").agg(*measures), by)
+
+
+def snapshot(b: Column) -> dict[str, Column]:
+    """What segments_of() needs of an active row with its terms and an exposure above 0, to be added up."""
     lacking = "the snapshot lacks acquisition terms"
     left = F.greatest(needed("original_term", lacking) - F.col("months_on_book"), F.lit(1))
-    b = F.col("b")
+    return {"sb": b, "n": F.lit(1), "r": b * needed("orig_interest_rate", lacking), "m": b * F.col("months_on_book"), "t": b * left}
+
+
+def segments_of(sums: DataFrame, by: tuple[str, ...] = ("score_band", "vintage_year")) -> DataFrame:
+    """segments() from rows (keys, delinquency_state and sums of snapshot()), several of the same keys and state or one."""
     keys = [needed(c, f"an active loan has no {c}").alias(c) for c in by]
-    states = rows.groupBy(*keys, "delinquency_state").agg(
-        F.sum("b").alias("sb"), F.count("*").alias("n"), F.sum(b * needed("orig_interest_rate", lacking)).alias("r"), F.sum(b * F.col("months_on_book")).alias("m"), F.sum(b * left).alias("t")
-    )
+    states = sums.groupBy(*keys, "delinquency_state").agg(*[F.sum(c).alias(c) for c in ("sb", "n", "r", "m", "t")])
     one = states.groupBy(*by).agg(
         F.sum("sb").alias("balance"), F.sum("n").alias("loans"), F.sum("r").alias("r"), F.sum("m").alias("m"), F.sum("t").alias("t"), F.map_from_entries(F.collect_list(F.struct("delinquency_state", "sb"))).alias("mix")
     )

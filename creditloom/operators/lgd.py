@@ -12,9 +12,13 @@ from creditloom.functions import columns as C
 def observations(panel: DataFrame) -> DataFrame:
     """Charge-offs with their recovery, between 0 and 1."""
     C.need(panel.columns, "exit_reason", "upb_bom", "net_sales_proceeds", "foreclosure_costs", "score_band", "hpi_change_yoy")
-    net = F.coalesce("net_sales_proceeds", F.lit(0)).cast("double") - F.coalesce("foreclosure_costs", F.lit(0)).cast("double")
     rows = panel.where((F.col("exit_reason") == "ChargeOff") & (F.col("upb_bom") > 0))
-    return rows.withColumn("recovery", C.clip(net / F.col("upb_bom").cast("double"), 0.0, 1.0))
+    return rows.withColumn("recovery", recovery())
+
+
+def recovery() -> Column:
+    net = F.coalesce("net_sales_proceeds", F.lit(0)).cast("double") - F.coalesce("foreclosure_costs", F.lit(0)).cast("double")
+    return C.clip(net / F.col("upb_bom").cast("double"), 0.0, 1.0)
 
 
 def fit(rows: DataFrame, least: int = 20, fallback_lgd: float = 0.45) -> DataFrame:
@@ -23,6 +27,20 @@ def fit(rows: DataFrame, least: int = 20, fallback_lgd: float = 0.45) -> DataFra
     s = rows.where("score_band is not null and hpi_change_yoy is not null").groupBy("score_band").agg(
         F.count("*").alias("n"), F.countDistinct("hpi_change_yoy").alias("levels"), F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy")
     )
+    return _solved(s, least, fallback_lgd)
+
+
+def fit_levels(levels: DataFrame, least: int = 20, fallback_lgd: float = 0.45) -> DataFrame:
+    """fit() from sums (score_band, hpi_change_yoy, n, w, wy) of observations, their balances and balances times recoveries."""
+    x = F.col("hpi_change_yoy")
+    one = levels.where("score_band is not null and hpi_change_yoy is not null and n > 0").groupBy("score_band", "hpi_change_yoy").agg(*[F.sum(c).alias(c) for c in ("n", "w", "wy")])
+    s = one.groupBy("score_band").agg(
+        F.sum("n").alias("n"), F.count("*").alias("levels"), F.sum("w").alias("w"), F.sum(F.col("w") * x).alias("wx"), F.sum("wy").alias("wy"), F.sum(F.col("w") * x * x).alias("wxx"), F.sum(F.col("wy") * x).alias("wxy")
+    )
+    return _solved(s, least, fallback_lgd)
+
+
+def _solved(s: DataFrame, least: int, fallback_lgd: float) -> DataFrame:
     bad = (F.col("n") < least) | (F.col("levels") < 2)
     slope = F.try_divide(F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy"), F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx"))
     s = s.withColumn("slope", F.when(bad, 0.0).otherwise(slope))

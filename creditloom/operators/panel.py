@@ -18,8 +18,8 @@ class PanelError(RuntimeError):
 CHECKS = ("_vendor_mob_mismatch", "_unknown_zero_balance_code", "_gap", "_terminal_not_last", "_terminals", "_duplicate_key", "_last")
 
 
-def build(acquisition: DataFrame, performance: DataFrame, macro: DataFrame, s: Settings) -> DataFrame:
-    """One row an account and month.
+def build(acquisition: DataFrame, performance: DataFrame, macro: DataFrame, s: Settings, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row an account and month, with the columns to be carried over from the acquisition.
 
     current_upb is the balance at the month's begin and the state that at its end. One sort by loan and month serves
     all windows: the last row is the one without a next, and a repeated month equals its neighbour. The windows come
@@ -47,10 +47,10 @@ def build(acquisition: DataFrame, performance: DataFrame, macro: DataFrame, s: S
         F.when(F.col("exit_reason").isNull(), F.lead("delinquency_state").over(order)).alias("next_delinquency_state"),
         F.count("exit_reason").over(whole).alias("_terminals"),
     )
-    loans = acquisition.select("loan_id", "origination_month", "orig_score", "orig_ltv", "property_state", "vintage_year")
+    loans = acquisition.select("loan_id", "origination_month", F.date_format("origination_month", "yyyy-MM").alias("_vintage"), "orig_score", "orig_ltv", "property_state", "vintage_year", *carried)
     rows = rows.join(loans, "loan_id").withColumn("months_on_book", C.months_apart("as_of_month", "origination_month"))
     rows = rows.select(
-        "loan_id", "as_of_month", F.date_format("origination_month", "yyyy-MM").alias("vintage"), "vintage_year", "months_on_book", F.col("loan_age").alias("vendor_loan_age"),
+        "loan_id", "as_of_month", F.col("_vintage").alias("vintage"), "vintage_year", "months_on_book", F.col("loan_age").alias("vendor_loan_age"),
         C.mob_band("months_on_book", s).alias("mob_band"), "delinquency_state", "previous_delinquency_state", "next_delinquency_state", F.col("current_upb").alias("upb_bom"),
         F.when(F.col("exit_reason").isin(*s.absorbing), F.lit(0).cast(rows.schema["current_upb"].dataType)).when(F.col("exit_reason").isNull(), F.col("_next_upb")).alias("upb_eom"),
         "orig_score", C.score_band("orig_score", s).alias("score_band"), "orig_ltv", "property_state", "net_sales_proceeds", "foreclosure_costs", "exit_reason",
@@ -59,7 +59,7 @@ def build(acquisition: DataFrame, performance: DataFrame, macro: DataFrame, s: S
         (~C.is_blank("zero_balance_code") & C.lookup("zero_balance_code", s.codes).isNull()).alias("_unknown_zero_balance_code"),
         F.coalesce(F.months_between("as_of_month", "_previous_month") != 1, F.lit(False)).alias("_gap"),
         F.coalesce(F.col("as_of_month") == F.col("_previous_month"), F.lit(False)).alias("_duplicate_key"),
-        (F.col("exit_reason").isNotNull() & ~F.col("_last")).alias("_terminal_not_last"), "_terminals", "_last",
+        (F.col("exit_reason").isNotNull() & ~F.col("_last")).alias("_terminal_not_last"), "_terminals", "_last", *carried,
     )
     return M.join(rows, macro)
 

@@ -44,8 +44,8 @@ def matrix(counts: DataFrame, s: Settings) -> DataFrame:
 
     Rows add up to 1. Absorbing states stay; an origin never seen stays with probability 1.
     """
-    states = counts.sparkSession.createDataFrame([(i, x) for i, x in enumerate(s.states)], "i int, state string")
-    grid = states.select(F.col("state").alias("origin")).crossJoin(states.select(F.col("state").alias("destination")))  # states by states, a fixed number
+    states = F.array(*map(F.lit, s.states))
+    grid = counts.sparkSession.range(0, 1, 1, 1).select(F.explode(states).alias("origin")).select("origin", F.explode(states).alias("destination"))  # states by states, a fixed number
     sums = counts.groupBy(F.col("delinquency_state").alias("origin"), F.col("next_delinquency_state").alias("destination")).agg(F.sum("transition_count").alias("n"))
     full = grid.join(sums, ["origin", "destination"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(Window.partitionBy("origin"))

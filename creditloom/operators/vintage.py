@@ -31,16 +31,22 @@ def triangle(panel: DataFrame, acquisition: DataFrame, grain: str, cutoff: str |
     its constituent months' last ages. The panel is read once: what is added up by month of origination and age also
     tells each month's last age.
     """
-    off = F.col("exit_reason") == "ChargeOff"
     recovery = F.coalesce("net_sales_proceeds", F.lit(0)) - F.coalesce("foreclosure_costs", F.lit(0))
-    cells = as_of(panel, cutoff).groupBy("vintage", "months_on_book").agg(
-        F.count("*").alias("accounts_active"),
-        F.count_if(off).alias("chargeoff_accounts"),
-        F.sum("upb_bom").alias("balance_active"),
-        C.sum_if(off, "upb_bom").alias("gross_chargeoff_dollars"),
-        C.sum_if(off, recovery).alias("recovery_dollars"),
-        C.sum_if(F.col("exit_reason") == "Prepaid", "upb_bom").alias("prepay_dollars"),
-        C.sum_if(F.col("exit_reason") == "Repurchased", "upb_bom").alias("repurchase_dollars"),
+    cells = as_of(panel, cutoff).groupBy("vintage", "months_on_book", "exit_reason").agg(F.count("*").alias("n"), F.sum("upb_bom").alias("upb"), F.sum(recovery).alias("recovery"))
+    return triangle_of(cells, acquisition, grain)
+
+
+def triangle_of(sums: DataFrame, acquisition: DataFrame, grain: str) -> DataFrame:
+    """triangle() from sums (vintage, months_on_book, exit_reason, n, upb, recovery) of the panel's rows; recovery counts for charge-offs."""
+    off, money = F.col("exit_reason") == "ChargeOff", sums.schema["upb"].dataType
+    cells = sums.groupBy("vintage", "months_on_book").agg(
+        F.sum("n").alias("accounts_active"),
+        F.coalesce(C.sum_if(off, "n"), F.lit(0)).alias("chargeoff_accounts"),
+        F.sum("upb").cast(money).alias("balance_active"),
+        C.sum_if(off, "upb").cast(money).alias("gross_chargeoff_dollars"),
+        C.sum_if(off, "recovery").cast(sums.schema["recovery"].dataType).alias("recovery_dollars"),
+        C.sum_if(F.col("exit_reason") == "Prepaid", "upb").cast(money).alias("prepay_dollars"),
+        C.sum_if(F.col("exit_reason") == "Repurchased", "upb").cast(money).alias("repurchase_dollars"),
     )
     # From here on a row a month of origination and age.
     cohort = C.cohort(F.to_date(F.concat("vintage", F.lit("-01"))), grain)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions import columns as C
-from creditloom.operators import attribution, conditional, ecl, forecast, lgd, macro, monitoring, panel, quality, quantiles, scenarios, transitions, vintage
+from creditloom.operators import attribution, conditional, ecl, facts, forecast, lgd, macro, monitoring, panel, quality, quantiles, scenarios, transitions, vintage
 from creditloom.plans import lens as L
 from creditloom.sources import tables
 
@@ -542,27 +542,23 @@ UNTIL = "2011-05-01"
 
 
 class Parts:
-    """The report-sized tables that forecasts start from, drawn from one pass over the panel: its columns in need are kept for it."""
+    """The report-sized tables that forecasts start from, drawn from sums of one pass over the panel."""
 
     def __init__(self, x: L.Lens, *wanted: str):
         s = x.settings
         draw = {
-            "segs": lambda rows: ecl.segments(ecl.active_at(rows, L.CUTOFF, s), x.acquisition()),
-            "matrix": lambda rows: transitions.matrix(transitions.cube(rows), s),
-            "early_matrix": lambda rows: transitions.matrix(transitions.cube(rows.where(F.col("as_of_month") <= F.lit(L.CUTOFF).cast("date"))), s),
-            "hazards": lambda rows: transitions.hazards(transitions.cube(rows), s),
-            "coefs": lambda rows: lgd.fit(lgd.observations(rows), fallback_lgd=s.fallback_lgd),
-            "early_coefs": lambda rows: lgd.fit(lgd.observations(rows.where(F.col("as_of_month") <= F.lit(L.CUTOFF).cast("date"))), fallback_lgd=s.fallback_lgd),
-            "found": lambda rows: attribution.realised(rows, ecl.active_at(rows, L.CUTOFF, s), L.CUTOFF, UNTIL),
-            "ultimates": lambda rows: vintage.ultimates(vintage.project(vintage.curves(vintage.triangle(rows, x.acquisition(), "quarterly", L.CUTOFF), L.MATURITY), L.MATURITY), L.MATURITY),
+            "segs": facts.segments,
+            "matrix": lambda sums: transitions.matrix(facts.transition_counts(sums), s),
+            "early_matrix": lambda sums: transitions.matrix(facts.transition_counts(sums, L.CUTOFF), s),
+            "hazards": lambda sums: transitions.hazards(facts.transition_counts(sums), s),
+            "coefs": lambda sums: facts.loss_fit(sums, s),
+            "early_coefs": lambda sums: facts.loss_fit(sums, s, L.CUTOFF),
+            "found": facts.realised,
+            "ultimates": lambda sums: vintage.ultimates(vintage.project(vintage.curves(facts.triangle(sums, x.acquisition(), "quarterly", L.CUTOFF), L.MATURITY), L.MATURITY), L.MATURITY),
         }
         self.x = x
-        panel = x.panel().select(*PARTS)
-        if len(wanted) == 1:
-            self.tables = {wanted[0]: L.local(draw[wanted[0]](panel))}
-        else:
-            with L.kept(panel) as rows:
-                self.tables = {w: L.local(draw[w](rows)) for w in wanted}
+        with L.kept(facts.gather(x.panel("orig_interest_rate", "original_term"), L.CUTOFF, UNTIL, s)) as sums:
+            self.tables = {w: L.local(draw[w](sums)) for w in wanted}
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.tables[name]

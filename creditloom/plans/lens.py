@@ -62,12 +62,12 @@ class Lens:
     def performance(self, loans: DataFrame | None = None) -> DataFrame:
         order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
         lines = self.table("lineitem").select(
-            "l_orderkey", "l_linenumber", "l_returnflag", (F.row_number().over(order) - 1).alias("n"), (30 * (F.floor("l_quantity").cast("int") % 7)).alias("dpd"), _cents("l_extendedprice").alias("upb"),
+            "l_orderkey", "l_linenumber", "l_returnflag", (F.row_number().over(order) - 1).alias("n"), F.lead(F.lit(True)).over(order).isNull().alias("final"), (30 * (F.floor("l_quantity").cast("int") % 7)).alias("dpd"), _cents("l_extendedprice").alias("upb"),
             F.round(F.col("l_discount") * 100).cast("long").alias("d"), F.round(F.col("l_tax") * 100).cast("long").alias("t"),
         )
         stop = F.min(F.when(F.col("dpd") == 180, F.col("n"))).over(Window.partitionBy("l_orderkey"))
         kept = lines.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("n") <= F.col("stop")))
-        last = F.lead("n").over(Window.partitionBy("l_orderkey").orderBy("n")).isNull()
+        last = F.coalesce(F.col("n") == F.col("stop"), F.col("final"))
         flag = F.when(F.col("l_linenumber") == 7, "06").when(F.col("l_returnflag") == "A", "01").when(F.col("l_returnflag") == "R", "03")
         kept = kept.withColumn("code", F.when(last, flag))
         start = (self.acquisition() if loans is None else loans).select(F.col("loan_id").alias("l_orderkey"), "origination_month")
@@ -101,12 +101,12 @@ class Lens:
     def macro_features(self) -> DataFrame:
         return M.features(self.macro(), self.settings.macro_lags)
 
-    def checked_panel(self) -> DataFrame:
+    def checked_panel(self, *carried: str) -> DataFrame:
         loans = self.acquisition()
-        return P.build(loans, self.performance(loans), self.macro_features(), self.settings)
+        return P.build(loans, self.performance(loans), self.macro_features(), self.settings, carried)
 
-    def panel(self) -> DataFrame:
-        return P.public(self.checked_panel())
+    def panel(self, *carried: str) -> DataFrame:
+        return P.public(self.checked_panel(*carried))
 
 
 def _band_sql(x: str, edges: tuple[int, ...], prefix: str) -> str:
