@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,10 +28,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def _powers_anew(base: int, n: int) -> np.ndarray:
     out = np.full(n, U64(base))
     out[:1] = 1
-    return np.multiply.accumulate(out)
+    np.multiply.accumulate(out, out=out)
+    out.flags.writeable = False
+    return out
+
+
+_kept_powers = functools.lru_cache(maxsize=4)(_powers_anew)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers; those of slices' usual lengths are kept by the Python worker."""
+    kept = (1 << 20) + 1
+    return _kept_powers(base, kept)[:n] if n <= kept else _powers_anew(base, n)
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * _GOLD)
@@ -103,12 +115,25 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
+def prefix_sums(data: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """Sums of the polynomial over random byte values that span_hashes() reads. seed 1: other byte values."""
+    values = _BYTE_AGAIN if seed else _BYTE_LOWER if lower else _BYTE
+    sums = np.empty(len(data) + 1, U64)
+    sums[0] = 0
+    np.take(values, data, out=sums[1:], mode="clip")  # bytes are in range; other modes copy
+    sums[1:] *= _powers(_R, len(data))
+    np.cumsum(sums[1:], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, from the prefix_sums() of the bytes, mixed with the length."""
+    return mix((sums[ends] - sums[starts]) * _powers(_R_INV, len(sums))[starts] + (ends - starts).astype(U64) * _GOLD)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span: a polynomial over random byte values from prefix sums, then mixed with the length. seed 1: other byte values."""
-    values = _BYTE_AGAIN if seed else _BYTE_LOWER if lower else _BYTE
-    prefix = np.zeros(len(data) + 1, U64)
-    np.cumsum(values[data] * _powers(_R, len(data)), out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _powers(_R_INV, len(data) + 1)[starts] + (ends - starts).astype(U64) * _GOLD)
+    return span_hashes(prefix_sums(data, lower, seed), starts, ends)
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

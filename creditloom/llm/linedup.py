@@ -19,14 +19,15 @@ Passages inside lines are found by words (inline_words). Any run of that many wo
 many, so a word goes when it lies in a window that also starts earlier, whatever white space parts the words. Each
 window is represented by the run of a quarter of its words with the smallest hash, its anchor. Equal windows have equal
 anchors, so only windows whose anchor is also in another text, or again in their own, are compared, by 64-bit hashes of
-the anchor and of the window.
-Of equal texts the first alone is looked through, as all windows of the others are in it. Of a line, only its deleted
-words go; a line whose every word goes counts as a dropped line.
+the anchor and of the window. Of a line, only its deleted words go; a line whose every word goes counts as a dropped line.
+
+Lines and anchors come from one pass over the texts. Of equal texts the first alone is looked through: all runs of the
+others are in it. A later copy of MIN_WORDS words or more loses all its lines, a shorter one its windows.
+Repeated lines in a stretch of fewer than MIN_WORDS words are in no run; they are left out before the doubling.
 
 Texts are shuffled only where they hold a repeated anchor or lose something, which a Bloom filter of at most 64 MB tells
 before the shuffle. It never misses one; beyond 30 million such texts it lets more and more of the others through, which
-then find nothing. That later copies of whole texts are left out of the search for windows is a saving, taken up to
-BROADCAST_KEYS texts that have copies; beyond that the copies take part and change nothing.
+then find nothing. Which texts have copies is broadcast up to BROADCAST_KEYS of them; beyond that a shuffle tells it.
 Very long texts are one row each: their lines and windows are rows of their own. An empty table gives no rows.
 """
 
@@ -43,39 +44,75 @@ from pyspark.sql.window import Window
 
 from creditloom.operators import joins
 
-from .bytesops import _GOLD, _powers, _R, _R_INV, cut_lineage, hashes, mix, slices, tidy, U64, words
+from .bytesops import _GOLD, _powers, _R, _R_INV, cut_lineage, hashes, mix, prefix_sums, slices, span_hashes, tidy, U64, words
 
 #: An anchor in more than HOT texts is dealt over as many salts as give each about HOT.
-MIN_WORDS, HOT, BROADCAST_KEYS = 50, 1024, 3_000_000
-
+MIN_WORDS, HOT, BROADCAST_KEYS, PIECE = 50, 1024, 3_000_000, 4096
 
-def _words(text: str) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
+def cut_texts(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows (row, first, lines, anchors, count, size) of rows (row, text), from one pass over the texts.
 
-def line_table(rows: DataFrame) -> DataFrame:
-    """Rows (row, line, a, b, words): one for each line of rows (row, text), with two hashes of the line and its words."""
+    lines: two hashes of each line and its words; anchors: with n, the distinct ones of the text's windows of n words, and at
+    how many places each is. Both have at most PIECE entries a row, a longer text has several rows. first: the number of the
+    row's first line; count and size: the text's lines and words.
+    """
     kind = rows.schema["row"].dataType.simpleString()
 
     @tidy
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches, "text"):
             breaks = np.flatnonzero(data == 10)
             text = np.searchsorted(off, breaks, side="right") - 1  # a text has a line more than it has breaks
             many = np.bincount(text, minlength=part.num_rows) + 1
-            owner = np.repeat(np.arange(part.num_rows), many)
             at = np.cumsum(many) - many
-            starts, ends = np.empty(len(owner), np.int64), np.empty(len(owner), np.int64)
+            starts, ends = np.empty(many.sum(), np.int64), np.empty(many.sum(), np.int64)
             starts[at], ends[at + many - 1] = off[:-1], off[1:]
             inner = np.arange(len(breaks)) + text
             starts[inner + 1], ends[inner] = breaks + 1, breaks
-            word = words(data, off)[0]
+            word, last, of = words(data, off)
             count = np.searchsorted(word, ends) - np.searchsorted(word, starts)
-            a, b = hashes(data, starts, ends), hashes(data, starts, ends, seed=1)
-            number = (np.arange(len(owner)) - np.repeat(at, many)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(number), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(count.astype(np.int32))], ["row", "line", "a", "b", "words"])
+            sums = prefix_sums(data)
+            a, b = span_hashes(sums, starts, ends), hashes(data, starts, ends, seed=1)
+            text, anchor, places = _distinct_anchors(span_hashes(sums, word, last), of, n) if n else _distinct_anchors(np.zeros(0, U64), of, 2)
+            held = np.bincount(text, minlength=part.num_rows)
+            pieces = np.maximum(1, -(-np.maximum(many, held) // PIECE))
+            owner = np.repeat(np.arange(part.num_rows), pieces)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
 
-    return rows.where(F.col("text").isNotNull()).select("row", "text").mapInArrow(lines, f"row {kind}, line int, a bigint, b bigint, words int")
+            def lists(size: np.ndarray, **fields: np.ndarray) -> pa.ListArray:
+                begins = (np.cumsum(size) - size)[owner] + np.minimum(piece * PIECE, size[owner])
+                return pa.ListArray.from_arrays(pa.array(np.append(begins, size.sum()).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields)))
+
+            lines = lists(many, a=a.view(np.int64), b=b.view(np.int64), words=count.astype(np.int32))
+            anchors = lists(held, a=anchor, many=places)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(owner)), pa.array((piece * PIECE).astype(np.int32)), lines, anchors, pa.array(many[owner].astype(np.int32)), pa.array(np.diff(of)[owner])], ["row", "first", "lines", "anchors", "count", "size"]
+            )
+
+    return rows.where(F.col("text").isNotNull()).select("row", "text").mapInArrow(cut, f"row {kind}, first int, lines array<struct<a: bigint, b: bigint, words: int>>, anchors array<struct<a: bigint, many: int>>, count int, size bigint")
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """Rows (row, line, a, b, words), one for each line."""
+    return texts.select("row", "first", F.posexplode("lines").alias("pos", "x")).select("row", (F.col("first") + F.col("pos")).alias("line"), "x.a", "x.b", "x.words")
+
+
+def line_table(rows: DataFrame) -> DataFrame:
+    """Rows (row, line, a, b, words): one for each line of rows (row, text), with two hashes of the line and its words."""
+    return _lines(cut_texts(rows))
+
+
+def first_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of cut_texts() of the first of equal texts, and those of the others."""
+    equal = texts.where("first = 0").groupBy(F.col("row.text").alias("__t")).agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    several = cut_lineage(equal.where("n > 1").select("__t", F.xxhash64("row").alias("__first")))
+    few = several.count() <= BROADCAST_KEYS
+    met = texts.join(F.broadcast(several) if few else several, F.col("row.text") == F.col("__t"), "left")
+    met = met.withColumn("__copy", F.col("__t").isNotNull() & (F.xxhash64("row") != F.col("__first"))).drop("__t", "__first")
+    if not few:  # else a join without a shuffle, cheaper than a copy
+        met = cut_lineage(met)
+    return met.where("not __copy").drop("__copy"), met.where("__copy").drop("__copy")
 
 
 def _ranked(pairs: DataFrame, by: list[str], into: str) -> DataFrame:
@@ -105,29 +142,81 @@ def suffix_ranks(first: DataFrame, rounds: int) -> list[DataFrame]:
     return tables
 
 
+def _whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The batches' rows, sorted by row (id, text's hash), dealt so that all of a text come together; and which begin a text."""
+    kept: list[pa.RecordBatch] = []
+    news: list[np.ndarray] = []
+
+    def all_kept() -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        if kept:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0], np.concatenate(news)
+
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row = batch.column(0)
+        ids = row.field(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        text = row.field(1).to_numpy(zero_copy_only=False)
+        new = np.concatenate(([row[0].as_py() != before], (ids[1:] != ids[:-1]) | (text[1:] != text[:-1])))
+        before = row[-1].as_py()
+        begins = np.flatnonzero(new)
+        if len(begins):
+            if begins[-1]:
+                kept.append(batch.slice(0, begins[-1]))
+                news.append(new[: begins[-1]])
+            yield from all_kept()
+            kept, news = [batch.slice(begins[-1])], [new[begins[-1] :]]
+        else:
+            kept.append(batch)
+            news.append(new)
+    yield from all_kept()
+
+
+def measured(repeated: DataFrame, min_words: int) -> DataFrame:
+    """Rows (row, line, rank, ahead, back) of the repeated lines (row, line, words, rank) that lie in a stretch of min_words words or more.
+
+    ahead: the lines of the shortest run of min_words words from the line on, back: of the one up to it, 0 where there is none;
+    back is 0, too, where the run's first line tells it. A line in a shorter stretch is in no run, at any place.
+    """
+    kind, rank = (repeated.schema[c].dataType.simpleString() for c in ("row", "rank"))
+
+    @tidy
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, new in _whole_rows(batches):
+            line = batch.column(1).to_numpy()
+            own = np.flatnonzero(new | np.concatenate(([True], line[1:] != line[:-1])))  # equal rows' lines are one
+            new, line, count = new[own], line[own], batch.column(2).to_numpy()[own].astype(np.int64)
+            stretch = np.cumsum(new | np.concatenate(([True], line[1:] != line[:-1] + 1))) - 1
+            upto, here = np.cumsum(count), np.arange(len(line))
+            start = upto - count
+            end = np.minimum(np.searchsorted(upto, start + min_words), len(line) - 1)
+            ahead = np.where((stretch[end] == stretch) & (upto[end] - start >= min_words), end - here + 1, 0)
+            begin = np.maximum(np.searchsorted(start, upto - min_words, side="right") - 1, 0)
+            back = np.where((stretch[begin] == stretch) & (upto - start[begin] >= min_words), here - begin + 1, 0)
+            back[ahead[begin] == back] = 0
+            give = np.flatnonzero(np.bincount(stretch, count)[stretch] >= min_words)
+            at = pa.array(own[give])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(ahead[give].astype(np.int32)), pa.array(back[give].astype(np.int32))], ["row", "line", "rank", "ahead", "back"])
+
+    together = repeated.select("row", "line", "words", "rank").repartition("row").sortWithinPartitions("row.text", "row.id", "line")
+    return together.mapInArrow(measure, f"row {kind}, line int, rank {rank}, ahead int, back int")
+
+
+def _each_run(lines: DataFrame) -> DataFrame:
+    runs = F.array(F.struct("line", F.col("ahead").alias("m")), F.struct((F.col("line") - F.col("back") + 1).alias("line"), F.col("back").alias("m")))
+    return lines.select("row", F.explode(runs).alias("run")).select("row", "run.line", "run.m").where("m > 0")
+
+
 def shortest_runs(repeated: DataFrame, min_words: int) -> DataFrame:
     """Rows (row, line, m): runs of m repeated lines of min_words words or more, the shortest from each line on and up to each line."""
-    order = Window.partitionBy("row").orderBy("line")
-    lines = repeated.withColumn("stretch", F.col("line") - F.row_number().over(order))
-    at = Window.partitionBy("row", "stretch")
-    lines = lines.withColumn("upto", F.sum("words").over(at.orderBy("line"))).withColumn("start", F.col("upto") - F.col("words"))
-    lines = lines.withColumns({
-        # The next line starts where this one ends, so the first start min_words further on comes after the run.
-        # Both frames only grow, so each row is added once.
-        "after": F.min("line").over(at.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -min_words)),
-        "before": F.max("line").over(at.orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words)),
-        "first": F.min("line").over(at), "last": F.max("line").over(at), "low": F.min("start").over(at), "high": F.max("upto").over(at),
-    })
-    end = F.coalesce(F.col("after") - 1, F.when(F.col("high") - F.col("start") >= min_words, F.col("last")))
-    begin = F.coalesce(F.col("before") + 1, F.when(F.col("upto") - F.col("low") >= min_words, F.col("first")))
-    runs = F.array(F.struct(F.col("line").alias("line"), (end - F.col("line") + 1).cast("int").alias("m")), F.struct(begin.cast("int").alias("line"), (F.col("line") - begin + 1).cast("int").alias("m")))
-    return lines.select("row", F.explode(F.array_distinct(runs)).alias("run")).select("row", "run.line", "run.m").where("line is not null and m is not null").distinct()
+    return _each_run(measured(repeated, min_words))
 
 
 def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (row, line) of the lines that belong to a later copy of a run of at least min_words words."""
-    repeated = cut_lineage(_ranked(lines, ["a", "b"], "rank").select("row", "line", "words", "rank").dropDuplicates(["row", "line"]))
-    runs = cut_lineage(shortest_runs(repeated, min_words))
+    repeated = cut_lineage(measured(_ranked(lines, ["a", "b"], "rank"), min_words))
+    runs = _each_run(repeated)
     longest = runs.agg(F.max("m")).first()[0] or 0
     found = None
     for k, ranks in enumerate(suffix_ranks(repeated, longest.bit_length())):
@@ -170,12 +259,11 @@ def _anchors(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return first, _sliding(np.minimum, part, n - max(1, n // 4) + 1)[first], part
 
 
-def _text_anchors(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's distinct anchors (text, hash), and at how many of its places they are."""
-    starts, ends, at = words(data, off)
-    if len(starts) < n:
+def _distinct_anchors(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct anchors (text, hash), and at how many of its places they are, from the words' hashes and the texts' offsets in them."""
+    if len(h) < n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    h, owner = hashes(data, starts, ends), np.repeat(np.arange(len(off) - 1), np.diff(at))
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
     first, least, part = _anchors(h, owner, n)
     # A run is an anchor where the largest of the least hashes of the windows that hold it is its own.
     m = n - max(1, n // 4) + 1
@@ -188,6 +276,12 @@ def _text_anchors(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray
     return text[one], value[one].view(np.int64), np.diff(np.append(one, len(text))).astype(np.int32)
 
 
+def _text_anchors(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_distinct_anchors() of texts."""
+    starts, ends, at = words(data, off)
+    return _distinct_anchors(hashes(data, starts, ends), at, n)
+
+
 def _repeated_windows(data: np.ndarray, off: np.ndarray, hits: np.ndarray, salts: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
     """Stretches of windows whose anchor is among the hits: (text, first word, anchor, its salts) of each, and the offsets and hashes of their windows."""
     starts, ends, at = words(data, off)
@@ -244,22 +338,15 @@ def near_keys(rows: DataFrame, name: Column, keys: DataFrame) -> DataFrame:
     return joins.marked(rows.withColumn("__k", F.xxhash64(name)), keys.select(F.xxhash64("row").alias("__k")), "__k", "__near").drop("__k")
 
 
-def later_windows(rows: DataFrame, n: int, copies: bool = True, names: DataFrame | None = None) -> DataFrame:
+def later_windows(rows: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
     """Rows (row, starts): the first words of a text's windows of n words that also start at an earlier position, of rows (row, text).
 
-    row: a struct (id, text's hash), of which names may hold the rows' alone. Without copies, later copies of whole texts are
-    left out.
+    row: a struct (id, text's hash); firsts: rows of cut_texts(), with anchors, of the first of equal texts, the only one looked through.
     """
     if n < 2:
         raise ValueError("a window has 2 words or more")
     kind = rows.schema["row"].dataType.simpleString()
 
-    @tidy
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in slices(batches, "text"):
-            text, a, many = _text_anchors(data, off, n)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(a), pa.array(many)], ["t", "a", "many"])
-
     @tidy
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in slices(batches, "text"):
@@ -274,18 +361,11 @@ def later_windows(rows: DataFrame, n: int, copies: bool = True, names: DataFrame
             if batch.num_rows:
                 yield seen.later(batch)
 
-    # Of equal texts the first alone is looked through.
-    firsts = (rows if names is None else names).groupBy(F.col("row.text").alias("t")).agg(F.min("row").alias("row"), F.count("*").alias("n"))
-    several = cut_lineage(firsts.where("n > 1").select(F.col("t").alias("__t"), F.xxhash64("row").alias("__first")))
-    whole_rows = rows
-    if several.count() <= BROADCAST_KEYS:  # else copies take part, and change nothing
-        rows = rows.join(F.broadcast(several), F.col("row.text") == F.col("__t"), "left").where(F.col("__t").isNull() | (F.xxhash64("row") == F.col("__first"))).select("row", "text")
-    # Read twice: 20 bytes an anchor cost less than cutting all texts again.
-    seen = cut_lineage(rows.select(F.col("row.text").alias("t"), "text").mapInArrow(anchors, "t bigint, a bigint, many int"))
-    again = seen.groupBy("a").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("many").alias("many"), F.count("*").alias("n")).where("t0 <> t1 or many > 1")
+    seen = firsts.select("row", F.explode("anchors").alias("x"))
+    again = seen.groupBy("x.a").agg(F.max("x.many").alias("many"), F.count("*").alias("n")).where("n > 1 or many > 1")
     again = cut_lineage(again.select("a", F.ceil(F.col("n") / HOT).alias("salts")))
-    hits = seen.join(again, "a").select("t", "a", "salts").repartition("t").groupBy("t").agg(F.collect_list(F.struct("a", "salts")).alias("hits"))
-    picks = cut_lineage(firsts.drop("n").join(hits, "t").select("row", F.col("hits.a").alias("hits"), F.col("hits.salts").alias("salts")))
+    hits = seen.select("row", "x.a").join(again, "a").select("row", "a", "salts").repartition("row")
+    picks = cut_lineage(hits.groupBy("row").agg(F.collect_list("a").alias("hits"), F.collect_list("salts").alias("salts")))
     near = near_keys(rows, F.col("row"), picks).where("__near")
     found = near.join(picks, "row").select("row", "text", "hits", "salts").mapInArrow(windows, f"row {kind}, a bigint, salt int, at int, hot boolean, h array<bigint>")
     # The windows of an anchor meet, in order of place. Those of a frequent one are dealt over salts, and what is not seen
@@ -297,12 +377,7 @@ def later_windows(rows: DataFrame, n: int, copies: bool = True, names: DataFrame
     src = F.first(place).over(Window.partitionBy("a", "h").orderBy("row", "at"))
     others = others.withColumn("late", place != src).where("late").groupBy("row").agg(F.collect_set("at").alias("starts"))
     late = found.where(F.size("starts") > 0).select("row", "starts").unionByName(others)
-    later = late.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    if not copies:
-        return later
-    whole = whole_rows.select("row", (F.size(_words("text")) - n).alias("end")).join(firsts.where("n > 1").select("t", F.col("row").alias("src")), F.col("row.text") == F.col("t"))
-    whole = whole.where((F.col("row") != F.col("src")) & (F.col("end") >= 0)).select("row", F.sequence(F.lit(0), "end").alias("starts"))
-    return later.unionByName(whole.distinct())
+    return late.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
 def without(text: bytes, gone: np.ndarray, starts: np.ndarray, n: int) -> tuple[bytes, int]:
@@ -312,10 +387,12 @@ def without(text: bytes, gone: np.ndarray, starts: np.ndarray, n: int) -> tuple[
     before it.
     """
     data = np.frombuffer(text, np.uint8)
-    word, end, _ = words(data, np.array([0, len(data)]))
     breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, word)
     count = len(breaks) + 1
+    if len(gone) == count:
+        return b"", count
+    word, end, _ = words(data, np.array([0, len(data)]))
+    line = np.searchsorted(breaks, word)
     first, last = np.concatenate(([0], breaks + 1)), np.append(breaks, len(data))
 
     def covered(size: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -368,12 +445,18 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     name = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
     docs = docs.drop("lines", "dropped_lines", "__row", "__gone", "__starts", "__cut", "__of", "__k", "__near")
     rows = docs.select(name.alias("row"), F.col(text_col).cast("string").alias("text"))
-    table = cut_lineage(line_table(rows))  # read several times, too; every text has a first line, which names it
-    gone = later_copies(table, min_words).groupBy("row").agg(F.collect_set("line").alias("__gone"))
+    firsts, copies = first_texts(cut_lineage(cut_texts(rows, inline_words)))  # read several times
+    gone = later_copies(_lines(firsts), min_words).groupBy("row").agg(F.collect_set("line").alias("__gone"))
+    none = F.lit(None).cast("array<int>")
+    starts = none
     if inline_words is not None:
-        gone = gone.join(later_windows(rows.where(F.col("text").isNotNull()), inline_words, copies=inline_words < min_words, names=table.where("line = 0").select("row")).withColumnRenamed("starts", "__starts"), "row", "full")
+        gone = gone.join(later_windows(rows.where(F.col("text").isNotNull()), firsts, inline_words).withColumnRenamed("starts", "__starts"), "row", "full")
+        starts = F.when(F.col("size").between(inline_words, min_words - 1), F.sequence(F.lit(0), (F.col("size") - inline_words).cast("int")))
     else:
-        gone = gone.withColumn("__starts", F.lit(None).cast("array<int>"))
+        gone = gone.withColumn("__starts", none)
+    # A later copy of a whole text loses all its lines, if it has so many words, or all its windows.
+    whole = copies.where("first = 0").select("row", F.when(F.col("size") >= min_words, F.sequence(F.lit(0), F.col("count") - 1)).alias("__gone"), starts.alias("__starts"))
+    gone = gone.unionByName(whole.where("__gone is not null or __starts is not null").dropDuplicates(["row"]))
     gone = cut_lineage(gone)
     lines = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).alias("lines")
 

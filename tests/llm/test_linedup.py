@@ -184,3 +184,59 @@ def test_windows_of_a_very_frequent_anchor_are_dealt_over_more_salts(spark, monk
     hits = np.unique(anchors).view(np.uint64)
     salts = linedup._repeated_windows(data, off, hits, np.arange(1, len(hits) + 1), 50)[3]
     assert set(salts.tolist()) <= set(range(1, len(hits) + 1)) and len(salts)
+
+
+def test_copies_and_short_stretches_are_not_doubled_and_texts_are_read_four_times(spark, monkeypatch):
+    """Later copies of whole texts, and repeated lines with fewer words about them than a run has, take no part in the rounds."""
+    doubled, ranks = [], linedup.suffix_ranks
+    monkeypatch.setattr(linedup, "suffix_ranks", lambda first, rounds: doubled.append((first.count(), rounds)) or ranks(first, rounds))
+    copied = "\n".join(f"copied line {i}" for i in range(40))
+    common = "\n".join(f"common line {i}" for i in range(10))
+    passage = "\n".join(f"passage line {i}" for i in range(20))
+    texts = [f"{word}\n{common}\n{word} too" for word in "abcdef"] + [copied] * 4 + [f"before\n{passage}\nafter", f"other\n{passage}\nlast", "a word\n" * 9, "a word\n" * 9]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).mapInArrow(counted, "doc_id bigint, text string")
+    got = {r.doc_id: (r.text, r.dropped_lines) for r in linedup.drop_repeated_lines(df, inline_words=50).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 50)
+    assert got[9] == ("", 40) and got[11] == ("other\nlast", 20) and doubled == [(40, 5)]
+    assert read.value == 4 * len(texts)
+
+
+def test_texts_in_several_pieces_and_copies_beyond_the_broadcast(spark, monkeypatch):
+    rng = random.Random(8)
+    pool = [" ".join(f"w{rng.randrange(6)}" for _ in range(rng.choice([0, 1, 2, 5]))) for _ in range(9)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(40)]
+    texts += [texts[k] for k in (0, 3, 3, 9, 12)] + [pool[0], pool[0], "one two three four", "one two three four", None, None]
+    monkeypatch.setattr(linedup, "PIECE", 3, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    for most in (0, 1000):
+        monkeypatch.setattr(linedup, "BROADCAST_KEYS", most)
+        got = {r.doc_id: (r.text, r.dropped_lines) for r in linedup.drop_repeated_lines(df, min_words=6).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts, 6)
+        got = {r.doc_id: r.text for r in linedup.drop_repeated_lines(df, min_words=4, inline_words=4).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_inline(texts, 4)
+        # Copies that are too short for a run of lines lose their windows.
+        got = {r.doc_id: None if r.text is None else r.text.split() for r in linedup.drop_repeated_lines(df, min_words=30, inline_words=3).collect()}
+        known = [i for i, t in enumerate(texts) if t is not None]
+        assert [got[i] for i in known] == brute_words([texts[i] for i in known], 3)
+
+
+def test_runs_are_told_over_batches_of_any_size():
+    """A text's lines come together though batches part them; other texts, equal hashes and repeated rows do not mix."""
+    rng = random.Random(9)
+    rows = [(rng.randrange(3), rng.choice([None, "x", "y"]), line) for line in range(30) for _ in range(4)]
+    rows.sort(key=lambda r: (r[0], r[1] or "", r[2]))
+    for size in (1, 2, 7, len(rows)):
+        batches = [linedup.pa.RecordBatch.from_pylist([{"row": {"id": i, "text": t}, "line": k} for t, i, k in rows[at : at + size]], linedup.pa.schema([("row", linedup.pa.struct([("id", linedup.pa.string()), ("text", linedup.pa.int64())])), ("line", linedup.pa.int32())])) for at in range(0, len(rows), size)]
+        got = [([(r["row"]["text"], r["row"]["id"], r["line"]) for r in batch.to_pylist()], new.tolist()) for batch, new in linedup._whole_rows(iter(batches))]
+        assert [r for part, _ in got for r in part] == rows
+        for part, new in got:
+            assert new == [k == 0 or part[k][:2] != part[k - 1][:2] for k in range(len(part))]
+        begins = [part[0][:2] for part, _ in got]
+        assert len(set(begins)) == len(begins)
