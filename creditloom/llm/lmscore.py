@@ -11,8 +11,9 @@ repeated, gathers its rows anywhere. Deleted documents have chunks of their own,
 moves no others. A chunk sends its distinct words and bigrams, as hashes, each with its count in the
 chunk, to parts by hash range, one row a part; a part adds them up and answers each chunk with
 the corpus counts of just its own keys, in the order asked. So a word as common as any is one row a chunk, nothing of
-the vocabulary is broadcast, and no task holds more than a part or a chunk. Words are told apart by 64-bit hashes,
-bigrams by 48 bits. Whatever is sent or kept is compressed, numbers byte by byte of their places.
+the vocabulary is broadcast, and no task holds more than a part or a chunk. Words and bigrams are told apart by
+64-bit hashes; a bigram counts no more than either of its words, so none is likelier than certain if two share a hash.
+Whatever is sent or kept is compressed, numbers byte by byte of their places.
 The driver holds the totals, and a table of held-out tokens by bucket and rounded probabilities.
 
 A null text is empty: it has the end token alone. A null id counts as training. Repeated rows are rows of their own, and
@@ -56,7 +57,7 @@ def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word, at = np.concatenate(seen), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
     before = np.concatenate((word[:1], word[:-1]))
     before[at[:-1]] = START
-    return word, mix(before * U64(0x9E3779B97F4A7C15) + word * U64(0xD6E8FEB86659FD93)) >> U64(16), at
+    return word, mix(before * U64(0x9E3779B97F4A7C15) + word * U64(0xD6E8FEB86659FD93)), at
 
 
 def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -134,9 +135,9 @@ def unpack_keys(x: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unpack(x, "<u8", n), dtype=U64)
 
 
-def _cuts(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    """Where the sorted keys of so many bits pass from one part to the next."""
-    border = np.array([min((i << bits) // parts, (1 << bits) - 1) for i in range(1, parts)], U64)
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where the sorted keys pass from one part to the next."""
+    border = np.array([(i << 64) // parts for i in range(1, parts)], U64)
     return np.concatenate(([0], np.searchsorted(keys, border), [len(keys)]))
 
 
@@ -163,9 +164,9 @@ def corpus_counts(chunked: DataFrame, parts: int) -> DataFrame:
     def ask(chunk: int, deleted: bool, table: pa.Table) -> pa.Table:
         word, pair, at = tokens(table)
         train, found = np.repeat(table.column("fold").to_numpy() != HELD_OUT, np.diff(at)), []
-        for every, bits in ((word, 64), (pair, 48)):
+        for every in (word, pair):
             keys, which = np.unique(every, return_inverse=True)
-            found.append((keys, np.bincount(which, train, len(keys)).astype("<u4"), _cuts(keys, parts, bits).tolist()))
+            found.append((keys, np.bincount(which, train, len(keys)).astype("<u4"), _cuts(keys, parts).tolist()))
         (words, word_counts, at_word), (pairs, pair_counts, at_pair) = found
         out = []
         for part, (a, b, c, d) in enumerate(zip(at_word[:-1], at_word[1:], at_pair[:-1], at_pair[1:], strict=True)):
@@ -196,16 +197,17 @@ def corpus_counts(chunked: DataFrame, parts: int) -> DataFrame:
     return chunked.mapInArrow(asked, _ASK_SQL).groupBy("part").applyInArrow(answer, _ANSWER_SQL)
 
 
-def _counts(answers: pa.Table, word: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The answered count of each token and of each bigram."""
+def _counts(answers: pa.Table, word: np.ndarray, pair: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The answered counts of each token, of the bigram that ends there and of its context. Bigrams that share a hash count no more than their words."""
     rows = sorted(answers.to_pylist(), key=lambda r: r["part"])
     counts = [_unpack(r["counts"], "<u8" if r["wide"] else "<u4", r["n"]) for r in rows]
     sides = [c[: r["words"]] for c, r in zip(counts, rows, strict=True)], [c[r["words"] :] for c, r in zip(counts, rows, strict=True)]
     c1, c2 = (np.concatenate(side)[np.unique(every, return_inverse=True)[1]].astype(np.int64) for side, every in zip(sides, (word, pair), strict=True))
-    return c1, c2
+    context = _contexts(c1, at)
+    return c1, np.minimum(c2, np.minimum(c1, context)), context
 
 
-def _contexts(c: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _contexts(c: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The count of what stands before each token. Starts are as many as ends."""
     before = np.concatenate((c[:1], c[:-1]))
     before[at[:-1]] = c[at[1:] - 1]
@@ -257,8 +259,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     def held(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
         _, table = next(unpack(table))
         word, pair, at = tokens(table)
-        c1, c2 = _counts(counts, word, pair)
-        context = _contexts(c1, word, at)
+        c1, c2, context = _counts(counts, word, pair, at)
         cells, many = np.unique(_bucket(context) << 20 | level(c2 / np.maximum(context, 1)) << 10 | level(c1 / max(n_main, 1)), return_counts=True)
         return pa.table({"cell": cells, "n": many})
 
@@ -270,8 +271,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     def score(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
         _, table = next(unpack(table))
         word, pair, at = tokens(table)
-        c1, c2 = _counts(counts, word, pair)
-        context = _contexts(c1, word, at)
+        c1, c2, context = _counts(counts, word, pair, at)
         a = weights[_bucket(context)]
         p = a[:, 0] * c2 / np.maximum(context, 1) + a[:, 1] * c1 / max(n, 1) + a[:, 2] / (v + 1)
         base = np.log10((c1 + 0.1) / (n + 0.1 * (v + 1)))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from creditloom.llm import lmscore
@@ -144,3 +145,20 @@ def test_scores_stay_when_the_input_is_split_otherwise_between_passes(spark, tmp
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(got) == 1000 and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_a_common_bigram_does_not_count_for_another_with_like_bits(spark):
+    """The first 48 bits of both bigrams' hashes are equal."""
+    of = [[i for i in range(3000) if fold(i) == f] for f in range(10)]
+    docs = [(i, "w6333 w1399 " * 20) for i in of[2]] + [(of[1][0], "w5472 w2462"), (of[0][0], "w5472 w2462"), (of[3][0], "w5472 alone"), (of[3][1], "alone w2462")]
+    rows = lmscore.lm_scores(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.id: tuple(r)[1:] for r in rows} == brute(docs)
+
+
+def test_bigrams_that_share_a_hash_count_no_more_than_their_words():
+    word, pair, at = lmscore.tokens(pa.table({"text": ["a b", "c"]}))
+    words = dict(zip(word.tolist(), [5, 3, 7, 0, 7], strict=True))
+    counts = np.array([words[k] for k in sorted(words)] + [1000] * len(pair))
+    answers = pa.Table.from_pylist([{"part": 0, "words": len(words)} | lmscore._pack_counts(counts)])
+    c1, c2, context = lmscore._counts(answers, word, pair, at)
+    assert c1.tolist() == [5, 3, 7, 0, 7] and context.tolist() == [7, 5, 3, 7, 0] and c2.tolist() == [5, 3, 3, 0, 0]
